@@ -1,24 +1,42 @@
-"""The queries of this subpackage: op1 to op10, and the pipeline where it is present."""
+"""The queries of this subpackage: op1 to op10."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from cutroom.llm import minhash, pq
+from cutroom.llm import bpe, decontaminate, minhash, pii, pq
 from cutroom.session import table
 
 
+def tokenizer_file(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:
+    """(rank file, pattern) of the public tokenizers installed on every machine."""
+    import public_tokenizers
+
+    return os.path.abspath(public_tokenizers.path(name)), public_tokenizers.PATTERN
+
+
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), *tokenizer_file(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
-QUERIES = {
-    "op1_embedding_near_dedup": op1_embedding_near_dedup,
-    "op10_minhash_near_dedup": op10_minhash_near_dedup,
-}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_byte_bpe, op4_decontaminate, op5_pii, op10_minhash_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
