@@ -1,15 +1,57 @@
-"""From raw documents to token ids, in five stages."""
+"""From raw documents to token ids, in five stages that each take and return a table of documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from cutroom.llm import bpe, decontaminate, langid, minhash, pii
+from cutroom.llm.queries import tokenizer_file
+from cutroom.session import table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: lang becomes the predicted one; texts in no language (null, no letters) go."""
+    model = langid.fit(docs)
+    found = langid.identify(docs, model).where("lang_pred <> 'und'")
+    return found.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10 on five words at 0.8: the document of least id stays of each group."""
+    copies = minhash.near_duplicates(docs, k=5, percent=80).where("not kept").select(F.col("doc_id").alias("_copy")).distinct()
+    return docs.join(copies, docs["doc_id"] == copies["_copy"], "left_anti")
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: documents that hold a benchmark item go."""
+    return decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: spans of personal data become placeholders; n_chars is counted anew."""
+    return pii.redact_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: token ids of every text, with digests of the ids and of the bytes they decode to."""
+    return bpe.encode_documents(docs, *tokenizer_file(), outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontaminate", drop_benchmark),
+    ("pii", redact_personal_data),
+    ("encode", encode),
+]
+
+#: Language models, edit distances and byte-level merges have no SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
