@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cutroom.llm import bpe, decontaminate, langid, minhash, pii, pq
+from cutroom.llm import bpe, decontaminate, langid, minhash, pii, pq, secrets, substrings
 from cutroom.session import table
 
 
@@ -39,10 +39,21 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), n=20)
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_byte_bpe, op3_language_id, op4_decontaminate, op5_pii, op10_minhash_near_dedup)}
+_ALL = (
+    op1_embedding_near_dedup, op2_byte_bpe, op3_language_id, op4_decontaminate, op5_pii, op6_substring_dedup, op7_secret_scan, op10_minhash_near_dedup,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {}
