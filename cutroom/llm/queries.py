@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cutroom.llm import bpe, decontaminate, langid, minhash, pii, pq, secrets, substrings
+from cutroom.llm import bpe, decontaminate, langid, minhash, pii, pq, secrets, substrings, toxicity
 from cutroom.session import table
 
 
@@ -47,12 +48,23 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("labelled"), "toxic")
+    characters = toxicity.fit_characters(docs)
+    learned = docs.where(~langid.held_out()).join(labels, F.col("doc_id") == F.col("labelled"))
+    rates = toxicity.fit(learned, characters)
+    scored = toxicity.score_documents(docs, characters, rates, threshold=0.7)
+    return scored.select("doc_id", langid.held_out().alias("held_out"), "score", "predicted")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
 _ALL = (
-    op1_embedding_near_dedup, op2_byte_bpe, op3_language_id, op4_decontaminate, op5_pii, op6_substring_dedup, op7_secret_scan, op10_minhash_near_dedup,
+    op1_embedding_near_dedup, op2_byte_bpe, op3_language_id, op4_decontaminate, op5_pii, op6_substring_dedup, op7_secret_scan, op9_toxicity,
+    op10_minhash_near_dedup,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
