@@ -169,16 +169,24 @@ def written(spans: list[tuple[int, int, int]], base_only: bool = False) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans if not base_only or kind < len(BASE_KINDS))
 
 
-def redacted(text: str) -> str:
-    """The text with every maximal stretch of spans replaced by the kind of its first one, in angle brackets."""
-    out, done, reach, spans = [], 0, -1, find_spans(text)
-    for start, kind, end in spans:
-        if start >= reach:
-            out += [text[done if reach < 0 else reach : start], f"<{KINDS[kind].upper()}>"]
-            reach = end
+def stretches(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, placeholder) of every maximal stretch of spans, named after its first one."""
+    out: list[tuple[int, int, str]] = []
+    for start, kind, end in find_spans(text):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end), out[-1][2])
         else:
-            reach = max(reach, end)
-    return "".join([*out, text[max(reach, 0) :]]) if spans else text
+            out.append((start, end, f"<{KINDS[kind].upper()}>"))
+    return out
+
+
+def redacted(text: str) -> str:
+    """The text with every maximal stretch of spans replaced by its placeholder."""
+    out, done = [], 0
+    for start, end, name in stretches(text):
+        out += [text[done:start], name]
+        done = end
+    return "".join([*out, text[done:]]) if out else text
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,6 +227,16 @@ def redact(text: Column) -> Column:
     return clean(text)
 
 
+def redactions(text: Column) -> Column:
+    """What redact() does to a text, as edits (start, stop, text) from the last to the first; null has none."""
+
+    @pandas_udf("array<struct<start: int, stop: int, text: string>>")
+    def listed(texts):  # noqa: ANN001, ANN202
+        return texts.map(lambda t: [{"start": a, "stop": b, "text": name} for a, b, name in reversed(stretches(t or ""))])
+
+    return listed(text)
+
+
 def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """The same rows and columns, personal data in text_col replaced and length_col, if any, counted anew."""
     ship(docs.sparkSession)

@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutroom.llm import bpe, decontaminate, langid, minhash, pii, pq, secrets, substrings, toxicity
-from cutroom.session import table
+from cutroom.llm import bpe, decontaminate, langid, minhash, pii, pq, secrets, substrings, tokencount, toxicity
+from cutroom.session import ship, table
 
 
 def tokenizer_file(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:
@@ -48,6 +48,13 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document before and after its personal data is redacted, edit by edit."""
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    return tokencount.count_edited(docs, pii.redactions(docs["text"]), *tokenizer_file())
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("labelled"), "toxic")
@@ -63,7 +70,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    op1_embedding_near_dedup, op2_byte_bpe, op3_language_id, op4_decontaminate, op5_pii, op6_substring_dedup, op7_secret_scan, op9_toxicity,
+    op1_embedding_near_dedup, op2_byte_bpe, op3_language_id, op4_decontaminate, op5_pii, op6_substring_dedup, op7_secret_scan, op8_token_counts, op9_toxicity,
     op10_minhash_near_dedup,
 )
 QUERIES = {f.__name__: f for f in _ALL}
