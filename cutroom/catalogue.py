@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cutroom.plans import relational
+from cutroom.plans import relational, timelines
 
-_MODULES = (relational,)
+_MODULES = (relational, timelines)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
