@@ -83,10 +83,13 @@ def waveform_peaks(samples: np.ndarray, buckets: int) -> np.ndarray:
     return np.array([(samples[a:b].min(), samples[a:b].max()) if b > a else (0, 0) for a, b in zip(edges[:-1], edges[1:], strict=True)]).ravel()
 
 
-@F.pandas_udf("double")
-def tempo_of(pcm: pd.Series) -> pd.Series:
+def tempo_of():  # noqa: ANN201
     """Tempo of little-endian 16-bit mono samples; an odd last byte is dropped."""
-    return pcm.map(lambda b: tempo(np.frombuffer(b[: len(b) // 2 * 2], "<i2")) if b is not None else None)
+    @F.pandas_udf("double")
+    def beats(pcm: pd.Series) -> pd.Series:
+        return pcm.map(lambda b: tempo(np.frombuffer(b[: len(b) // 2 * 2], "<i2")) if b is not None else None)
+
+    return beats
 
 
 def sharpness_of(side: int):  # noqa: ANN201

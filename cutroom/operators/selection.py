@@ -82,7 +82,7 @@ def greedy_budget(df: DataFrame, keys: list[str], order: list[Column], ident: st
     A fold over one key's sorted rows, in the JVM. Keys are projects, whose rows are bounded by what one holds.
     """
     rows = df.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(ident).cast("string").alias("i"), F.col(cost).cast("long").alias("c")))).alias("r")
+        F.sort_array(F.collect_list(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(ident).cast("string").alias("i"), F.col(cost).cast("long").alias("c")))).alias("_r")
     )
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("picked"))
     limit = budget if isinstance(budget, Column) else F.lit(budget)
@@ -94,8 +94,8 @@ def greedy_budget(df: DataFrame, keys: list[str], order: list[Column], ident: st
             F.when(fits, F.concat(acc["picked"], F.array(row["i"]))).otherwise(acc["picked"]).alias("picked"),
         )
 
-    folded = rows.withColumn("f", F.aggregate("r", start, step))
-    return folded.select(*keys, F.col("f.used").alias("used"), F.posexplode("f.picked").alias("place", "i")).select(
+    folded = rows.withColumn("_f", F.aggregate("_r", start, step))
+    return folded.select(*keys, F.col("_f.used").alias("used"), F.posexplode("_f.picked").alias("place", "i")).select(
         *keys, (F.col("place") + 1).alias("place"), F.col("i").cast(dict(df.dtypes)[ident]).alias(ident), "used"
     )
 
@@ -114,20 +114,20 @@ def rough_cut(df: DataFrame, keys: list[str], ident: str, length: str, target: i
     the longest clips first. Ties go to the smaller id. Returns keys, ident, granted.
     """
     rows = df.where(F.col(length) > 0).groupBy(*keys).agg(
-        F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct((-F.col(length)).alias("m"), F.col(ident).alias("i"), F.col(length).cast("long").alias("c")))).alias("r")
+        F.count("*").alias("_n"), F.sort_array(F.collect_list(F.struct((-F.col(length)).alias("m"), F.col(ident).alias("i"), F.col(length).cast("long").alias("c")))).alias("_r")
     )
-    cap = F.greatest(F.lit(share).cast("long"), F.floor(F.lit(target) / F.col("n")))
-    first = F.transform("r", lambda r: F.struct(r["i"].alias("i"), r["c"].alias("c"), F.least(r["c"], F.greatest(cap, F.lit(least))).cast("long").alias("g")))
-    rows = rows.withColumn("g", first).withColumn("left", F.greatest(F.lit(target) - F.aggregate("g", F.lit(0).cast("long"), lambda s, x: s + x["g"]), F.lit(0)).cast("long"))
-    kind = rows.schema["g"].dataType
-    start = F.struct(F.col("left").alias("left"), F.array().cast(kind).alias("out"))
+    cap = F.greatest(F.lit(share).cast("long"), F.floor(F.lit(target) / F.col("_n")))
+    first = F.transform("_r", lambda r: F.struct(r["i"].alias("i"), r["c"].alias("c"), F.least(r["c"], F.greatest(cap, F.lit(least))).cast("long").alias("g")))
+    rows = rows.withColumn("_g", first).withColumn("_left", F.greatest(F.lit(target) - F.aggregate("_g", F.lit(0).cast("long"), lambda s, x: s + x["g"]), F.lit(0)).cast("long"))
+    kind = rows.schema["_g"].dataType
+    start = F.struct(F.col("_left").alias("left"), F.array().cast(kind).alias("out"))
 
     def extend(acc: Column, x: Column) -> Column:
         more = F.least(acc["left"], x["c"] - x["g"])
         return F.struct((acc["left"] - more).alias("left"), F.concat(acc["out"], F.array(F.struct(x["i"].alias("i"), x["c"].alias("c"), (x["g"] + more).alias("g")))).alias("out"))
 
-    return rows.withColumn("f", F.aggregate("g", start, extend, lambda a: a["out"])).select(*keys, F.explode("f").alias("x")).select(
-        *keys, F.col("x.i").alias(ident), F.col("x.g").alias("granted")
+    return rows.withColumn("_f", F.aggregate("_g", start, extend, lambda a: a["out"])).select(*keys, F.explode("_f").alias("_x")).select(
+        *keys, F.col("_x.i").alias(ident), F.col("_x.g").alias("granted")
     )
 
 

@@ -23,22 +23,22 @@ def sliding_mean(df: DataFrame, keys: list[str], order: str, value: str, span: i
 
 def suppressed_top(df: DataFrame, keys: list[str], start: str, score: str, span: int, most: int = 3) -> DataFrame:
     """Up to most rows of each key, best first and earliest of equals, none within span of one picked before."""
-    ranked = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col(score)).alias("m"), F.col(start).cast("long").alias("s")))).alias("c"))
+    ranked = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col(score)).alias("m"), F.col(start).cast("long").alias("s")))).alias("_c"))
     none = F.array().cast("array<struct<m:double,s:bigint>>")
 
     def take(picked: Column, one: Column) -> Column:
         free = (F.size(picked) < most) & ~F.exists(picked, lambda p: F.abs(p["s"] - one["s"]) < span)
         return F.when(free, F.concat(picked, F.array(F.struct(one["m"].cast("double").alias("m"), one["s"].alias("s"))))).otherwise(picked)
 
-    return ranked.withColumn("p", F.aggregate("c", none, take)).select(*keys, F.posexplode("p").alias("rank", "x")).select(
-        *keys, (F.col("rank") + 1).alias("rank"), F.col("x.s").alias(start), (-F.col("x.m")).alias(score)
+    return ranked.withColumn("_p", F.aggregate("_c", none, take)).select(*keys, F.posexplode("_p").alias("rank", "_x")).select(
+        *keys, (F.col("rank") + 1).alias("rank"), F.col("_x.s").alias(start), (-F.col("_x.m")).alias(score)
     )
 
 
 def best_window(df: DataFrame, keys: list[str], order: str, value: str, span: int) -> DataFrame:
     """The span rows in a row with the least mean, the earliest of equals."""
     means = sliding_mean(df, keys, order, value, span)
-    return means.groupBy(*keys).agg(F.min(F.struct("mean", order)).alias("b")).select(*keys, F.col(f"b.{order}").alias(order), F.col("b.mean").alias("mean"))
+    return means.groupBy(*keys).agg(F.min(F.struct("mean", order)).alias("_b")).select(*keys, F.col(f"_b.{order}").alias(order), F.col("_b.mean").alias("mean"))
 
 
 def islands(df: DataFrame, keys: list[str], order: str, ok: Column) -> DataFrame:
@@ -59,8 +59,8 @@ def densest(df: DataFrame, keys: list[str], value: str, width: int) -> DataFrame
     """The most values of a key that lie within width, and where the first such stretch ends."""
     behind = Window.partitionBy(*keys).orderBy(value).rangeBetween(-width, 0)
     counted = df.withColumn("_n", F.count("*").over(behind))
-    return counted.groupBy(*keys).agg(F.min(F.struct((-F.col("_n")).alias("m"), F.col(value).alias("v"))).alias("b")).select(
-        *keys, (-F.col("b.m")).alias("n"), F.col("b.v").alias("last")
+    return counted.groupBy(*keys).agg(F.min(F.struct((-F.col("_n")).alias("m"), F.col(value).alias("v"))).alias("_b")).select(
+        *keys, (-F.col("_b.m")).alias("n"), F.col("_b.v").alias("last")
     )
 
 
