@@ -18,9 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
-from pyspark.sql.window import Window
 
-from cutroom.session import ship
+from cutroom.session import settle, ship
 
 #: Labelled rows the model is fitted on, about; all of them where there are fewer.
 FIT_ROWS = 12_000
@@ -133,13 +132,15 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit
     there = labelled.where(F.col(lang_col).isNotNull()).count()
     if there > fit_rows:
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < math.ceil(1e6 * fit_rows / there))
-    counts = (
+    counts = settle(
         rows.mapInArrow(_count_batches, "lang string, size int, item string, n long").groupBy("lang", "size", "item").agg(F.sum("n").alias("n"))
     )
-    top = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "item")
-    ranked = counts.withColumn("total", F.sum("n").over(Window.partitionBy("lang", "size"))).withColumn("r", F.row_number().over(top))
-    kept = ranked.where(F.col("r") <= lexicon).select("lang", "size", "item", "n", "total").collect()
-    return Model([(r.lang, r["size"], r.item, r.n) for r in kept], {(r.lang, r["size"]): r.total for r in kept})
+    totals = {(r.lang, r["size"]): r.total for r in counts.groupBy("lang", "size").agg(F.sum("n").alias("total")).collect()}
+    kept = []
+    for lang, size in totals:  # LONGEST + 1 for each language; a top list a partition, then of those, so no group meets in one task
+        top = counts.where((F.col("lang") == lang) & (F.col("size") == size)).orderBy(F.desc("n"), "item").limit(lexicon)
+        kept += [(lang, size, r["item"], r.n) for r in top.collect()]
+    return Model(kept, totals)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
