@@ -1,0 +1,327 @@
+"""The ten operators against brute force on small tables, with nulls, empty and long texts, repeats and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+pytest.importorskip("cutroom.llm")
+
+import public_tokenizers  # noqa: E402
+import tiktoken  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from cutroom.llm import bpe, decontaminate, langid, minhash, pii, pq, queries, secrets, substrings, tokencount, toxicity  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+PATH, PATTERN = queries.tokenizer_file()
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, value string, items string, signature string, component string, h1 string, start string, id string, score string, key string"
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def texts():
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdeilnorst") for _ in range(rng.randint(1, 7))) for _ in range(300)]
+    long_run = [rng.choice(vocabulary) for _ in range(90)]
+    out = []
+    for _ in range(40):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(3, 160))]
+        if rng.random() < 0.4:
+            words[2:2] = long_run[rng.randint(0, 30) : rng.randint(50, 90)]
+        out.append(" ".join(words))
+    copies = []
+    for text in out[:12]:
+        words = text.split(" ")
+        words[rng.randrange(len(words))] = "changed"
+        copies.append(" ".join(words))
+    odd = [None, "", " \t\n ", "one", "a " * 400, "ÄÖ ü 旅行 🙂 " * 30, "x" * 5000, "Mixed\tCASE\nlines\x0bhere", "a b c d e f g h i j k l m n o p q r s t u v w x y z"]
+    return [*out, *copies, *out[:5], *odd]
+
+
+def docs(spark, rows=None):
+    data = list(enumerate(texts())) if rows is None else rows
+    return spark.createDataFrame([(i, t, *["x"] * 9) for i, t in data], SCHEMA).repartition(3)
+
+
+def by_id(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+def test_op1_against_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(60, 24))
+    x = np.concatenate([base, base[:25] * 3 + rng.normal(size=(25, 24)) * 0.3, base[:4]])
+    odd = [(500, None), (501, [0.0] * 24), (502, [float("nan")] * 24), (503, [float("inf")] + [0.0] * 23), (504, [1.0, None] + [0.0] * 22), (505, []), (506, [1.0, 2.0]), (None, [1.0] * 24)]
+    rows = [(i, [float(v) for v in r], "x") for i, r in enumerate(x)] + [(*o, "x") for o in odd]
+    found = pq.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, unit string").repartition(3), 0.9).collect()
+    assert len(found) == len(rows)
+    got = {r.vec_id: r for r in found}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T) >= 0.9
+    root = list(range(len(x)))
+    for i in range(len(x)):
+        for j in np.flatnonzero(near[i]):
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+    for i in range(len(x)):
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (near[i].sum() - 1, root[i], root[i] == i)
+    for i, _ in odd[:-1]:
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
+    assert got[None].component_id is None and got[None].kept
+
+
+def test_op2_equals_tiktoken(spark):
+    own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
+    got = by_id(bpe.encode_documents(docs(spark), PATH, PATTERN, ("n_tokens", "ids", "ids_sha256", "decoded_sha256", "decoded")))
+    for i, text in enumerate(texts()):
+        ids = own.encode_ordinary(text or "")
+        assert got[i]["ids"] == ids and got[i].n_tokens == len(ids) and got[i].ids_sha256 == sha(",".join(map(str, ids)))
+        assert bytes(got[i].decoded) == (text or "").encode() and got[i].decoded_sha256 == sha(text or "")
+    assert public_tokenizers.PATTERN == PATTERN
+
+
+def test_op3_learns_held_out_languages(spark):
+    found = queries.op3_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
+    assert len(found) == 1000
+    held = [r for r in found if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in found)
+    assert sum(r.lang == r.lang_pred for r in held) / len(held) > 0.9
+
+
+def test_op3_odd_texts(spark):
+    rows = [(1, "das ist nicht der die und"), (2, "the cat and the dog"), (3, None), (4, ""), (5, "123 !!"), (6, "zzzqqq")]
+    labelled = docs(spark, rows[:2]).withColumn("lang", F.when(F.col("doc_id") == 1, "de").otherwise("en"))
+    got = by_id(langid.identify(docs(spark, rows), langid.fit(labelled)))
+    assert [got[i].lang_pred for i in (1, 2)] == ["de", "en"] and all(got[i].lang_pred == "und" and got[i].score == 0 for i in (3, 4, 5))
+    assert got[6].lang_pred in ("de", "en")
+    assert by_id(langid.identify(docs(spark, rows), langid.fit(labelled.limit(0))))[1].lang_pred == "und"
+
+
+def edit_distance_in(item, text):
+    last = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        row = [i]
+        for j, d in enumerate(text, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != d)))
+        last = row
+    return min(last)
+
+
+def test_op4_against_edit_distance(spark):
+    rng = random.Random(6)
+    items = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(rng.randint(4, 14)))) for i in range(8)] + [(90, None), (91, "short"), (92, "")]
+    rows = [(100, None), (101, ""), (102, "nothing to see here")]
+    for k in range(40):
+        item = list(items[rng.randrange(8)][1])
+        for _ in range(rng.randint(0, 7)):
+            item[rng.randrange(len(item))] = rng.choice(["", "q", "zz", "x"])
+        rows.append((k, "Before, " + "".join(item) + "; after " + items[rng.randrange(8)][1][:9]))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.find_benchmark(docs(spark, rows), benchmark).collect()}
+    want = {}
+    for i, text in rows:
+        for k, item in items:
+            item = decontaminate.normalised(item or "")
+            if len(item) >= decontaminate.MIN_CHARS:
+                d = edit_distance_in(item, decontaminate.normalised(text or ""))
+                if d <= decontaminate.budget(len(item)):
+                    want[i, k] = d
+    assert got == want and len(want) > 10
+    kept = {r.doc_id for r in decontaminate.without_benchmark(docs(spark, rows), benchmark).collect()}
+    assert kept == {i for i, _ in rows} - {i for i, _ in want}
+
+
+def base_pii(text):
+    spans = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = [int(c) for c in m[0] if c.isdigit()]
+        total = sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(reversed(digits)))
+        if 12 <= len(digits) <= 19 and total % 10 == 0:
+            spans.append((m.start(), 2, m.end()))
+    spans += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+    return sorted(spans)
+
+
+def test_op5_against_patterns(spark):
+    rng = random.Random(8)
+    bits = ["a@b.co", "x.y+z@mail-1.example.org.", "@", "1.2.3.4", "300.1.1.1", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 (30) 123-4567", "+1", "++12 345 678 90-", " ", "é", "7", "-",
+            "https://u:p@h.example/x?y=1.", "IBAN DE89370400440532013000", "12 34", "a@b@c.d.e", "0" * 25, ".", "www.x.y"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))) for i in range(300)] + [(900, None), (901, "")]
+    got = by_id(pii.find_personal_data(docs(spark, rows)))
+    for i, text in rows:
+        spans = base_pii(text or "")
+        assert got[i].base_sha256 == sha(",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans)), text
+        assert [got[i][f"n_{k}"] for k in pii.BASE_KINDS] == [sum(s[1] == n for s in spans) for n in range(4)]
+        assert {f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans} <= set(got[i].spans.split(","))
+    clean = by_id(pii.redact_documents(docs(spark, rows), length_col=None))
+    assert clean[900].text is None and all("a@b.co" not in (r.text or "") for r in clean.values())
+
+
+def base_repeats(rows, n):
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        words = WORD.findall(text or "")
+        gone = [False] * len(words)
+        for s in range(len(words) - n + 1):
+            key = tuple(words[s : s + n])
+            if key in seen:
+                gone[s : s + n] = [True] * n
+            seen.add(key)
+        out[i] = (len(words), sum(gone), sha(" ".join(w for w, g in zip(words, gone, strict=True) if not g)))
+    return out
+
+
+@pytest.mark.parametrize("n", [5, 20])
+def test_op6_against_all_windows(spark, n):
+    got = by_id(substrings.remove_repeats(docs(spark), n=n))
+    want = base_repeats(list(enumerate(texts())), n)
+    assert {i: (r.n_words, r.n_removed, r.kept_sha256) for i, r in got.items()} == want
+    assert sum(w[1] for w in want.values()) > 100
+
+
+def test_op6_repeated_rows_and_no_ids(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(5, text), (5, text), (7, text), (None, text), (8, None)]
+    got = [(r.doc_id, r.n_removed) for r in substrings.remove_repeats(docs(spark, rows)).collect()]
+    assert sorted(got, key=str) == [(5, 0), (5, 0), (7, 30), (8, 0), (None, 30)]
+
+
+def base_secrets(text):
+    assign = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    spans = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[1]) >= 6]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(spans)
+
+
+def test_op7_against_patterns_and_entropy(spark):
+    rng = random.Random(9)
+    bits = ["password", "Secret: ", "token=", "API_KEY = '", "apikey", "secret: token: abcdefgh", "AKIA", "AKIA" + "Q7" * 9, "0123456789abcdef" * 2, "deadbeef", "🙂", " ", "x", "\n", "=", "'", "AB12", "abcdef"]
+    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))) for i in range(200)] + [(900, None), (901, ""), (902, f"é {key} end"), (903, f"{key[:18]}EXAMPLE{key[18:]}"), (904, "aB1" * 20)]
+    got = by_id(secrets.find_secrets(docs(spark, rows)))
+    for i, text in rows:
+        spans = base_secrets(text or "")
+        assert got[i].base_sha256 == sha(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)), text
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(s[1] == k for s in spans) for k in range(3))
+    assert got[902].spans == "entropy:2:42" and got[903].spans == "" and got[904].spans == ""
+
+
+def test_op7_entropy_equals_counting(spark):
+    rng = random.Random(10)
+    words = ["".join(rng.choice("abcdefAB01") for _ in range(rng.randint(18, 60))) for _ in range(40)]
+
+    def best(word):
+        out = []
+        for s in range(len(word) - 19):
+            shares = [word[s : s + 20].count(c) / 20 for c in set(word[s : s + 20])]
+            out.append(-sum(p * np.log2(p) for p in shares))
+        return max(out, default=None)
+
+    for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", secrets.best_entropy(F.col("w")).alias("e")).collect():
+        assert r.e == (pytest.approx(best(r.w)) if best(r.w) is not None else None)
+
+
+def test_op8_equals_encoding_anew(spark):
+    counter = tokencount.Counter(bpe.encoder(PATH, PATTERN))
+    rng = random.Random(12)
+    alphabet = ["a", "b", " ", "  ", "\n", "don't", "'", "s", "ll", "1", "23", "!", "é", "the ", " \n ", "x" * 50, "?!", "\t"]
+    rows = []
+    for i in range(60):
+        text = before = "".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 30, 600])))
+        edits = []
+        for _ in range(rng.randint(0, 6)):
+            a = rng.randint(0, len(text))
+            b, new = min(len(text), a + rng.choice([0, 1, 5, 40])), "".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 5])))
+            edits.append((a, b, new))
+            text = text[:a] + new + text[b:]
+        rows.append((i, before, edits, text))
+    df = spark.createDataFrame([(i, t, e) for i, t, e, _ in rows] + [(99, None, None)], "doc_id long, text string, edits array<struct<start: int, stop: int, text: string>>")
+    got = by_id(tokencount.count_edited(df, F.col("edits"), PATH, PATTERN))
+    size = lambda t: sum(counter.counts(counter.split(t)))
+    for i, before, edits, after in rows:
+        assert (got[i].n_tokens, got[i].n_edits, got[i].n_tokens_after, got[i].n_chars_after) == (size(before), len(edits), size(after), len(after))
+    assert tuple(got[99])[1:] == (0, 0, 0, 0, 0)
+
+
+def test_op9_held_out_and_disguise(spark):
+    sf = "/root/testdata/sf0.01"
+    found = queries.op9_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", "left").collect()
+    assert len(found) == 1000 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in found)
+    held = [r for r in found if r.held_out and r.toxic is not None]
+    caught = [r.predicted for r in held if r.toxic == 1]
+    alarms = [r.predicted for r in held if r.toxic == 0]
+    assert sum(caught) / len(caught) > 0.6 and sum(alarms) / len(alarms) < 0.05
+    characters = toxicity.fit_characters(spark.read.parquet(f"{sf}/documents.parquet"))
+    restorer = toxicity.Restorer(characters)
+    for hidden, plain in (("1d10t", "idiot"), ("m0r0n", "moron"), ("i d i o t", "idiot"), ("idioooot", "idiot"), ("tr4sh", "trash"), ("s.t.u.p.i.d", "stupid")):
+        assert plain in restorer.words(f"you {hidden} there"), hidden
+    model = toxicity.RateModel({}, {"idiot": 8.0}, 0.01, -2.0)
+    got = by_id(toxicity.score_documents(docs(spark, [(1, "You 1D10T!"), (2, None), (3, ""), (4, "fine day")]), characters, model))
+    assert [got[i].predicted for i in (1, 2, 3, 4)] == [1, 0, 0, 0]
+
+
+def test_op10_against_all_pairs(spark):
+    data = list(enumerate(texts()))
+    for k, percent in ((4, 80), (5, 80)):
+        got = by_id(minhash.near_duplicates(docs(spark), k=k, percent=percent))
+        sets = {}
+        for i, text in data:
+            words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+            sets[i] = {tuple(words[s : s + k]) for s in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} if words else set()
+        root = {i: i for i in sets}
+        for i in sets:
+            for j in sets:
+                both = len(sets[i] & sets[j])
+                if i < j and both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    a, b = root[i], root[j]
+                    root = {x: min(a, b) if r in (a, b) else r for x, r in root.items()}
+        assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(sets[i]), root[i], root[i] == i) for i in sets}
+
+
+def test_op10_links_inside_a_large_group(spark):
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 4, 6, 8])):
+            words[rng.randrange(120)] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    got = by_id(minhash.near_duplicates(docs(spark, rows), k=4, percent=80))
+    sets = [frozenset(hash(tuple(w[s : s + 4])) for s in range(len(w) - 3)) for w in (t.split() for _, t in rows)]
+    root = list(range(400))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(400):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both * 100 >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+    assert [got[i].component_id for i in range(400)] == [top(i) for i in range(400)]
+
+
+def test_empty_tables(spark):
+    none = docs(spark, [])
+    empty = spark.createDataFrame([], "item_id long, text string")
+    characters = toxicity.fit_characters(none)
+    rates = toxicity.fit(none.withColumn("toxic", F.lit(1)), characters)
+    for df in (
+        pq.near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")), bpe.encode_documents(none, PATH, PATTERN), langid.identify(none, langid.fit(none.withColumn("lang", F.lit("en")))),
+        decontaminate.find_benchmark(none, empty), decontaminate.find_benchmark(docs(spark, [(1, "text")]), empty), pii.find_personal_data(none), substrings.remove_repeats(none), secrets.find_secrets(none),
+        tokencount.count_edited(none, F.array(), PATH, PATTERN), toxicity.score_documents(none, characters, rates), minhash.near_duplicates(none),
+    ):
+        assert df.count() == 0
