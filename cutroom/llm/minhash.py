@@ -4,30 +4,43 @@ Every document is posted under its (coordinate, value) pairs. Pairs that no othe
 dropped; the rest are ordered from rare to frequent, and a document with r of them is posted only
 under the first r - T + 1 (prefix), since a partner must share T of them. Long lists are never
 expanded: a list is merged by skipping from its leader to its members, so it yields as many
-candidates as it has members, and only lists that still span several components after that are
-compared in bounded blocks, inside tasks that emit nothing but pairs with T or more equal
-coordinates. Every link is confirmed on the full shingle sets.
+candidates as it has members. The leader is the member whose values are the most frequent, which
+in a group of copies is the one that most others were made from; a second leader comes from what
+the first has not reached. Only lists that still span several components after that are compared
+in blocks of bounded size; a block's task returns what has candidates, another reads those full sets
+and returns no more links than documents. Every link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutroom.llm.words import Words, chunks, mix, set_of
 from cutroom.operators.components import connected_components
 from cutroom.session import settle, ship
 
+#: Coordinates that documents are posted under, and further ones of a byte each that candidates are counted on.
 COORDINATES = 32
-MATCHES = 16
+FINE = 96
+#: Standard deviations that a linked pair's count of equal coordinates may fall short by.
+SLACK = 4.3
 BLOCK = 256
 _SEEDS = mix((np.arange(COORDINATES, dtype=np.uint64) + np.uint64(17)) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = mix(_SEEDS) | np.uint64(1)
+_FINE_SEEDS = (mix((np.arange(FINE, dtype=np.uint64) + np.uint64(99)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+_FINE_ODD = _FINE_SEEDS * np.uint32(0x9E3779B1) | np.uint32(1)
+
+
+def least_matches(coordinates: int, similarity: float) -> int:
+    """Equal coordinates that a pair of that similarity has, but for one in a hundred thousand."""
+    return max(1, math.ceil(coordinates * similarity - SLACK * math.sqrt(coordinates * similarity * (1 - similarity))))
 
 
 def _sets(texts: list, k: int) -> Iterator[np.ndarray]:
@@ -47,15 +60,26 @@ def _signature(items: np.ndarray) -> np.ndarray:
     return mix(least ^ _SEEDS)
 
 
+def _fine(items: np.ndarray) -> np.ndarray:
+    """A byte of the least hash under each further function."""
+    least = np.full(FINE, np.iinfo(np.uint32).max, np.uint32)
+    short = (items >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), 1024):
+        part = (short[at : at + 1024, None] ^ _FINE_SEEDS[None, :]) * _FINE_ODD[None, :]
+        np.minimum(least, part.min(axis=0), out=least)
+    return (mix(least.astype(np.uint64)) & np.uint64(255)).astype(np.uint8).view(np.int8)
+
+
 def _sign_batches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, same_a, same_b, signature = [], [], [], []
+            size, same_a, same_b, signature, fine = [], [], [], [], []
             for items in _sets(batch.column("text").to_pylist(), k):
                 size.append(len(items))
                 same_a.append(int(np.bitwise_xor.reduce(mix(items))) if len(items) else 0)
                 same_b.append(int(np.add.reduce(items)) if len(items) else 0)
                 signature.append(_signature(items).view(np.int64) if len(items) else None)
+                fine.append(_fine(items) if len(items) else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -63,8 +87,9 @@ def _sign_batches(k: int):
                     pa.array(np.array(same_a, np.uint64).view(np.int64)),
                     pa.array(np.array(same_b, np.uint64).view(np.int64)),
                     pa.array(signature, pa.list_(pa.int64())),
+                    pa.array(fine, pa.list_(pa.int8())),
                 ],
-                ["doc_id", "n_shingles", "same_a", "same_b", "signature"],
+                ["doc_id", "n_shingles", "same_a", "same_b", "signature", "fine"],
             )
 
     return run
@@ -81,35 +106,88 @@ def _set_batches(k: int):
     return run
 
 
-def _compare_block(matches: int):
+def _compare_block(matches: int, in_all: int, num: int, den: int):
+    """Candidates of a block's left and right side: a row for each document that has any, with a left one's partners.
+
+    A pair is taken up only in the first list that both are posted under.
+    """
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        value, x, y = (frame[c].iloc[0] for c in ("value", "x", "y"))
         left, right = frame[frame.side == 0], frame[frame.side == 1]
-        out = []
+        rows: list[tuple] = []
+        met: set[int] = set()
         if len(left) and len(right):
-            b, rid, rcomp = np.stack(right.signature.to_numpy()), right.doc_id.to_numpy(), right.component.to_numpy()
-            for sig, doc, comp in zip(left.signature, left.doc_id, left.component, strict=True):
-                hit = ((b == sig[None, :]).sum(axis=1) >= matches) & (rcomp != comp)
-                out += [(min(doc, x), max(doc, x)) for x in rid[hit]]
-        return pd.DataFrame(sorted(set(out)), columns=["src", "dst"]).astype("int64")
+            b, fine, posted = (np.stack(right[c].to_numpy()) for c in ("signature", "fine", "posted"))
+            docs, components, sizes = (right[c].to_numpy() for c in ("doc_id", "component", "n_shingles"))
+            for own in left.itertuples(index=False):
+                equal = b == own.signature[None, :]
+                fits = np.minimum(sizes, own.n_shingles) * den >= np.maximum(sizes, own.n_shingles) * num
+                at = np.flatnonzero((equal.sum(axis=1) >= matches) & (components != own.component) & fits)
+                if not len(at):
+                    continue
+                shared = equal[at] & posted[at] & own.posted[None, :]
+                first = np.where(shared, own.signature[None, :], np.iinfo(np.int64).max).min(axis=1) == value
+                at = at[first & (equal[at].sum(axis=1) + (fine[at] == own.fine[None, :]).sum(axis=1) >= in_all)]
+                if x == y:
+                    at = at[docs[at] > own.doc_id]
+                if len(at):
+                    rows.append((value, x, y, own.doc_id, docs[at]))
+                    met.update(docs[at].tolist())
+        rows += [(value, x, y, doc, None) for doc in sorted(met)]
+        return pd.DataFrame(rows, columns=["value", "x", "y", "doc_id", "partners"])
+
+    return run
+
+
+def _confirm_block(num: int, den: int):
+    """Links of a block's candidates, on full sets; those that join what others have joined are left out."""
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        sets = dict(zip(frame.doc_id, frame["items"], strict=True))
+        root = dict(zip(frame.doc_id, frame.doc_id, strict=True))
+
+        def top(doc: int) -> int:
+            while root[doc] != doc:
+                root[doc] = root[root[doc]]
+                doc = root[doc]
+            return doc
+
+        links = []
+        for doc, partners in zip(frame.doc_id, frame.partners, strict=True):
+            for other in () if partners is None else partners:
+                one, two = top(doc), top(other)
+                if one == two:
+                    continue
+                both = len(np.intersect1d(sets[doc], sets[other], assume_unique=True))
+                if both * den >= (len(sets[doc]) + len(sets[other]) - both) * num:
+                    root[two] = one
+                    links.append((doc, other))
+        return pd.DataFrame(links, columns=["src", "dst"]).astype("int64")
 
     return run
 
 
-def _counted(pairs: DataFrame, signed: DataFrame, matches: int, num: int, den: int) -> DataFrame:
+def _counted(pairs: DataFrame, signed: DataFrame, matches: int, in_all: int, num: int, den: int) -> DataFrame:
     """Pairs with enough equal coordinates and sizes that allow the similarity."""
-    of = lambda name: signed.select(F.col("doc_id").alias(name), F.col("signature").alias(f"s_{name}"), F.col("n_shingles").alias(f"n_{name}"))
-    equal = F.aggregate(F.zip_with("s_src", "s_dst", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
-    low, high = F.least("n_src", "n_dst"), F.greatest("n_src", "n_dst")
-    return (
-        pairs.join(of("src"), "src").join(of("dst"), "dst").where((equal >= matches) & (low * den >= high * num)).select("src", "dst")
-    )
+    def of(name: str) -> DataFrame:
+        return signed.select(F.col("doc_id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("signature", "fine", "n_shingles")])
+
+    def equal(column: str) -> Column:
+        same = F.zip_with(f"{column}_src", f"{column}_dst", lambda x, y: (x == y).cast("int"))
+        return F.aggregate(same, F.lit(0), lambda a, x: a + x)
+
+    low, high = F.least("n_shingles_src", "n_shingles_dst"), F.greatest("n_shingles_src", "n_shingles_dst")
+    near = pairs.join(of("src"), "src").join(of("dst"), "dst").where(low * den >= high * num)
+    return near.where((equal("signature") >= matches) & (equal("signature") + equal("fine") >= in_all)).select("src", "dst")
+
+
+def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    found = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_set_batches(k), "doc_id long, items array<long>")
+    return found.dropDuplicates(["doc_id"])
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Pairs whose full shingle sets reach the similarity."""
-    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
-    sets = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_set_batches(k), "doc_id long, items array<long>")
-    sets = sets.dropDuplicates(["doc_id"])
+    sets = _full_sets(docs, pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct(), k)
     joined = pairs.join(sets.select(F.col("doc_id").alias("src"), F.col("items").alias("a")), "src").join(
         sets.select(F.col("doc_id").alias("dst"), F.col("items").alias("b")), "dst"
     )
@@ -118,7 +196,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
 
 
 def near_duplicates(
-    docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", matches: int = MATCHES
+    docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Group documents whose sets of k-word shingles have a Jaccard similarity of percent / 100 or more.
 
@@ -129,56 +207,80 @@ def near_duplicates(
     with nothing, gets a null component and is kept. Other columns are ignored, clashing names included.
 
     Similar sets share a coordinate with their similarity as chance: at 0.8, a pair has fewer than 16
-    of 32 equal coordinates in less than one case in ten thousand.
+    of 32 equal coordinates, or 83 of all 128, in about one case in a hundred thousand.
     """
     spark = docs.sparkSession
     ship(spark)
     num, den = percent, 100
+    matches, in_all = least_matches(COORDINATES, percent / 100), least_matches(COORDINATES + FINE, percent / 100)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = settle(
-        texts.mapInArrow(_sign_batches(k), "doc_id long, n_shingles long, same_a long, same_b long, signature array<long>")
+        texts.mapInArrow(_sign_batches(k), "doc_id long, n_shingles long, same_a long, same_b long, signature array<long>, fine array<tinyint>")
     )
     # equal sets first: one representative each, so exact copies cost one posting in all
     full = signed.where("doc_id is not null and n_shingles > 0")
-    classes = full.groupBy("n_shingles", "same_a", "same_b").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
+    classes = full.groupBy("n_shingles", "same_a", "same_b").agg(
+        F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("fine").alias("fine")
+    )
     # a row that repeats an id with another text would be its own class with the same rep
-    reps = settle(classes.select(F.col("rep").alias("doc_id"), "n_shingles", "signature"))
+    reps = settle(classes.select(F.col("rep").alias("doc_id"), "n_shingles", "signature", "fine"))
     postings = reps.select("doc_id", F.explode("signature").alias("value"))
     shared = postings.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     ranked = (
         postings.join(shared, "value")
         .groupBy("doc_id")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("own"))
+        .agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("own"), F.sum("df").alias("weight"))
         .where(F.size("own") >= matches)
     )
-    prefix = settle(
-        ranked.select("doc_id", F.explode(F.expr(f"slice(own, 1, size(own) - {matches} + 1)")).alias("p")).select("doc_id", F.col("p.value").alias("value"))
-    )
-    leaders = prefix.groupBy("value").agg(F.min("doc_id").alias("src"), F.count("*").alias("n")).where("n > 1").select("value", "src")
-    pairs = prefix.join(leaders, "value").where("doc_id <> src").select("src", F.col("doc_id").alias("dst")).distinct()
-    links = settle(_confirmed(settle(_counted(pairs, reps, matches, num, den)), texts, k, num, den))
-    first = connected_components(links)
+    posted = settle(ranked.select("doc_id", "weight", F.expr(f"transform(slice(own, 1, size(own) - {matches} + 1), p -> p.value)").alias("values")))
+    prefix = posted.select("doc_id", "weight", F.explode("values").alias("value"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return settle(_confirmed(settle(_counted(pairs.distinct(), reps, matches, in_all, num, den)), texts, k, num, den))
+
+    def placed(links: DataFrame) -> DataFrame:
+        of = connected_components(links).withColumnRenamed("node", "doc_id")
+        return settle(prefix.join(of, "doc_id", "left").select("value", "weight", "doc_id", F.coalesce("component", "doc_id").alias("component")))
+
+    best = F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"))).alias("top")
+    leaders = prefix.groupBy("value").agg(best, F.count("*").alias("n")).where("n > 1").select("value", (-F.col("top.minus")).alias("src"))
+    links = linked(prefix.join(leaders, "value").where("doc_id <> src").select("src", F.col("doc_id").alias("dst")))
+    # what the leaders have not reached: one more leader for each list, from outside the first one's component
+    lists = placed(links)
+    top = F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"), "component")).alias("top")
+    span = (F.min("component") != F.max("component")).alias("open")
+    first = lists.groupBy("value").agg(top, span).where("open").select("value", F.col("top.component").alias("done"))
+    second = lists.join(first, "value").where("component <> done").groupBy("value").agg(top)
+    second = second.select("value", (-F.col("top.minus")).alias("src"), F.col("top.component").alias("mine"))
+    links = links.unionByName(linked(lists.join(second, "value").where("component <> mine").select("src", F.col("doc_id").alias("dst"))))
     # lists that still span components: compare across them, in blocks of bounded size
-    placed = settle(
-        prefix.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("value", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    lists = placed(links)
+    open_lists = lists.groupBy("value").agg(span, F.count("*").alias("n")).where("open").select("value", "n")
+    signs = reps.join(posted.select("doc_id", "values"), "doc_id").select(
+        "doc_id", "n_shingles", "signature", "fine", F.transform("signature", lambda v: F.array_contains("values", v)).alias("posted")
     )
-    open_lists = placed.groupBy("value").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a <> b")
     members = (
-        placed.join(open_lists.select("value", "n"), "value")
+        lists.join(open_lists, "value")
         .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
         .withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-        .join(reps.select("doc_id", "signature"), "doc_id")
+        .join(signs, "doc_id")
     )
+    carried = ("doc_id", "component", "n_shingles", "signature", "fine", "posted")
     lefts = members.withColumn("other", F.explode(F.expr("sequence(mine, blocks - 1)"))).select(
-        "value", F.col("mine").alias("x"), F.col("other").alias("y"), F.lit(0).alias("side"), "doc_id", "component", "signature"
+        "value", F.col("mine").alias("x"), F.col("other").alias("y"), F.lit(0).alias("side"), *carried
     )
     rights = members.withColumn("other", F.explode(F.expr("sequence(0, mine)"))).select(
-        "value", F.col("other").alias("x"), F.col("mine").alias("y"), F.lit(1).alias("side"), "doc_id", "component", "signature"
+        "value", F.col("other").alias("x"), F.col("mine").alias("y"), F.lit(1).alias("side"), *carried
+    )
+    candidates = settle(
+        lefts.unionByName(rights).groupBy("value", "x", "y")
+        .applyInPandas(_compare_block(matches, in_all, num, den), "value long, x int, y int, doc_id long, partners array<long>")
     )
-    more = lefts.unionByName(rights).groupBy("value", "x", "y").applyInPandas(_compare_block(matches), "src long, dst long").distinct()
-    late = settle(_confirmed(settle(_counted(more, reps, matches, num, den)), texts, k, num, den))
+    sets = _full_sets(texts, candidates.select("doc_id").distinct(), k)
+    late = settle(candidates.join(sets, "doc_id").groupBy("value", "x", "y").applyInPandas(_confirm_block(num, den), "src long, dst long"))
     # rows of one id with several texts tie their classes together
-    ties = full.join(classes.drop("signature"), ["n_shingles", "same_a", "same_b"]).where("doc_id <> rep").select(F.col("rep").alias("src"), F.col("doc_id").alias("dst"))
+    ties = full.join(classes.select("n_shingles", "same_a", "same_b", "rep"), ["n_shingles", "same_a", "same_b"]).where("doc_id <> rep")
+    ties = ties.select(F.col("rep").alias("src"), F.col("doc_id").alias("dst"))
     nodes = connected_components(links.unionByName(late).unionByName(ties))
     return (
         signed.select("doc_id", "n_shingles")
