@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutroom.llm import bpe, decontaminate, langid, minhash, pii, pq, secrets, substrings, tokencount, toxicity
+from cutroom.llm.oracle import ORACLE_SQL  # noqa: F401
 from cutroom.session import ship, table
 
 
@@ -74,5 +75,3 @@ _ALL = (
     op10_minhash_near_dedup,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-
-ORACLE_SQL: dict[str, str] = {}
