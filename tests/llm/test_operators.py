@@ -269,6 +269,21 @@ def test_op9_held_out_and_disguise(spark):
     assert [got[i].predicted for i in (1, 2, 3, 4)] == [1, 0, 0, 0]
 
 
+def test_op9_grams_equal_counting():
+    rng = random.Random(14)
+    words = {"".join(rng.choice("abcdeéß旅🙂") for _ in range(rng.randint(1, 9))): rng.randint(1, 9) for _ in range(500)}
+    got, want = {}, {}
+    for grams, counts in toxicity.grams_of(words):
+        got |= dict(zip(grams, counts.tolist(), strict=True))
+    for word, n in words.items():
+        padded = f" {word} "
+        for size in range(1, toxicity.ORDER + 1):
+            for at in range(len(padded) - size + 1):
+                want[padded[at : at + size]] = want.get(padded[at : at + size], 0) + n
+    del got[" "], want[" "]  # a space stands between two words once
+    assert got == want and not list(toxicity.grams_of({}))
+
+
 def test_op10_against_all_pairs(spark):
     data = list(enumerate(texts()))
     for k, percent in ((4, 80), (5, 80)):
