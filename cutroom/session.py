@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -59,3 +60,12 @@ def settle(df: DataFrame) -> DataFrame:
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"cutroom-{uuid.uuid4().hex}"))
     return df.checkpoint()
+
+
+def release(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, on which Spark's cleaner deletes shuffle files that no lineage needs any more.
+
+    Worth a call after settle() in jobs of several large steps; else the files stay until the driver happens to collect.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
