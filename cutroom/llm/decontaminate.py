@@ -97,6 +97,8 @@ class Matcher:
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item id, start, end, distance) in the text as given: the best place of each item, the first of equals."""
+        if not self.items:
+            return []
         norm = normalised(text)
         starts: dict[int, set[int]] = {}
         for last, (size, places) in self.machine.iter(norm):
