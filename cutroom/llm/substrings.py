@@ -8,11 +8,13 @@ position. To find the rest without posting every window:
    window lies in the first place of its unit. Only those first units go on.
 2. Each winnows anchors from its runs of words: every window selects one, and equal windows the same one.
    Documents are joined on the anchors that occur more than once: the seeds.
-3. Around each seed, matches are extended both ways to all windows that select it; those are posted, and
-   every place but a window's first is a repeat. Overlapping repeats merge into maximal ones.
+3. Around each seed, matches are extended both ways: first over the stretch of all windows that select
+   it, judged as a unit was; then, where that occurs nowhere else, over three parts of it (more words on
+   the left, as many, more on the right), by the words that all windows of a part share; what matches
+   still is judged window by window. Overlapping repeats merge into maximal ones.
 
 Each step groups by hash and passes on places, never pairs, so a passage in a third of all documents costs
-one row a place.
+one row a place. Tasks work on chunks of many texts at once.
 """
 
 from __future__ import annotations
@@ -22,151 +24,261 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cutroom.llm.words import Words, chunks, mix, rolled
-from cutroom.session import settle, ship
+from cutroom.llm.words import Words, _power_table, chunks, mix, rolled
+from cutroom.session import release, settle, ship
 
 #: Words of an anchor; a window of n words has n - ANCHOR + 1 of them to choose from.
-ANCHOR = 8
+ANCHOR = 6
 #: Words of a unit, about.
 UNIT = 64
+#: Parts of a stretch, by how many words its windows have left of the anchor.
+PARTS = 3
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+_NO_PLACES = np.zeros(0, np.int64)
 
 
 def _rolling_min(values: np.ndarray, width: int) -> np.ndarray:
-    """For each i, the place of the least of values[i : i + width], the last of equals."""
-    n = len(values) - width + 1
-    best, at = values[:n].copy(), np.arange(n)
-    for j in range(1, width):
-        other = values[j : j + n]
-        less = other <= best
-        best[less] = other[less]
-        at[less] = np.flatnonzero(less) + j
+    """For each i, the place of the least of values[i : i + width], of equals the last."""
+    at = np.arange(len(values))
+    best, size = values, 1
+
+    def lesser(step: int) -> tuple[np.ndarray, np.ndarray]:
+        n = len(best) - step
+        later = best[step:] <= best[:n]
+        return np.where(later, best[step:], best[:n]), np.where(later, at[step:], at[:n])
+
+    while size * 2 <= width:
+        best, at = lesser(size)
+        size *= 2
+    if size < width:
+        best, at = lesser(width - size)
     return at
 
 
 class Passages:
-    """Windows, anchors and units of one text, as hashes of its words."""
-
-    def __init__(self, hashes: np.ndarray, n: int):
-        self.n, self.words = n, hashes
-        self.windows = max(0, len(hashes) - n + 1)
-        self.anchor = min(ANCHOR, n)
-
-    def units(self) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end of units in order: windows that start in [start, end) are the unit's."""
-        if not self.windows:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pair = rolled(self.words, 2)[: self.windows]
-        cut = np.flatnonzero(pair % np.uint64(UNIT) == 0)
-        starts = np.unique(np.concatenate([[0], cut]))
-        return starts, np.append(starts[1:], self.windows)
-
-    def unit_hashes(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of each unit's words and the n - 1 after them."""
+    """Windows, units, anchors and stretches of a chunk of texts; all places are words of the chunk."""
+
+    def __init__(self, texts: list[bytes], n: int):
+        self.n, self.source = n, Words(texts)
+        self.size = min(ANCHOR, n)
+        self.step = -(-(n - self.size + 1) // PARTS)
+        self.hash, bounds = self.source.hash, self.source.bounds
+        self.first, self.last = bounds[:-1], bounds[1:]
+        total = len(self.hash)
+        self.doc = np.repeat(np.arange(len(texts)), self.last - self.first)
+        # starts of whole windows
+        self.valid = np.arange(total) + n <= self.last[self.doc] if total else np.zeros(0, bool)
+        self.windows = np.flatnonzero(self.valid)
+
+    def _pieces(self, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of runs of windows; begins marks windows that start one, and a text's first always does."""
+        s = self.windows
+        fresh = begins[s].copy()
+        fresh[0] = True
+        fresh[1:] |= self.doc[s[1:]] != self.doc[s[:-1]]
+        at = np.flatnonzero(fresh)
+        return s[at], s[np.append(at[1:], len(s)) - 1] + 1
+
+    def hashes(self, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of the words from each start to its stop."""
+        up, down = _power_table(len(self.hash) + 1)
         out = []
         for seed in (np.uint64(0), _SECOND):
-            word = mix(self.words ^ seed)
-            value, place = np.zeros(len(starts), np.uint64), 0
-            # sums of words times powers of their place in the unit
-            longest = int((ends - starts).max()) + self.n - 1
-            power = np.cumprod(np.full(longest, np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)
-            for place, (a, b) in enumerate(zip(starts.tolist(), (ends + self.n - 1).tolist(), strict=True)):
-                value[place] = np.dot(word[a:b], power[: b - a])
-            out.append(mix(value ^ (ends - starts).astype(np.uint64)))
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(self.hash ^ seed) * up[: len(self.hash)], dtype=np.uint64)])
+            out.append(mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64) * _GOLD))
         return out[0], out[1]
 
-    def selected(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the anchor that each window selects, and its place."""
-        grams = rolled(self.words, self.anchor)[: len(self.words) - self.anchor + 1]
-        at = _rolling_min(grams, self.n - self.anchor + 1)
-        return grams[at], at
-
-    def window_hashes(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first = rolled(self.words, self.n)
-        second = rolled(mix(self.words ^ _SECOND), self.n)
-        return first[places], second[places]
+    def units(self) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.windows):
+            return _NO_PLACES, _NO_PLACES
+        return self._pieces(rolled(self.hash, 2) % np.uint64(UNIT) == 0)
+
+    def stretches(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of runs of windows that select one anchor inside one unit, the anchors' places and hashes."""
+        if not len(self.windows):
+            return _NO_PLACES, _NO_PLACES, _NO_PLACES, np.zeros(0, np.uint64)
+        grams = rolled(self.hash, self.size)[: len(self.hash) - self.size + 1]
+        at = _rolling_min(grams, self.n - self.size + 1)
+        begins = np.zeros(len(self.hash), bool)
+        begins[1 : len(at)] = at[1:] != at[:-1]
+        begins[units] = True
+        starts, ends = self._pieces(begins)
+        return starts, ends, at[starts], grams[at[starts]]
+
+    def part_of(self, windows: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+        return (anchors - windows) // self.step
+
+    def parts(self, starts: np.ndarray, ends: np.ndarray, anchors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each part: which stretches have windows of it, and a hash of the words that those windows share."""
+        out = []
+        low, high = self.part_of(ends - 1, anchors), self.part_of(starts, anchors)
+        for part in range(PARTS):
+            has = (low <= part) & (part <= high)
+            left = part * self.step
+            right = max(0, self.n - self.size - left - self.step + 1)
+            g = anchors[has]
+            out.append((has, self.hashes(g - left, g + self.size + right)[0] ^ mix(np.full(1, part + 1, np.uint64))))
+        return out
+
+    def marked(self, lists: list[np.ndarray]) -> np.ndarray:
+        """Which words are named by places that count from their text's first word."""
+        out = np.zeros(len(self.hash), bool)
+        for first, places in zip(self.first.tolist(), lists, strict=True):
+            out[first + places] = True
+        return out
+
+    def seeded(self, starts: np.ndarray, anchors: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
+        """Which stretches have an anchor among their text's seeds."""
+        of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        seeds = np.concatenate(lists).view(np.uint64) if lists else np.zeros(0, np.uint64)
+        key = lambda a, d: mix(a ^ (d.astype(np.uint64) + np.uint64(1)) * _GOLD)
+        return np.isin(key(anchors, self.doc[starts]), key(seeds, of))
+
+    def kept(self, gone: np.ndarray) -> list[bytes]:
+        """The words of each text that are not gone, joined by a space."""
+        left = ~gone
+        start, end = self.source.start[left], self.source.end[left]
+        buf = self.source.buf.copy()
+        buf[end] = 32
+        edge = np.zeros(len(buf) + 1, np.int32)
+        edge[start] += 1
+        edge[end + 1] -= 1
+        inside = np.cumsum(edge[:-1]) > 0
+        out = buf[inside].tobytes()
+        sizes = np.where(left, self.source.end - self.source.start + 1, 0)
+        cuts = np.concatenate([[0], np.cumsum(sizes)])[np.append(self.first, self.last[-1:])].tolist()
+        return [out[a : max(a, b - 1)] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _covered(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    edge = np.zeros(size + 1, np.int32)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, ends, -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
 def _long(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values.astype(np.int64), pa.int64())
 
 
-def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int, Words, int]]:
-    """(row, words of its chunk, place in the chunk) of every text of a batch."""
-    for first, texts in chunks(batch.column("text").to_pylist()):
-        words = Words(texts)
-        for i in range(len(texts)):
-            yield first + i, words, i
+def _lists(values: pa.Array, cuts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), values)
 
 
-def _twice(anchors: np.ndarray) -> np.ndarray:
-    """Each anchor once, or twice if the unit has it more than once."""
-    once, count = np.unique(anchors, return_counts=True)
-    return np.concatenate([once, once[count > 1]])
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one: that is how they cross a shuffle."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = [pack((t or "").encode("utf-8", "replace")) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "id", "other")), pa.array(texts, pa.binary())], ["key", "id", "other", "packed"])
+
+
+def _chunks(batch: pa.RecordBatch, n: int) -> Iterator[tuple[slice, Passages]]:
+    """(rows, passages) of a batch in chunks of bounded size."""
+    if "packed" in batch.schema.names:
+        unpack = zstandard.ZstdDecompressor().decompress
+        texts = (unpack(t) for t in batch.column("packed").to_pylist())
+    else:
+        texts = batch.column("text").to_pylist()
+    for first, part in chunks(texts):
+        yield slice(first, first + len(part)), Passages(part, n)
+
+
+def _rows(column: pa.Array, rows: slice) -> list[np.ndarray]:
+    """Lists of a column as arrays; null ones are empty."""
+    part = column.slice(rows.start, rows.stop - rows.start)
+    return [x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, np.int64) for x in part]
 
 
 def _unit_batches(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, other = batch.column("id").to_numpy(), batch.column("other").to_numpy()
-            kept: list[list] = [[] for _ in range(6)]
-            for row, words, i in _documents(batch):
-                text = Passages(words.hash[words.bounds[i] : words.bounds[i + 1]], n)
-                starts, ends = text.units()
-                if not len(starts):
+            for rows, text in _chunks(batch, n):
+                units, ends = text.units()
+                if not len(units):
                     continue
-                chosen, at = text.selected()
-                fresh = np.append(True, at[1:] != at[:-1])
-                fresh[starts] = True
-                places = np.flatnonzero(fresh)
-                cuts = np.searchsorted(places, starts[1:])
-                anchors = chosen[places].view(np.int64)
-                h1, h2 = text.unit_hashes(starts, ends)
-                kept[0].append(h1), kept[1].append(h2)
-                kept[2].append(np.full(len(starts), ids[row])), kept[3].append(np.full(len(starts), other[row])), kept[4].append(starts)
-                kept[5] += map(_twice, np.split(anchors, cuts))
-                if len(kept[5]) >= 20_000:
-                    yield _unit_rows(kept)
-                    kept = [[] for _ in range(6)]
-            if kept[5]:
-                yield _unit_rows(kept)
+                starts, _, _, anchors = text.stretches(units)
+                unit = np.searchsorted(units, starts, side="right") - 1
+                # each anchor of a unit once, or twice if the unit has it more than once
+                order = np.lexsort((anchors, unit))
+                u, a = unit[order], anchors[order]
+                third = np.zeros(len(u), bool)
+                third[2:] = (u[2:] == u[:-2]) & (a[2:] == a[:-2])
+                u, a = u[~third], a[~third]
+                h1, h2 = text.hashes(units, ends + n - 1)
+                doc = text.doc[units]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        _long(h1), _long(h2), _long(ids[rows][doc]), pa.array(other[rows][doc], pa.int32()), pa.array((units - text.first[doc]).astype(np.int32)),
+                        _lists(_long(a), np.searchsorted(u, np.arange(len(units) + 1))),
+                    ],
+                    ["h1", "h2", "id", "other", "start", "anchors"],
+                )
 
     return run
 
 
-def _unit_rows(kept: list[list]) -> pa.RecordBatch:
-    plain = [_long(np.concatenate(c)) for c in kept[:5]]
-    sizes = np.cumsum([0, *map(len, kept[5])]).astype(np.int32)
-    anchors = pa.ListArray.from_arrays(pa.array(sizes), _long(np.concatenate(kept[5])))
-    return pa.RecordBatch.from_arrays([*plain[:4], plain[4].cast(pa.int32()), anchors], ["h1", "h2", "id", "other", "start", "anchors"])
+def _posted(text: Passages, firsts: list[np.ndarray], seeds: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and anchors' places of the stretches in first units that have a seed."""
+    units, _ = text.units()
+    starts, ends, places, anchors = text.stretches(units)
+    if not len(starts):
+        return starts, ends, places
+    own = units[np.searchsorted(units, starts, side="right") - 1]
+    at = text.marked(firsts)[own] & text.seeded(starts, anchors, seeds)
+    return starts[at], ends[at], places[at]
+
+
+def _stretch_batches(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, other = batch.column("id").to_numpy(), batch.column("other").to_numpy()
+            for rows, text in _chunks(batch, n):
+                starts, ends, places = _posted(text, _rows(batch.column("units"), rows), _rows(batch.column("seeds"), rows))
+                if not len(starts):
+                    continue
+                h1, h2 = text.hashes(starts, ends + n - 1)
+                doc = text.doc[starts]
+                keys = []
+                for has, key in text.parts(starts, ends, places):
+                    whole = np.zeros(len(starts), np.uint64)
+                    whole[has] = key
+                    keys.append(pa.array(whole.view(np.int64), pa.int64(), mask=~has))
+                yield pa.RecordBatch.from_arrays(
+                    [_long(h1), _long(h2), _long(ids[rows][doc]), pa.array(other[rows][doc], pa.int32()), pa.array((starts - text.first[doc]).astype(np.int32)), *keys],
+                    ["h1", "h2", "id", "other", "start", *(f"k{p}" for p in range(PARTS))],
+                )
+
+    return run
 
 
 def _window_batches(n: int):
+    """Windows of the parts that are open; a part is its stretch's start times PARTS and its number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, other = batch.column("id").to_numpy(), batch.column("other").to_numpy()
-            units, seeds = batch.column("units"), batch.column("seeds")
-            for row, words, i in _documents(batch):
-                text = Passages(words.hash[words.bounds[i] : words.bounds[i + 1]], n)
-                starts, ends = text.units()
-                mine = np.searchsorted(starts, units[row].values.to_numpy())
-                inside = np.zeros(text.windows + 1, np.int32)
-                np.add.at(inside, starts[mine], 1)
-                np.add.at(inside, ends[mine], -1)
-                inside = np.cumsum(inside[:-1]) > 0
-                chosen, _ = text.selected()
-                at = np.flatnonzero(inside & np.isin(chosen.view(np.int64), seeds[row].values.to_numpy()))
-                h1, h2 = text.window_hashes(at)
-                for a in range(0, len(at), 50_000):
-                    part = slice(a, a + 50_000)
-                    size = len(at[part])
-                    yield pa.RecordBatch.from_arrays(
-                        [_long(h1[part]), _long(h2[part]), _long(np.full(size, ids[row])), _long(np.full(size, other[row])), _long(at[part]).cast(pa.int32())],
-                        ["h1", "h2", "id", "other", "start"],
-                    )
+            for rows, text in _chunks(batch, n):
+                units, _ = text.units()
+                starts, ends, places, _ = text.stretches(units)
+                lists = _rows(batch.column("open"), rows)
+                found = np.concatenate([first * PARTS + x for first, x in zip(text.first.tolist(), lists, strict=True)])
+                stretch = np.searchsorted(starts, found // PARTS)
+                sizes = (ends - starts)[stretch]
+                cuts = np.concatenate([[0], np.cumsum(sizes)])
+                windows = np.arange(cuts[-1]) - np.repeat(cuts[:-1], sizes) + np.repeat(starts[stretch], sizes)
+                own = text.part_of(windows, np.repeat(places[stretch], sizes)) == np.repeat(found % PARTS, sizes)
+                windows = windows[own]
+                h1, h2 = text.hashes(windows, windows + n)
+                doc = text.doc[windows]
+                yield pa.RecordBatch.from_arrays(
+                    [_long(h1), _long(h2), _long(ids[rows][doc]), pa.array(other[rows][doc], pa.int32()), pa.array((windows - text.first[doc]).astype(np.int32))], ["h1", "h2", "id", "other", "start"]
+                )
 
     return run
 
@@ -174,30 +286,28 @@ def _window_batches(n: int):
 def _kept_batches(n: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            firsts, repeats = batch.column("firsts"), batch.column("repeats")
-            rows: list[tuple] = []
-            for row, words, i in _documents(batch):
-                a, b = words.bounds[i], words.bounds[i + 1]
-                text = Passages(words.hash[a:b], n)
-                gone = np.zeros(b - a + 1, np.int32)
-                starts, ends = text.units()
-                known = firsts[row].values.to_numpy() if firsts[row].is_valid else np.zeros(0, np.int32)
-                again = ~np.isin(starts, known)
-                np.add.at(gone, starts[again], 1)
-                np.add.at(gone, ends[again] + n - 1, -1)
-                if repeats[row].is_valid:
-                    at = repeats[row].values.to_numpy()
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + n, -1)
-                gone = np.cumsum(gone[:-1]) > 0
-                left = np.flatnonzero(~gone) + a
-                kept = b" ".join([words.raw[s:e] for s, e in zip(words.start[left].tolist(), words.end[left].tolist(), strict=True)])
-                rows.append((int(b - a), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if with_text else None))
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["key", "n_words", "n_removed", "kept_sha256", "kept"]
-            )
+            for rows, text in _chunks(batch, n):
+                firsts, seeds, stretches, repeats = (_rows(batch.column(c), rows) for c in ("firsts", "seeds", "stretches", "repeats"))
+                size = len(text.hash)
+                units, ends = text.units()
+                again = ~text.marked(firsts)[units]
+                gone = _covered(size, units[again], ends[again] + n - 1) if size else np.zeros(0, bool)
+                if size:
+                    starts, stops, _ = _posted(text, firsts, seeds)
+                    again = ~text.marked(stretches)[starts]
+                    gone |= _covered(size, starts[again], stops[again] + n - 1)
+                    single = np.flatnonzero(text.marked(repeats))
+                    gone |= _covered(size, single, single + n)
+                removed = np.concatenate([[0], np.cumsum(gone)])
+                kept = text.kept(gone)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("key").slice(rows.start, rows.stop - rows.start), _long(text.last - text.first), _long(removed[text.last] - removed[text.first]),
+                        pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
+                        pa.array([k.decode("utf-8", "replace") if with_text else None for k in kept], pa.string()),
+                    ],
+                    ["key", "n_words", "n_removed", "kept_sha256", "kept"],
+                )
 
     return run
 
@@ -217,26 +327,41 @@ def remove_repeats(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_co
     with another text are documents of their own, in order of a hash of the text; rows without an id come
     after all others. Other columns are ignored.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     text = F.coalesce(docs[text_col], F.lit(""))
-    keyed = docs.select(
-        docs[id_col].alias("key"), F.coalesce(docs[id_col].cast("long"), F.lit(2**63 - 1)).alias("id"), F.xxhash64(text).alias("other"), text.alias("text")
-    )
-    units = keyed.select("id", "other", "text").mapInArrow(_unit_batches(n), "h1 long, h2 long, id long, other long, start int, anchors array<long>")
+    keyed = docs.select(docs[id_col].alias("key"), F.coalesce(docs[id_col].cast("long"), F.lit(2**63 - 1)).alias("id"), F.hash(text).alias("other"), text.alias("text"))
+    kind = dict(docs.dtypes)[id_col]
+    packed = keyed.mapInArrow(_packed, f"key {kind}, id long, other int, packed binary")
+    doc = ["id", "other"]
+    units = keyed.select("id", "other", "text").mapInArrow(_unit_batches(n), "h1 long, h2 long, id long, other int, start int, anchors array<long>")
     firsts = settle(units.groupBy("h1", "h2").agg(F.min(_place("anchors")).alias("p")).select("p.*"))
-    posted = firsts.select("id", "other", "start", F.explode("anchors").alias("anchor"))
+    release(spark)
+    posted = firsts.select(*doc, "start", F.explode("anchors").alias("anchor"))
     seeds = posted.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    wanted = (
-        posted.join(seeds, "anchor").groupBy("id", "other").agg(F.collect_set("start").alias("units"), F.collect_set("anchor").alias("seeds"))
+    wanted = settle(posted.join(seeds, "anchor").groupBy(*doc).agg(F.collect_set("start").alias("units"), F.collect_set("anchor").alias("seeds")))
+    release(spark)
+    keys = [f"k{p}" for p in range(PARTS)]
+    stretches = packed.join(wanted, doc).select(*doc, "packed", "units", "seeds").mapInArrow(
+        _stretch_batches(n), "h1 long, h2 long, id long, other int, start int, " + ", ".join(f"{k} long" for k in keys)
     )
-    windows = settle(
-        keyed.select("id", "other", "text").dropDuplicates(["id", "other"]).join(wanted, ["id", "other"])
-        .mapInArrow(_window_batches(n), "h1 long, h2 long, id long, other long, start int")
+    leading = settle(stretches.groupBy("h1", "h2").agg(F.min(_place(*keys)).alias("p")).select("p.*"))
+    release(spark)
+    parts = leading.select(*doc, "start", F.posexplode(F.array(*keys)).alias("part", "key")).where("key is not null")
+    shared = parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    open_parts = settle(parts.join(shared, "key").groupBy(*doc).agg(F.collect_list(F.col("start") * PARTS + F.col("part")).alias("open")))
+    release(spark)
+    windows = packed.join(open_parts, doc).select(*doc, "packed", "open").mapInArrow(_window_batches(n), "h1 long, h2 long, id long, other int, start int")
+    windows = settle(windows)
+    release(spark)
+    earliest = windows.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).where("first <> last").select("h1", "h2", "first")
+    repeats = windows.join(earliest, ["h1", "h2"]).where(_place() != F.col("first")).groupBy(*doc).agg(F.collect_list("start").alias("repeats"))
+    joined = (
+        packed.join(firsts.groupBy(*doc).agg(F.collect_list("start").alias("firsts")), doc, "left")
+        .join(wanted.select(*doc, "seeds"), doc, "left")
+        .join(leading.groupBy(*doc).agg(F.collect_list("start").alias("stretches")), doc, "left")
+        .join(repeats, doc, "left")
+        .select("key", "packed", "firsts", "seeds", "stretches", "repeats")
     )
-    leaders = windows.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).where("first <> last").select("h1", "h2", "first")
-    repeats = windows.join(leaders, ["h1", "h2"]).where(_place() != F.col("first")).groupBy("id", "other").agg(F.collect_list("start").alias("repeats"))
-    known = firsts.groupBy("id", "other").agg(F.collect_list("start").alias("firsts"))
-    joined = keyed.join(known.join(repeats, ["id", "other"], "left"), ["id", "other"], "left").select("key", "text", "firsts", "repeats")
-    kind = dict(docs.dtypes)[id_col]
     done = joined.mapInArrow(_kept_batches(n, with_text), f"key {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
     return done.select(F.col("key").alias(id_col), "n_words", "n_removed", "kept_sha256", *(["kept"] if with_text else []))

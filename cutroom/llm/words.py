@@ -6,7 +6,7 @@ a random byte table, then mixed; they depend on the bytes alone, never on the pr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -51,11 +51,11 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def chunks(texts: list[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+def chunks(texts: Iterable[str | bytes | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first, UTF-8 texts) in pieces of about limit bytes; a text is never split."""
     first, held, size = 0, [], 0
     for i, text in enumerate(texts):
-        held.append(b"" if text is None else text.encode("utf-8", "replace"))
+        held.append(text if isinstance(text, bytes) else b"" if text is None else text.encode("utf-8", "replace"))
         size += len(held[-1]) + 1
         if size >= limit:
             yield first, held
