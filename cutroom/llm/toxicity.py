@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
+from cutroom.llm.words import grams_of
 from cutroom.session import settle, ship
 
 #: Characters of a language-model gram; shorter ones back it off.
@@ -32,7 +33,7 @@ FIT_ROWS = 20_000
 #: Items (words and beginnings of words) that are candidates for the classifier.
 CANDIDATES = 4_000
 PREFIXES = (4, 5, 6, 7)
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 
 #: The letters that a digit or sign is written for.
 LEET = {
@@ -203,13 +204,8 @@ def _gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         words: Counter = Counter()
         for text in batch.column("text").to_pylist():
             words.update(plain_words(text or ""))
-        grams: Counter = Counter()
-        for word, n in words.items():
-            padded = f" {word} "
-            for size in range(1, ORDER + 1):
-                for at in range(len(padded) - size + 1):
-                    grams[padded[at : at + size]] += n
-        yield pa.RecordBatch.from_pydict({"gram": pa.array(list(grams), pa.string()), "n": pa.array(list(grams.values()), pa.int64())})
+        for grams, counts in grams_of(words, ORDER):
+            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(counts, pa.int64())], ["gram", "n"])
 
 
 def fit_characters(docs: DataFrame, text_col: str = "text", grams: int = GRAMS) -> CharacterModel:
