@@ -11,6 +11,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
+from cutroom.llm.words import grams_of
 from cutroom.session import settle, ship
 
 #: Labelled rows the model is fitted on, about; all of them where there are fewer.
@@ -26,7 +28,7 @@ FIT_ROWS = 12_000
 #: Words, and n-grams of each length, that a language keeps: its most frequent ones.
 LEXICON = 20_000
 LONGEST = 4
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -42,53 +44,54 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             words.setdefault(lang, Counter()).update(words_of(text or ""))
         for lang, counts in words.items():
-            grams: list[Counter] = [Counter() for _ in range(LONGEST + 1)]
-            for word, n in counts.items():
-                padded = f" {word} "
-                for size in range(1, LONGEST + 1):
-                    for at in range(len(padded) - size + 1):
-                        grams[size][padded[at : at + size]] += n
-            grams[0] = counts
-            for size, found in enumerate(grams):
+            sized = [(list(counts), np.fromiter(counts.values(), np.int64, len(counts))), *grams_of(counts, LONGEST)]
+            for size, (found, n) in enumerate(sized):
                 yield pa.RecordBatch.from_pydict(
-                    {"lang": [lang] * len(found), "size": pa.array([size] * len(found), pa.int32()), "item": list(found), "n": pa.array(found.values(), pa.int64())},
+                    {"lang": [lang] * len(found), "size": pa.array([size] * len(found), pa.int32()), "item": found, "n": pa.array(n, pa.int64())},
                     schema=pa.schema([("lang", pa.string()), ("size", pa.int32()), ("item", pa.string()), ("n", pa.int64())]),
                 )
 
 
 class Model:
-    """Log frequencies of items, a row of one value a language each."""
+    """Log frequencies of items, a row of one value a language each; row 0 is that of a character never met."""
 
     def __init__(self, counts: list[tuple[str, int, str, int]], totals: dict[tuple[str, int], int]):
         self.langs = sorted({lang for lang, *_ in counts})
         place = {lang: i for i, lang in enumerate(self.langs)}
-        self.tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
         held: dict[tuple[int, str], np.ndarray] = {}
         for lang, size, item, n in counts:
             held.setdefault((size, item), np.zeros(len(self.langs)))[place[lang]] += n
         total = np.array([[max(1, totals.get((lang, size), 0)) for lang in self.langs] for size in range(LONGEST + 1)], float)
-        self.floor = np.log(0.5 / total)
-        for (size, item), n in held.items():
-            self.tables[size][item] = np.log((n + 0.5) / (total[size] + 1))
-
-    def backoff(self, word: str) -> np.ndarray:
-        """Mean over the places of an unseen word of the longest known n-gram's log frequency."""
-        padded, at, score, places = f" {word} ", 0, np.zeros(len(self.langs)), 0
-        while at < len(padded):
-            for size in range(min(LONGEST, len(padded) - at), 0, -1):
-                found = self.tables[size].get(padded[at : at + size])
-                if found is not None:
+        self.tables: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        self.rows = np.empty((len(held) + 1, len(self.langs)))
+        self.rows[0] = np.log(0.5 / total[1])
+        for k, ((size, item), n) in enumerate(held.items(), 1):
+            self.tables[size][item] = k
+            self.rows[k] = np.log((n + 0.5) / (total[size] + 1))
+
+    def places(self, word: str) -> list[int]:
+        """The row of a known word, or those of an unseen one's longest known n-grams from left to right."""
+        known = self.tables[0].get(word)
+        if known is not None:
+            return [known]
+        padded, at, out = f" {word} ", 0, []
+        end = len(padded)
+        while at < end:
+            row = 0
+            for size in range(min(LONGEST, end - at), 0, -1):
+                row = self.tables[size].get(padded[at : at + size], 0)
+                if row:
                     break
-            else:
-                size, found = 1, self.floor[1]
-            score += found
-            places += 1
+            out.append(row)
             at += max(1, size - 1)  # neighbours overlap by a character
-        return score / places
+        return out
 
-    def word(self, word: str) -> np.ndarray:
-        known = self.tables[0].get(word)
-        return self.backoff(word) if known is None else known
+    def score(self, words: list[str]) -> np.ndarray:
+        """A row for each word: the mean over its places."""
+        found = [self.places(word) for word in words]
+        sizes = np.array([len(f) for f in found])
+        flat = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
+        return np.add.reduceat(self.rows[flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
 
 
 class Scorer(dict):
@@ -97,24 +100,22 @@ class Scorer(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
-        self.rows = np.zeros((4096, max(1, len(model.langs))))
-
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        if at >= len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[at] = self.model.word(word)
-        self[word] = at
-        return at
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text or "")
-        if not words or not self.model.langs:
-            return "und", 0.0
+        self.rows = np.zeros((0, len(model.langs)))
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text; new words are scored together."""
+        split = [words_of(t or "") if self.model.langs else [] for t in texts]
         if len(self) > CACHE_ENTRIES:
             self.clear()
-        at = [self[word] for word in words]
-        mean = self.rows[at].mean(axis=0)
+            self.rows = self.rows[:0]
+        new = [w for w in set().union(*split) if w not in self]
+        if new:
+            self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
+            self.rows = np.concatenate([self.rows, self.model.score(new)])
+        return [self._best(words) if words else ("und", 0.0) for words in split]
+
+    def _best(self, words: list[str]) -> tuple[str, float]:
+        mean = self.rows[[self[word] for word in words]].mean(axis=0)
         # the evidence of at most 50 words: words of one text repeat each other's
         weight = np.exp((mean - mean.max()) * min(len(words), 50))
         best = int(np.argmax(mean))
@@ -156,7 +157,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
         for texts in batches:
-            yield pd.DataFrame([scorer.predict(t) for t in texts], columns=["lang_pred", "score"])
+            held = texts.tolist()
+            found = [row for at in range(0, len(held), 256) for row in scorer.predict(held[at : at + 256])]
+            yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
     predict = pandas_udf(predict, "struct<lang_pred: string, score: double>")
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
