@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 
 from cutroom.session import ship
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 CACHE_LENGTH = 48
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 500_000
 #: What an encoder may return for each document, and its type.
 OUTPUTS = {"n_tokens": "long", "ids": "array<int>", "ids_sha256": "string", "decoded": "binary", "decoded_sha256": "string"}
 
@@ -192,7 +192,7 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _loaded[path, pattern]
 
 
-def pieces(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[list[str]]:
+def pieces(texts: Iterable[str], limit: int = CHUNK_CHARS) -> Iterator[list[str]]:
     """The texts in lists of about limit characters."""
     held, size = [], 0
     for text in texts:
@@ -220,10 +220,11 @@ def encode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, pattern)
+        types = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "ids_sha256": pa.string(), "decoded": pa.binary(), "decoded_sha256": pa.string()}
         for batch in batches:
-            rows: dict[str, list] = {name: [] for name in columns}
-            texts = [text or "" for text in batch.column("text").to_pylist()]
-            for some in pieces(texts):
+            done = 0
+            for some in pieces(text.as_py() or "" for text in batch.column("text")):
+                rows: dict[str, list] = {name: [] for name in columns}
                 for ids in coder.encode_all(some):
                     back = coder.decode(ids) if {"decoded", "decoded_sha256"} & rows.keys() else b""
                     for name, kept in rows.items():
@@ -237,8 +238,8 @@ def encode_documents(
                             kept.append(back)
                         else:
                             kept.append(hashlib.sha256(back).hexdigest())
-            types = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "ids_sha256": pa.string(), "decoded": pa.binary(), "decoded_sha256": pa.string()}
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(rows[c], types[c]) for c in columns)], ["id", *columns])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(done, len(some)), *(pa.array(rows[c], types[c]) for c in columns)], ["id", *columns])
+                done += len(some)
 
     kind = dict(docs.dtypes)[id_col]
     schema = ", ".join([f"id {kind}", *(f"{c} {OUTPUTS[c]}" for c in columns)])

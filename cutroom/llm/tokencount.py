@@ -28,7 +28,7 @@ EDIT = "struct<start: int, stop: int, text: string>"
 class Counter(dict):
     """Token counts of pre-tokens, kept by pre-token."""
 
-    def __init__(self, coder: Encoder, entries: int = 400_000):
+    def __init__(self, coder: Encoder, entries: int = 150_000):
         super().__init__()
         self.coder, self.entries = coder, entries
 
