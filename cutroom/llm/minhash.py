@@ -106,6 +106,14 @@ def _set_batches(k: int):
     return run
 
 
+def _grouped(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """Distinct sorted keys, and the values of each."""
+    if not len(keys):
+        return [], []
+    cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+    return keys[np.append(0, cuts)].tolist(), np.split(values, cuts)
+
+
 def _compare_block(matches: int, in_all: int, num: int, den: int):
     """Candidates of a block's left and right side: a row for each document that has any, with a left one's partners.
 
@@ -117,22 +125,26 @@ def _compare_block(matches: int, in_all: int, num: int, den: int):
         rows: list[tuple] = []
         met: set[int] = set()
         if len(left) and len(right):
-            b, fine, posted = (np.stack(right[c].to_numpy()) for c in ("signature", "fine", "posted"))
-            docs, components, sizes = (right[c].to_numpy() for c in ("doc_id", "component", "n_shingles"))
-            for own in left.itertuples(index=False):
-                equal = b == own.signature[None, :]
-                fits = np.minimum(sizes, own.n_shingles) * den >= np.maximum(sizes, own.n_shingles) * num
-                at = np.flatnonzero((equal.sum(axis=1) >= matches) & (components != own.component) & fits)
-                if not len(at):
-                    continue
-                shared = equal[at] & posted[at] & own.posted[None, :]
-                first = np.where(shared, own.signature[None, :], np.iinfo(np.int64).max).min(axis=1) == value
-                at = at[first & (equal[at].sum(axis=1) + (fine[at] == own.fine[None, :]).sum(axis=1) >= in_all)]
-                if x == y:
-                    at = at[docs[at] > own.doc_id]
-                if len(at):
-                    rows.append((value, x, y, own.doc_id, docs[at]))
-                    met.update(docs[at].tolist())
+            (a, fine_a, posted_a), (b, fine_b, posted_b) = ([np.stack(side[c].to_numpy()) for c in ("signature", "fine", "posted")] for side in (left, right))
+            (doc_a, comp_a, size_a), (doc_b, comp_b, size_b) = ([side[c].to_numpy() for c in ("doc_id", "component", "n_shingles")] for side in (left, right))
+            equal = np.zeros((len(a), len(b)), np.uint8)
+            for own, other in zip(a.T, b.T, strict=True):
+                equal += own[:, None] == other[None, :]
+            p, q = np.nonzero((equal >= matches) & (comp_a[:, None] != comp_b[None, :]))
+            fits = np.minimum(size_a[p], size_b[q]) * den >= np.maximum(size_a[p], size_b[q]) * num
+            if x == y:
+                fits &= doc_b[q] > doc_a[p]
+            p, q = p[fits], q[fits]
+            kept = np.zeros(len(p), bool)
+            for at in range(0, len(p), 16_384):
+                i, j = p[at : at + 16_384], q[at : at + 16_384]
+                enough = equal[i, j] + (fine_a[i] == fine_b[j]).sum(axis=1) >= in_all
+                shared = (a[i] == b[j]) & posted_a[i] & posted_b[j]
+                kept[at : at + 16_384] = enough & (np.where(shared, a[i], np.iinfo(np.int64).max).min(axis=1) == value)
+            p, q = p[kept], q[kept]
+            for i, partners in zip(*_grouped(p, doc_b[q]), strict=True):
+                rows.append((value, x, y, doc_a[i], partners))
+            met.update(doc_b[q].tolist())
         rows += [(value, x, y, doc, None) for doc in sorted(met)]
         return pd.DataFrame(rows, columns=["value", "x", "y", "doc_id", "partners"])
 
