@@ -341,6 +341,10 @@ def remove_repeats(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_co
     seeds = posted.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     wanted = settle(posted.join(seeds, "anchor").groupBy(*doc).agg(F.collect_set("start").alias("units"), F.collect_set("anchor").alias("seeds")))
     release(spark)
+    # from here on the places of first units are enough; the checkpoint with their anchors may go
+    known = settle(firsts.groupBy(*doc).agg(F.collect_list("start").alias("firsts")))
+    del firsts, posted, seeds
+    release(spark)
     keys = [f"k{p}" for p in range(PARTS)]
     stretches = packed.join(wanted, doc).select(*doc, "packed", "units", "seeds").mapInArrow(
         _stretch_batches(n), "h1 long, h2 long, id long, other int, start int, " + ", ".join(f"{k} long" for k in keys)
@@ -351,15 +355,18 @@ def remove_repeats(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_co
     shared = parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     open_parts = settle(parts.join(shared, "key").groupBy(*doc).agg(F.collect_list(F.col("start") * PARTS + F.col("part")).alias("open")))
     release(spark)
+    led = settle(leading.groupBy(*doc).agg(F.collect_list("start").alias("stretches")))
+    del leading, parts, shared
+    release(spark)
     windows = packed.join(open_parts, doc).select(*doc, "packed", "open").mapInArrow(_window_batches(n), "h1 long, h2 long, id long, other int, start int")
     windows = settle(windows)
     release(spark)
     earliest = windows.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).where("first <> last").select("h1", "h2", "first")
     repeats = windows.join(earliest, ["h1", "h2"]).where(_place() != F.col("first")).groupBy(*doc).agg(F.collect_list("start").alias("repeats"))
     joined = (
-        packed.join(firsts.groupBy(*doc).agg(F.collect_list("start").alias("firsts")), doc, "left")
+        packed.join(known, doc, "left")
         .join(wanted.select(*doc, "seeds"), doc, "left")
-        .join(leading.groupBy(*doc).agg(F.collect_list("start").alias("stretches")), doc, "left")
+        .join(led, doc, "left")
         .join(repeats, doc, "left")
         .select("key", "packed", "firsts", "seeds", "stretches", "repeats")
     )
