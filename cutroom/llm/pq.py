@@ -1,5 +1,5 @@
 """Near-duplicate vectors by product quantisation: coarse inverted lists, residual subspace codes,
-asymmetric table-lookup distances over sufficient probes, exact cosine rerank."""
+asymmetric distances to decoded codes over sufficient probes, exact cosine rerank."""
 
 from __future__ import annotations
 
@@ -19,10 +19,10 @@ FIT_ROWS = 20_000
 MAX_LISTS = 4096
 SUBSPACES = 8
 CODES = 64
-#: Standard deviations that probes and table distances allow for.
-SLACK = 4.0
 MEMBER_BLOCK = 4096
 QUERY_BLOCK = 8192
+#: Room for rounding in products of single precision.
+ROUNDING = 1e-4
 
 
 def _kmeans(points: np.ndarray, k: int, rounds: int, unit: bool) -> np.ndarray:
@@ -53,30 +53,59 @@ class Index:
         gram = self.centres @ self.centres.T
         self.apart = np.sqrt(np.maximum(2 - 2 * gram, 1e-12))
 
-    def code(self, x: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the residuals, and the length of what they leave out."""
+    def code(self, x: np.ndarray, home: np.ndarray) -> np.ndarray:
+        """Codes of the residuals."""
         residual = x - self.centres[home]
-        codes, left = np.empty((len(x), len(self.books)), np.uint8), np.zeros(len(x))
+        codes = np.empty((len(x), len(self.books)), np.uint8)
         for m, book in enumerate(self.books):
             part = residual[:, self.cuts[m] : self.cuts[m + 1]]
             codes[:, m] = np.argmax(part @ book.T - 0.5 * (book**2).sum(1), axis=1)
-            left += ((part - book[codes[:, m]]) ** 2).sum(1)
-        return codes, np.sqrt(left)
+        return codes
 
-    def probes(self, x: np.ndarray, threshold: float) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Home list, and the lists that may hold a neighbour at the threshold, home included.
+    def decode(self, codes: np.ndarray, home: np.ndarray) -> np.ndarray:
+        """What home and codes stand for; products with it are the sums of the look-up tables."""
+        out = self.centres[home]
+        for m, book in enumerate(self.books):
+            out[:, self.cuts[m] : self.cuts[m + 1]] += book[codes[:, m]]
+        return out
+
+    def bound(self, x: np.ndarray, codes: np.ndarray, home: np.ndarray, threshold: float) -> np.ndarray:
+        """Least product of a neighbour at the threshold with the row's decoded codes.
+
+        By the triangle inequality on the sphere, the neighbour's angle to the decoded row is at most the
+        threshold's angle and that between the row and its decoded self.
+        """
+        decoded = self.decode(codes, home)
+        length = np.linalg.norm(decoded, axis=1)
+        off = np.arccos(np.clip(np.einsum("ij,ij->i", x, decoded) / np.maximum(length, 1e-12), -1, 1))
+        return length * np.cos(np.minimum(np.pi, off + np.arccos(np.clip(threshold, -1, 1)))) - ROUNDING
+
+    def gaps(self, x: np.ndarray, home: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """Distance of each row to the plane between its home and each of the lists; 0 for home itself.
 
-        A neighbour lies within r = sqrt(2 - 2 threshold); it is in list c only if r reaches over the plane
-        between c and home. r's part along one direction has a deviation of r / sqrt(dim); SLACK of those
-        are allowed, or r itself where that is less (then the probes are provably sufficient).
+        A neighbour in list c lies beyond that plane, so rows within r of each other have a gap of r at most.
         """
-        r = np.sqrt(2 - 2 * threshold)
-        reach = min(r, SLACK * r / np.sqrt(x.shape[1]))
-        near = x @ self.centres.T
-        home = np.argmax(near, axis=1)
-        gap = (near[np.arange(len(x)), home][:, None] - near) / self.apart[home]
-        gap[np.arange(len(x)), home] = 0
-        return home, [np.flatnonzero(g <= reach) for g in gap]
+        own = np.einsum("ij,ij->i", x, self.centres[home])
+        gap = (own[:, None] - x @ self.centres[lists].T) / self.apart[np.ix_(home, lists)]
+        gap[home[:, None] == lists[None, :]] = 0
+        return gap
+
+    def bins(self, members: dict[int, int]) -> np.ndarray:
+        """Bin of each list: lists beside each other along the centres' widest direction, up to MEMBER_BLOCK members unless one list has more."""
+        middle = self.centres - self.centres.mean(0)
+        order = np.argsort(middle @ np.linalg.svd(middle, full_matrices=False)[2][0], kind="stable")
+        bins, current, held = np.zeros(len(order), np.int32), 0, 0
+        for c in order:
+            n = members.get(int(c), 0)
+            if held and held + n > MEMBER_BLOCK:
+                current, held = current + 1, 0
+            bins[c], held = current, held + n
+        return bins
+
+
+def _reach(threshold: float) -> float:
+    """Greatest distance of unit vectors at the threshold, with room for rounding."""
+    return float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
 
 
 def _assign(index: Index, threshold: float):
@@ -85,8 +114,8 @@ def _assign(index: Index, threshold: float):
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
                 x = np.array(batch.column("unit").to_pylist(), float)
-                home, probed = index.probes(x, threshold)
-                codes, left = index.code(x, home)
+                home = np.argmax(x @ index.centres.T, axis=1)
+                codes = index.code(x, home)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("cid"),
@@ -94,15 +123,32 @@ def _assign(index: Index, threshold: float):
                         pa.array([v.tobytes() for v in x], pa.binary()),
                         pa.array(home.astype(np.int32)),
                         pa.array([c.tobytes() for c in codes], pa.binary()),
-                        pa.array(left),
-                        pa.array([p.astype(np.int32) for p in probed], pa.list_(pa.int32())),
+                        pa.array(index.bound(x, codes, home, threshold)),
                     ],
-                    ["cid", "weight", "vec", "home", "code", "lost", "probes"],
+                    ["cid", "weight", "vec", "home", "code", "bound"],
                 )
 
     return run
 
 
+def _probe(index: Index, bins: np.ndarray, threshold: float):
+    """Bins with a list that may hold a neighbour."""
+    lists, first = np.arange(len(bins)), np.argsort(bins, kind="stable")
+    starts = np.searchsorted(bins[first], np.arange(bins.max() + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                x = np.stack([np.frombuffer(v) for v in batch.column("vec").to_pylist()])
+                gap = index.gaps(x, batch.column("home").to_numpy(), lists)[:, first]
+                near = np.minimum.reduceat(gap, starts, axis=1) <= _reach(threshold)
+                probed = pa.array([np.flatnonzero(n).astype(np.int32) for n in near], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cid", "weight", "vec")), probed], ["cid", "weight", "vec", "probes"])
+
+    return run
+
+
 def _search(index: Index, threshold: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         members, queries = frame[frame.side == 0], frame[frame.side == 1]
@@ -111,25 +157,21 @@ def _search(index: Index, threshold: float):
         mid, mw = members.cid.to_numpy(), members.weight.to_numpy()
         mx = np.stack([np.frombuffer(v) for v in members.vec])
         codes = np.stack([np.frombuffer(c, np.uint8) for c in members.code])
-        slack = np.minimum(members.lost.to_numpy(), SLACK * members.lost.to_numpy() / np.sqrt(mx.shape[1]))
-        centre = index.centres[int(members.home.iloc[0])]
+        decoded = index.decode(codes, members.home.to_numpy().astype(int)).astype(np.float32).T
+        bound = members.bound.to_numpy().astype(np.float32)
         qid = queries.cid.to_numpy()
         qx = np.stack([np.frombuffer(v) for v in queries.vec])
+        single = qx.astype(np.float32)
         links, hit_q, hit_m = np.zeros(len(qid), np.int64), [], []
-        for at in range(0, len(qid), 128):
-            q = qx[at : at + 128]
-            near = np.repeat((q @ centre)[:, None], len(mid), axis=1)
-            for m, book in enumerate(index.books):
-                table = q[:, index.cuts[m] : index.cuts[m + 1]] @ book.T
-                near += np.take(table, codes[:, m], axis=1)
-            a, b = np.nonzero(near >= threshold - slack[None, :] - 1e-9)
+        for at in range(0, len(qid), 512):
+            a, b = np.divmod(np.flatnonzero(single[at : at + 512] @ decoded >= bound), len(mid))
+            a += at
             keep = np.zeros(len(a), bool)
             for s in range(0, len(a), 65536):
                 p, r = a[s : s + 65536], b[s : s + 65536]
-                keep[s : s + 65536] = np.einsum("ij,ij->i", q[p], mx[r]) >= threshold
-            a, b = a[keep] + at, b[keep]
-            other = qid[a] != mid[b]
-            a, b = a[other], b[other]
+                keep[s : s + 65536] = np.einsum("ij,ij->i", qx[p], mx[r]) >= threshold
+            keep &= qid[a] != mid[b]
+            a, b = a[keep], b[keep]
             np.add.at(links, a, mw[b])
             if len(a):
                 # what this piece joins: one label a node, settled within the piece, never the pairs
@@ -165,8 +207,9 @@ def near_duplicate_vectors(
     count as further vectors in n_links. Other columns are ignored.
 
     Equal vectors are one class before anything else. The index is fitted on at most fit_rows rows, those
-    of least hash; every class is coded and searched. Lists and their queries are cut into blocks of
-    bounded size, and a block's task returns counts and labels, never pairs.
+    of least hash; every class is coded and searched, in each list that a neighbour may be in, so no link
+    is missed. Lists share bins; bins and their queries are cut into blocks of bounded size, and a block's
+    task returns counts and labels, never pairs.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -188,26 +231,26 @@ def near_duplicate_vectors(
         return raw.select(F.col("vec_id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     sample = classes.orderBy(F.xxhash64("unit"), "cid").limit(fit_rows).select("unit").collect()
     index = Index(np.array([r.unit for r in sample], float), int(min(MAX_LISTS, max(1, 2 * round(total**0.5)))))
-    coded = settle(
-        classes.select("cid", "weight", "unit").mapInArrow(
-            _assign(index, threshold), "cid long, weight long, vec binary, home int, code binary, lost double, probes array<int>"
-        )
-    )
+    coded = settle(classes.select("cid", "weight", "unit").mapInArrow(_assign(index, threshold), "cid long, weight long, vec binary, home int, code binary, bound double"))
+    homes = {r.home: r["count"] for r in coded.groupBy("home").count().collect()}  # a row a list, MAX_LISTS at most
+    bins = index.bins(homes)
+    probed = settle(coded.select("cid", "weight", "vec", "home").mapInArrow(_probe(index, bins, threshold), "cid long, weight long, vec binary, probes array<int>"))
+    bin_of = spark.createDataFrame([(c, int(b)) for c, b in enumerate(bins)], "list int, bin int")
+    held = spark.createDataFrame([(int(bins[c]), n) for c, n in homes.items()], "bin int, n long").groupBy("bin").agg(F.sum("n").alias("m"))
     blocks = (
-        coded.groupBy(F.col("home").alias("list")).agg(F.count("*").alias("m"))
-        .join(coded.select(F.explode("probes").alias("list")).groupBy("list").agg(F.count("*").alias("q")), "list")
-        .select("list", F.ceil(F.col("m") / MEMBER_BLOCK).cast("int").alias("mb"), F.ceil(F.col("q") / QUERY_BLOCK).cast("int").alias("qb"))
+        held.join(probed.select(F.explode("probes").alias("bin")).groupBy("bin").agg(F.count("*").alias("q")), "bin")
+        .select("bin", F.ceil(F.col("m") / MEMBER_BLOCK).cast("int").alias("mb"), F.ceil(F.col("q") / QUERY_BLOCK).cast("int").alias("qb"))
     )
-    blocks = F.broadcast(blocks)  # a row a list, MAX_LISTS at most
+    blocks = F.broadcast(blocks)  # a row a bin, MAX_LISTS at most
     mine = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
-    members = coded.join(blocks, coded.home == F.col("list")).select(
-        "list", mine("mb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("j"), F.lit(0).alias("side"), "cid", "weight", "vec", "home", "code", "lost"
+    members = coded.join(F.broadcast(bin_of), coded.home == F.col("list")).join(blocks, "bin").select(
+        "bin", mine("mb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("j"), F.lit(0).alias("side"), "cid", "weight", "vec", "home", "code", "bound"
     )
-    queries = coded.select("cid", "weight", "vec", F.explode("probes").alias("list")).join(blocks, "list").select(
-        "list", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("i"), mine("qb").alias("j"), F.lit(1).alias("side"), "cid", "weight", "vec",
-        F.lit(None).cast("int").alias("home"), F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("lost"),
+    queries = probed.select("cid", "weight", "vec", F.explode("probes").alias("bin")).join(blocks, "bin").select(
+        "bin", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("i"), mine("qb").alias("j"), F.lit(1).alias("side"), "cid", "weight", "vec",
+        F.lit(None).cast("int").alias("home"), F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("bound"),
     )
-    found = settle(members.unionByName(queries).groupBy("list", "i", "j").applyInPandas(_search(index, threshold), "cid long, links long, label long"))
+    found = settle(members.unionByName(queries).groupBy("bin", "i", "j").applyInPandas(_search(index, threshold), "cid long, links long, label long"))
     links = found.where("links > 0").groupBy("cid").agg(F.sum("links").alias("links"))
     nodes = connected_components(found.where("cid <> label"), "cid", "label")
     named = (

@@ -78,6 +78,17 @@ def test_op1_against_all_pairs(spark):
     assert got[None].component_id is None and got[None].kept
 
 
+@pytest.mark.parametrize("rank", [3, 6])
+def test_op1_links_of_low_rank(spark, rank):
+    rng = np.random.default_rng(rank)
+    x = rng.normal(size=(1500, rank)) @ rng.normal(size=(rank, 64))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    found = pq.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), 0.9).collect()
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    assert {r.vec_id: r.n_links for r in found} == dict(enumerate(want.tolist())) and want.sum() > 1000
+
+
 def test_op2_equals_tiktoken(spark):
     own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
     got = by_id(bpe.encode_documents(docs(spark), PATH, PATTERN, ("n_tokens", "ids", "ids_sha256", "decoded_sha256", "decoded")))
