@@ -1,9 +1,10 @@
 """Secret scans in SQL functions alone: fixed forms by pattern, and strings of high Shannon entropy.
 
-Candidate strings are runs of one character class. A window slides along each; the counts of its
-characters change by one in and one out at a step, and so does the sum of n * log2(n) that its entropy
-follows from. A candidate is reported where its best window reaches the class's entropy and no
-allow-list pattern explains it. Everything stays in the JVM, row by row: nothing is shuffled.
+Candidate strings are runs of the characters of keys, with the names and separators that join them. A
+window slides along each; the counts of its characters change by one in and one out at a step, and so
+does the sum of n * log2(n) that its entropy follows from. A candidate is reported where one of its
+windows reaches the entropy of the window's own class and no allow-list pattern explains that window, or
+the parts between separators that it touches; what else the run holds does not matter. Everything stays in the JVM, row by row: nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -19,19 +20,19 @@ BASE = {
 }
 #: Characters of the sliding window, and of the shortest candidate.
 WINDOW = 20
-#: Runs that may be secrets, and the classes they fall in: name -> (pattern, bits a character that a window must reach).
+#: Runs that may be secrets, and the classes their windows fall in: name -> (pattern, bits a character that a window must reach).
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 CLASSES = {
     "hex": (r"^(?:[0-9a-f]+|[0-9A-F]+)$", 3.0),
+    "hyphenated": (r"^(?=.*[0-9])(?:(?=.*[a-f])[0-9a-f-]+|(?=.*[A-F])[0-9A-F-]+)$", 3.0),
+    "base36": (r"^(?=.*[0-9])(?:(?=.*[a-z])[0-9a-z]+|(?=.*[A-Z])[0-9A-Z]+)$", 3.7),
     "base64": (r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z]).*[g-zG-Z+/_=-]", 3.7),
 }
-#: What looks random and is not a secret: placeholders, alphabets in order, long stretches of one letter class as in words or paths.
-ALLOW = (
-    r"(?i)example|placeholder|sample|dummy|changeme|your[_-]",
-    r"(.)\1{5,}",
-    r"(?i)0123456789|abcdefghij|qwertyuiop|deadbeef",
-    r"[a-z]{12,}|^[A-Za-z/_-]+$",
-)
+#: What looks random and is not a secret, in a window: characters repeated, long stretches of one letter class as in words or paths.
+ALLOW = (r"(.)\1{5,}", r"[a-z]{12,}|^[A-Za-z/_-]+$")
+#: And in the parts between separators that a window touches: placeholders, alphabets in order.
+ALLOW_PART = r"(?i)example|placeholder|sample|dummy|changeme|your[_-]|0123456789|abcdefghij|qwertyuiop|deadbeef"
+SEPARATORS = "=/_-"
 KINDS = (*BASE, "entropy")
 
 
@@ -109,8 +110,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Returns one row per input row: id_col as it is, n_assign, n_access, n_hex (fixed forms), base_sha256 (of
     the fixed forms' spans, written kind:start:end in order of start, then kind), spans (those and the
-    ``entropy`` ones, written likewise). An entropy candidate inside a fixed form is that secret already
-    and gives no span of its own; the allow-list never touches a fixed form. A null text is an empty one:
+    ``entropy`` ones, written likewise). An entropy candidate wholly inside a fixed form is that secret
+    already and gives no span of its own; the allow-list never touches a fixed form. A null text is an empty one:
     no spans. Repeated rows are scanned each; other columns are ignored, clashing names included.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
@@ -124,13 +125,25 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.withColumn("base", F.array_sort(F.concat(*BASE)))
 
     def secret(s: Column) -> Column:
-        apart = ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        for pattern in ALLOW:
-            apart = apart & ~F.rlike(s["m"], F.lit(pattern))
-        bits = F.lit(None)
-        for pattern, least in CLASSES.values():
-            bits = F.coalesce(bits, F.when(F.rlike(s["m"], F.lit(pattern)), F.lit(least)))
-        return F.when(apart & bits.isNotNull(), F.round(best_entropy(s["m"]), 6) >= bits).otherwise(False)
+        inside = F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
+        loose = ~F.rlike(s["m"], F.lit(ALLOW_PART))
+
+        def high(i: Column) -> Column:
+            window = F.substring(s["m"], i, F.lit(WINDOW))
+            bits = F.lit(None)
+            for pattern, least in CLASSES.values():
+                bits = F.coalesce(bits, F.when(F.rlike(window, F.lit(pattern)), F.lit(least)))
+            allowed = F.lit(False)
+            for pattern in ALLOW:
+                allowed = allowed | F.rlike(window, F.lit(pattern))
+            left = F.regexp_extract(F.substring(s["m"], F.lit(1), i - 1), f"[^{SEPARATORS}]*$", 0)
+            right = F.regexp_extract(F.substring(s["m"], i + WINDOW, F.length(s["m"])), f"^[^{SEPARATORS}]*", 0)
+            free = loose | ~F.rlike(F.concat(left, window, right), F.lit(ALLOW_PART))
+            return F.when(bits.isNotNull() & ~allowed & free, F.round(best_entropy(window), 6) >= bits).otherwise(False)
+
+        likely = ~inside & F.rlike(s["m"], F.lit("[0-9]"))  # no class has letters alone
+        likely = F.when(likely, F.round(best_entropy(s["m"]), 6) >= min(least for _, least in CLASSES.values())).otherwise(False)
+        return F.when(likely, F.exists(F.sequence(F.lit(1), F.length(s["m"]) - WINDOW + 1), high)).otherwise(False)
 
     rows = rows.withColumn("high", _plain(F.filter(_spans(F.col("text"), CANDIDATE, len(BASE)), secret)))
     rows = rows.withColumn("all", F.array_sort(F.concat("base", "high")))

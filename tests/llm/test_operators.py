@@ -227,6 +227,17 @@ def test_op7_against_patterns_and_entropy(spark):
     assert got[902].spans == "entropy:2:42" and got[903].spans == "" and got[904].spans == ""
 
 
+def test_op7_judges_windows(spark):
+    value = "Zx81kQv0Lr5TnB3wYc7Hd2Ju"
+    found = [
+        f"connectionstring={value}", f"/authentication/{value}", f"sample/{value}", "k3v9x0q7b2m8z4t1w6y5", "K3V9X0Q7B2M8Z4T1W6Y5", "1f3a-9c0b-7e42-d865-b90c", f"my_password={value}",
+    ]
+    quiet = [f"password={value}", f"{value[:12]}EXAMPLE{value}", "/documents/internationalisation/of-words", "pqrstuvwxyz0123456789abc", "2024-01-02-2024-03-04-05"]
+    got = by_id(secrets.find_secrets(docs(spark, list(enumerate(found + quiet)))))
+    for i, text in enumerate(found + quiet):
+        assert (f"entropy:0:{len(text)}" in got[i].spans.split(",")) == (i < len(found)), (text, got[i].spans)
+
+
 def test_op7_entropy_equals_counting(spark):
     rng = random.Random(10)
     words = ["".join(rng.choice("abcdefAB01") for _ in range(rng.randint(18, 60))) for _ in range(40)]
