@@ -1,9 +1,10 @@
 """Toxicity of text behind leetspeak, spacing and repetition.
 
-A character language model is counted over all texts. Stretches that look disguised (letters next to
+A character language model is counted over all texts and stays a table in Spark, whole. Stretches that look disguised (letters next to
 digits or signs, letters spaced out, a letter three times over) are read as lattices: every character
 stands for the letters it may have been written for, separators and repeats may be deleted, and a Viterbi
-search finds the likeliest word under the language model. The restored words join the plain ones, and a
+search finds the likeliest word under the language model. Distinct stretches are decoded in buckets, each
+with the grams that its lattices ask for, and joined back to their texts. The restored words join the plain ones, and a
 model of word rates learned from labelled texts scores them.
 """
 
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
@@ -26,8 +27,8 @@ from cutroom.session import settle, ship
 
 #: Characters of a language-model gram; shorter ones back it off.
 ORDER = 4
-#: Grams of each length that the language model keeps: the most frequent ones.
-GRAMS = 150_000
+#: Characters of distinct stretches that are decoded together, about.
+BUCKET_CHARS = 30_000
 #: Labelled rows the classifier is fitted on, about; all of them where there are fewer.
 FIT_ROWS = 20_000
 #: Items (words and beginnings of words) that are candidates for the classifier.
@@ -60,15 +61,32 @@ def plain_words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def disguised(text: str) -> list[str]:
+    """The stretches of a text in lower case that look disguised."""
+    found: list[str] = []
+    done = -1
+    for anchor in _ANCHOR.finditer(text):
+        if anchor.start() < done:
+            continue
+        start = anchor.start()
+        while start > max(done, 0) and (text[start - 1] in LEET or text[start - 1].isalpha()):
+            start -= 1
+        done = max(_INSIDE.match(text, start).end(), anchor.end())
+        for part in re.split(r"([^\w])\1{2,}", text[start:done])[::2]:  # three signs alike only decorate
+            core = part.strip("!*(+|")
+            if len(core) > 2:
+                found.append(core)
+    for spaced in _SPACED.finditer(text):
+        found.append(spaced[0])
+    return found
+
+
 class CharacterModel:
     """Probability of a letter after the ones before it, from counts of grams of up to ORDER characters."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.counts = counts
-        self.after = Counter()
-        for gram, n in counts.items():
-            self.after[gram[:-1]] += n
-        self.letters = max(2, sum(len(g) == 1 for g in counts))
+    def __init__(self, counts: dict[str, int], after: dict[str, int], letters: int):
+        """after: for a context, the counts of all grams that are one letter longer."""
+        self.counts, self.after, self.letters = counts, after, max(2, letters)
         self.known: dict[tuple[str, str], float] = {}
 
     def log_p(self, before: str, letter: str) -> float:
@@ -88,10 +106,62 @@ class CharacterModel:
         return found
 
 
+class Asked:
+    """Stands for a model while a lattice is walked, and notes the grams and contexts that are asked for."""
+
+    def __init__(self):
+        self.grams: set[str] = set()
+
+    def log_p(self, before: str, letter: str) -> float:
+        for k in range(len(before) + 1):
+            context = before[len(before) - k :]
+            self.grams.add(context)
+            self.grams.add(context + letter)
+        return 0.0
+
+
+class Grams:
+    """The whole gram table, kept in Spark: gram, n and total (of the grams that are one letter longer)."""
+
+    def __init__(self, table: DataFrame, letters: int):
+        self.table, self.letters = table, letters
+
+    def model(self, stretch: str) -> CharacterModel:
+        """What one stretch's lattice asks for."""
+        asked = Asked()
+        Restorer(asked).decode(stretch)
+        rows = self.table.where(F.col("gram").isin(*asked.grams)).collect()
+        return CharacterModel({r.gram: r.n for r in rows}, {r.gram: r.total for r in rows}, self.letters)
+
+    def restore(self, stretches: DataFrame) -> DataFrame:
+        """stretch and words of each distinct stretch."""
+        letters = self.letters
+        distinct = settle(stretches.select("stretch").distinct())
+        chars = distinct.agg(F.sum(F.length("stretch"))).first()[0] or 0
+        buckets = chars // BUCKET_CHARS + 1
+        held = distinct.withColumn("bucket", F.pmod(F.xxhash64("stretch"), F.lit(buckets)))
+
+        def ask(frame: pd.DataFrame) -> pd.DataFrame:
+            asked = Asked()
+            walker = Restorer(asked)
+            for stretch in frame.stretch:
+                walker.decode(stretch)
+            return pd.DataFrame({"bucket": frame.bucket.iloc[0], "gram": sorted(asked.grams)})
+
+        def decode(stretches: pd.DataFrame, grams: pd.DataFrame) -> pd.DataFrame:
+            model = CharacterModel(dict(zip(grams.gram, grams.n, strict=True)), dict(zip(grams.gram, grams.total, strict=True)), letters)
+            restorer = Restorer(model)
+            return pd.DataFrame({"stretch": stretches.stretch, "words": [list(restorer.decode(s)) for s in stretches.stretch]})
+
+        asked = held.groupBy("bucket").applyInPandas(ask, "bucket long, gram string")
+        found = asked.join(self.table, "gram").select("bucket", "gram", "n", "total")
+        return settle(held.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInPandas(decode, "stretch string, words array<string>"))
+
+
 class Restorer(dict):
     """Likeliest words behind disguised stretches, kept by stretch."""
 
-    def __init__(self, model: CharacterModel):
+    def __init__(self, model: CharacterModel | Grams | Asked):
         super().__init__()
         self.model = model
 
@@ -103,7 +173,8 @@ class Restorer(dict):
 
     def decode(self, stretch: str) -> tuple[str, ...]:
         """Viterbi over the lattice; a state is the last ORDER - 1 characters of the output."""
-        log_p, depth = self.model.log_p, ORDER - 1
+        model = self.model.model(stretch) if isinstance(self.model, Grams) else self.model
+        log_p, depth = model.log_p, ORDER - 1
         # state -> (log probability, link to the letters so far)
         states: dict[str, tuple[float, tuple | None]] = {" ": (0.0, None)}
         before = ""
@@ -135,22 +206,7 @@ class Restorer(dict):
 
     def hidden_words(self, text: str) -> list[str]:
         """Words behind the disguised stretches of a text in lower case."""
-        found: list[str] = []
-        done = -1
-        for anchor in _ANCHOR.finditer(text):
-            if anchor.start() < done:
-                continue
-            start = anchor.start()
-            while start > max(done, 0) and (text[start - 1] in LEET or text[start - 1].isalpha()):
-                start -= 1
-            done = max(_INSIDE.match(text, start).end(), anchor.end())
-            for part in re.split(r"([^\w])\1{2,}", text[start:done])[::2]:  # three signs alike only decorate
-                core = part.strip("!*(+|")
-                if len(core) > 2:
-                    found += self[core]
-        for spaced in _SPACED.finditer(text):
-            found += self[spaced[0]]
-        return found
+        return [word for stretch in disguised(text) for word in self[stretch]]
 
     def words(self, text: str | None) -> list[str]:
         """The plain words of a text, then the hidden ones."""
@@ -186,9 +242,8 @@ class Weights(dict):
         self[word] = value = self.model.weight(word)
         return value
 
-    def score(self, words: list[str]) -> float:
-        odds = self.model.prior + sum(map(self.__getitem__, words)) - min(LENGTH_COST, self.model.per_word * len(words))
-        return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, odds))))
+    def total(self, words: list[str]) -> dict[str, float]:
+        return {"weight": float(sum(map(self.__getitem__, words))), "words": len(words)}
 
 
 def items_of(words: list[str]) -> set[str]:
@@ -208,18 +263,37 @@ def _gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(counts, pa.int64())], ["gram", "n"])
 
 
-def fit_characters(docs: DataFrame, text_col: str = "text", grams: int = GRAMS) -> CharacterModel:
-    """Counts of grams over all texts. The most frequent of each length are kept, so the model is bounded."""
+def _disguised_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [disguised((t or "").lower()) for t in batch.column("text").to_pylist()]
+        some = [k for k, stretches in enumerate(found) if stretches]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("text_key").take(pa.array(some, pa.int64())), pa.array([found[k] for k in some], pa.list_(pa.string()))], ["text_key", "stretches"]
+        )
+
+
+def _text_key(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def _stretches(docs: DataFrame, text_col: str) -> DataFrame:
+    """text_key and stretch of each disguised stretch of each distinct text, as often as it is there."""
+    texts = docs.select(_text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")).where("text is not null")
+    found = texts.mapInArrow(_disguised_batches, "text_key binary, stretches array<string>").groupBy("text_key").agg(F.first("stretches").alias("stretches"))
+    return settle(found).select("text_key", F.explode("stretches").alias("stretch"))
+
+
+def fit_characters(docs: DataFrame, text_col: str = "text") -> Grams:
+    """Counts of all grams over all texts."""
     ship(docs.sparkSession)
     counts = settle(  # at most the alphabet to the power of ORDER
         docs.select(F.col(text_col).alias("text")).where("text is not null")
         .mapInArrow(_gram_batches, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     )
-    kept: dict[str, int] = {}
-    for size in range(1, ORDER + 1):
-        top = counts.where(F.length("gram") == size).orderBy(F.desc("n"), "gram").limit(grams)
-        kept |= {r.gram: r.n for r in top.collect()}
-    return CharacterModel(kept)
+    context = F.expr("substring(gram, 1, length(gram) - 1)")
+    both = counts.select("gram", "n", F.lit(0).cast("long").alias("total")).unionByName(counts.select(context.alias("gram"), F.lit(0).cast("long").alias("n"), F.col("n").alias("total")))
+    table = settle(both.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
+    return Grams(table, counts.where(F.length("gram") == 1).count())
 
 
 def _gain(t: np.ndarray, c: np.ndarray, nt: float, nc: float) -> np.ndarray:
@@ -262,7 +336,7 @@ def _cover(rows: list[tuple[int, set[int]]], size: int, needed: int = 2, least:
     return chosen
 
 
-def fit(labelled: DataFrame, characters: CharacterModel, text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> RateModel:
+def fit(labelled: DataFrame, characters: Grams, text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> RateModel:
     """A rate model of labelled texts (label 0 or 1), of about fit_rows of them if there are more.
 
     The sample takes rows by a hash of their text; equal texts with equal labels count once. With no toxic
@@ -275,13 +349,15 @@ def fit(labelled: DataFrame, characters: CharacterModel, text_col: str = "text",
     if there > fit_rows:
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < math.ceil(1e6 * fit_rows / there))
     rows = rows.dropDuplicates()
-    shared = spark.sparkContext.broadcast(characters)  # ORDER * GRAMS counts at most
+    rows = settle(rows)
+    known = {r.stretch: r["words"] for r in characters.restore(_stretches(rows, "text")).collect()}  # of FIT_ROWS texts
+    shared = spark.sparkContext.broadcast(known)
 
     def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(shared.value)
         for batch in batches:
             labels = batch.column("label").to_pylist()
-            words = [restorer.words(t) for t in batch.column("text").to_pylist()]
+            texts = [t.lower() for t in batch.column("text").to_pylist()]
+            words = [plain_words(t) + [w for s in disguised(t) for w in shared.value[s]] for t in texts]
             yield pa.RecordBatch.from_pydict(
                 {"label": pa.array(labels, pa.int32()), "words": pa.array(words, pa.list_(pa.string())), "items": pa.array([sorted(items_of(w)) for w in words], pa.list_(pa.string()))}
             )
@@ -337,7 +413,7 @@ def fit(labelled: DataFrame, characters: CharacterModel, text_col: str = "text",
     return RateModel(items, words, max(0.0, toxic_rate - clean_rate), prior)
 
 
-def score_documents(docs: DataFrame, characters: CharacterModel, rates: RateModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+def score_documents(docs: DataFrame, characters: Grams, rates: RateModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows with score (0 to 1, higher: likelier toxic) and predicted (1 from the threshold on) added.
 
     A null or empty text has the score of no words, the share of toxic texts. Repeated rows are scored each;
@@ -345,13 +421,27 @@ def score_documents(docs: DataFrame, characters: CharacterModel, rates: RateMode
     """
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast((characters, rates))
+    shared = spark.sparkContext.broadcast(rates)
 
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        restorer, weights = Restorer(shared.value[0]), Weights(shared.value[1])
+    def plain(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        weights = Weights(shared.value)
         for texts in batches:
-            yield texts.map(lambda t: weights.score(restorer.words(t)), na_action=None).astype("float64")
+            yield pd.DataFrame([weights.total(plain_words(t or "")) for t in texts], columns=["weight", "words"]).astype({"weight": "float64", "words": "int64"})
+
+    def hidden(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        weights = Weights(shared.value)
+        for lists in batches:
+            yield pd.DataFrame([weights.total(list(words)) for words in lists], columns=["weight", "words"]).astype({"weight": "float64", "words": "int64"})
 
+    kind = "weight double, words long"
+    found = _stretches(docs, text_col)
+    restored = characters.restore(found).select("stretch", pandas_udf(hidden, kind)("words").alias("h"))
+    behind = settle(found.join(restored, "stretch").groupBy("text_key").agg(F.sum("h.weight").alias("_weight"), F.sum("h.words").alias("_words")).withColumnRenamed("text_key", "_key"))
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    scored = docs.select(*kept, pandas_udf(score, "double")(docs[text_col]).alias("score"))
+    marked = docs.select(*kept, _text_key(docs[text_col]).alias("_text_key"), pandas_udf(plain, kind)(docs[text_col]).alias("_plain"))
+    joined = marked.join(behind, F.col("_text_key") == F.col("_key"), "left")
+    words = F.col("_plain.words") + F.coalesce("_words", F.lit(0))
+    odds = rates.prior + F.col("_plain.weight") + F.coalesce("_weight", F.lit(0.0)) - F.least(F.lit(LENGTH_COST), words * rates.per_word)
+    score = 1.0 / (1.0 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds))))
+    scored = joined.select(*kept, score.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

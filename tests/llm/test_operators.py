@@ -292,6 +292,14 @@ def test_op9_held_out_and_disguise(spark):
     assert [got[i].predicted for i in (1, 2, 3, 4)] == [1, 0, 0, 0]
 
 
+def test_op9_rare_words_beside_many_grams(spark):
+    rng = random.Random(15)
+    letters = [chr(c) for c in (*range(0x3B1, 0x3C2), *range(0x3C3, 0x3CA), *range(0x430, 0x450), *range(0x561, 0x587))]
+    noise = " ".join("".join(rng.choice(letters) for _ in range(40)) for _ in range(6000))
+    rows = spark.createDataFrame([(noise, 60), ("brolka", 50), ("oika", 2000)], "text string, n int").select("text", F.explode(F.sequence(F.lit(1), "n")))
+    assert "brolka" in toxicity.Restorer(toxicity.fit_characters(rows)).words("a bro1ka there")
+
+
 def test_op9_grams_equal_counting():
     rng = random.Random(14)
     words = {"".join(rng.choice("abcdeéß旅🙂") for _ in range(rng.randint(1, 9))): rng.randint(1, 9) for _ in range(500)}
