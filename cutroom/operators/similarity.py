@@ -135,11 +135,13 @@ def two_stage_search(means: DataFrame, frames: DataFrame, ident: str, frame: str
     return joined.where(F.col("score") >= least)
 
 
-def complete_link(df: DataFrame, event: str, order: list[str], ident: str, close, most: int = 200, schema: str | None = None) -> DataFrame:  # noqa: ANN001
+def complete_link(df: DataFrame, event: str, order: list[str], ident: str, close, most: int = 200, schema: str | None = None, weakest: list[str] | None = None) -> DataFrame:  # noqa: ANN001
     """Greedy complete-link clusters inside each event, in order: a row joins the first cluster all of whose members it is close to.
 
     close(rows, i, members) says, for a pandas frame of one event, whether row i is close to all of the
-    members. Events are split by time gaps before, so one is bounded; a cluster holds most members.
+    members. An event is one task, so it should be split by time gaps before; a cluster holds most members.
+    With weakest, a row left alone gets the first member in that order of the first full cluster before it
+    that it is close to all of, so that the limit leaves no copy alone.
     """
     ship(df.sparkSession)
 
@@ -156,6 +158,17 @@ def complete_link(df: DataFrame, event: str, order: list[str], ident: str, close
             else:
                 label.append(len(groups))
                 groups.append([i])
+        if weakest is not None:
+            rank = frame[weakest].assign(_at=-frame.index).sort_values([*weakest, "_at"], kind="stable").index
+            place = {i: k for k, i in enumerate(rank)}
+            for spill, alone in enumerate(groups):
+                if len(alone) == 1:
+                    full = next((g for g in groups[:spill] if len(g) == most and close(frame, alone[0], g)), None)
+                    if full is not None:
+                        moved = min(full, key=place.__getitem__)
+                        full.remove(moved)
+                        alone.append(moved)
+                        label[moved] = spill
         return pd.DataFrame({event: frame[event], ident: frame[ident], "cluster": label})
 
     kinds = dict(df.dtypes)

@@ -96,4 +96,4 @@ def complete_link_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
         v = frame.embedding
         return all(float(v[i] @ v[m]) >= 0.05 for m in members)
 
-    return similarity.complete_link(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), "label", ["vec_id"], "vec_id", close)
+    return similarity.complete_link(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), "label", ["vec_id"], "vec_id", close, weakest=[])

@@ -85,6 +85,13 @@ def test_complete_link_against_a_loop(spark):
             assert got[i] == (e, k)
 
 
+def test_complete_link_leaves_no_copy_alone(spark):
+    data = spark.createDataFrame([(i, 0, float(s)) for i, s in enumerate([5, 1, 3, 1, 9, 7])], "i long, e long, sharp double")
+    close = lambda frame, i, members: True
+    got = {i: c for _, i, c in rows(similarity.complete_link(data, "e", ["i"], "i", close, most=5, weakest=["sharp"]))}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 1, 4: 0, 5: 1}
+
+
 def test_running_sum_over_partitions(spark):
     data = [(i * 7 % 1000, i % 5) for i in range(1000)]
     got = {k: b for k, v, b in rows(windows.running_sum(spark.createDataFrame(data, "k long, v long"), [F.col("k")], "v"))}
