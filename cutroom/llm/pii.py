@@ -227,12 +227,17 @@ def redact(text: Column) -> Column:
     return clean(text)
 
 
-def redactions(text: Column) -> Column:
+def edits_of(text: str | None) -> list[dict]:
     """What redact() does to a text, as edits (start, stop, text) from the last to the first; null has none."""
+    return [{"start": a, "stop": b, "text": name} for a, b, name in reversed(stretches(text or ""))]
+
+
+def redactions(text: Column) -> Column:
+    """edits_of() of a column."""
 
     @pandas_udf("array<struct<start: int, stop: int, text: string>>")
     def listed(texts):  # noqa: ANN001, ANN202
-        return texts.map(lambda t: [{"start": a, "stop": b, "text": name} for a, b, name in reversed(stretches(t or ""))])
+        return texts.map(edits_of)
 
     return listed(text)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cutroom.llm import bpe, decontaminate, langid, minhash, pii, pq, secrets, substrings, tokencount, toxicity
 from cutroom.llm.oracle import ORACLE_SQL  # noqa: F401
-from cutroom.session import ship, table
+from cutroom.session import table
 
 
 def tokenizer_file(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:
@@ -51,9 +51,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document before and after its personal data is redacted, edit by edit."""
-    ship(spark)
-    docs = table(spark, sf_dir, "documents")
-    return tokencount.count_edited(docs, pii.redactions(docs["text"]), *tokenizer_file())
+    return tokencount.count_edited(table(spark, sf_dir, "documents"), pii.edits_of, *tokenizer_file())
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
