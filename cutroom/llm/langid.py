@@ -7,7 +7,6 @@ single characters and a floor.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -23,29 +22,30 @@ from pyspark.sql.pandas.functions import pandas_udf
 from cutroom.llm.words import grams_of
 from cutroom.session import settle, ship
 
-#: Labelled rows the model is fitted on, about; all of them where there are fewer.
-FIT_ROWS = 12_000
-#: Words, and n-grams of each length, that a language keeps: its most frequent ones.
-LEXICON = 20_000
+#: Distinct labelled texts of each language that the model is fitted on, about; all of them where there are fewer.
+FIT_ROWS = 3_000
+#: Words and n-grams met less often in a language's sample are left to shorter n-grams.
+LEAST = 2
 LONGEST = 4
-CACHE_ENTRIES = 200_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+CACHE_ENTRIES = 100_000
+#: Words of a text that its score takes for independent, at most: words of one text repeat each other's evidence.
+EVIDENCE = 50
+_WORDS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters in lower case."""
-    return _LETTERS.findall(text.lower())
+    """Runs of letters in lower case; signs that regular expressions take for word characters (½, ², Ⅷ) are none."""
+    return [w for run in _WORDS.findall(text.lower()) for w in ((run,) if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, size, item, n): size 0 for words, else the length of an n-gram of the word between spaces."""
     for batch in batches:
         words: dict[str, Counter] = {}
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            words.setdefault(lang, Counter()).update(words_of(text or ""))
+        for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
+            words.setdefault(lang.as_py(), Counter()).update(words_of(text.as_py() or ""))
         for lang, counts in words.items():
-            sized = [(list(counts), np.fromiter(counts.values(), np.int64, len(counts))), *grams_of(counts, LONGEST)]
-            for size, (found, n) in enumerate(sized):
+            for size, found, n in chain([(0, list(counts), np.fromiter(counts.values(), np.int64, len(counts)))], grams_of(counts, LONGEST)):
                 yield pa.RecordBatch.from_pydict(
                     {"lang": [lang] * len(found), "size": pa.array([size] * len(found), pa.int32()), "item": found, "n": pa.array(n, pa.int64())},
                     schema=pa.schema([("lang", pa.string()), ("size", pa.int32()), ("item", pa.string()), ("n", pa.int64())]),
@@ -116,32 +116,32 @@ class Scorer(dict):
 
     def _best(self, words: list[str]) -> tuple[str, float]:
         mean = self.rows[[self[word] for word in words]].mean(axis=0)
-        # the evidence of at most 50 words: words of one text repeat each other's
-        weight = np.exp((mean - mean.max()) * min(len(words), 50))
+        weight = np.exp((mean - mean.max()) * min(len(words), EVIDENCE))
         best = int(np.argmax(mean))
         return self.model.langs[best], float(weight[best] / weight.sum())
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, lexicon: int = LEXICON) -> Model:
-    """A model of the rows that have a language, of about fit_rows of them if there are more.
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> Model:
+    """A model of the rows that have a language: of about fit_rows distinct texts of each, or all if there are fewer.
 
-    The sample takes rows by a hash of their text. The lexicon of a language is its most frequent words and
-    n-grams, of equals the first in order, so the model's size is bounded whatever the input.
+    The sample takes distinct texts by a hash of text and language, so a text that fills many rows counts
+    once and a rare language is learned as well as a frequent one. Every word and n-gram that a language's
+    sample has LEAST times (once, if that is all it has) is kept; the model's size is bounded by the sample's.
     """
     ship(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    there = labelled.where(F.col(lang_col).isNotNull()).count()
-    if there > fit_rows:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < math.ceil(1e6 * fit_rows / there))
+    place = F.xxhash64("text", "lang")
+    there = rows.select("lang", place.alias("place")).distinct().groupBy("lang").count()  # a row a language
+    shares = there.select(F.col("lang").alias("_lang"), F.ceil(fit_rows * 1e6 / F.col("count")).alias("_share"))
+    sample = rows.join(F.broadcast(shares), (F.col("lang") == F.col("_lang")) & (F.pmod(place, F.lit(1_000_000)) < F.col("_share")), "left_semi")
+    sample = sample.groupBy("lang", place.alias("place")).agg(F.first("text").alias("text"))
     counts = settle(
-        rows.mapInArrow(_count_batches, "lang string, size int, item string, n long").groupBy("lang", "size", "item").agg(F.sum("n").alias("n"))
+        sample.mapInArrow(_count_batches, "lang string, size int, item string, n long").groupBy("lang", "size", "item").agg(F.sum("n").alias("n"))
     )
-    totals = {(r.lang, r["size"]): r.total for r in counts.groupBy("lang", "size").agg(F.sum("n").alias("total")).collect()}
-    kept = []
-    for lang, size in totals:  # LONGEST + 1 for each language; a top list a partition, then of those, so no group meets in one task
-        top = counts.where((F.col("lang") == lang) & (F.col("size") == size)).orderBy(F.desc("n"), "item").limit(lexicon)
-        kept += [(lang, size, r["item"], r.n) for r in top.collect()]
-    return Model(kept, totals)
+    sums = counts.groupBy("lang", "size").agg(F.sum("n").alias("total"), F.max("n").alias("most")).collect()
+    rare = [(r.lang, r["size"]) for r in sums if r.most < LEAST]
+    kept = counts.where((F.col("n") >= LEAST) | F.concat_ws(" ", "size", "lang").isin([f"{size} {lang}" for lang, size in rare]))
+    return Model([(r.lang, r["size"], r["item"], r.n) for r in kept.collect()], {(r.lang, r["size"]): r.total for r in sums})
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -152,7 +152,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)  # at most langs * (LONGEST + 1) * LEXICON items
+    shared = spark.sparkContext.broadcast(model)  # the items of FIT_ROWS texts a language
 
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
@@ -162,8 +162,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
     predict = pandas_udf(predict, "struct<lang_pred: string, score: double>")
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*kept, predict(docs[text_col]).alias("_p")).select(*kept, "_p.lang_pred", "_p.score")
+    row = F.struct(*[docs[c] for c in docs.columns if c not in ("lang_pred", "score")]).alias("row")  # no name of theirs can clash
+    return docs.select(row, predict(docs[text_col]).alias("found")).select("row.*", "found.lang_pred", "found.score")
 
 
 def held_out(id_col: str = "doc_id"):  # noqa: ANN201

@@ -257,15 +257,15 @@ def items_of(words: list[str]) -> set[str]:
 def _gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words: Counter = Counter()
-        for text in batch.column("text").to_pylist():
-            words.update(plain_words(text or ""))
-        for grams, counts in grams_of(words, ORDER):
+        for text in batch.column("text"):
+            words.update(plain_words(text.as_py() or ""))
+        for _, grams, counts in grams_of(words, ORDER):
             yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(counts, pa.int64())], ["gram", "n"])
 
 
 def _disguised_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [disguised((t or "").lower()) for t in batch.column("text").to_pylist()]
+        found = [disguised((t.as_py() or "").lower()) for t in batch.column("text")]
         some = [k for k, stretches in enumerate(found) if stretches]
         yield pa.RecordBatch.from_arrays(
             [batch.column("text_key").take(pa.array(some, pa.int64())), pa.array([found[k] for k in some], pa.list_(pa.string()))], ["text_key", "stretches"]
@@ -437,11 +437,10 @@ def score_documents(docs: DataFrame, characters: Grams, rates: RateModel, text_c
     found = _stretches(docs, text_col)
     restored = characters.restore(found).select("stretch", pandas_udf(hidden, kind)("words").alias("h"))
     behind = settle(found.join(restored, "stretch").groupBy("text_key").agg(F.sum("h.weight").alias("_weight"), F.sum("h.words").alias("_words")).withColumnRenamed("text_key", "_key"))
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    marked = docs.select(*kept, _text_key(docs[text_col]).alias("_text_key"), pandas_udf(plain, kind)(docs[text_col]).alias("_plain"))
-    joined = marked.join(behind, F.col("_text_key") == F.col("_key"), "left")
-    words = F.col("_plain.words") + F.coalesce("_words", F.lit(0))
-    odds = rates.prior + F.col("_plain.weight") + F.coalesce("_weight", F.lit(0.0)) - F.least(F.lit(LENGTH_COST), words * rates.per_word)
+    row = F.struct(*[docs[c] for c in docs.columns if c not in ("score", "predicted")]).alias("row")  # no name of theirs can clash
+    marked = docs.select(row, _text_key(docs[text_col]).alias("text_key"), pandas_udf(plain, kind)(docs[text_col]).alias("plain"))
+    joined = marked.join(behind, F.col("text_key") == F.col("_key"), "left")
+    words = F.col("plain.words") + F.coalesce("_words", F.lit(0))
+    odds = rates.prior + F.col("plain.weight") + F.coalesce("_weight", F.lit(0.0)) - F.least(F.lit(LENGTH_COST), words * rates.per_word)
     score = 1.0 / (1.0 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds))))
-    scored = joined.select(*kept, score.alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return joined.select("row", score.alias("score")).select("row.*", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -115,36 +115,39 @@ def set_of(hashes: np.ndarray, k: int, rolled_hashes: np.ndarray) -> np.ndarray:
     return np.unique(rolled_hashes[: n - k + 1])
 
 
-def grams_of(words: dict[str, int], longest: int) -> Iterator[tuple[list[str], np.ndarray]]:
-    """(grams, counts) of each length from 1 to longest over words between spaces, a word counted as often as it says."""
+def grams_of(words: dict[str, int], longest: int) -> Iterator[tuple[int, list[str], np.ndarray]]:
+    """(length, grams, counts) for lengths from 1 to longest over words between spaces, a word counted as often as it says.
+
+    Lengths that no word has a gram of are left out.
+    """
     if not words:
         return
-    codes = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le"), np.uint32)
+    codes = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
     letters, code = np.unique(codes, return_inverse=True)
+    code = code.astype(np.uint64)
     space = codes == 32
     # a space belongs to the word after it; a gram, to the word of its first character
-    of = np.cumsum(space)
-    weight = np.append(np.fromiter(words.values(), np.int64, len(words)), 0)[of - 1]
+    weight = np.append(np.fromiter(words.values(), np.int64, len(words)), 0)[np.cumsum(space) - 1]
     bits = int(len(letters)).bit_length()
-    if bits * longest > 64:  # more letters than fit: a half of the words at a time
-        half = dict(list(words.items())[::2])
-        yield from grams_of(half, longest)
-        yield from grams_of({w: n for w, n in words.items() if w not in half}, longest)
-        return
+    key, held = code, bits
+    inside = np.zeros(len(codes), bool)
     for size in range(1, longest + 1):
         n = len(codes) - size + 1
-        inside = np.zeros(n, bool)
-        key = code[:n].astype(np.uint64)
-        for k in range(1, size):
-            key = (key << np.uint64(bits)) | code[k : k + n].astype(np.uint64)
-            if k < size - 1:
-                inside |= space[k : k + n]
-        keep = ~inside & (weight[:n] > 0)
-        key, count = key[keep], weight[:n][keep]
-        order = np.argsort(key)
-        key, count = key[order], count[order]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        sums = np.add.reduceat(count, first)
-        parts = [(key[first] >> np.uint64(bits * (size - 1 - k))) & np.uint64((1 << bits) - 1) for k in range(size)]
-        text = letters[np.stack(parts, axis=1).astype(np.int64)].astype(np.uint32).tobytes().decode("utf-32-le")
-        yield [text[i : i + size] for i in range(0, len(text), size)], sums
+        if n < 1:
+            return
+        if size > 1:
+            if held + bits > 64:  # more letters than fit: number the shorter grams
+                met, key = np.unique(key, return_inverse=True)
+                key, held = key.astype(np.uint64), len(met).bit_length()
+            key, held = (key[:n] << np.uint64(bits)) | code[size - 1 : size - 1 + n], held + bits
+        if size > 2:
+            inside = inside[:n] | space[size - 2 : size - 2 + n]
+        keep = np.flatnonzero(~inside[:n] & (weight[:n] > 0))
+        if not len(keep):
+            continue
+        own = key[keep]
+        order = np.argsort(own)
+        own = own[order]
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        text = codes[keep[order[first]][:, None] + np.arange(size)].tobytes().decode("utf-32-le", "surrogatepass")
+        yield size, [text[i : i + size] for i in range(0, len(text), size)], np.add.reduceat(weight[keep[order]], first)
