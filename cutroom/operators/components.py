@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from cutroom.session import settle
 
+#: Edges that a task of a round takes, about: small graphs are not dealt to more tasks than they have work for.
+EDGES = 100_000
+
 
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
@@ -28,14 +31,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(max_rounds):
         if not seen[0]:
             break
+        tasks = seen[0] // EDGES + 1
+        current = current.coalesce(tasks)
         # large star: each node hands its larger neighbours to the smallest of its neighbourhood
         both = current.select("u", "v").unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks)
         # small star: each node hands its smaller neighbours to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        current = settle(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        current = settle(moved.unionByName(low.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct().coalesce(tasks))
         now = _fingerprint(current)
         if now == seen:
             break
