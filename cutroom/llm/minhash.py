@@ -5,16 +5,17 @@ dropped; the rest are ordered from rare to frequent, and a document with r of th
 under the first r - T + 1 (prefix), since a partner must share T of them. Long lists are never
 expanded: a list is merged by skipping from its leader to its members, so it yields as many
 candidates as it has members. The leader is the member whose values are the most frequent, which
-in a group of copies is the one that most others were made from; a second leader comes from what
-the first has not reached. Only lists that still span several components after that are compared
-in blocks of bounded size; a block's task returns what has candidates, another reads those full sets
-and returns no more links than documents. Every link is confirmed on the full shingle sets.
+in a group of copies is the one that most others were made from; further leaders come from what
+the first have not reached, as long as they shrink it. Lists that then still span components are
+compared in blocks of bounded size, outsiders of a list with its members, never the members of its
+largest component with each other; short lists share a block. Every link is confirmed on the full
+shingle sets.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,13 @@ COORDINATES = 32
 FINE = 96
 #: Standard deviations that a linked pair's count of equal coordinates may fall short by.
 SLACK = 4.3
-BLOCK = 256
+#: Documents, and shingles, of a side of a block, about.
+BLOCK = 4096
+BLOCK_SHINGLES = 4_000_000
+#: Rows of a block that are compared at once, and texts of a batch.
+ROWS = 256
+#: Bits of the filter that texts pass before they are shuffled; it sends 4 MB to each executor at any size.
+FILTER_BITS = 1 << 25
 _SEEDS = mix((np.arange(COORDINATES, dtype=np.uint64) + np.uint64(17)) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = mix(_SEEDS) | np.uint64(1)
 _FINE_SEEDS = (mix((np.arange(FINE, dtype=np.uint64) + np.uint64(99)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
@@ -43,7 +50,7 @@ def least_matches(coordinates: int, similarity: float) -> int:
     return max(1, math.ceil(coordinates * similarity - SLACK * math.sqrt(coordinates * similarity * (1 - similarity))))
 
 
-def _sets(texts: list, k: int) -> Iterator[np.ndarray]:
+def _sets(texts: Iterable[str | None], k: int) -> Iterator[np.ndarray]:
     for _, part in chunks(texts):
         words = Words(part, lower=True)
         rolled = words.shingles(k)
@@ -51,6 +58,20 @@ def _sets(texts: list, k: int) -> Iterator[np.ndarray]:
             yield set_of(words.hash[a:b], k, rolled[a:b])
 
 
+def _digest(items: np.ndarray) -> tuple[int, int]:
+    """128 bits that equal sets share."""
+    if not len(items):
+        return 0, 0
+    return int(np.bitwise_xor.reduce(mix(items)).view(np.int64)), int(np.add.reduce(items).view(np.int64))
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of a few hundred rows, so that no more texts than those are Python's at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _signature(items: np.ndarray) -> np.ndarray:
     """Least hash under each coordinate's function, tagged with the coordinate."""
     least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
@@ -72,36 +93,45 @@ def _fine(items: np.ndarray) -> np.ndarray:
 
 def _sign_batches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             size, same_a, same_b, signature, fine = [], [], [], [], []
-            for items in _sets(batch.column("text").to_pylist(), k):
+            for items in _sets((t.as_py() for t in batch.column("text")), k):
                 size.append(len(items))
-                same_a.append(int(np.bitwise_xor.reduce(mix(items))) if len(items) else 0)
-                same_b.append(int(np.add.reduce(items)) if len(items) else 0)
+                a, b = _digest(items)
+                same_a.append(a)
+                same_b.append(b)
                 signature.append(_signature(items).view(np.int64) if len(items) else None)
                 fine.append(_fine(items) if len(items) else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("key"),
                     pa.array(size, pa.int64()),
-                    pa.array(np.array(same_a, np.uint64).view(np.int64)),
-                    pa.array(np.array(same_b, np.uint64).view(np.int64)),
+                    pa.array(same_a, pa.int64()),
+                    pa.array(same_b, pa.int64()),
                     pa.array(signature, pa.list_(pa.int64())),
                     pa.array(fine, pa.list_(pa.int8())),
                 ],
-                ["doc_id", "n_shingles", "same_a", "same_b", "signature", "fine"],
+                ["doc_id", "key", "n_shingles", "same_a", "same_b", "signature", "fine"],
             )
 
     return run
 
 
+def _size_batches(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            sizes = [len(items) for items in _sets((t.as_py() for t in batch.column("text")), k)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64())], ["doc_id", "n_shingles"])
+
+    return run
+
+
 def _set_batches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for at in range(0, len(texts), 256):
-                items = [x.view(np.int64) for x in _sets(texts[at : at + 256], k)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, 256), pa.array(items, pa.list_(pa.int64()))], ["doc_id", "items"])
+        for batch in _slices(batches):
+            items = [x.view(np.int64) for x in _sets((t.as_py() for t in batch.column("text")), k)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(items, pa.list_(pa.int64()))], ["node", "items"])
 
     return run
 
@@ -114,48 +144,62 @@ def _grouped(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.n
     return keys[np.append(0, cuts)].tolist(), np.split(values, cuts)
 
 
-def _compare_block(matches: int, in_all: int, num: int, den: int):
-    """Candidates of a block's left and right side: a row for each document that has any, with a left one's partners.
+def _compare_list(value: int, left: np.ndarray, right: np.ndarray, of: dict[str, np.ndarray], matches: int, in_all: int, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Candidates (outsider, member) of one list, as places in the arrays.
 
-    A pair is taken up only in the first list that both are posted under.
+    A pair is taken up only in the list of the first coordinate that both are posted under, and from its
+    lesser node where both are outsiders. Equal coordinates of a pair are the bits of a number.
     """
+    signature, posted, size = of["signature"], of["posted"], of["n_shingles"]
+    before = np.uint32((1 << int(np.flatnonzero(signature[right[0]] == value)[0])) - 1)
+    b = signature[right]
+    for top in range(0, len(left), ROWS):
+        part = left[top : top + ROWS]
+        equal = np.zeros((len(part), len(right)), np.uint32)
+        for c in range(COORDINATES):
+            equal |= (signature[part, c][:, None] == b[:, c][None, :]).astype(np.uint32) << np.uint32(c)
+        first = equal & posted[part][:, None] & posted[right][None, :] & before == 0
+        first &= of["component"][part][:, None] != of["component"][right][None, :]
+        first &= ~(of["outside"][right][None, :] & (of["node"][right][None, :] < of["node"][part][:, None]))
+        p, q = np.nonzero(first)
+        counted = np.bitwise_count(equal[p, q]).astype(np.int64)
+        p, q = part[p], right[q]
+        low, high = np.minimum(size[p], size[q]), np.maximum(size[p], size[q])
+        fits = (counted >= matches) & (low * den >= high * num)
+        p, q, counted = p[fits], q[fits], counted[fits]
+        for at in range(0, len(p), 16_384):
+            i, j = p[at : at + 16_384], q[at : at + 16_384]
+            enough = counted[at : at + 16_384] + (of["fine"][i] == of["fine"][j]).sum(axis=1) >= in_all
+            yield from zip(i[enough].tolist(), j[enough].tolist(), strict=True)
+
+
+def _compare_block(matches: int, in_all: int, num: int, den: int):
+    """Candidates of a block: a row for each node that has any, with an outsider's partners."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        value, x, y = (frame[c].iloc[0] for c in ("value", "x", "y"))
-        left, right = frame[frame.side == 0], frame[frame.side == 1]
-        rows: list[tuple] = []
-        met: set[int] = set()
-        if len(left) and len(right):
-            (a, fine_a, posted_a), (b, fine_b, posted_b) = ([np.stack(side[c].to_numpy()) for c in ("signature", "fine", "posted")] for side in (left, right))
-            (doc_a, comp_a, size_a), (doc_b, comp_b, size_b) = ([side[c].to_numpy() for c in ("doc_id", "component", "n_shingles")] for side in (left, right))
-            equal = np.zeros((len(a), len(b)), np.uint8)
-            for own, other in zip(a.T, b.T, strict=True):
-                equal += own[:, None] == other[None, :]
-            p, q = np.nonzero((equal >= matches) & (comp_a[:, None] != comp_b[None, :]))
-            fits = np.minimum(size_a[p], size_b[q]) * den >= np.maximum(size_a[p], size_b[q]) * num
-            if x == y:
-                fits &= doc_b[q] > doc_a[p]
-            p, q = p[fits], q[fits]
-            kept = np.zeros(len(p), bool)
-            for at in range(0, len(p), 16_384):
-                i, j = p[at : at + 16_384], q[at : at + 16_384]
-                enough = equal[i, j] + (fine_a[i] == fine_b[j]).sum(axis=1) >= in_all
-                shared = (a[i] == b[j]) & posted_a[i] & posted_b[j]
-                kept[at : at + 16_384] = enough & (np.where(shared, a[i], np.iinfo(np.int64).max).min(axis=1) == value)
-            p, q = p[kept], q[kept]
-            for i, partners in zip(*_grouped(p, doc_b[q]), strict=True):
-                rows.append((value, x, y, doc_a[i], partners))
-            met.update(doc_b[q].tolist())
-        rows += [(value, x, y, doc, None) for doc in sorted(met)]
-        return pd.DataFrame(rows, columns=["value", "x", "y", "doc_id", "partners"])
+        frame = frame.sort_values("value", kind="stable")
+        of = {c: frame[c].to_numpy() for c in ("value", "side", "node", "component", "n_shingles", "outside", "posted")}
+        of["posted"] = of["posted"].astype(np.uint32)
+        of |= {c: np.stack(frame[c].to_numpy()) for c in ("signature", "fine")}
+        partners: dict[int, set[int]] = {}
+        for value, places in zip(*_grouped(of["value"], np.arange(len(frame))), strict=True):
+            sides = of["side"][places]
+            left, right = places[(sides == 0) | (sides == 2) & of["outside"][places]], places[sides > 0]
+            if len(left) and len(right):
+                for i, j in _compare_list(value, left, right, of, matches, in_all, num, den):
+                    partners.setdefault(of["node"][i], set()).add(of["node"][j])
+        met = set().union(*partners.values()) - partners.keys()
+        x, y, block = (frame[c].iloc[0] for c in ("x", "y", "block"))
+        rows = [(block, x, y, node, sorted(partners[node])) for node in sorted(partners)] + [(block, x, y, node, None) for node in sorted(met)]
+        return pd.DataFrame(rows, columns=["block", "x", "y", "node", "partners"])
 
     return run
 
 
 def _confirm_block(num: int, den: int):
-    """Links of a block's candidates, on full sets; those that join what others have joined are left out."""
+    """Links of a block's candidates, on full sets; a document links at most once with what others have joined."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        sets = dict(zip(frame.doc_id, frame["items"], strict=True))
-        root = dict(zip(frame.doc_id, frame.doc_id, strict=True))
+        sets = dict(zip(frame.node, frame["items"], strict=True))
+        root = dict(zip(frame.node, frame.node, strict=True))
 
         def top(doc: int) -> int:
             while root[doc] != doc:
@@ -164,15 +208,22 @@ def _confirm_block(num: int, den: int):
             return doc
 
         links = []
-        for doc, partners in zip(frame.doc_id, frame.partners, strict=True):
-            for other in () if partners is None else partners:
-                one, two = top(doc), top(other)
-                if one == two:
+        for doc, partners in zip(frame.node, frame.partners, strict=True):
+            if partners is None:
+                continue
+            own = np.sort(sets[doc])
+            for at in range(0, len(partners), ROWS):
+                some = [o for o in partners[at : at + ROWS] if top(o) != top(doc)]
+                if not some:
                     continue
-                both = len(np.intersect1d(sets[doc], sets[other], assume_unique=True))
-                if both * den >= (len(sets[doc]) + len(sets[other]) - both) * num:
-                    root[two] = one
-                    links.append((doc, other))
+                sizes = np.array([len(sets[o]) for o in some])
+                items = np.concatenate([sets[o] for o in some])
+                found = own[np.minimum(np.searchsorted(own, items), len(own) - 1)] == items
+                both = np.add.reduceat(found.astype(np.int64), np.cumsum(sizes) - sizes)
+                for k in np.flatnonzero(both * den >= (len(own) + sizes - both) * num):
+                    if top(some[k]) != top(doc):
+                        root[top(some[k])] = top(doc)
+                        links.append((doc, some[k]))
         return pd.DataFrame(links, columns=["src", "dst"]).astype("int64")
 
     return run
@@ -181,7 +232,7 @@ def _confirm_block(num: int, den: int):
 def _counted(pairs: DataFrame, signed: DataFrame, matches: int, in_all: int, num: int, den: int) -> DataFrame:
     """Pairs with enough equal coordinates and sizes that allow the similarity."""
     def of(name: str) -> DataFrame:
-        return signed.select(F.col("doc_id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("signature", "fine", "n_shingles")])
+        return signed.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("signature", "fine", "n_shingles")])
 
     def equal(column: str) -> Column:
         same = F.zip_with(f"{column}_src", f"{column}_dst", lambda x, y: (x == y).cast("int"))
@@ -192,111 +243,159 @@ def _counted(pairs: DataFrame, signed: DataFrame, matches: int, in_all: int, num
     return near.where((equal("signature") >= matches) & (equal("signature") + equal("fine") >= in_all)).select("src", "dst")
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    found = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_set_batches(k), "doc_id long, items array<long>")
-    return found.dropDuplicates(["doc_id"])
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, and a key of both: rows that repeat an id with another text are other documents."""
+    doc, text = docs[id_col].cast("long"), docs[text_col]
+    return docs.select(doc.alias("doc_id"), text.alias("text"), text_key(doc, text).alias("key"))
+
+
+def text_key(doc: Column, text: Column) -> Column:
+    """16 bytes of an id and a text, nulls included."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc.cast("string"), F.lit("")), F.lit(" "), F.coalesce(text, F.lit("")))))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _full_sets(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """node and items of the wanted nodes (node, key). Texts whose key is not in a bitmap of wanted keys are not shuffled."""
+    bit = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
+    marks = wanted.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_marks"))
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("_marks", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = texts.join(F.broadcast(marks), F.bitmap_bucket_number(bit) == F.col("_bucket"))  # FILTER_BITS / 8 bytes at most
+    met = met.where(F.getbit(byte, (place % 8).cast("int")) == 1).select("key", "text").join(wanted, "key").select("node", "text")
+    return met.mapInArrow(_set_batches(k), "node long, items array<long>").dropDuplicates(["node"])
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Pairs whose full shingle sets reach the similarity."""
-    sets = _full_sets(docs, pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct(), k)
-    joined = pairs.join(sets.select(F.col("doc_id").alias("src"), F.col("items").alias("a")), "src").join(
-        sets.select(F.col("doc_id").alias("dst"), F.col("items").alias("b")), "dst"
+    wanted = reps.join(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "node", "left_semi").select("node", "key")
+    sets = _full_sets(texts, wanted, k)
+    joined = pairs.join(sets.select(F.col("node").alias("src"), F.col("items").alias("a")), "src").join(
+        sets.select(F.col("node").alias("dst"), F.col("items").alias("b")), "dst"
     )
     both = F.size(F.array_intersect("a", "b"))
     return joined.where(both * den >= (F.size("a") + F.size("b") - both) * num).select("src", "dst")
 
 
-def near_duplicates(
-    docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """Group documents whose sets of k-word shingles have a Jaccard similarity of percent / 100 or more.
+def _signed(texts: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """What is known of every row, and one representative for each distinct set that has shingles: exact copies cost one posting in all."""
+    signed = settle(
+        texts.mapInArrow(_sign_batches(k), "doc_id long, key binary, n_shingles long, same_a long, same_b long, signature array<long>, fine array<tinyint>")
+    )
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("rep")
+    classes = signed.where("n_shingles > 0").groupBy("n_shingles", "same_a", "same_b").agg(first, F.first("signature").alias("signature"), F.first("fine").alias("fine"))
+    # an id may be in several classes, with several texts: classes are known by a number
+    return signed, settle(
+        classes.select(F.monotonically_increasing_id().alias("node"), "rep.doc_id", "rep.key", "same_a", "same_b", "n_shingles", "signature", "fine")
+    )
 
-    Returns one row per input row: id_col, n_shingles, component_id (least id reachable by links),
-    kept (the row's id is that id). Words are lower-cased in A-Z only; a text with fewer than k words
-    is one shingle. Null or wordless texts have no shingles and link with nothing. Rows that repeat
-    an id share its component; if their texts differ, each text links for that id. A null id links
-    with nothing, gets a null component and is kept. Other columns are ignored, clashing names included.
 
-    Similar sets share a coordinate with their similarity as chance: at 0.8, a pair has fewer than 16
-    of 32 equal coordinates, or 83 of all 128, in about one case in a hundred thousand.
-    """
-    spark = docs.sparkSession
-    ship(spark)
+def _links(texts: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """src and dst of links between nodes, enough of them to connect all that are linked."""
     num, den = percent, 100
     matches, in_all = least_matches(COORDINATES, percent / 100), least_matches(COORDINATES + FINE, percent / 100)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = settle(
-        texts.mapInArrow(_sign_batches(k), "doc_id long, n_shingles long, same_a long, same_b long, signature array<long>, fine array<tinyint>")
-    )
-    # equal sets first: one representative each, so exact copies cost one posting in all
-    full = signed.where("doc_id is not null and n_shingles > 0")
-    classes = full.groupBy("n_shingles", "same_a", "same_b").agg(
-        F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("fine").alias("fine")
-    )
-    # a row that repeats an id with another text would be its own class with the same rep
-    reps = settle(classes.select(F.col("rep").alias("doc_id"), "n_shingles", "signature", "fine"))
-    postings = reps.select("doc_id", F.explode("signature").alias("value"))
+    postings = reps.select("node", F.explode("signature").alias("value"))
     shared = postings.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     ranked = (
         postings.join(shared, "value")
-        .groupBy("doc_id")
+        .groupBy("node")
         .agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("own"), F.sum("df").alias("weight"))
         .where(F.size("own") >= matches)
     )
-    posted = settle(ranked.select("doc_id", "weight", F.expr(f"transform(slice(own, 1, size(own) - {matches} + 1), p -> p.value)").alias("values")))
-    prefix = posted.select("doc_id", "weight", F.explode("values").alias("value"))
+    posted = settle(ranked.select("node", "weight", F.expr(f"transform(slice(own, 1, size(own) - {matches} + 1), p -> p.value)").alias("values")))
+    prefix = posted.select("node", "weight", F.explode("values").alias("value"))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return settle(_confirmed(settle(_counted(pairs.distinct(), reps, matches, in_all, num, den)), texts, k, num, den))
+        return settle(_confirmed(settle(_counted(pairs.distinct(), reps, matches, in_all, num, den)), texts, reps, k, num, den))
 
     def placed(links: DataFrame) -> DataFrame:
-        of = connected_components(links).withColumnRenamed("node", "doc_id")
-        return settle(prefix.join(of, "doc_id", "left").select("value", "weight", "doc_id", F.coalesce("component", "doc_id").alias("component")))
+        of = connected_components(links)
+        return settle(prefix.join(of, "node", "left").select("value", "weight", "node", F.coalesce("component", "node").alias("component")))
 
-    best = F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"))).alias("top")
+    best = F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top")
     leaders = prefix.groupBy("value").agg(best, F.count("*").alias("n")).where("n > 1").select("value", (-F.col("top.minus")).alias("src"))
-    links = linked(prefix.join(leaders, "value").where("doc_id <> src").select("src", F.col("doc_id").alias("dst")))
-    # what the leaders have not reached: one more leader for each list, from outside the first one's component
-    lists = placed(links)
-    top = F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"), "component")).alias("top")
-    span = (F.min("component") != F.max("component")).alias("open")
-    first = lists.groupBy("value").agg(top, span).where("open").select("value", F.col("top.component").alias("done"))
-    second = lists.join(first, "value").where("component <> done").groupBy("value").agg(top)
-    second = second.select("value", (-F.col("top.minus")).alias("src"), F.col("top.component").alias("mine"))
-    links = links.unionByName(linked(lists.join(second, "value").where("component <> mine").select("src", F.col("doc_id").alias("dst"))))
-    # lists that still span components: compare across them, in blocks of bounded size
+    links = linked(prefix.join(leaders, "value").where("node <> src").select("src", F.col("node").alias("dst")))
+
+    def largest(lists: DataFrame) -> DataFrame:
+        """The component that most of an open list's members are in."""
+        parts = lists.groupBy("value", "component").agg(F.count("*").alias("n"))
+        return parts.groupBy("value").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+
     lists = placed(links)
-    open_lists = lists.groupBy("value").agg(span, F.count("*").alias("n")).where("open").select("value", "n")
-    signs = reps.join(posted.select("doc_id", "values"), "doc_id").select(
-        "doc_id", "n_shingles", "signature", "fine", F.transform("signature", lambda v: F.array_contains("values", v)).alias("posted")
-    )
-    members = (
-        lists.join(open_lists, "value")
-        .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-        .withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-        .join(signs, "doc_id")
-    )
-    carried = ("doc_id", "component", "n_shingles", "signature", "fine", "posted")
-    lefts = members.withColumn("other", F.explode(F.expr("sequence(mine, blocks - 1)"))).select(
-        "value", F.col("mine").alias("x"), F.col("other").alias("y"), F.lit(0).alias("side"), *carried
-    )
-    rights = members.withColumn("other", F.explode(F.expr("sequence(0, mine)"))).select(
-        "value", F.col("other").alias("x"), F.col("mine").alias("y"), F.lit(1).alias("side"), *carried
+    while True:  # a leader more for each list, from outside its largest component, while that pays
+        spanning = settle(largest(lists))
+        waiting = lists.join(spanning, "value").where("component <> main")
+        n_waiting = waiting.select("node").distinct().count()
+        if not n_waiting:
+            return links
+        top = F.max(F.struct("weight", (-F.col("node")).alias("minus"), "component")).alias("top")
+        second = waiting.groupBy("value").agg(top).select("value", (-F.col("top.minus")).alias("src"), F.col("top.component").alias("mine"))
+        found = linked(lists.join(second, "value").where("component <> mine").select("src", F.col("node").alias("dst")))
+        n_found = found.count()
+        if n_found:
+            links = links.unionByName(found)
+            lists = placed(links)
+        if n_found * 4 < n_waiting:
+            break
+    # lists that still span components: their outsiders with all members, in blocks of bounded size
+    posts = F.expr(f"aggregate(sequence(0, {COORDINATES - 1}), 0L, (all, c) -> all + if(array_contains(values, signature[c]), shiftleft(1L, c), 0L))")
+    signs = reps.join(posted.select("node", "values"), "node").select("node", "n_shingles", "signature", "fine", posts.alias("posted"))
+    members = lists.join(largest(lists), "value").withColumn("outside", F.col("component") != F.col("main")).join(signs, "node")
+
+    def sides(of: Column) -> Column:
+        return F.greatest(F.ceil(F.sum(F.when(of, 1)) / BLOCK), F.ceil(F.sum(F.when(of, F.col("n_shingles"))) / BLOCK_SHINGLES)).cast("int")
+
+    shape = settle(members.groupBy("value").agg(sides(F.col("outside")).alias("xs"), sides(F.lit(True)).alias("ys"), F.count("*").alias("n"), F.sum("n_shingles").alias("weight")))
+    short = shape.where("xs = 1 and ys = 1").agg(F.sum("n"), F.sum("weight")).first()
+    shared_blocks = max(1, math.ceil((short[0] or 0) / BLOCK), math.ceil((short[1] or 0) / BLOCK_SHINGLES))
+    members = members.drop("weight").join(shape.drop("n", "weight"), "value")
+    hashed = F.xxhash64("node")
+    carried = ("value", "node", "component", "n_shingles", "outside", "signature", "fine", "posted")
+    alone = F.col("xs") * F.col("ys") == 1
+    block = F.when(alone, F.pmod(F.xxhash64("value"), F.lit(shared_blocks))).otherwise(F.col("value")).alias("block")
+    side = F.when(alone, 2).otherwise(1).alias("side")
+    rights = members.select(block, F.explode(F.expr("sequence(0, xs - 1)")).alias("x"), F.pmod(hashed, F.col("ys")).cast("int").alias("y"), alone.alias("alone"), side, *carried)
+    lefts = members.where(F.col("outside") & ~alone).select(
+        block, F.pmod(hashed, F.col("xs")).cast("int").alias("x"), F.explode(F.expr("sequence(0, ys - 1)")).alias("y"), alone.alias("alone"), F.lit(0).alias("side"), *carried
     )
     candidates = settle(
-        lefts.unionByName(rights).groupBy("value", "x", "y")
-        .applyInPandas(_compare_block(matches, in_all, num, den), "value long, x int, y int, doc_id long, partners array<long>")
+        lefts.unionByName(rights).groupBy("block", "x", "y", "alone")
+        .applyInPandas(_compare_block(matches, in_all, num, den), "block long, x int, y int, node long, partners array<long>")
     )
-    sets = _full_sets(texts, candidates.select("doc_id").distinct(), k)
-    late = settle(candidates.join(sets, "doc_id").groupBy("value", "x", "y").applyInPandas(_confirm_block(num, den), "src long, dst long"))
-    # rows of one id with several texts tie their classes together
-    ties = full.join(classes.select("n_shingles", "same_a", "same_b", "rep"), ["n_shingles", "same_a", "same_b"]).where("doc_id <> rep")
-    ties = ties.select(F.col("rep").alias("src"), F.col("doc_id").alias("dst"))
-    nodes = connected_components(links.unionByName(late).unionByName(ties))
+    wanted = reps.join(candidates.select("node").distinct(), "node", "left_semi").select("node", "key")
+    late = settle(candidates.join(_full_sets(texts, wanted, k), "node").groupBy("block", "x", "y").applyInPandas(_confirm_block(num, den), "src long, dst long"))
+    return links.unionByName(late)
+
+
+def near_duplicates(
+    docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Group documents whose sets of k-word shingles have a Jaccard similarity of percent / 100 or more.
+
+    Returns one row per input row: id_col, n_shingles, component_id (least id reachable by links),
+    kept (the row's id is that id). Words are lower-cased in A-Z only; a text with fewer than k words
+    is one shingle. Null or wordless texts have no shingles and link with nothing. Rows that repeat
+    an id share its component; if their texts differ, each text links for that id. A null id links
+    with nothing, gets a null component and is kept. Other columns are ignored, clashing names included.
+
+    Similar sets share a coordinate with their similarity as chance: at 0.8, a link is missed where fewer
+    than 16 of 32 coordinates are equal (3.3e-5) or fewer than 83 of all 128 (2.0e-5).
+    """
+    ship(docs.sparkSession)
+    texts = _texts(docs, id_col, text_col).where("doc_id is not null")
+    signed, reps = _signed(texts, k)
+    links = _links(texts, reps, k, percent)
+    for end in ("src", "dst"):
+        links = links.join(reps.select(F.col("node").alias(end), F.col("doc_id").alias(f"{end}_doc")), end).drop(end).withColumnRenamed(f"{end}_doc", end)
+    # every document of a class is linked with its representative
+    same = ["n_shingles", "same_a", "same_b"]
+    ties = signed.where("n_shingles > 0").select("doc_id", *same).join(reps.select(F.col("doc_id").alias("src"), *same), same)
+    ties = ties.select("src", F.col("doc_id").alias("dst")).where("src <> dst")
+    nodes = connected_components(links.unionByName(ties))
+    of_none = _texts(docs, id_col, text_col).where("doc_id is null").mapInArrow(_size_batches(k), "doc_id long, n_shingles long")
     return (
         signed.select("doc_id", "n_shingles")
         .join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        .unionByName(of_none, allowMissingColumns=True)
         .select(
             F.col("doc_id").alias(id_col),
             "n_shingles",
@@ -304,3 +403,22 @@ def near_duplicates(
             F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"),
         )
     )
+
+
+def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with one left of each group of near-duplicates, all columns kept.
+
+    A document is a row's id and text together: rows that repeat both count once, those that repeat an id with
+    another text are judged for themselves, null ids as well. The document of least id stays, null ids after
+    all others. Null or wordless texts are near nothing.
+    """
+    ship(docs.sparkSession)
+    texts = _texts(docs, id_col, text_col)
+    signed, reps = _signed(texts, k)
+    of = connected_components(_links(texts, reps, k, percent))
+    grouped = reps.join(of, "node", "left").groupBy(F.coalesce("component", "node").alias("component"))
+    first = grouped.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("rep")).select("rep.key")
+    kept = first.unionByName(signed.where("n_shingles = 0").select("key")).withColumnRenamed("key", "_key")
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")  # no name of theirs can clash
+    keyed = docs.select(row, text_key(docs[id_col].cast("long"), docs[text_col]).alias("_key"))
+    return keyed.join(kept, "_key", "left_semi").groupBy("_key").agg(F.first("row").alias("row")).select("row.*")
