@@ -19,8 +19,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10 on five words at 0.8: the document of least id stays of each group."""
-    copies = minhash.near_duplicates(docs, k=5, percent=80).where("not kept").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(copies, docs["doc_id"] == copies["_copy"], "left_anti")
+    return minhash.one_of_each_group(docs, k=5, percent=80)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
