@@ -21,6 +21,8 @@ SUBSPACES = 8
 CODES = 64
 MEMBER_BLOCK = 4096
 QUERY_BLOCK = 8192
+#: Queries of a block that are compared at once.
+PIECE = 128
 #: Room for rounding in products of single precision.
 ROUNDING = 1e-4
 
@@ -29,7 +31,8 @@ def _kmeans(points: np.ndarray, k: int, rounds: int, unit: bool) -> np.ndarray:
     rng = np.random.default_rng(7)
     centres = points[rng.permutation(len(points))[:k]].copy()
     for _ in range(rounds):
-        near = np.argmax(points @ centres.T - (0 if unit else 0.5 * (centres**2).sum(1)), axis=1)
+        off = 0 if unit else 0.5 * (centres**2).sum(1)
+        near = np.concatenate([np.argmax(points[at : at + 1024] @ centres.T - off, axis=1) for at in range(0, len(points), 1024)])
         count = np.bincount(near, minlength=len(centres))
         total = np.zeros_like(centres)
         np.add.at(total, near, points)
@@ -113,7 +116,7 @@ def _assign(index: Index, threshold: float):
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                x = np.array(batch.column("unit").to_pylist(), float)
+                x = batch.column("unit").flatten().to_numpy().reshape(batch.num_rows, -1)
                 home = np.argmax(x @ index.centres.T, axis=1)
                 codes = index.code(x, home)
                 yield pa.RecordBatch.from_arrays(
@@ -149,6 +152,19 @@ def _probe(index: Index, bins: np.ndarray, threshold: float):
     return run
 
 
+def _fold(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the labels of linked places; a label is the least place of those joined so far, and its own label."""
+    while len(a):
+        one, two = label[a], label[b]
+        if (one == two).all():
+            return
+        low = np.minimum(one, two)
+        np.minimum.at(label, one, low)
+        np.minimum.at(label, two, low)
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
 def _search(index: Index, threshold: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         members, queries = frame[frame.side == 0], frame[frame.side == 1]
@@ -162,9 +178,11 @@ def _search(index: Index, threshold: float):
         qid = queries.cid.to_numpy()
         qx = np.stack([np.frombuffer(v) for v in queries.vec])
         single = qx.astype(np.float32)
-        links, hit_q, hit_m = np.zeros(len(qid), np.int64), [], []
-        for at in range(0, len(qid), 512):
-            a, b = np.divmod(np.flatnonzero(single[at : at + 512] @ decoded >= bound), len(mid))
+        links = np.zeros(len(qid), np.int64)
+        ids = np.unique(np.concatenate([qid, mid]))
+        label, q_at, m_at = np.arange(len(ids)), np.searchsorted(ids, qid), np.searchsorted(ids, mid)
+        for at in range(0, len(qid), PIECE):
+            a, b = np.divmod(np.flatnonzero(single[at : at + PIECE] @ decoded >= bound), len(mid))
             a += at
             keep = np.zeros(len(a), bool)
             for s in range(0, len(a), 65536):
@@ -173,20 +191,7 @@ def _search(index: Index, threshold: float):
             keep &= qid[a] != mid[b]
             a, b = a[keep], b[keep]
             np.add.at(links, a, mw[b])
-            if len(a):
-                # what this piece joins: one label a node, settled within the piece, never the pairs
-                hit_q.append(a), hit_m.append(b)
-        ids = np.unique(np.concatenate([qid, mid]))
-        label = np.arange(len(ids))
-        if hit_q:
-            a, b = np.searchsorted(ids, qid[np.concatenate(hit_q)]), np.searchsorted(ids, mid[np.concatenate(hit_m)])
-            while True:
-                low = np.minimum(label[a], label[b])
-                np.minimum.at(label, a, low)
-                np.minimum.at(label, b, low)
-                label = label[label]
-                if (label[a] == label[b]).all():
-                    break
+            _fold(label, q_at[a], m_at[b])  # pairs live as long as their piece
         counted = pd.DataFrame({"cid": qid, "links": links, "label": qid})[links > 0]
         joined = label != np.arange(len(ids))
         edges = pd.DataFrame({"cid": ids[joined], "links": 0, "label": ids[label[joined]]})

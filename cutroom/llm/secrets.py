@@ -9,6 +9,8 @@ the parts between separators that it touches; what else the run holds does not m
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +36,45 @@ ALLOW = (r"(.)\1{5,}", r"[a-z]{12,}|^[A-Za-z/_-]+$")
 ALLOW_PART = r"(?i)example|placeholder|sample|dummy|changeme|your[_-]|0123456789|abcdefghij|qwertyuiop|deadbeef"
 SEPARATORS = "=/_-"
 KINDS = (*BASE, "entropy")
+#: Matches of a text whose places are worked out together.
+GROUP = 128
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), value being worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _scan(items: Column, first: Column, carry: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
+    """emit(what is carried to an item, the item) for each item in order, as array<kind>.
 
+    Items go in groups: an array grows by copying, so what each group puts out is built by itself and joined
+    once, and the time of a text stays in proportion to its items.
+    """
+    def groups_of(held: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(held), F.lit(GROUP)), lambda at: F.slice(held, at, F.lit(GROUP)))
+
+    def of_groups(groups: Column) -> Column:
+        carried = F.aggregate(
+            groups, F.array(first), lambda acc, group: F.concat(acc, F.array(F.aggregate(group, F.element_at(acc, -1), carry)))
+        )
+        nothing = F.array().cast(f"array<{kind}>")
+        grown = lambda group, start: F.aggregate(
+            group,
+            F.struct(start.alias("at"), nothing.alias("out")),
+            lambda acc, item: F.struct(carry(acc["at"], item).alias("at"), F.concat(acc["out"], F.array(emit(acc["at"], item))).alias("out")),
+            lambda acc: acc["out"],
+        )
+        return _with(carried, lambda starts: F.flatten(F.zip_with(groups, F.slice(starts, 1, F.size(groups)), grown)))
 
-def _spans(text: Column, pattern: str, kind: int, least: Column | None = None) -> Column:
-    """array<struct<start, kind, end>> of the leftmost non-overlapping matches, in code points.
+    return _with(items, lambda held: F.when(F.size(held) > 0, _with(groups_of(held), of_groups)).otherwise(F.array().cast(f"array<{kind}>")))
+
+
+_SPAN = "struct<start:int,kind:int,end:int,m:string>"
+
+
+def _spans(text: Column, pattern: str, kind: int) -> Column:
+    """array<struct<start, kind, end, m>> of the leftmost non-overlapping matches, in code points.
 
     What split leaves between the matches and the matches themselves add up to the places.
     """
@@ -45,20 +82,30 @@ def _spans(text: Column, pattern: str, kind: int, least: Column | None = None) -
     found = F.regexp_extract_all(text, expression, F.lit(0))
     between = F.split(text, pattern, -1)
     step = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, b: F.struct(F.length(b).alias("skip"), F.length(m).alias("size"), m.alias("m")))
-    nothing = F.array().cast("array<struct<start:int,kind:int,end:int,m:string>>")
-    folded = F.aggregate(
+    placed = _scan(
         step,
-        F.struct(F.lit(0).alias("at"), nothing.alias("out")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["skip"] + s["size"]).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct((acc["at"] + s["skip"]).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + s["skip"] + s["size"]).alias("end"), s["m"].alias("m"))),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
+        F.lit(0),
+        lambda at, s: at + s["skip"] + s["size"],
+        lambda at, s: F.struct((at + s["skip"]).alias("start"), F.lit(kind).alias("kind"), (at + s["skip"] + s["size"]).alias("end"), s["m"].alias("m")),
+        _SPAN,
+    )
+    return F.when(F.rlike(text, expression), placed).otherwise(F.array().cast(f"array<{_SPAN}>"))
+
+
+def _outside(spans: Column, base: Column) -> Column:
+    """The spans that are not wholly inside one of base: none that starts before them, or there, reaches their end."""
+    def marked(all_: Column, own: bool) -> Column:
+        return F.transform(all_, lambda s: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["end"].alias("end"), (s["m"] if own else F.lit(None).cast("string")).alias("m")))
+
+    told = _scan(
+        F.array_sort(F.concat(marked(base, False), marked(spans, True))),  # at one place, base comes first
+        F.lit(0),
+        lambda reach, s: F.when(s["own"], reach).otherwise(F.greatest(reach, s["end"])),
+        lambda reach, s: F.struct((s["own"] & (reach < s["end"])).alias("free"), s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m")),
+        "struct<free:boolean,start:int,end:int,m:string>",
     )
-    return F.when(F.rlike(text, expression), folded).otherwise(nothing)
+    kept = F.filter(told, lambda s: s["free"])
+    return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(len(BASE)).alias("kind"), s["end"].alias("end"), s["m"].alias("m")))
 
 
 def _bits(n: Column) -> Column:
@@ -125,7 +172,6 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.withColumn("base", F.array_sort(F.concat(*BASE)))
 
     def secret(s: Column) -> Column:
-        inside = F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
         loose = ~F.rlike(s["m"], F.lit(ALLOW_PART))
 
         def high(i: Column) -> Column:
@@ -141,11 +187,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             free = loose | ~F.rlike(F.concat(left, window, right), F.lit(ALLOW_PART))
             return F.when(bits.isNotNull() & ~allowed & free, F.round(best_entropy(window), 6) >= bits).otherwise(False)
 
-        likely = ~inside & F.rlike(s["m"], F.lit("[0-9]"))  # no class has letters alone
+        likely = F.rlike(s["m"], F.lit("[0-9]"))  # no class has letters alone
         likely = F.when(likely, F.round(best_entropy(s["m"]), 6) >= min(least for _, least in CLASSES.values())).otherwise(False)
         return F.when(likely, F.exists(F.sequence(F.lit(1), F.length(s["m"]) - WINDOW + 1), high)).otherwise(False)
 
-    rows = rows.withColumn("high", _plain(F.filter(_spans(F.col("text"), CANDIDATE, len(BASE)), secret)))
+    rows = rows.withColumn("high", _plain(F.filter(_outside(_spans(F.col("text"), CANDIDATE, len(BASE)), F.col("base")), secret)))
     rows = rows.withColumn("all", F.array_sort(F.concat("base", "high")))
     return rows.select(
         F.col("id").alias(id_col),

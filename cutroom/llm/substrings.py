@@ -173,18 +173,20 @@ def _lists(values: pa.Array, cuts: np.ndarray) -> pa.ListArray:
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed one by one: that is how they cross a shuffle."""
     pack = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
-        texts = [pack((t or "").encode("utf-8", "replace")) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "id", "other")), pa.array(texts, pa.binary())], ["key", "id", "other", "packed"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            texts = [pack((t.as_py() or "").encode("utf-8", "replace")) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "id", "other")), pa.array(texts, pa.binary())], ["key", "id", "other", "packed"])
 
 
 def _chunks(batch: pa.RecordBatch, n: int) -> Iterator[tuple[slice, Passages]]:
     """(rows, passages) of a batch in chunks of bounded size."""
     if "packed" in batch.schema.names:
         unpack = zstandard.ZstdDecompressor().decompress
-        texts = (unpack(t) for t in batch.column("packed").to_pylist())
+        texts = (unpack(t.as_py()) for t in batch.column("packed"))
     else:
-        texts = batch.column("text").to_pylist()
+        texts = (t.as_py() for t in batch.column("text"))
     for first, part in chunks(texts):
         yield slice(first, first + len(part)), Passages(part, n)
 
@@ -215,7 +217,7 @@ def _unit_batches(n: int):
                 doc = text.doc[units]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        _long(h1), _long(h2), _long(ids[rows][doc]), pa.array(other[rows][doc], pa.int32()), pa.array((units - text.first[doc]).astype(np.int32)),
+                        _long(h1), _long(h2), _long(ids[rows][doc]), _long(other[rows][doc]), pa.array((units - text.first[doc]).astype(np.int32)),
                         _lists(_long(a), np.searchsorted(u, np.arange(len(units) + 1))),
                     ],
                     ["h1", "h2", "id", "other", "start", "anchors"],
@@ -251,7 +253,7 @@ def _stretch_batches(n: int):
                     whole[has] = key
                     keys.append(pa.array(whole.view(np.int64), pa.int64(), mask=~has))
                 yield pa.RecordBatch.from_arrays(
-                    [_long(h1), _long(h2), _long(ids[rows][doc]), pa.array(other[rows][doc], pa.int32()), pa.array((starts - text.first[doc]).astype(np.int32)), *keys],
+                    [_long(h1), _long(h2), _long(ids[rows][doc]), _long(other[rows][doc]), pa.array((starts - text.first[doc]).astype(np.int32)), *keys],
                     ["h1", "h2", "id", "other", "start", *(f"k{p}" for p in range(PARTS))],
                 )
 
@@ -277,7 +279,7 @@ def _window_batches(n: int):
                 h1, h2 = text.hashes(windows, windows + n)
                 doc = text.doc[windows]
                 yield pa.RecordBatch.from_arrays(
-                    [_long(h1), _long(h2), _long(ids[rows][doc]), pa.array(other[rows][doc], pa.int32()), pa.array((windows - text.first[doc]).astype(np.int32))], ["h1", "h2", "id", "other", "start"]
+                    [_long(h1), _long(h2), _long(ids[rows][doc]), _long(other[rows][doc]), pa.array((windows - text.first[doc]).astype(np.int32))], ["h1", "h2", "id", "other", "start"]
                 )
 
     return run
@@ -325,16 +327,16 @@ def remove_repeats(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_co
     ``kept``, those words, if with_text. A null text has no words; texts of fewer than n words lose none.
     Rows that repeat both id and text are one document, and get the same result each; rows that repeat an id
     with another text are documents of their own, in order of a hash of the text; rows without an id come
-    after all others. Other columns are ignored.
+    after all others, as if their id were the greatest long. Other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
     text = F.coalesce(docs[text_col], F.lit(""))
-    keyed = docs.select(docs[id_col].alias("key"), F.coalesce(docs[id_col].cast("long"), F.lit(2**63 - 1)).alias("id"), F.hash(text).alias("other"), text.alias("text"))
+    keyed = docs.select(docs[id_col].alias("key"), F.coalesce(docs[id_col].cast("long"), F.lit(2**63 - 1)).alias("id"), F.xxhash64(text, docs[id_col].isNull()).alias("other"), text.alias("text"))
     kind = dict(docs.dtypes)[id_col]
-    packed = keyed.mapInArrow(_packed, f"key {kind}, id long, other int, packed binary")
+    packed = keyed.mapInArrow(_packed, f"key {kind}, id long, other long, packed binary")
     doc = ["id", "other"]
-    units = keyed.select("id", "other", "text").mapInArrow(_unit_batches(n), "h1 long, h2 long, id long, other int, start int, anchors array<long>")
+    units = keyed.select("id", "other", "text").mapInArrow(_unit_batches(n), "h1 long, h2 long, id long, other long, start int, anchors array<long>")
     firsts = settle(units.groupBy("h1", "h2").agg(F.min(_place("anchors")).alias("p")).select("p.*"))
     release(spark)
     posted = firsts.select(*doc, "start", F.explode("anchors").alias("anchor"))
@@ -347,7 +349,7 @@ def remove_repeats(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_co
     release(spark)
     keys = [f"k{p}" for p in range(PARTS)]
     stretches = packed.join(wanted, doc).select(*doc, "packed", "units", "seeds").mapInArrow(
-        _stretch_batches(n), "h1 long, h2 long, id long, other int, start int, " + ", ".join(f"{k} long" for k in keys)
+        _stretch_batches(n), "h1 long, h2 long, id long, other long, start int, " + ", ".join(f"{k} long" for k in keys)
     )
     leading = settle(stretches.groupBy("h1", "h2").agg(F.min(_place(*keys)).alias("p")).select("p.*"))
     release(spark)
@@ -358,7 +360,7 @@ def remove_repeats(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_co
     led = settle(leading.groupBy(*doc).agg(F.collect_list("start").alias("stretches")))
     del leading, parts, shared
     release(spark)
-    windows = packed.join(open_parts, doc).select(*doc, "packed", "open").mapInArrow(_window_batches(n), "h1 long, h2 long, id long, other int, start int")
+    windows = packed.join(open_parts, doc).select(*doc, "packed", "open").mapInArrow(_window_batches(n), "h1 long, h2 long, id long, other long, start int")
     windows = settle(windows)
     release(spark)
     earliest = windows.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).where("first <> last").select("h1", "h2", "first")
