@@ -116,6 +116,70 @@ def test_op3_odd_texts(spark):
     assert by_id(langid.identify(docs(spark, rows), langid.fit(labelled.limit(0))))[1].lang_pred == "und"
 
 
+def backoff(rows, langs, longest=4, least=2):
+    """The word-first backoff in plain counting: text -> (language, score)."""
+    counts = {lang: [{} for _ in range(longest + 1)] for lang in langs}
+    for text, lang in sorted(set(rows)):
+        for word in letters(text):
+            own = counts[lang]
+            own[0][word] = own[0].get(word, 0) + 1
+            padded = f" {word} "
+            for size in range(1, longest + 1):
+                for at in range(len(padded) - size + 1 - (size == 1)):  # a space stands between two words once
+                    own[size][padded[at : at + size]] = own[size].get(padded[at : at + size], 0) + 1
+    totals = {lang: [sum(c.values()) for c in own] for lang, own in counts.items()}
+    kept = {lang: [{k: n for k, n in c.items() if n >= least or max(c.values()) < least} for c in own] for lang, own in counts.items()}
+    known = lambda size, item: any(item in kept[lang][size] for lang in langs)
+    rate = lambda lang, size, item: np.log((kept[lang][size].get(item, 0) + 0.5) / (max(1, totals[lang][size]) + 1))
+
+    def word_scores(word):
+        if known(0, word):
+            return [rate(lang, 0, word) for lang in langs]
+        padded, at, rows = f" {word} ", 0, []
+        while at < len(padded):
+            size = next((s for s in range(min(longest, len(padded) - at), 0, -1) if known(s, padded[at : at + s])), 0)
+            rows.append([rate(lang, size, padded[at : at + size]) if size else np.log(0.5 / max(1, totals[lang][1])) for lang in langs])
+            at += max(1, max(size, 1) - 1)
+        return np.mean(rows, axis=0)
+
+    def predict(text):
+        words = letters(text or "")
+        if not words:
+            return "und", 0.0
+        mean = np.mean([word_scores(w) for w in words], axis=0)
+        share = np.exp((mean - mean.max()) * min(len(words), 50))
+        return langs[int(np.argmax(mean))], float(share.max() / share.sum())
+
+    return predict
+
+
+def letters(text):
+    return "".join(c if c.isalpha() else " " for c in text.lower()).split()
+
+
+def test_op3_against_plain_backoff(spark):
+    rng = random.Random(21)
+    parts = {"de": ["der", "und", "nicht", "straße", "gehen"], "en": ["the", "and", "walking", "not", "of"], "fr": ["le", "être", "chien", "pas", "une"]}
+    rows = [(" ".join(rng.choice(parts[lang]) + rng.choice(["", "", "s", "e"]) for _ in range(rng.randint(1, 12))), lang) for lang in sorted(parts) for _ in range(30)]
+    rows += rows[:20]  # repeated rows count once
+    labelled = spark.createDataFrame(rows, "text string, lang string")
+    asked = [" ".join("".join(rng.choice("abcdeghlnrstuéß½²x") for _ in range(rng.randint(1, 8))) for _ in range(rng.randint(1, 60))) for _ in range(60)] + ["½ ²", "Ⅷ", "a", "", "x½y", "the straße"] + [r[0] for r in rows[:20]]
+    got = by_id(langid.identify(docs(spark, list(enumerate(asked))), langid.fit(labelled)))
+    predict = backoff(rows, sorted(parts))
+    for i, text in enumerate(asked):
+        lang, score = predict(text)
+        assert got[i].lang_pred == lang and got[i].score == pytest.approx(score), text
+
+
+def test_op3_names_may_clash_and_texts_may_be_letters(spark):
+    rows = [(1, "a", "en", 7, "x"), (2, "b", "de", 8, "y"), (3, "½ ²", "en", 9, "z"), (4, None, None, 1, "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, row int, found string").repartition(4)
+    df = df.withColumn("_p", F.lit(1)).withColumn("lang_pred", F.lit("old")).withColumn("score", F.lit("old"))
+    got = langid.identify(df, langid.fit(df))
+    assert got.columns == ["doc_id", "text", "lang", "row", "found", "_p", "lang_pred", "score"]
+    assert {r.doc_id: (r.lang_pred, r["row"], r.found) for r in got.collect()} == {1: ("en", 7, "x"), 2: ("de", 8, "y"), 3: ("und", 9, "z"), 4: ("und", 1, "w")}
+
+
 def edit_distance_in(item, text):
     last = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):
@@ -269,10 +333,42 @@ def test_op8_equals_encoding_anew(spark):
         rows.append((i, before, edits, text))
     df = spark.createDataFrame([(i, t, e) for i, t, e, _ in rows] + [(99, None, None)], "doc_id long, text string, edits array<struct<start: int, stop: int, text: string>>")
     got = by_id(tokencount.count_edited(df, F.col("edits"), PATH, PATTERN))
-    size = lambda t: sum(counter.counts(counter.split(t)))
+
+    def size(text):
+        parts = counter.split(text)
+        counter.learn(parts)
+        return sum(counter[p] for p in parts)
+
     for i, before, edits, after in rows:
         assert (got[i].n_tokens, got[i].n_edits, got[i].n_tokens_after, got[i].n_chars_after) == (size(before), len(edits), size(after), len(after))
     assert tuple(got[99])[1:] == (0, 0, 0, 0, 0)
+    own = by_id(tokencount.count_edited(docs(spark), lambda t: [{"start": 0, "stop": 1, "text": "Q "}], PATH, PATTERN))
+    assert all((own[i].n_tokens, own[i].n_tokens_after) == (size(t or ""), size("Q " + (t or "")[1:])) for i, t in enumerate(texts()))
+
+
+def test_op8_trees_are_kept_and_edited_later(spark, tmp_path):
+    counter = tokencount.Counter(bpe.encoder(PATH, PATTERN))
+    long = " ".join(f"word{i % 97} isn't" for i in range(5000))
+    rows = [(1, long), (2, "short text"), (3, ""), (4, None)]
+    tokencount.tree_table(docs(spark, rows), PATH, PATTERN).write.parquet(str(tmp_path / "one"))
+    trees = spark.read.parquet(str(tmp_path / "one"))
+    kind = "doc_id long, edits array<struct<start: int, stop: int, text: string>>"
+    first = spark.createDataFrame([(1, [(20_000, 20_004, "new words")]), (2, [(0, 5, "long")]), (4, [(0, 0, "now there")]), (9, [(0, 0, "x")])], kind)
+    tokencount.edit_trees(trees, first, PATH, PATTERN).write.parquet(str(tmp_path / "two"))
+    trees = spark.read.parquet(str(tmp_path / "two"))
+    second = spark.createDataFrame([(1, [(5, 9, ""), (40_000, 40_000, " more")]), (3, None)], kind)
+    once, twice = by_id(trees), by_id(tokencount.edit_trees(trees, second, PATH, PATTERN))
+    want = long[:20_000] + "new words" + long[20_004:]
+    want = want[:5] + want[9:]
+    want = want[:40_000] + " more" + want[40_000:]
+    assert {i: r.text for i, r in twice.items()} == {1: want, 2: "long text", 3: "", 4: "now there"}
+    for i, r in twice.items():
+        parts = counter.split(r.text)
+        counter.learn(parts)
+        assert (r.part_chars, r.part_tokens, r.n_tokens) == ([len(p) for p in parts], [counter[p] for p in parts], sum(counter[p] for p in parts))
+    # only what the edits touch is encoded again, in either job
+    assert 0 < once[1].n_encoded < 20 and 0 < twice[1].n_encoded < 30 and len(twice[1].part_chars) > 10_000
+    assert (once[3].n_encoded, twice[2].n_encoded, twice[3].n_encoded, twice[4].n_encoded) == (0, 0, 0, 0)
 
 
 def test_op9_held_out_and_disguise(spark):
@@ -304,7 +400,7 @@ def test_op9_grams_equal_counting():
     rng = random.Random(14)
     words = {"".join(rng.choice("abcdeéß旅🙂") for _ in range(rng.randint(1, 9))): rng.randint(1, 9) for _ in range(500)}
     got, want = {}, {}
-    for grams, counts in grams_of(words, toxicity.ORDER):
+    for _, grams, counts in grams_of(words, toxicity.ORDER):
         got |= dict(zip(grams, counts.tolist(), strict=True))
     for word, n in words.items():
         padded = f" {word} "
@@ -315,6 +411,20 @@ def test_op9_grams_equal_counting():
     assert got == want and not list(grams_of({}, 4))
 
 
+@pytest.mark.parametrize("words", [{"a": 1}, {"旅": 3}, {"a": 2, "b": 1}, {"".join(map(chr, range(0x4E00, 0x4E00 + 9000))) + "".join(map(chr, range(0x20000, 0x20000 + 65000))): 2}], ids=["one", "cjk", "two", "letters"])
+def test_grams_of_odd_words(words):
+    want = {}
+    for word, n in words.items():
+        padded = f" {word} "
+        for size in range(1, 5):
+            for at in range(len(padded) - size + 1):
+                gram = padded[at : at + size]
+                if gram != " ":
+                    want[gram] = want.get(gram, 0) + n
+    got = {g: n for _, grams, counts in grams_of(words, 4) for g, n in zip(grams, counts.tolist(), strict=True) if g != " "}
+    assert got == want
+
+
 def test_op10_against_all_pairs(spark):
     data = list(enumerate(texts()))
     for k, percent in ((4, 80), (5, 80)):
@@ -333,7 +443,8 @@ def test_op10_against_all_pairs(spark):
         assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(sets[i]), root[i], root[i] == i) for i in sets}
 
 
-def test_op10_links_inside_a_large_group(spark):
+@pytest.mark.parametrize("block", [37, 4096])
+def test_op10_links_inside_a_large_group(spark, monkeypatch, block):
     rng = random.Random(13)
     base = [f"w{i}" for i in range(120)]
     rows = []
@@ -342,6 +453,7 @@ def test_op10_links_inside_a_large_group(spark):
         for _ in range(rng.choice([1, 2, 4, 6, 8])):
             words[rng.randrange(120)] = f"v{rng.randrange(10**6)}"
         rows.append((i, " ".join(words)))
+    monkeypatch.setattr(minhash, "BLOCK", block)
     got = by_id(minhash.near_duplicates(docs(spark, rows), k=4, percent=80))
     sets = [frozenset(hash(tuple(w[s : s + 4])) for s in range(len(w) - 3)) for w in (t.split() for _, t in rows)]
     root = list(range(400))
@@ -360,6 +472,16 @@ def test_op10_links_inside_a_large_group(spark):
     assert [got[i].component_id for i in range(400)] == [top(i) for i in range(400)]
 
 
+def test_op10_texts_of_one_id_link_each(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(5, one), (5, two), (5, two), (7, one + " end"), (8, two + " end"), (9, three), (None, three), (11, None), (12, " ")]
+    got = minhash.near_duplicates(docs(spark, rows), k=4, percent=80).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is not None) == [
+        (5, 37, 5, True), (5, 37, 5, True), (5, 37, 5, True), (7, 38, 5, False), (8, 38, 5, False), (9, 37, 9, True), (11, 0, 11, True), (12, 0, 12, True),
+    ]
+    assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     empty = spark.createDataFrame([], "item_id long, text string")
