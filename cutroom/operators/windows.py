@@ -9,8 +9,8 @@ from pyspark.sql.window import Window
 from cutroom.session import settle
 
 
-def sliding_mean(df: DataFrame, keys: list[str], order: str, value: str, span: int, cut: str | None = None, blocked: str | None = None) -> DataFrame:
-    """Mean of exactly span rows from each row on, where none is blocked and none after the first is a cut."""
+def mean_ahead(keys: list[str], order: str, value: str, span: int, cut: str | None = None, blocked: str | None = None) -> Column:
+    """Mean of exactly span rows from each row on, null where one is blocked or one after the first is a cut."""
     ahead = Window.partitionBy(*keys).orderBy(order)
     own, rest = ahead.rowsBetween(0, span - 1), ahead.rowsBetween(1, span - 1)
     ok = F.count(F.lit(1)).over(own) == span
@@ -18,16 +18,23 @@ def sliding_mean(df: DataFrame, keys: list[str], order: str, value: str, span: i
         ok = ok & ~F.coalesce(F.max(F.col(blocked)).over(own), F.lit(False))
     if cut and span > 1:
         ok = ok & ~F.coalesce(F.max(F.col(cut)).over(rest), F.lit(False))
-    return df.withColumn("mean", F.when(ok, F.avg(value).over(own))).where("mean is not null")
+    return F.when(ok, F.avg(value).over(own))
+
+
+def sliding_mean(df: DataFrame, keys: list[str], order: str, value: str, span: int, cut: str | None = None, blocked: str | None = None) -> DataFrame:
+    """The rows that mean_ahead() has a mean for."""
+    return df.withColumn("mean", mean_ahead(keys, order, value, span, cut, blocked)).where("mean is not null")
 
 
-def suppressed_top(df: DataFrame, keys: list[str], start: str, score: str, span: int, most: int = 3) -> DataFrame:
-    """Up to most rows of each key, best first and earliest of equals, none within span of one picked before."""
-    ranked = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col(score)).alias("m"), F.col(start).cast("long").alias("s")))).alias("_c"))
+def suppressed_top(df: DataFrame, keys: list[str], start: str, score: str, span: int | str, most: int = 3) -> DataFrame:
+    """Up to most rows of each key, best first and earliest of equals, none within span (a number, or a column
+    that is one for each key) of one picked before."""
+    width = F.lit(span) if isinstance(span, int) else F.col(span)
+    ranked = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col(score)).alias("m"), F.col(start).cast("long").alias("s")))).alias("_c"), F.max(width).alias("_w"))
     none = F.array().cast("array<struct<m:double,s:bigint>>")
 
     def take(picked: Column, one: Column) -> Column:
-        free = (F.size(picked) < most) & ~F.exists(picked, lambda p: F.abs(p["s"] - one["s"]) < span)
+        free = (F.size(picked) < most) & ~F.exists(picked, lambda p: F.abs(p["s"] - one["s"]) < F.col("_w"))
         return F.when(free, F.concat(picked, F.array(F.struct(one["m"].cast("double").alias("m"), one["s"].alias("s"))))).otherwise(picked)
 
     return ranked.withColumn("_p", F.aggregate("_c", none, take)).select(*keys, F.posexplode("_p").alias("rank", "_x")).select(
