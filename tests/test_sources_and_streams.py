@@ -10,7 +10,9 @@ from tests.conftest import rows
 def test_subtitles_there_and_back(spark):
     text = "﻿1\r\n00:00:01,000 --> 00:00:02,500\r\nHello\r\nworld\r\n\r\n2\r\n00:00:02,000 --> 00:00:04,000\r\n\r\n3\n00:00:03,000 --> bad\nLast\n"
     cues = media.parse_srt(spark.createDataFrame([(1, text)], "k long, t string"), ["k"], "t")
-    assert rows(cues.select("cue", "start_ms", "end_ms", "text")) == [(1, 1000, 2500, "Hello\nworld"), (2, 3000, None, "Last")]
+    assert rows(cues.select("cue", "start_ms", "end_ms", "text")) == [(1, 1000, 2500, "Hello\nworld"), (3, 3000, None, "Last")]
+    odd = media.parse_srt(spark.createDataFrame([(1, "x\n00:00:01,000 --> 00:00:02,000\nA\n\n7\n00:00:05,000 --> 00:00:04,000\nB")], "k long, t string"), ["k"], "t")
+    assert rows(odd.select("cue", "fault", "text")) == [(7, "order", "B"), (None, "number", "A")]
     srt = sinks.subtitles(spark.createDataFrame([(1, 0, 3000, "a"), (1, 2000, 4000, "b")], "k long, s long, e long, t string"), ["k"], "s", "e", "t").first().srt
     assert srt == "1\n00:00:00,000 --> 00:00:02,000\na\n\n2\n00:00:02,000 --> 00:00:04,000\nb\n"
 
@@ -22,12 +24,18 @@ def test_window_log(spark):
 
 
 def test_media_rules(spark):
-    probe = '{"streams":[{"width":1920,"avg_frame_rate":"30000/1001"}],"format":{"duration":"12.5"}}'
+    probe = '{"streams":[{"codec_type":"audio","sample_rate":"48000","channels":2},{"codec_type":"video","width":1920,"time_base":"1/1000","r_frame_rate":"30/1","avg_frame_rate":"30000/1001","tags":{"Rotate":"-90"}}],"format":{"duration":"12.5","tags":{"CREATION_TIME":"now"}}}'
     row = spark.range(1).select(
         media.media_kind(F.lit("/a/b.MOV")).alias("a"), media.media_kind(F.lit("x.txt")).alias("b"), media.parse_probe(F.lit(probe)).alias("p"), media.offset_seconds(F.lit("UTC-03:30")).alias("o"),
         media.capture_time(F.lit("2024:02:29 10:00:00"), F.lit("+02:00")).alias("t"),
     ).first()
-    assert (row.a, row.b, row.o) == ("video", None, -12600) and (row.p.width, row.p.height, row.p.seconds, row.p.fps_num, row.p.fps_den) == (1920, None, 12.5, 30000, 1001)
+    assert (row.a, row.b, row.o) == ("video", None, -12600) and (row.p.width, row.p.height, row.p.duration_ticks, row.p.fps_num, row.p.fps_den) == (1920, None, 12500, 30000, 1001)
+    assert (row.p.is_vfr, row.p.rotation, row.p.created, row.p.audio_rate) == (True, 270, "now", 48000)
+    taken = {"/a/b.insv": "video", "/a/.b.mov": None, "/a/x.photoslibrary/originals/b.mov": None, "/a/c.ARW": "photo", "/a/c.nef": None, "/a/.mov": None, "/a/d.3gp": "video"}
+    found = spark.createDataFrame([(k,) for k in taken], "p string").select("p", F.when(media.importable(F.col("p")), media.media_kind(F.col("p"))).alias("k"))
+    assert {r.p: r.k for r in found.collect()} == taken
+    pairs = media.companions(spark.createDataFrame([("/a/IMG.jpg",), ("/a/img.DNG",), ("/a/IMG.mov",), ("/b/IMG.mov",)], "p string"), "p")
+    assert rows(pairs) == [("/a/IMG.jpg", "/a/IMG.mov"), ("/a/IMG.jpg", "/a/img.DNG")]
     assert row.t == dt.datetime(2024, 2, 29, 8, 0)
     files = spark.createDataFrame([(1, "q", "f", 10), (2, "q", None, 10), (3, "q", "f", 99_000_000), (4, "q", "f", 99_000_000), (5, "q", None, 99_000_000)], "i long, q string, f string, n long")
     assert rows(media.duplicate_files(files, "q", "f", "n", "i")) == [(2, 1), (4, 3)]
