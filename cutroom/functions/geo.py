@@ -28,3 +28,12 @@ def cell(lat: Column, lon: Column, km: float) -> tuple[Column, Column]:
     """Row and column of a grid whose cells are at least km tall, and as wide at 60 degrees of latitude."""
     step = km / 111.0
     return F.floor(lat / F.lit(step)), F.floor(lon / F.lit(step * 2))
+
+
+def parse_place(text: Column) -> Column:
+    """struct<lat, lon> of an ISO 6709 text (+dd.dddd+ddd.dddd/) or of "lat,lon"; null for anything else or beyond the globe."""
+    number = r"[+-]\d+(?:\.\d+)?"
+    iso = rf"^\s*({number})({number})({number})?/?\s*$"
+    pair = r"^\s*([+-]?\d+(?:\.\d+)?)\s*,\s*([+-]?\d+(?:\.\d+)?)\s*$"
+    part = lambda k: F.coalesce(F.regexp_extract(text, iso, k).try_cast("double"), F.regexp_extract(text, pair, k).try_cast("double"))
+    return F.when(valid_place(part(1), part(2)), F.struct(part(1).alias("lat"), part(2).alias("lon")))
