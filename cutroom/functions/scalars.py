@@ -98,3 +98,72 @@ def backoff_seconds(attempt: Column, most: int = 300) -> Column:
 def labels(*rules: tuple[Column, str]) -> Column:
     """The labels of the rules that hold, in order."""
     return F.array_compact(F.array(*[F.when(rule, F.lit(name)) for rule, name in rules]))
+
+
+def like_literal(text: Column, needle: str) -> Column:
+    """Whether the text holds the needle, per cent, underscore and backslash being plain characters; ASCII letters of either case."""
+    escaped = needle.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
+    return F.ilike(text, F.lit(f"%{escaped}%"), F.lit("\\"))
+
+
+def contains_any(text: Column, words: list[str]) -> Column:
+    """Whether the text holds one of the words, whatever the case."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(low, w))
+
+
+def seconds_per_clip(clips: Column) -> Column:
+    """Seconds that a clip may have by how many there are."""
+    return F.when(clips <= 15, 4).when(clips <= 60, 5).when(clips <= 90, 6).otherwise(8)
+
+
+def clarity(text: Column, covered: Column) -> Column:
+    """0.55 of the share of letters, digits and Han characters among what is not space, and 0.45 of the share that speech covers."""
+    solid = F.length(F.regexp_replace(text, r"\s", ""))
+    valid = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))
+    return 0.55 * F.coalesce(valid / F.nullif(solid, F.lit(0)), F.lit(0.0)) + 0.45 * clamp01(covered)
+
+
+def tempo_prior(bpm: Column, centre: float = 120.0, width: float = 0.9) -> Column:
+    """Log-normal weight of a tempo around the centre, in octaves."""
+    octaves = F.log2(bpm / centre)
+    return F.exp(-0.5 * F.pow(octaves / width, 2))
+
+
+def parabolic_peak(left: Column, middle: Column, right: Column) -> Column:
+    """Offset, within half a step, of the top of the parabola through three values; 0 where they are level."""
+    bend = left - 2 * middle + right
+    return F.when(F.abs(bend) > 1e-12, F.greatest(F.lit(-0.5), F.least(F.lit(0.5), 0.5 * (left - right) / bend))).otherwise(0.0)
+
+
+def folder(path: Column) -> Column:
+    """All but the last part of a path; empty without a slash."""
+    return F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, r"/[^/]*$", "")).otherwise("")
+
+
+def story_key(kind: Column, clip: Column, segment: Column) -> Column:
+    """kind:clip:segment, the segment empty for a whole clip."""
+    return F.concat_ws(":", kind, clip.cast("string"), F.coalesce(segment.cast("string"), F.lit("")))
+
+
+_HAN = "零一二三四五六七八九"
+
+
+def han_number(text: Column) -> Column:
+    """A whole number below ten thousand written with Han or ASCII digits; null for anything else."""
+    plain = F.translate(F.translate(text, "两〇", "二零"), _HAN, "0123456789")
+    part = lambda unit: F.regexp_extract(plain, rf"(\d?){unit}", 1)
+    times = lambda unit, n: F.when(F.contains(plain, F.lit(unit)), F.when(part(unit) == "", 1).otherwise(part(unit).try_cast("int")) * n).otherwise(0)
+    ones = F.coalesce(F.regexp_extract(plain, r"[十百千]0?(\d)$", 1).try_cast("int"), F.lit(0))
+    units = times("千", 1000) + times("百", 100) + times("十", 10) + ones
+    return F.when(F.rlike(plain, F.lit(r"^\d+$")), plain.try_cast("int")).when(F.rlike(plain, F.lit(r"^(\d千)?0?(\d百)?0?(\d?十)?\d?$")) & F.rlike(plain, F.lit("[十百千]")), units)
+
+
+def spoken_seconds(text: Column) -> Column:
+    """Seconds of a phrase such as 90秒, 一分半, 两分钟三十秒 or 1.5 min; null without one."""
+    number = r"([0-9.]+|[零〇一二两三四五六七八九十百]+)"
+    value = lambda k, unit: F.regexp_extract(text, number + unit, k)
+    as_number = lambda c: F.coalesce(c.try_cast("double"), han_number(c).cast("double"))
+    minutes, secs = as_number(F.nullif(value(1, r"\s*(?:分钟|分|min)"), F.lit(""))), as_number(F.nullif(value(1, r"\s*(?:秒|s\b|sec)"), F.lit("")))
+    half = F.when(F.rlike(text, F.lit("(?:分钟?|分)半")), 30).otherwise(0)
+    return F.when(minutes.isNotNull() | secs.isNotNull(), F.coalesce(minutes * 60, F.lit(0.0)) + half + F.coalesce(secs, F.lit(0.0)))

@@ -240,6 +240,7 @@ def encode_documents(
                             kept.append(hashlib.sha256(back).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(done, len(some)), *(pa.array(rows[c], types[c]) for c in columns)], ["id", *columns])
                 done += len(some)
+        coder.clear()  # the process lives on for other stages
 
     kind = dict(docs.dtypes)[id_col]
     schema = ", ".join([f"id {kind}", *(f"{c} {OUTPUTS[c]}" for c in columns)])

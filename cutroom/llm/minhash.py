@@ -34,7 +34,7 @@ FINE = 96
 SLACK = 4.3
 #: Documents, and shingles, of a side of a block, about.
 BLOCK = 4096
-BLOCK_SHINGLES = 4_000_000
+BLOCK_SHINGLES = 1_000_000
 #: Rows of a block that are compared at once, and texts of a batch.
 ROWS = 256
 #: Bits of the filter that texts pass before they are shuffled; it sends 4 MB to each executor at any size.

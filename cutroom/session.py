@@ -30,9 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch where the session leaves Spark's own 10,000: whole texts are long, and both sides hold a batch.
+RECORDS, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per context, for tasks that import it."""
+    """Send this package to the executors once per context, for tasks that import it, and bound their Arrow batches."""
     context = spark.sparkContext
+    if not context.getConf().contains(RECORDS) and spark.conf.get(RECORDS) == "10000":
+        spark.conf.set(RECORDS, str(BATCH))
     if getattr(context, "_cutroom_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))
@@ -52,12 +58,14 @@ def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder all executors share.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; a folder of our own
-    is set only where that is unset, as in tests on one machine.
+    is set only where that is unset and all tasks run in this process, as in tests on one machine.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"cutroom-{uuid.uuid4().hex}"))
     return df.checkpoint()
 
