@@ -156,7 +156,7 @@ def han_number(text: Column) -> Column:
     times = lambda unit, n: F.when(F.contains(plain, F.lit(unit)), F.when(part(unit) == "", 1).otherwise(part(unit).try_cast("int")) * n).otherwise(0)
     ones = F.coalesce(F.regexp_extract(plain, r"[十百千]0?(\d)$", 1).try_cast("int"), F.lit(0))
     units = times("千", 1000) + times("百", 100) + times("十", 10) + ones
-    return F.when(F.rlike(plain, F.lit(r"^\d+$")), plain.try_cast("int")).when(F.rlike(plain, F.lit(r"^(\d千)?0?(\d百)?0?(\d?十)?\d?$")) & F.rlike(plain, F.lit("[十百千]")), units)
+    return F.when(F.rlike(plain, F.lit(r"^\d+$")), plain.try_cast("int")).when(F.rlike(plain, F.lit(r"^(\d?千)?0?(\d?百)?0?(\d?十)?\d?$")) & F.rlike(plain, F.lit("[十百千]")), units)
 
 
 def spoken_seconds(text: Column) -> Column:

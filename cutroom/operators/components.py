@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +12,19 @@ from cutroom.session import settle
 EDGES = 100_000
 
 
+def fold(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the labels of linked places in an array, in place; a label is the least place joined so far, and its own label."""
+    while len(a):
+        one, two = label[a], label[b]
+        if (one == two).all():
+            return
+        low = np.minimum(one, two)
+        np.minimum.at(label, one, low)
+        np.minimum.at(label, two, low)
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
     return tuple(row)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from cutroom.operators.windows import ranked
 
 
 def ratio(part: Column, whole: Column, empty: float) -> Column:
@@ -48,10 +49,9 @@ def pair_counts(df: DataFrame, truth: str, found: str) -> DataFrame:
 
 
 def ranking(results: DataFrame, relevant: DataFrame, query: str, item: str, score: str, k: int = 5) -> DataFrame:
-    """Hit rate in the first k and mean reciprocal rank over queries; ranks by score, then item."""
-    order = Window.partitionBy(query).orderBy(F.desc(score), item)
-    ranked = results.withColumn("rank", F.row_number().over(order)).join(relevant.select(query, item).distinct(), [query, item], "left_semi")
-    first = ranked.groupBy(query).agg(F.min("rank").alias("first"))
+    """Hit rate in the first k and mean reciprocal rank over queries; ranks by score, then item, whatever a query's results."""
+    found = ranked(results, [query], [F.desc(score), F.col(item)]).join(relevant.select(query, item).distinct(), [query, item], "left_semi")
+    first = found.groupBy(query).agg(F.min("rank").alias("first"))
     every = relevant.select(query).distinct().join(first, query, "left")
     return every.agg(
         F.count("*").alias("queries"), F.avg(F.coalesce((F.col("first") <= k).cast("double"), F.lit(0.0))).alias("hit_at_k"), F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr")

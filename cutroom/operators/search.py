@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cutroom.functions.scalars import contains_folded, excerpt
+from cutroom.operators.windows import ranked
 
 SHORTEST = 2
 
@@ -42,5 +42,5 @@ def union_hits(parts: list[tuple[str, DataFrame]], ident: str, score: str) -> Da
 
 
 def primary_pick(df: DataFrame, group: str, order: list) -> DataFrame:  # noqa: ANN001
-    """Rows with their place in the group; the first is the one that stands for it."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    """Rows with their place in the group; the first is the one that stands for it. Groups may be of any size."""
+    return ranked(df, [group], order, "place")

@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutroom.functions.vectors import cosine, norm, sound
-from cutroom.operators.components import connected_components
-from cutroom.session import ship
+from cutroom.operators.components import connected_components, fold
+from cutroom.session import settle, ship
 
-#: Pivots at most; vectors of one block.
-PIVOTS = 512
+#: Pivots at most (the root of the vectors, where that is less); vectors of one block.
+PIVOTS = 2048
 BLOCK = 2048
+#: Prompts that a configuration may hold.
+PROMPTS = 10_000
 
 
 def _units(df: DataFrame, ident: str, vector: str) -> DataFrame:
@@ -24,23 +26,19 @@ def _units(df: DataFrame, ident: str, vector: str) -> DataFrame:
     return rows.select("i", F.transform("v", lambda x: x / F.col("n")).alias("u"))
 
 
-def similar_pairs(df: DataFrame, ident: str, vector: str, threshold: float) -> DataFrame:
-    """All pairs (a, b, similarity) with a < b and a cosine of threshold or more; exact.
-
-    Vectors gather around pivots, a bounded sample of them. A pair at the threshold lies within
-    r = sqrt(2 - 2 threshold), so a vector has to look only into those pivots' cells whose bisecting plane
-    is within r; cells are cut into blocks that a task holds whole. Vectors that are null, zero, not finite
-    or of another length than the first pivot's pair with nothing.
-    """
+def _met(df: DataFrame, ident: str, vector: str, threshold: float, labels: bool) -> DataFrame:
+    """Pairs (a, b, similarity) over the threshold; with labels, pairs (a, b) that join a block's linked rows to the least of them."""
     ship(df.sparkSession)
     units = _units(df, ident, vector)
-    sample = [r["u"] for r in units.orderBy(F.xxhash64("u"), "i").limit(PIVOTS).collect()]
+    many = int(min(PIVOTS, max(16, units.count() ** 0.5)))
+    sample = [r["u"] for r in units.orderBy(F.xxhash64("u"), "i").limit(many).collect()]
     kind = dict(units.dtypes)["i"]
+    shape = f"a {kind}, b {kind}" + ("" if labels else ", similarity double")
     if not sample:
-        return units.select(F.col("i").alias("a"), F.col("i").alias("b"), F.lit(0.0).alias("similarity")).limit(0)
+        return df.sparkSession.createDataFrame([], shape)
     dim = len(sample[0])
     units = units.where(F.size("u") == dim)
-    pivots = np.array([s for s in sample if len(s) == dim])[:: max(1, len(sample) // 64)]
+    pivots = np.array([s for s in sample if len(s) == dim])
     apart = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 1e-12))
     r = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
 
@@ -56,7 +54,7 @@ def similar_pairs(df: DataFrame, ident: str, vector: str, threshold: float) -> D
                 [batch.column("i"), batch.column("u"), pa.array(home.astype(np.int32)), pa.array(probes, pa.list_(pa.int32()))], ["i", "u", "home", "probes"]
             )
 
-    coded = units.mapInArrow(assign, f"i {kind}, u array<double>, home int, probes array<int>")
+    coded = settle(units.mapInArrow(assign, f"i {kind}, u array<double>, home int, probes array<int>"))
     sizes = coded.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # PIVOTS rows at most
     block = F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int")
     members = coded.withColumn("cell", F.col("home")).join(F.broadcast(sizes), "cell").select("cell", block.alias("block"), F.lit(0).alias("side"), "i", "u")
@@ -68,14 +66,39 @@ def similar_pairs(df: DataFrame, ident: str, vector: str, threshold: float) -> D
         out = []
         if len(left) and len(right):
             x, xi = np.stack(left.u.to_numpy()), left.i.to_numpy()
-            for at in range(0, len(right), 512):
-                y, yi = np.stack(right.u.to_numpy()[at : at + 512]), right.i.to_numpy()[at : at + 512]
+            ids = np.unique(frame.i.to_numpy())
+            label, x_at = np.arange(len(ids)), np.searchsorted(ids, xi)
+            for at in range(0, len(right), 256):
+                y, yi = np.stack(right.u.to_numpy()[at : at + 256]), right.i.to_numpy()[at : at + 256]
                 near = x @ y.T
                 p, q = np.nonzero((near >= threshold) & (xi[:, None] < yi[None, :]))
-                out.append(pd.DataFrame({"a": xi[p], "b": yi[q], "similarity": near[p, q]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "similarity": []})
+                if labels:
+                    fold(label, x_at[p], np.searchsorted(ids, yi)[q])
+                else:
+                    out.append(pd.DataFrame({"a": xi[p], "b": yi[q], "similarity": near[p, q]}))
+            if labels:
+                moved = np.flatnonzero(label != np.arange(len(ids)))
+                out.append(pd.DataFrame({"a": ids[moved], "b": ids[label[moved]]}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []} if labels else {"a": [], "b": [], "similarity": []})
+
+    return members.unionByName(queries).groupBy("cell", "block").applyInPandas(pairs, shape)
+
+
+def similar_pairs(df: DataFrame, ident: str, vector: str, threshold: float) -> DataFrame:
+    """All pairs (a, b, similarity) with a < b and a cosine of threshold or more; exact.
+
+    Vectors gather around pivots, a bounded sample of them that grows with the table. A pair at the threshold
+    lies within r = sqrt(2 - 2 threshold), so a vector has to look only into those pivots' cells whose bisecting
+    plane is within r; cells are cut into blocks that a task holds whole. Vectors that are null, zero, not finite
+    or of another length than the first pivot's pair with nothing.
+    """
+    return _met(df, ident, vector, threshold, labels=False)
+
 
-    return members.unionByName(queries).groupBy("cell", "block").applyInPandas(pairs, f"a {kind}, b {kind}, similarity double")
+def similar_clusters(df: DataFrame, ident: str, vector: str, threshold: float, least: int = 2) -> DataFrame:
+    """Connected components (node, component, members) of the pairs of similar_pairs(), which are never made: a block
+    returns at most an edge for each of its rows."""
+    return clusters(_met(df, ident, vector, threshold, labels=True), least)
 
 
 def clusters(pairs: DataFrame, least: int = 2) -> DataFrame:
@@ -111,10 +134,41 @@ def novelty(similarity: Column) -> Column:
 
 
 def least_within(df: DataFrame, group: str, ident: str, vector: str) -> DataFrame:
-    """Least cosine of two members of each group, 0 where a vector is missing; groups are bounded stacks of takes."""
-    left, right = (df.select(group, F.col(ident).alias(x), F.col(vector).alias(f"v{x}")) for x in "ab")
-    pairs = left.join(right, group).where("a < b").withColumn("s", F.coalesce(cosine("va", "vb"), F.lit(0.0)))
-    return pairs.groupBy(group).agg(F.min("s").alias("least"), F.count("*").alias("pairs"))
+    """Least cosine of two members of each group, 0 where a vector is missing, and how many pairs that is the least of.
+
+    A group is cut into blocks, and a task multiplies two of them and returns one number; no pair is ever a row.
+    """
+    ship(df.sparkSession)
+    rows = df.select(group, F.col(ident).alias("i"), F.col(vector).cast("array<double>").alias("v")).withColumn("v", F.when(sound("v") & (norm("v") > 0), F.col("v")))
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    held = rows.join(sizes.drop("n"), group).withColumn("own", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int"))
+    met = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = met.select(group, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "i", "v")
+    kind = dict(df.dtypes)[group]
+
+    def least(frame: pd.DataFrame) -> pd.DataFrame:
+        x, y = int(frame.x.iloc[0]), int(frame.y.iloc[0])
+        one, two = frame[frame.own == x], frame[frame.own == y]
+        low = np.inf
+        if len(one) and len(two) and (x != y or len(one) > 1):
+            if one.v.isna().any() or two.v.isna().any():
+                low = 0.0
+            lengths = {len(v) for v in frame.v if v is not None}
+            if len(lengths) > 1:
+                low = 0.0
+            for size in lengths:
+                unit = [np.stack([v / np.linalg.norm(v) for v in side.v if v is not None and len(v) == size] or [np.zeros(size)]) for side in (one, two)]
+                for at in range(0, len(unit[0]), 256):
+                    near = unit[0][at : at + 256] @ unit[1].T
+                    if x == y:
+                        near[np.arange(len(near)), np.arange(at, at + len(near))] = np.inf
+                    if near.size:
+                        low = min(low, float(near.min()))
+        return pd.DataFrame({group: [frame[group].iloc[0]], "low": [None if np.isinf(low) else low]})
+
+    lows = blocks.groupBy(group, "x", "y").applyInPandas(least, f"{group} {kind}, low double").groupBy(group).agg(F.min("low").alias("least"))
+    pairs = F.floor(F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs")
+    return sizes.where("n > 1").select(group, pairs).join(lows, group).select(group, "least", "pairs")
 
 
 def two_stage_search(means: DataFrame, frames: DataFrame, ident: str, frame: str, vector: str, query: list[float], coarse: int = 50, least: float = 0.25) -> DataFrame:
@@ -176,9 +230,38 @@ def complete_link(df: DataFrame, event: str, order: list[str], ident: str, close
 
 
 def prototype_scores(df: DataFrame, ident: str, vector: str, prototypes: DataFrame) -> DataFrame:
-    """Mean cosine of each row to each label's prompts. prototypes (dimension, label, prompt vector) is a small configuration."""
-    wide = df.select(ident, F.col(vector).alias("v")).join(F.broadcast(prototypes.select("dimension", "label", F.col("vector").alias("p"))))
-    return wide.groupBy(ident, "dimension", "label").agg(F.avg(cosine("v", "p")).alias("score"))
+    """Mean cosine of each row to each label's prompts (dimension, label, vector); a cosine that cannot be told counts in no mean.
+
+    Prompts are a configuration that every task holds: more than PROMPTS of them are refused.
+    """
+    ship(df.sparkSession)
+    prompts = prototypes.select("dimension", "label", F.col("vector").cast("array<double>").alias("v")).where(sound("v")).limit(PROMPTS + 1).collect()
+    if len(prompts) > PROMPTS:
+        raise ValueError(f"a configuration holds {PROMPTS} prompts at most")
+    names = sorted({(p.dimension, p.label) for p in prompts})
+    units = [(names.index((p.dimension, p.label)), np.array(p.v) / np.linalg.norm(p.v)) for p in prompts if np.linalg.norm(p.v) > 0]
+    kind = dict(df.dtypes)[ident]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [np.array(v, float) for v in batch.column("v").to_pylist()]
+            total, count = np.zeros((len(x), len(names))), np.zeros((len(x), len(names)))
+            for size in {len(v) for v in x}:
+                rows = [k for k, v in enumerate(x) if len(v) == size and np.linalg.norm(v) > 0]
+                same = [(n, u) for n, u in units if len(u) == size]
+                if rows and same:
+                    near = np.stack([x[k] / np.linalg.norm(x[k]) for k in rows]) @ np.stack([u for _, u in same]).T
+                    for c, (n, _) in enumerate(same):
+                        total[rows, n] += near[:, c]
+                        count[rows, n] += 1
+            at, n = np.nonzero(count)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("i").take(pa.array(at)), pa.array([names[k][0] for k in n], pa.string()), pa.array([names[k][1] for k in n], pa.string()), pa.array(total[at, n] / count[at, n])],
+                [ident, "dimension", "label", "score"],
+            )
+
+    rows = df.select(F.col(ident).alias("i"), F.col(vector).cast("array<double>").alias("v")).where(sound("v"))
+    return rows.mapInArrow(score, f"{ident} {kind}, dimension string, label string, score double")
 
 
 def classify(scores: DataFrame, ident: str, least: float = 0.22, unknown: str = "unknown") -> DataFrame:

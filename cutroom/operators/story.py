@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cutroom.operators.windows import ranked
 from cutroom.functions.geo import cell, haversine_km
 from cutroom.functions.scalars import labels
 
@@ -102,7 +103,6 @@ def nearest_anchor(items: DataFrame, anchors: DataFrame, key: str, ident: str, t
 
 
 def montage_keep(df: DataFrame, keys: list[str], order: list[Column], density: float) -> DataFrame:
-    """The first round(n * (1 - density)) rows of each key, one at least."""
-    line = Window.partitionBy(*keys).orderBy(*order)
-    n = F.count("*").over(Window.partitionBy(*keys))
-    return df.withColumn("_r", F.row_number().over(line)).withColumn("_k", F.greatest(F.lit(1), F.round(n * (1 - density)))).where("_r <= _k").drop("_r", "_k")
+    """The first round(n * (1 - density)) rows of each key, one at least; keys may be of any size."""
+    most = df.groupBy(*keys).agg(F.greatest(F.lit(1), F.round(F.count("*") * (1 - density))).alias("_k"))
+    return ranked(df, keys, order, "_r").join(most, keys).where("_r <= _k").drop("_r", "_k")

@@ -109,6 +109,37 @@ def running_sum(df: DataFrame, order: list[Column], value: str, name: str = "bef
     return ranged.withColumn("_i", inside).join(F.broadcast(ahead), "_p").withColumn(name, F.col("_o") + F.col("_i")).drop("_p", "_o", "_i")
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """Rows with their rank in their key, from 1; a key may hold any share of the rows.
+
+    The table is ranged by key and order; a range numbers its own rows, and the counts of the ranges before it,
+    one row for each range and key in it, are added. order must tell the rows of a key apart.
+    """
+    ranged = settle(df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()))
+    counts = ranged.groupBy(*keys, "_p").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_p").alias("_q"), before.alias("_before"))
+    numbered = ranged.withColumn("_own", F.row_number().over(Window.partitionBy("_p", *keys).orderBy(*order)))
+    met = F.col("_p") == F.col("_q")
+    for i, k in enumerate(keys):
+        met = met & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return numbered.join(starts, met).select(*df.columns, (F.col("_own") + F.col("_before")).alias(name))
+
+
+def interpolated_percentiles(df: DataFrame, keys: list[str], value: str, order: list[Column], shares: dict[str, float]) -> DataFrame:
+    """Percentiles of each key, interpolated between neighbours, out of ranks by range rather than of one task's sort."""
+    known = df.where(F.col(value).isNotNull())
+    sizes = known.groupBy(*keys).agg(F.count("*").alias("_n"))
+    placed = ranked(known, keys, [F.col(value), *order], "_r").join(sizes, keys)
+    out = []
+    for name, share in shares.items():
+        at = (F.col("_n") - 1) * share
+        low, high = (F.max(F.when(F.col("_r") == edge(at) + 1, F.col(value))) for edge in (F.floor, F.ceil))
+        part = F.max(at - F.floor(at))
+        out.append((low + (high - low) * part).alias(name))
+    return placed.groupBy(*keys).agg(*out)
+
+
 def evicted(df: DataFrame, order: list[Column], size: str, limit: int) -> DataFrame:
     """Oldest rows that must go until the rest is within the limit."""
     total = df.agg(F.sum(size)).first()[0] or 0

@@ -32,8 +32,7 @@ SELECT node AS vec_id, least(node, min(other)) AS component, max(count(*)) OVER
 """)
 def similar_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DOM-11: clusters of two or more, named by their least id."""
-    found = similarity.similar_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", THRESHOLD)
-    return similarity.clusters(found).select(F.col("node").alias("vec_id"), "component", "members")
+    return similarity.similar_clusters(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", THRESHOLD).select(F.col("node").alias("vec_id"), "component", "members")
 
 
 @_register.query("""
@@ -62,7 +61,7 @@ def centroid_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register.query("""
 WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0), f AS (SELECT vec_id // 5 AS clip, vec_id AS frame, list_cosine_similarity(embedding::DOUBLE[], q.v) AS s, embedding FROM embeddings, q WHERE vec_id > 0),
-m AS (SELECT clip, s AS mean_score FROM f QUALIFY row_number() OVER (PARTITION BY clip ORDER BY frame) = 1), t AS (SELECT clip FROM m ORDER BY mean_score DESC, clip LIMIT 50),
+n AS (SELECT clip, p, avg(x) AS x FROM (SELECT clip, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS p FROM f) GROUP BY ALL), m AS (SELECT clip, list_cosine_similarity(list(x ORDER BY p), any_value(q.v)) AS mean_score FROM n, q GROUP BY clip), t AS (SELECT clip FROM m ORDER BY mean_score DESC, clip LIMIT 50),
 b AS (SELECT clip, max(s) AS frame_score, max_by(frame, struct_pack(s := s, f := frame)) AS frame FROM f WHERE clip IN (SELECT clip FROM t) GROUP BY clip)
 SELECT m.clip, round(mean_score, 6) AS mean_score, round(greatest(mean_score, coalesce(frame_score, mean_score)), 6) AS score, frame FROM m LEFT JOIN b ON b.clip = m.clip WHERE greatest(mean_score, coalesce(frame_score, mean_score)) >= 0.1
 """)
@@ -71,8 +70,8 @@ def cosine_topk_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     query = rows.where("vec_id = 0").first()["embedding"]
     frames = rows.where("vec_id > 0").select(F.floor(F.col("vec_id") / 5).alias("clip"), F.col("vec_id").alias("frame"), "embedding")
-    first = frames.groupBy("clip").agg(F.min_by("embedding", "frame").alias("embedding"))
-    found = similarity.two_stage_search(first, frames, "clip", "frame", "embedding", query, least=0.1)
+    means = similarity.centroid(frames, ["clip"], "embedding", "embedding")
+    found = similarity.two_stage_search(means, frames, "clip", "frame", "embedding", query, least=0.1)
     return found.select("clip", F.round("mean_score", 6).alias("mean_score"), F.round("score", 6).alias("score"), "frame")
 
 
@@ -91,9 +90,10 @@ def classify_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register.query()
 def complete_link_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DOM-12: greedy complete-link groups in order inside each event (a label here); tests hold it against a plain loop."""
+    """DOM-12: greedy complete-link groups in order inside each event of a hundred rows; tests hold it against a plain loop."""
     def close(frame, i, members):  # noqa: ANN001, ANN202
         v = frame.embedding
         return all(float(v[i] @ v[m]) >= 0.05 for m in members)
 
-    return similarity.complete_link(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), "label", ["vec_id"], "vec_id", close, weakest=[])
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 100).alias("event"), "embedding")
+    return similarity.complete_link(rows, "event", ["vec_id"], "vec_id", close, weakest=[])
