@@ -161,7 +161,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             found = [row for at in range(0, len(held), 256) for row in scorer.predict(held[at : at + 256])]
             yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
-    predict = pandas_udf(predict, "struct<lang_pred: string, score: double>")
+    # not to be worked out again for each of its fields or for a filter on them
+    predict = pandas_udf(predict, "struct<lang_pred: string, score: double>").asNondeterministic()
     row = F.struct(*[docs[c] for c in docs.columns if c not in ("lang_pred", "score")]).alias("row")  # no name of theirs can clash
     return docs.select(row, predict(docs[text_col]).alias("found")).select("row.*", "found.lang_pred", "found.score")
 
