@@ -18,8 +18,8 @@ from cutroom.session import ship, table
 
 #: Characters of an item for each edit allowed.
 CHARS_PER_EDIT = 20
-#: Items with fewer normalised characters are too short to be evidence.
-MIN_CHARS = 20
+#: Items with fewer normalised characters match nothing; those with too few for an edit are met as whole words.
+MIN_CHARS = 1
 #: Characters of items in one machine; more items take more passes.
 MACHINE_CHARS = 8_000_000
 _WORD = re.compile(r"[^\W_]+")
@@ -107,6 +107,11 @@ class Matcher:
         found = []
         for i, begins in starts.items():
             name, item, edits = self.items[i]
+            if not edits:
+                whole = next((b for b in sorted(begins) if norm[max(0, b - 1) : b] in ("", " ") and norm[b + len(item) : b + len(item) + 1] in ("", " ")), None)
+                if whole is not None:
+                    found.append((name, whole, whole + len(item), 0))
+                continue
             best, covered = None, -1
             for begin in sorted(begins):
                 low, high = max(0, begin - edits), min(len(norm), begin + len(item) + edits)
@@ -143,8 +148,8 @@ def find_benchmark(
 
     Returns a row for each document and item met: id_col, item_id, start, end (characters of the text as it
     is), distance. Both sides are lower-cased and stripped of everything but letters and digits first; items
-    with fewer than min_chars characters left, null ones included, are too short to be evidence and match
-    nothing, like null and empty documents. Repeated documents are searched each; items that repeat an id
+    with too few characters for an edit are met unchanged, as whole words. Items with fewer than min_chars
+    characters, null and empty ones at least, match nothing, like null and empty documents. Repeated documents are searched each; items that repeat an id
     count once for each different text. Other columns are ignored.
 
     The items travel to the tasks in machines of MACHINE_CHARS characters; a larger benchmark takes several

@@ -193,7 +193,7 @@ def edit_distance_in(item, text):
 def test_op4_against_edit_distance(spark):
     rng = random.Random(6)
     items = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(rng.randint(4, 14)))) for i in range(8)] + [(90, None), (91, "short"), (92, "")]
-    rows = [(100, None), (101, ""), (102, "nothing to see here")]
+    rows = [(100, None), (101, ""), (102, "nothing to see here"), (103, "cut it SHORT."), (104, "shorter, not short-ish")]
     for k in range(40):
         item = list(items[rng.randrange(8)][1])
         for _ in range(rng.randint(0, 7)):
@@ -204,12 +204,15 @@ def test_op4_against_edit_distance(spark):
     want = {}
     for i, text in rows:
         for k, item in items:
-            item = decontaminate.normalised(item or "")
-            if len(item) >= decontaminate.MIN_CHARS:
-                d = edit_distance_in(item, decontaminate.normalised(text or ""))
-                if d <= decontaminate.budget(len(item)):
-                    want[i, k] = d
-    assert got == want and len(want) > 10
+            item, plain = (" ".join(re.findall(r"[^\W_]+", (t or "").lower())) for t in (item, text))
+            if 0 < len(item) < 20:  # no edit allowed: whole words
+                if f" {item} " in f" {plain} ":
+                    want[i, k] = 0
+            elif item and (d := edit_distance_in(item, plain)) <= len(item) // 20:
+                want[i, k] = d
+    assert got == want and len(want) > 10 and (103, 91) in want
+    places = decontaminate.find_benchmark(docs(spark, [(1, "Oh, SHORT it is"), (2, None)]), benchmark).collect()
+    assert [(r.doc_id, r.item_id, r.start, r.end) for r in places] == [(1, 91, 4, 9)]
     kept = {r.doc_id for r in decontaminate.without_benchmark(docs(spark, rows), benchmark).collect()}
     assert kept == {i for i, _ in rows} - {i for i, _ in want}
 
