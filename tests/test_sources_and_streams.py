@@ -52,15 +52,49 @@ def test_stream_merges_batches_and_sessions(spark, tmp_path):
     for n, part in enumerate([[(1, day, 1), (2, day, 2)], [(1, day + dt.timedelta(minutes=10), 5), (3, day + dt.timedelta(hours=5), 7)]]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = jobs.watch(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
-        jobs.run_available(stream, str(tmp_path / "check"), jobs.merge_batches(str(tmp_path / "table"), ["k"]))
-        assert spark.read.parquet(str(tmp_path / f"table/v={n}")).count() == (2, 3)[n]
-    assert rows(spark.read.parquet(str(tmp_path / "table/v=1")).select("k", "v")) == [(1, 5), (2, 2), (3, 7)]
+        jobs.run_available(stream, str(tmp_path / "check"), jobs.merge_batches(str(tmp_path / "table"), ["k"], ["at", "v"]))
+        assert jobs.merged(spark, str(tmp_path / "table")).count() == (2, 3)[n]
+    assert rows(jobs.merged(spark, str(tmp_path / "table")).select("k", "v")) == [(1, 5), (2, 2), (3, 7)]
+    again = jobs.merge_batches(str(tmp_path / "table"), ["k"], ["at", "v"])
+    late = spark.createDataFrame([(1, day, 9), (1, day, 8), (4, day, 1)], schema)
+    for _ in range(2):  # a batch that is run again gives the same table
+        again(late, 2)
+        assert rows(jobs.merged(spark, str(tmp_path / "table")).select("k", "v")) == [(1, 9), (2, 2), (3, 7), (4, 1)]
     seen = []
     stream = jobs.sessions(jobs.watch(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema), "k", "at", "30 minutes")
     jobs.run_available(stream, str(tmp_path / "check2"), lambda df, n: seen.extend(rows(df.select("k", "n"))))
     assert sorted(seen) == [(1, 2), (2, 1)]  # the last session is still open
 
 
+def test_stream_dedups_windows_and_outbox(spark, tmp_path):
+    schema = "k long, at timestamp, v double"
+    day = dt.datetime(2024, 1, 1)
+    tick = lambda ms: day + dt.timedelta(milliseconds=ms)
+    spark.createDataFrame([(1, tick(0), 1.0), (1, tick(100), 3.0), (1, tick(600), 5.0), (2, tick(700), 7.0)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    kind = spark.createDataFrame([], schema).schema
+    first, windows = [], []
+    jobs.run_available(jobs.enqueue_once(jobs.watch(spark, str(tmp_path / "in"), kind), ["k"], "at"), str(tmp_path / "c1"), lambda df, n: first.extend(rows(df.select("k"))))
+    assert sorted(first) == [(1,), (2,)]
+    fresh = jobs.tumbling(jobs.watch(spark, str(tmp_path / "in"), kind), "k", "at", "500 milliseconds", "v")
+    jobs.run_available(fresh, str(tmp_path / "c2"), lambda df, n: windows.extend(rows(df.select("k", "mean", "n"))), mode="update")
+    assert sorted(windows) == [(1, 2.0, 2), (1, 5.0, 1), (2, 7.0, 1)]
+    send = jobs.outbox(str(tmp_path / "out"), ["k"])
+    for number in (0, 0, 1, 1):
+        send(spark.createDataFrame([(1, day, 1.0), (2 + number, day, 2.0)], schema), number)
+    assert rows(spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "out")).select("k")) == [(1,), (2,), (3,)]
+    batches = jobs.drained(spark.createDataFrame([(1, tick(0), 1.0), (1, tick(10), 1.0)], schema), "k", "at", "1 minute")
+    assert rows(batches.select("k", "rows")) == [(1, 2)]
+
+
+def test_dependents_and_stale_results(spark):
+    needs = spark.createDataFrame([(3, 1), (3, 2), (4, 1), (5, 9)], "job long, need long")
+    states = spark.createDataFrame([(1, "done"), (2, "retry"), (3, "waiting"), (4, "waiting"), (5, "waiting"), (6, "waiting")], "job long, state string")
+    assert rows(jobs.ready(needs, states, "job", "need", "state")) == [(4,), (6,)]
+    results = spark.createDataFrame([(1, 2, "a"), (2, 1, "b"), (3, 2, "old")], "k long, version int, h string")
+    inputs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], "k long, h string")
+    assert rows(jobs.stale(results, inputs, "k", "version", "h", 2)) == [(2,), (3,), (4,)]
+
+
 def test_job_states(spark):
     log = spark.createDataFrame([(1, 1, False), (1, 2, True), (2, 1, False), (2, 2, False), (3, 1, False), (3, 2, False), (3, 3, False)], "job long, at long, ok boolean")
     assert rows(jobs.job_states(log, "job", "at", "ok").select("job", "state", "wait_seconds")) == [(1, "done", None), (2, "retry", 2), (3, "blocked", None)]
