@@ -236,3 +236,17 @@ def majority_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+
+
+@_register.query("""
+WITH p AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS t, epoch_us(ts) // 7200000000 % 5000 AS a, event_id % 2 AS b FROM events), m AS (SELECT q.event_id, q.user_id, any_value(q.t) AS own, min(r.t) AS other FROM p q JOIN p r ON r.a = q.a AND r.b = q.b WHERE q.user_id % 5 <> 0 AND r.user_id % 5 = 0 GROUP BY ALL)
+SELECT event_id, user_id, other - own AS offset_ms FROM m WHERE abs(other - own) <= 50400000
+""")
+def gps_clock_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DOM-17, JON-12: each moment's nearest reference moment by place, and how far the clocks differ; users of a fifth are the reference."""
+    spot = F.floor(micros("ts") / 7_200_000_000) % 5000  # a place for every two hours, and two sides of it
+    rows = table(spark, sf_dir, "events").select(
+        "event_id", "user_id", F.floor(micros("ts") / 1000).cast("long").alias("t"), (40 + (spot % 70) * 0.01).alias("lat"), (10 + F.floor(spot / 70) * 0.02 + (F.col("event_id") % 2) * 0.01).alias("lon")
+    )
+    found = story.gps_matches(rows.where("user_id % 5 <> 0"), rows.where("user_id % 5 = 0"), "user_id", "event_id", "t", "lat", "lon")
+    return found.select("event_id", "user_id", (F.col("other") - F.col("own")).alias("offset_ms"))

@@ -97,3 +97,26 @@ def complete_link_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 100).alias("event"), "embedding")
     return similarity.complete_link(rows, "event", ["vec_id"], "vec_id", close, weakest=[])
+
+
+@_register.query("""
+WITH f AS (SELECT vec_id // 5 AS clip, vec_id AS frame, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT clip, p, avg(x) AS x FROM (SELECT clip, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM f) GROUP BY ALL), m AS (SELECT clip, list(x ORDER BY p) AS v FROM n GROUP BY clip),
+c AS (SELECT a.clip AS a, b.clip AS b, list_cosine_similarity(a.v, b.v) AS s FROM m a JOIN m b ON a.clip < b.clip WHERE list_cosine_similarity(a.v, b.v) >= 0.25)
+SELECT a, b FROM c WHERE s >= 0.4 OR EXISTS (SELECT 1 FROM f x JOIN f y ON x.clip = c.a AND y.clip = c.b WHERE list_cosine_similarity(x.v, y.v) >= 0.35)
+""")
+def refined_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JON-14, DOM-11: clips alike by their means, or nearly so and by any two of their frames; only those near pairs meet frame by frame."""
+    rows = table(spark, sf_dir, "embeddings")
+    frames = rows.select(F.floor(F.col("vec_id") / 5).alias("clip"), F.col("vec_id").alias("frame"), "embedding")
+    means = similarity.centroid(frames, ["clip"], "embedding", "embedding")
+    return similarity.refined_pairs(means, frames, "clip", "frame", "embedding", sure=0.4, slack=0.15, frame_sure=0.35)
+
+
+@_register.query("""
+WITH s AS (SELECT vec_id AS shot, label % 5 AS place, vec_id % 11 AS ep FROM embeddings), h AS (SELECT place, count(DISTINCT ep) AS episodes, max(ep) AS last FROM s WHERE ep < 8 GROUP BY place) SELECT shot, coalesce(episodes, 0) AS episodes, last FROM s LEFT JOIN h USING (place) WHERE ep >= 8
+""")
+def channel_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JON-17: what another table, the channel's memory, knows of each shot's place: one join in place of a look-up a shot."""
+    shots = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("shot"), (F.col("label") % 5).alias("place"), (F.col("vec_id") % 11).alias("ep"))
+    memory = shots.where("ep < 8").groupBy("place").agg(F.countDistinct("ep").alias("episodes"), F.max("ep").alias("last"))
+    return shots.where("ep >= 8").join(memory, "place", "left").select("shot", F.coalesce("episodes", F.lit(0)).alias("episodes"), "last")
