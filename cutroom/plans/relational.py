@@ -228,15 +228,15 @@ def guarded_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register.query("""
 SELECT l_returnflag, l_linestatus, CAST(sum(n) AS BIGINT) AS n, CAST(least(0.20, round(sum(boost), 6)) AS DOUBLE) AS boost FROM (
-  SELECT l_returnflag, l_linestatus, count(*) AS n, 0.015 * count(*) AS boost FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL
-  UNION ALL SELECT l_returnflag, l_linestatus, count(*), 0.03 * count(*) FROM lineitem WHERE l_linenumber = 2 AND l_quantity > 49 GROUP BY ALL
+  SELECT l_returnflag, l_linestatus, count(*) AS n, 0.0000015 * count(*) AS boost FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL
+  UNION ALL SELECT l_returnflag, l_linestatus, count(*), 0.003 * count(*) FROM lineitem WHERE l_linenumber > 3 GROUP BY ALL
 ) GROUP BY l_returnflag, l_linestatus
 """)
 def capped_counter_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-07, AGG-30: counters of two batches add up, one of them to a cap."""
+    """SNK-07, AGG-30: counters of two batches add up, one of them to a cap. Boosts are above 0, so capping the sum is capping at every upsert."""
     rows = table(spark, sf_dir, "lineitem")
     side = lambda df, w: df.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), (F.lit(w) * F.count("*")).alias("boost"))
-    both = merge.counter_upsert(side(rows.where("l_linenumber = 1"), 0.015), side(rows.where("l_linenumber = 2 and l_quantity > 49"), 0.03), ["l_returnflag", "l_linestatus"], {"n": None, "boost": 0.20})
+    both = merge.counter_upsert(side(rows.where("l_linenumber <= 3"), 0.0000015), side(rows.where("l_linenumber > 3"), 0.003), ["l_returnflag", "l_linestatus"], {"n": None, "boost": 0.20})
     return both.withColumn("boost", F.round("boost", 6))
 
 

@@ -56,7 +56,7 @@ def safety_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_register.query("""
-WITH RECURSIVE o AS (SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS id, CAST(l_quantity AS BIGINT) AS c, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey * 10 + l_linenumber, CAST(l_quantity AS BIGINT)) AS r FROM lineitem WHERE l_returnflag = 'R'),
+WITH RECURSIVE o AS (SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS id, CAST(l_quantity AS BIGINT) AS c, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey * 10 + l_linenumber, CAST(l_quantity AS BIGINT)) AS r FROM lineitem),
 f AS (SELECT k, list(id ORDER BY r) AS ids, list(c ORDER BY r) AS cs, max(r) AS n FROM o GROUP BY k), g AS (
  SELECT k, ids, cs, n, 1 AS pos, CAST(0 AS BIGINT) AS used, CAST([] AS BIGINT[]) AS picked FROM f UNION ALL
  SELECT k, ids, cs, n, pos + 1, CASE WHEN used + cs[pos] <= 300 THEN used + cs[pos] ELSE used END, CASE WHEN used + cs[pos] <= 300 THEN list_append(picked, ids[pos]) ELSE picked END FROM g WHERE pos <= n)
@@ -64,7 +64,7 @@ SELECT k AS l_suppkey, used, unnest(picked) AS id, CAST(unnest(range(1, len(pick
 """)
 def greedy_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DOM-07: best first within a budget; what does not fit is passed over, and later rows still may."""
-    rows = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    rows = table(spark, sf_dir, "lineitem").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     found = selection.greedy_budget(rows, ["l_suppkey"], [-F.col("l_extendedprice"), F.col("id")], "id", "l_quantity", 300)
     return found.select("l_suppkey", "used", "id", F.col("place").cast("long").alias("place"))
 
@@ -221,7 +221,7 @@ WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '
 SELECT word, count(*) AS docs FROM w GROUP BY word HAVING count(*) >= 20
 """)
 def keyword_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keywords of each text, and in how many texts each occurs."""
+    """Keywords of each text, and in how many texts each occurs; those in twenty texts or more are topics."""
     words = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(keywords(F.col("text")))).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("docs")).where("docs >= 20")
 

@@ -64,7 +64,7 @@ def pair_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_register.query("""
-WITH l AS (SELECT user_id, epoch_us(ts) // 1000000 AS s FROM events), a AS (SELECT user_id, min(s) AS a0, max(s) AS a1 FROM l GROUP BY user_id), b AS (SELECT user_id, quantile_disc(s, 0.25) AS b0, quantile_disc(s, 0.75) AS b1 FROM l WHERE user_id % 2 = 0 GROUP BY user_id)
+WITH l AS (SELECT user_id, epoch_us(ts) // 1000000 AS s FROM events), a AS (SELECT user_id, min(s) AS a0, max(s) AS a1 FROM l GROUP BY user_id), b AS (SELECT user_id, quantile_disc(s, 0.25) AS b0, quantile_disc(s, 0.75) AS b1 FROM l GROUP BY user_id)
 SELECT a.user_id, round((least(a1, b1) - greatest(a0, b0)) / (greatest(a1, b1) - least(a0, b0)), 6) AS iou, (least(a1, b1) - greatest(a0, b0)) / (greatest(a1, b1) - least(a0, b0)) >= 0.5 AS good FROM a JOIN b ON a.user_id = b.user_id
 """)
 def interval_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def interval_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", seconds("ts").alias("s"))
     a = rows.groupBy("user_id").agg(F.min("s").alias("a0"), F.max("s").alias("a1"))
     at = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY s)").cast("long")
-    b = rows.where("user_id % 2 = 0").groupBy("user_id").agg(at(0.25).alias("b0"), at(0.75).alias("b1"))
+    b = rows.groupBy("user_id").agg(at(0.25).alias("b0"), at(0.75).alias("b1"))
     joined = a.join(b, "user_id").withColumn("v", intervals.iou(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")))
     return joined.select("user_id", F.round("v", 6).alias("iou"), (F.col("v") >= 0.5).alias("good"))
 
