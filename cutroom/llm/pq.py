@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutroom.operators.components import connected_components
+from cutroom.operators.components import connected_components, fold
 from cutroom.session import settle, ship
 
 #: Rows the index is fitted on; every row is indexed.
@@ -152,19 +152,6 @@ def _probe(index: Index, bins: np.ndarray, threshold: float):
     return run
 
 
-def _fold(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Join the labels of linked places; a label is the least place of those joined so far, and its own label."""
-    while len(a):
-        one, two = label[a], label[b]
-        if (one == two).all():
-            return
-        low = np.minimum(one, two)
-        np.minimum.at(label, one, low)
-        np.minimum.at(label, two, low)
-        while (label[label] != label).any():
-            label[:] = label[label]
-
-
 def _search(index: Index, threshold: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         members, queries = frame[frame.side == 0], frame[frame.side == 1]
@@ -191,7 +178,7 @@ def _search(index: Index, threshold: float):
             keep &= qid[a] != mid[b]
             a, b = a[keep], b[keep]
             np.add.at(links, a, mw[b])
-            _fold(label, q_at[a], m_at[b])  # pairs live as long as their piece
+            fold(label, q_at[a], m_at[b])  # pairs live as long as their piece
         counted = pd.DataFrame({"cid": qid, "links": links, "label": qid})[links > 0]
         joined = label != np.arange(len(ids))
         edges = pd.DataFrame({"cid": ids[joined], "links": 0, "label": ids[label[joined]]})
