@@ -84,7 +84,11 @@ def rotate_by_group_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("l_suppkey", "used", "id", F.col("place").cast("long").alias("place"))
 
 
-@_register.query()
+@_register.query("""
+WITH r AS (SELECT o_custkey, o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS c FROM orders WHERE floor(o_totalprice) > 0), n AS (SELECT *, 500000 // count(*) OVER (PARTITION BY o_custkey) AS share FROM r), g AS (SELECT *, least(c, greatest(share, 2000)) AS g FROM n),
+l AS (SELECT *, greatest(500000 - sum(g) OVER (PARTITION BY o_custkey), 0) AS rest, coalesce(sum(c - g) OVER (PARTITION BY o_custkey ORDER BY c DESC, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g)
+SELECT o_custkey, o_orderkey, CAST(g + greatest(0, least(c - g, rest - before)) AS BIGINT) AS granted FROM l
+""")
 def rough_cut_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DOM-36: equal shares of a target, what is left extending the longest first; tests hold it against a plain loop."""
     rows = table(spark, sf_dir, "orders").withColumn("ms", F.floor("o_totalprice").cast("long"))
@@ -206,11 +210,17 @@ def primary_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(joined, "lang", order).select("doc_id", "lang", F.col("place").cast("long").alias("place"))
 
 
-@_register.query()
+@_register.query("""
+WITH RECURSIVE q AS (SELECT conv_id, list(turn ORDER BY turn) AS queue FROM conversations GROUP BY conv_id), v AS (SELECT conv_id, queue, list_transform(queue[2:], lambda t: CASE WHEN t % 4 = 3 THEN NULL WHEN t % 2 = 0 THEN t ELSE t - 1 END) AS vs FROM q),
+g AS (SELECT conv_id, queue, vs, queue[1] AS front, 2 AS pos, CAST([] AS BIGINT[]) AS parked, 1 AS i FROM v UNION ALL
+ SELECT conv_id, queue, vs, CASE WHEN known AND (w IS NULL OR w = other) THEN other ELSE front END, CASE WHEN known THEN pos + 1 ELSE pos END, CASE WHEN known AND w IS NULL THEN list_append(parked, front) ELSE parked END, i + 1
+ FROM (SELECT *, queue[pos] AS other, vs[i] AS w, coalesce(queue[pos] IS NOT NULL AND (vs[i] IS NULL OR vs[i] = front OR vs[i] = queue[pos]), FALSE) AS known FROM g WHERE i <= len(vs)))
+SELECT conv_id, front AS winner, array_to_string(parked, ',') AS co_winners, CAST(greatest(len(queue) - pos + 1, 0) AS INTEGER) AS waiting FROM g WHERE i = len(vs) + 1
+""")
 def duel_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DOM-39: winners of sessions whose queue is the turns and whose verdicts come from their lengths; tests replay by hand."""
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("queue"))
-    verdicts = F.transform(F.slice("queue", 2, 1_000_000), lambda t: F.when(t % 4 == 3, F.lit(None)).when(t % 2 == 0, t).otherwise(t - 1).cast("long"))
+    verdicts = F.transform(F.slice("queue", F.lit(2), F.size("queue")), lambda t: F.when(t % 4 == 3, F.lit(None)).when(t % 2 == 0, t).otherwise(t - 1).cast("long"))
     rows = turns.withColumn("verdicts", verdicts)
     found = selection.replay_duels(rows, "conv_id", "queue", "verdicts")
     return found.withColumn("co_winners", F.array_join(F.transform("co_winners", lambda x: x.cast("string")), ","))
