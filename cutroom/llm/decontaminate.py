@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cutroom.llm.words import integer_id
 from cutroom.session import ship, table
 
 #: Characters of an item for each edit allowed.
@@ -157,7 +158,7 @@ def find_benchmark(
     """
     spark = docs.sparkSession
     ship(spark)
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("text is not null").distinct()
+    items = benchmark.select(integer_id(benchmark, item_col).alias("item"), F.col(item_text_col).alias("text")).where("text is not null").distinct()
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = -(-size // MACHINE_CHARS) or 1
     kind = dict(docs.dtypes)[id_col]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cutroom.llm.words import Words, chunks, mix, set_of
+from cutroom.llm.words import Words, chunks, integer_id, mix, set_of
 from cutroom.operators.components import connected_components
 from cutroom.session import settle, ship
 
@@ -245,7 +245,7 @@ def _counted(pairs: DataFrame, signed: DataFrame, matches: int, in_all: int, num
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text, and a key of both: rows that repeat an id with another text are other documents."""
-    doc, text = docs[id_col].cast("long"), docs[text_col]
+    doc, text = integer_id(docs, id_col), docs[text_col]
     return docs.select(doc.alias("doc_id"), text.alias("text"), text_key(doc, text).alias("key"))
 
 
@@ -420,5 +420,5 @@ def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80, id_col: st
     first = grouped.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("rep")).select("rep.key")
     kept = first.unionByName(signed.where("n_shingles = 0").select("key")).withColumnRenamed("key", "_key")
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")  # no name of theirs can clash
-    keyed = docs.select(row, text_key(docs[id_col].cast("long"), docs[text_col]).alias("_key"))
+    keyed = docs.select(row, text_key(integer_id(docs, id_col), docs[text_col]).alias("_key"))
     return keyed.join(kept, "_key", "left_semi").groupBy("_key").agg(F.first("row").alias("row")).select("row.*")

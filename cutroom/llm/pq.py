@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cutroom.llm.words import integer_id
 from cutroom.operators.components import connected_components, fold
 from cutroom.session import settle, ship
 
@@ -205,7 +206,7 @@ def near_duplicate_vectors(
     """
     spark = vectors.sparkSession
     ship(spark)
-    raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
+    raw = vectors.select(integer_id(vectors, id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
     sound = F.col("x").isNotNull() & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     good = raw.where("vec_id is not null").where(sound).withColumn("norm", norm).where("norm > 0 and norm < double('Infinity')")

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cutroom.llm.words import Words, _power_table, chunks, mix, rolled
+from cutroom.llm.words import Words, _power_table, chunks, integer_id, mix, rolled
 from cutroom.session import release, settle, ship
 
 #: Words of an anchor; a window of n words has n - ANCHOR + 1 of them to choose from.
@@ -332,7 +332,7 @@ def remove_repeats(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     ship(spark)
     text = F.coalesce(docs[text_col], F.lit(""))
-    keyed = docs.select(docs[id_col].alias("key"), F.coalesce(docs[id_col].cast("long"), F.lit(2**63 - 1)).alias("id"), F.xxhash64(text, docs[id_col].isNull()).alias("other"), text.alias("text"))
+    keyed = docs.select(docs[id_col].alias("key"), F.coalesce(integer_id(docs, id_col), F.lit(2**63 - 1)).alias("id"), F.xxhash64(text, docs[id_col].isNull()).alias("other"), text.alias("text"))
     kind = dict(docs.dtypes)[id_col]
     packed = keyed.mapInArrow(_packed, f"key {kind}, id long, other long, packed binary")
     doc = ["id", "other"]

@@ -151,3 +151,11 @@ def grams_of(words: dict[str, int], longest: int) -> Iterator[tuple[int, list[st
         first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
         text = codes[keep[order[first]][:, None] + np.arange(size)].tobytes().decode("utf-32-le", "surrogatepass")
         yield size, [text[i : i + size] for i in range(0, len(text), size)], np.add.reduceat(weight[keep[order]], first)
+
+
+def integer_id(df, name: str):  # noqa: ANN001, ANN201
+    """A table's id column as long; ids that are no whole numbers are refused rather than lost."""
+    kind = dict(df.dtypes)[name]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{name} must hold whole numbers, not {kind}")
+    return df[name].cast("long")

@@ -581,6 +581,13 @@ def test_op10_texts_of_one_id_link_each(spark):
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
 
 
+def test_ids_that_are_no_numbers_are_refused(spark):
+    odd = spark.createDataFrame([("a", "text", [1.0])], "doc_id string, text string, v array<double>")
+    for call in (lambda: minhash.near_duplicates(odd), lambda: substrings.remove_repeats(odd), lambda: pq.near_duplicate_vectors(odd, id_col="doc_id", vector_col="v"), lambda: decontaminate.find_benchmark(docs(spark, [(1, "x")]), odd, item_col="doc_id")):
+        with pytest.raises(TypeError):
+            call()
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     empty = spark.createDataFrame([], "item_id long, text string")
