@@ -36,4 +36,44 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(l.low,
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN (SELECT node, min(other) AS low FROM r GROUP BY node) l ON l.node = w.doc_id
 """
 
-ORACLE_SQL = {"op1_embedding_near_dedup": OP1, "op6_substring_dedup": OP6, "op10_minhash_near_dedup": OP10}
+def _op12() -> str:
+    """Three rounds, each a cross of vectors with 16 centroids that is grouped again."""
+    apart = "list_sum(list_transform(list_zip(v.x, c.x), lambda z: CAST((z[1] - z[2]) * (z[1] - z[2]) AS BIGINT)))"
+    near = "SELECT v.vec_id, v.place, min(struct_pack(d := CAST({0} AS BIGINT), c := c.c)) AS best FROM v, c{1} c GROUP BY ALL"
+    parts = [
+        """e AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id, embedding) AS place FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda a: a IS NULL OR NOT isfinite(a))) = 0),
+v AS (SELECT vec_id, place, list_transform(embedding, lambda a: CAST(floor(64 * a::DOUBLE) AS BIGINT)) AS x FROM e),
+c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS INTEGER) AS c, x FROM v ORDER BY sha256('1:' || vec_id), x LIMIT 16)"""
+    ]
+    for r in range(4):
+        parts.append(f"a{r} AS ({near.format(apart, r)})")
+        if r < 3:
+            parts.append(f"""u{r} AS (SELECT best.c AS c, unnest(x) AS t, unnest(range(1, 65)) AS i FROM a{r} a JOIN v ON v.place = a.place),
+s{r} AS (SELECT c, i, CAST(sum(t) AS BIGINT) AS s, count(*) AS n FROM u{r} GROUP BY c, i),
+n{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM s{r} GROUP BY c),
+c{r + 1} AS (SELECT o.c, coalesce(n.x, o.x) AS x FROM c{r} o LEFT JOIN n{r} n ON n.c = o.c)""")
+    return f"""WITH {", ".join(parts)},
+t AS (SELECT best.c AS c, CAST(sum(best.d) AS BIGINT) AS inertia FROM a3 GROUP BY 1)
+SELECT a.vec_id, a.best.c AS cluster, a.best.d AS distance, t.inertia AS cluster_inertia, (SELECT CAST(sum(inertia) AS BIGINT) FROM t) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a3 a JOIN t ON t.c = a.best.c JOIN c3 c ON c.c = a.best.c"""
+
+
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+o AS (SELECT doc, lang, source, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT doc) >= 10),
+c AS (SELECT o.lang, o.source, o.term, count(*) AS n FROM o JOIN k ON k.lang = o.lang AND k.term = o.term GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT g.lang, count(DISTINCT k.term) AS v FROM g LEFT JOIN k ON k.lang = g.lang GROUP BY g.lang),
+m AS (SELECT g.lang, g.source, v.v, coalesce(sum(c.n), 0) AS total FROM g JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+l AS (SELECT lang, sum(total) AS total FROM m GROUP BY lang),
+p AS (SELECT m.lang, m.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (m.total + 2 * m.v) AS HUGEINT) AS p FROM m JOIN k ON k.lang = m.lang LEFT JOIN c ON c.lang = m.lang AND c.source = m.source AND c.term = k.term),
+q AS (SELECT p.lang, p.term, CAST(1 + 1000000000::HUGEINT * (sum(p.n) + 2) // (any_value(l.total) + 2 * any_value(v.v)) AS HUGEINT) AS q FROM p JOIN l ON l.lang = p.lang JOIN v ON v.lang = p.lang GROUP BY p.lang, p.term),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(sum((pa.p - pb.p) * (pa.p - pb.p) // (pa.p + pb.p)), 0) AS BIGINT) AS value
+ FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN p pa ON pa.lang = a.lang AND pa.source = a.source LEFT JOIN p pb ON pb.lang = b.lang AND pb.source = b.source AND pb.term = pa.term GROUP BY ALL
+ UNION ALL SELECT p.lang, p.source, 'term', p.term, CAST((p.p - q.q) * (p.p - q.q) // (p.p + q.q) AS BIGINT) FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.n > 0 AND p.p > q.q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM x)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
+ORACLE_SQL = {"op1_embedding_near_dedup": OP1, "op6_substring_dedup": OP6, "op10_minhash_near_dedup": OP10, "op12_centroid_clusters": _op12(), "op13_source_divergence": OP13}

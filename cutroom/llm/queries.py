@@ -1,4 +1,4 @@
-"""The queries of this subpackage: op1 to op10."""
+"""The queries of this subpackage: op1 to op13."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutroom.llm import bpe, decontaminate, langid, minhash, pii, pq, secrets, substrings, tokencount, toxicity
+from cutroom.llm import bpe, decontaminate, divergence, exponion, langid, minhash, pii, pq, secrets, substrings, tokencount, toxicity, urlfilter
 from cutroom.llm.oracle import ORACLE_SQL  # noqa: F401
 from cutroom.session import table
 
@@ -68,8 +68,24 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+#: The rules that op11 judges by: (verdict, host/path).
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exponion.cluster_vectors(table(spark, sf_dir, "embeddings"), dim=64, k=16, rounds=3, seed=1)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
 _ALL = (
     op1_embedding_near_dedup, op2_byte_bpe, op3_language_id, op4_decontaminate, op5_pii, op6_substring_dedup, op7_secret_scan, op8_token_counts, op9_toxicity,
-    op10_minhash_near_dedup,
+    op10_minhash_near_dedup, op11_url_filters, op12_centroid_clusters, op13_source_divergence,
 )
 QUERIES = {f.__name__: f for f in _ALL}
