@@ -175,7 +175,7 @@ def test_few_no_and_large_vectors(spark):
     assert clusters(spark, few, dim=2) == plain_clusters(few, 2, 16, 3)
     assert clusters(spark, few[:1], dim=2) == plain_clusters(few[:1], 2, 16, 3)
     assert clusters(spark, [(1, None), (2, [1.0])], dim=2) == clusters(spark, [], dim=2) == []
-    large = [(i, [i * 1e6, -i * 1e6]) for i in range(20)]
+    large = [(i, [i * 8e5, -i * 8e5]) for i in range(20)]
     assert clusters(spark, large, dim=2) == plain_clusters(large, 2, 16, 3)
     with pytest.raises(Exception, match="do not fit into 64 bits"):
         clusters(spark, [(1, [1e300, 0.0])], dim=2)
