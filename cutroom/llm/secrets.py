@@ -4,7 +4,8 @@ Candidate strings are runs of the characters of keys, with the names and separat
 window slides along each; the counts of its characters change by one in and one out at a step, and so
 does the sum of n * log2(n) that its entropy follows from. A candidate is reported where one of its
 windows reaches the entropy of the window's own class and no allow-list pattern explains that window, or
-the parts between separators that it touches; what else the run holds does not matter. Everything stays in the JVM, row by row: nothing is shuffled.
+the parts between separators that it touches; what else the run holds does not matter. A run is split, scanned and marked
+once, whatever its length, so time is in proportion to it. Everything stays in the JVM, row by row: nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -112,35 +113,70 @@ def _bits(n: Column) -> Column:
     return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
 
 
+def entropies(letters: Column, window: int = WINDOW) -> Column:
+    """Shannon entropy, in bits a character, of each window of that many of the letters, in order; empty where there are fewer.
+
+    With counts n of the window's w characters it is log2(w) - sum(n * log2(n)) / w. Both the counts and the sum are carried
+    from window to window. letters is used often: it must be a value and no expression (see _with).
+    """
+    def carried(names: Column) -> Column:
+        return _with(F.transform(letters, lambda c: F.array_position(names, c).cast("int") - 1), lambda codes: slid(names, codes))
+
+    def slid(names: Column, codes: Column) -> Column:
+        counts = F.transform(names, lambda name, k: F.size(F.filter(F.slice(codes, 1, window), lambda c: c == k)))
+        start = _with(counts, lambda n: F.struct(n.alias("n"), F.aggregate(n, F.lit(0.0), lambda a, x: a + _bits(x)).alias("sum")))
+        moved = _scan(F.sequence(F.lit(window), F.size(codes)), start, lambda acc, i: slide(codes, acc, i), lambda acc, i: acc["sum"], "double")
+        return F.transform(moved, lambda total: F.log2(F.lit(float(window))) - total / F.lit(float(window)))
+
+    def slide(codes: Column, acc: Column, i: Column) -> Column:
+        def stepped(pair: Column) -> Column:
+            gone, new = pair["gone"], pair["new"]
+            before, after = F.get(acc["n"], gone), F.get(acc["n"], new)
+            total = acc["sum"] - _bits(before) + _bits(before - 1) - _bits(after) + _bits(after + 1)
+            counts = F.transform(acc["n"], lambda n, k: n + F.when(k == new, 1).otherwise(0) - F.when(k == gone, 1).otherwise(0))
+            # past the last window there is no new character, and nothing reads the state
+            return F.when(new.isNull() | (gone == new), acc).otherwise(F.struct(counts.alias("n"), total.alias("sum")))
+
+        return _with(F.struct(F.get(codes, i - window).alias("gone"), F.get(codes, i).alias("new")), stepped)
+
+    return F.when(F.size(letters) >= window, _with(F.array_distinct(letters), carried)).otherwise(F.array().cast("array<double>"))
+
+
 def best_entropy(candidate: Column, window: int = WINDOW) -> Column:
-    """Greatest Shannon entropy, in bits a character, of the candidate's windows of that many characters.
+    """Greatest entropy of the candidate's windows; null for a candidate shorter than the window."""
+    return _with(F.split(candidate, ""), lambda letters: F.array_max(entropies(letters, window)))
+
+
+def _touched(run: Column, letters: Column, use: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """use(bad), where bad(i) says whether the parts between separators that the window from i on touches hold an ALLOW_PART.
 
-    With counts n of the window's w characters it is log2(w) - sum(n * log2(n)) / w. Both the counts and the
-    sum are carried from window to window. Null for a candidate shorter than the window.
+    A pattern lies within a part, but for ``your`` with the separator after it; so it is enough to mark where patterns begin, or
+    that separator, to number separators and marks once from left to right and right to left, and to compare two counts.
     """
-    letters = F.split(candidate, "")
-    names = F.array_distinct(letters)
-    codes = F.transform(letters, lambda c: F.array_position(names, c).cast("int") - 1)
-    first = F.transform(names, lambda name: F.size(F.filter(F.slice(letters, 1, window), lambda c: c == name)))
-    start = F.struct(
-        first.alias("n"),
-        F.aggregate(first, F.lit(0.0), lambda a, n: a + _bits(n)).alias("sum"),
-        F.aggregate(first, F.lit(0.0), lambda a, n: a + _bits(n)).alias("least"),
-    )
+    one, two = "\u0001", "\u0002"
+    marked = F.regexp_replace(F.regexp_replace(run, r"(?i)(?<=your)[_-]", two), rf"(?i)(?={ALLOW_PART.removeprefix('(?i)').replace('|your[_-]', '')}).", one)
 
-    def slide(acc: Column, i: Column) -> Column:
-        gone, new = F.get(codes, i - window), F.get(codes, i)
-        before, after = F.get(acc["n"], gone), F.get(acc["n"], new)
-        same = gone == new
-        total = F.when(same, acc["sum"]).otherwise(acc["sum"] - _bits(before) + _bits(before - 1) - _bits(after) + _bits(after + 1))
-        counts = F.when(same, acc["n"]).otherwise(
-            F.transform(acc["n"], lambda n, k: n + F.when(k == new, 1).otherwise(0) - F.when(k == gone, 1).otherwise(0))
-        )
-        return F.struct(counts.alias("n"), total.alias("sum"), F.least(acc["least"], total).alias("least"))
+    def sides(items: Column) -> Column:
+        end = F.size(items)
+        left = _scan(
+            items, F.struct(F.lit(-1).alias("sep"), F.lit(0).alias("n")),
+            lambda acc, c: F.struct(F.when(c["sep"], c["i"]).otherwise(acc["sep"]).alias("sep"), (acc["n"] + c["mark"].cast("int")).alias("n")), lambda acc, c: acc, "struct<sep:int,n:int>",
+        )
+        right = F.reverse(_scan(F.reverse(items), end, lambda acc, c: F.when(c["sep"], c["i"]).otherwise(acc), lambda acc, c: acc, "int"))
+        return _with(F.struct(left.alias("left"), right.alias("right"), F.size(F.filter(items, lambda c: c["mark"])).alias("all")), told)
+
+    def told(held: Column) -> Column:
+        def bad(i: Column) -> Column:
+            low = F.get(held["left"], i)["sep"] + 1
+            high = F.get(held["right"], i + WINDOW - 1)
+            return F.coalesce(F.get(held["left"], high)["n"], held["all"]) > F.get(held["left"], low)["n"]
+
+        return use(bad)
+
+    def items(marks: Column) -> Column:
+        return F.transform(letters, lambda c, i: F.struct(i.alias("i"), c.isin(*SEPARATORS).alias("sep"), F.get(marks, i).isin(one, two).alias("mark")))
 
-    places = F.when(F.size(letters) > window, F.sequence(F.lit(window), F.size(letters) - 1)).otherwise(F.array().cast("array<int>"))
-    least = F.aggregate(places, start, slide, lambda acc: acc["least"])
-    return F.when(F.length(candidate) >= window, F.log2(F.lit(float(window))) - least / F.lit(float(window)))
+    return _with(F.split(marked, ""), lambda marks: _with(items(marks), sides))
 
 
 def _written(spans: Column) -> Column:
@@ -171,25 +207,30 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.select("id", "text", *[fixed(k, *form).alias(kind) for k, (kind, form) in enumerate(BASE.items())])
     rows = rows.withColumn("base", F.array_sort(F.concat(*BASE)))
 
-    def secret(s: Column) -> Column:
-        loose = ~F.rlike(s["m"], F.lit(ALLOW_PART))
+    lowest = min(least for _, least in CLASSES.values())
+
+    def random_window(window: Column, bits: Column) -> Column:
+        needed = F.lit(None)
+        for pattern, least in CLASSES.values():
+            needed = F.coalesce(needed, F.when(F.rlike(window, F.lit(pattern)), F.lit(least)))
+        allowed = F.lit(False)
+        for pattern in ALLOW:
+            allowed = allowed | F.rlike(window, F.lit(pattern))
+        return F.coalesce(bits >= needed, F.lit(False)) & ~allowed
 
+    def judged(run: Column, letters: Column, bits: Column) -> Column:
         def high(i: Column) -> Column:
-            window = F.substring(s["m"], i, F.lit(WINDOW))
-            bits = F.lit(None)
-            for pattern, least in CLASSES.values():
-                bits = F.coalesce(bits, F.when(F.rlike(window, F.lit(pattern)), F.lit(least)))
-            allowed = F.lit(False)
-            for pattern in ALLOW:
-                allowed = allowed | F.rlike(window, F.lit(pattern))
-            left = F.regexp_extract(F.substring(s["m"], F.lit(1), i - 1), f"[^{SEPARATORS}]*$", 0)
-            right = F.regexp_extract(F.substring(s["m"], i + WINDOW, F.length(s["m"])), f"^[^{SEPARATORS}]*", 0)
-            free = loose | ~F.rlike(F.concat(left, window, right), F.lit(ALLOW_PART))
-            return F.when(bits.isNotNull() & ~allowed & free, F.round(best_entropy(window), 6) >= bits).otherwise(False)
-
-        likely = F.rlike(s["m"], F.lit("[0-9]"))  # no class has letters alone
-        likely = F.when(likely, F.round(best_entropy(s["m"]), 6) >= min(least for _, least in CLASSES.values())).otherwise(False)
-        return F.when(likely, F.exists(F.sequence(F.lit(1), F.length(s["m"]) - WINDOW + 1), high)).otherwise(False)
+            own = F.round(F.get(bits, i), 6)
+            return F.when(own >= lowest, _with(F.array_join(F.slice(letters, i + 1, WINDOW), ""), lambda window: random_window(window, own))).otherwise(False)
+
+        at = F.filter(F.sequence(F.lit(0), F.size(bits) - 1), high)
+        free = lambda found: _touched(run, letters, lambda bad: F.exists(found, lambda i: ~bad(i)))
+        found = _with(at, lambda found: F.when(F.size(found) == 0, False).when(~F.rlike(run, F.lit(ALLOW_PART)), True).otherwise(free(found)))
+        return F.when(F.round(F.array_max(bits), 6) >= lowest, found).otherwise(False)
+
+    def secret(s: Column) -> Column:
+        judge = _with(F.split(s["m"], ""), lambda letters: _with(entropies(letters), lambda bits: judged(s["m"], letters, bits)))
+        return F.when(F.rlike(s["m"], F.lit("[0-9]")), judge).otherwise(False)  # no class has letters alone
 
     rows = rows.withColumn("high", _plain(F.filter(_outside(_spans(F.col("text"), CANDIDATE, len(BASE)), F.col("base")), secret)))
     rows = rows.withColumn("all", F.array_sort(F.concat("base", "high")))

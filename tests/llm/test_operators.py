@@ -339,6 +339,24 @@ def test_op7_time_stays_in_proportion_to_matches(spark):
     assert (row.n_assign, row.n_access) == (4000, 4000) and row.spans.endswith(f"access:{len(text) - 21}:{len(text) - 1}")
 
 
+def test_op7_long_runs(spark):
+    """Runs of tens of thousands of characters in one row: split, scanned and marked once each; every window is looked at."""
+    rng = random.Random(3)
+    letters = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz0123456789"
+    quiet = "Ab1" * 20_000
+    rows = [
+        (1, "".join(rng.choice(letters) for _ in range(60_000)), True),
+        (2, quiet, False),
+        (3, quiet + "/" + "".join(rng.choice(letters) for _ in range(24)), True),  # only the last windows are random
+        (4, "ABCDEFGHIJ0123456789" * 3_000, False),
+        (5, "sample/Ab1xQ9/" * 4_000, False),  # every window touches a part that the allow-list names
+        (6, "sample/Ab1xQ9/" * 4_000 + quiet[:40] + "x7Kp2mQz9RtL4vWn8bYc", True),
+    ]
+    got = by_id(secrets.find_secrets(docs(spark, [(i, f"key {run} end") for i, run, _ in rows])))
+    for i, run, found in rows:
+        assert got[i].spans == (f"entropy:4:{4 + len(run)}" if found else ""), i
+
+
 def test_op7_entropy_equals_counting(spark):
     rng = random.Random(10)
     words = ["".join(rng.choice("abcdefAB01") for _ in range(rng.randint(18, 60))) for _ in range(40)]
