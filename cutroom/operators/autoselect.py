@@ -71,12 +71,12 @@ def take_turns(candidates: DataFrame, episode: str, chapter: str, chapter_rank:
     def pick(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values([chapter_rank, chapter, score, ident], ascending=[True, True, False, True], na_position="last", kind="stable")
         queues = [list(zip(part[ident], part[seconds], strict=True)) for _, part in frame.groupby([chapter_rank, chapter], sort=False, dropna=False)]
+        waiting = [iter(queue) for queue in queues]
         total, picked, going = 0.0, [], True
         while going:
             going = False
-            for queue in queues:
-                while queue:
-                    who, long = queue.pop(0)
+            for queue in waiting:
+                for who, long in queue:
                     if total + long <= budget + 1e-9:
                         total += long
                         picked.append(who)

@@ -26,7 +26,10 @@ def counter_upsert(target: DataFrame, source: DataFrame, keys: list[str], counte
 
 
 def insert_absent(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    fresh = source.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
+    """Source rows whose key the target lacks; of a key's rows the least in order of the other columns, so that a run again inserts the same."""
+    rest = [c for c in target.columns if c not in keys]
+    first = source.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, "_r.*") if rest else source.select(*keys).distinct()
+    fresh = first.join(target.select(*keys), keys, "left_anti")
     return target.unionByName(fresh.select(target.columns))
 
 

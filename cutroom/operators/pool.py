@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cutroom.functions.vectors import cosine
+from cutroom.operators.components import connected_components
 from cutroom.operators.latest import latest_per_key
+from cutroom.session import ship
 
 #: Reasons that rule a clip out, by key and by label.
 BLOCKERS = ("defocus", "失焦", "excessive_shake", "抖动过大", "bad_timing", "时机差", "high_contrast", "大光比")
@@ -95,6 +100,66 @@ def dense_numbers(df: DataFrame, order: list[Column], name: str = "number") -> D
     return numbered.withColumn(name, F.col("_before") + 1).drop("_one", "_before")
 
 
+def photo_clusters(photos: DataFrame, most: int = 200, **rule: float) -> DataFrame:
+    """Groups of photos that belong together, in each of which every two do: (id, group, is_primary) of groups of two and more.
+
+    photos: id, event, camera, taken_ms, number, hash (long), vector, sharpness; rule as in photo_pairs(). In order of time (undated
+    last) and id, a photo joins the first group with room that it is close to all members of. A photo left alone because a group was
+    full gets that group's weakest member. group is the group's least id, its primary the sharpest photo, of equals
+    the one of least id.
+
+    The order only matters among photos that are linked, so each component of close pairs is a task of its own and
+    an event of any size is spread over many; a task compares its photos as they come and makes no pairs.
+    """
+    ship(photos.sparkSession)
+    rule = {"close": 18, "similar": 0.90, "burst_ms": 1200, "numbers": 3, "hard_ms": 1_800_000} | rule
+    parts = connected_components(photo_pairs(photos, **rule), "a", "b")
+    rows = photos.join(parts, F.col("id") == F.col("node")).select("component", "id", "camera", "taken_ms", "number", "hash", F.col("vector").cast("array<double>").alias("vector"), F.coalesce("sharpness", F.lit(0.0)).cast("double").alias("sharpness"))
+    kind = dict(photos.dtypes)["id"]
+
+    def group(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["taken_ms", "id"], na_position="last", kind="stable").reset_index(drop=True)
+        taken, number = frame.taken_ms.to_numpy(float, na_value=np.nan), frame.number.to_numpy(float, na_value=np.nan)
+        camera = frame.camera.fillna("").to_numpy()
+        bits = frame["hash"].to_numpy(np.int64).view(np.uint64)
+        length = max((len(v) for v in frame.vector if v is not None), default=0)
+        unit = np.zeros((len(frame), length))
+        for i, v in enumerate(frame.vector):
+            if v is not None and len(v) == length and np.isfinite(v).all() and np.linalg.norm(v) > 0:
+                unit[i] = v / np.linalg.norm(v)
+
+        def close(i: int, to: np.ndarray) -> np.ndarray:
+            gap = np.abs(taken[to] - taken[i])  # a time that is missing is no gap
+            burst = (camera[to] == camera[i]) & (camera[i] != "") & ((gap <= rule["burst_ms"]) | (np.abs(number[to] - number[i]) <= rule["numbers"]))
+            alike = (np.bitwise_count(bits[to] ^ bits[i]) <= rule["close"]) | (unit[to] @ unit[i] >= rule["similar"])
+            return (burst | alike) & ~(gap > rule["hard_ms"])
+
+        groups: list[list[int]] = []
+        for i in range(len(frame)):
+            near = np.zeros(len(frame), bool)
+            near[:i] = close(i, np.arange(i))
+            home = next((g for g in groups if len(g) < most and near[g].all()), None)
+            if home is None:
+                groups.append([i])
+            else:
+                home.append(i)
+        for spill, alone in enumerate(groups):
+            if len(alone) == 1:
+                full = next((g for g in groups[:spill] if len(g) == most and close(alone[0], np.array(g)).all()), None)
+                if full is not None:
+                    weakest = min(full, key=lambda k: (frame.sharpness[k], -frame.id[k]))
+                    full.remove(weakest)
+                    alone.append(weakest)
+        out = []
+        for g in groups:
+            if len(g) > 1:
+                best = min(g, key=lambda k: (-frame.sharpness[k], frame.id[k]))
+                out += [(frame.id[k], min(frame.id[g]), k == best) for k in g]
+        return pd.DataFrame(out, columns=["id", "group", "is_primary"])
+
+    return rows.groupBy("component").applyInPandas(group, f"id {kind}, group {kind}, is_primary boolean")
+
+
 def section_labels(df: DataFrame, keys: list[str], place: str, energy: str) -> DataFrame:
     """Names of a piece's sections: its strongest (of equals the last) is the climax, then intro, outro, and by the one before."""
     line = Window.partitionBy(*keys).orderBy(place)
@@ -148,8 +213,6 @@ def photo_pairs(photos: DataFrame, close: int = 18, similar: float = 0.90, burst
     Events are split at half-hour gaps before, and each is bounded by that; the join is on the event and on
     bins of time, so photos far apart in a long event never meet.
     """
-    from cutroom.functions.vectors import cosine
-
     binned = photos.where("hash is not null").withColumn("_bin", F.floor(F.col("taken_ms") / hard_ms))
     left = binned.select("event", *[F.col(c).alias(f"a_{c}") for c in ("id", "camera", "taken_ms", "number", "hash", "vector")], F.explode(F.when(F.col("_bin").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(F.col("_bin") - 1, F.col("_bin"), F.col("_bin") + 1))).alias("_bin"))
     right = binned.select("event", "_bin", *[F.col(c).alias(f"b_{c}") for c in ("id", "camera", "taken_ms", "number", "hash", "vector")])

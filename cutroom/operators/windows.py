@@ -126,6 +126,46 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str = "ran
     return numbered.join(starts, met).select(*df.columns, (F.col("_own") + F.col("_before")).alias(name))
 
 
+def placed(df: DataFrame, keys: list[str], order: list[Column], size: str, place: str = "place", before: str = "before") -> DataFrame:
+    """Rows with their rank in their key, from 1, and the sum of size over those before; a key may hold any share of the rows.
+
+    Ranges number and sum their own rows; what lies in the ranges before, one row for each range and key in it,
+    is added. order must tell the rows of a key apart.
+    """
+    ranged = settle(df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()))
+    parts = ranged.groupBy(*keys, "_p").agg(F.count("*").alias("_n"), F.sum(size).alias("_s"))
+    ahead = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_c"), F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_o")
+    )
+    inside = Window.partitionBy("_p", *keys).orderBy(*order)
+    own = ranged.withColumn("_own", F.row_number().over(inside)).withColumn("_sum", F.coalesce(F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    met = F.col("_p") == F.col("_q")
+    for i, k in enumerate(keys):
+        met = met & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return own.join(starts, met).select(*df.columns, (F.col("_own") + F.col("_c")).alias(place), (F.col("_sum") + F.col("_o")).alias(before))
+
+
+def beside(rows: DataFrame, keys: list[str], columns: dict[str, str], step: int, place: str = "place") -> DataFrame:
+    """placed() rows with columns of the row so many places on, under new names; null where there is none.
+
+    A join on key and place, so neighbours meet wherever they lie.
+    """
+    other = rows.select(*keys, (F.col(place) - step).alias(place), *[F.col(old).alias(new) for old, new in columns.items()])
+    return rows.join(other, [*keys, place], "left")
+
+
+def chains(df: DataFrame, keys: list[str], value: str, least: float) -> DataFrame:
+    """Rows numbered by the chain they belong to: in a chain, each value is less than least after the one before.
+
+    What a rule that goes from value to value does in one chain does not depend on any other, so chains can be
+    dealt out where a key would be too much for a task.
+    """
+    rows = beside(placed(df.withColumn("_one", F.lit(1)), keys, [F.col(value)], "_one", "_at", "_n"), keys, {value: "_before"}, -1, "_at")
+    rows = rows.withColumn("_break", F.coalesce(F.col(value) - F.col("_before") >= least, F.lit(True)).cast("long")).select(*df.columns, "_break")
+    return placed(rows, keys, [F.col(value)], "_break", "_at", "_n").select(*df.columns, (F.col("_n") + F.col("_break")).alias("chain"))
+
+
 def interpolated_percentiles(df: DataFrame, keys: list[str], value: str, order: list[Column], shares: dict[str, float]) -> DataFrame:
     """Percentiles of each key, interpolated between neighbours, out of ranks by range rather than of one task's sort."""
     known = df.where(F.col(value).isNotNull())

@@ -12,7 +12,8 @@ from cutroom.session import table
 
 _register = Register()
 QUERIES, ORACLE_SQL = _register.queries, _register.sql
-_LINE = "SELECT user_id, event_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS idx FROM events WHERE value IS NOT NULL"
+#: Values are whole hundredths, so that means of 2, 4 or 8 of them are exact and order alike everywhere.
+_LINE = "SELECT user_id, event_id, event_type, CAST(round(value * 100) AS BIGINT) AS value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS idx FROM events WHERE value IS NOT NULL"
 #: Moments of a suggestion, halved down to the least while every stretch has a cut inside; seconds of a moment; an episode's seconds.
 TARGET, LEAST, MOMENT, BUDGET = 8, 2, 5, 220
 
@@ -57,21 +58,21 @@ f AS (SELECT user_id, any_value(span) AS span, list(idx ORDER BY r) AS ids, list
 g AS (SELECT user_id, span, ids, means, n, 1 AS pos, CAST([] AS BIGINT[]) AS picked, CAST([] AS DOUBLE[]) AS kept FROM f UNION ALL
  SELECT user_id, span, ids, means, n, pos + 1, CASE WHEN len(picked) < 3 AND len(list_filter(picked, lambda p: abs(p - ids[pos]) < span)) = 0 THEN list_append(picked, ids[pos]) ELSE picked END,
   CASE WHEN len(picked) < 3 AND len(list_filter(picked, lambda p: abs(p - ids[pos]) < span)) = 0 THEN list_append(kept, means[pos]) ELSE kept END FROM g WHERE pos <= n),
-s AS (SELECT user_id, CAST(unnest(range(1, len(picked) + 1)) AS BIGINT) AS rank, unnest(picked) AS idx, span, unnest(kept) AS mean FROM g WHERE pos = n + 1)"""
+s AS (SELECT user_id, CAST(unnest(range(1, len(picked) + 1)) AS BIGINT) AS rank, unnest(picked) AS idx, span, unnest(kept) / 100 AS mean FROM g WHERE pos = n + 1)"""
 
 
 def _suggested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line(spark, sf_dir).withColumn("cut", F.col("event_type").isin("error", "click"))
-    return autoselect.suggestions(rows, ["user_id"], "idx", "value", TARGET, LEAST, "cut")
+    rows = line(spark, sf_dir).withColumn("cut", F.col("event_type").isin("error", "click")).withColumn("value", F.round(F.col("value") * 100).cast("long"))
+    return autoselect.suggestions(rows, ["user_id"], "idx", "value", TARGET, LEAST, "cut").withColumn("value", F.round(F.col("value") / 100, 6))
 
 
-@_register.query(f"WITH RECURSIVE {_SUGGESTED} SELECT user_id, rank, idx, span, round(mean, 4) AS mean FROM s")
+@_register.query(f"WITH RECURSIVE {_SUGGESTED} SELECT user_id, rank, idx, span, round(mean, 6) AS mean FROM s")
 def suggested_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DOM-05: up to three stretches a clip, shorter where every long one has a cut inside, and with cuts where all have."""
-    return _suggested(spark, sf_dir).select("user_id", F.col("rank").cast("long").alias("rank"), "idx", F.col("span").cast("long").alias("span"), F.round("value", 4).alias("mean"))
+    return _suggested(spark, sf_dir).select("user_id", F.col("rank").cast("long").alias("rank"), "idx", F.col("span").cast("long").alias("span"), F.col("value").alias("mean"))
 
 
-_CANDIDATES = f"""SELECT user_id, user_id % 3 AS ep, user_id % 4 AS ch, CASE WHEN user_id % 5 <> 0 THEN user_id % 7 END AS grp, span * {MOMENT} AS secs, round(mean, 4) AS score FROM s WHERE rank = 1 AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 190)"""
+_CANDIDATES = f"""SELECT user_id, user_id % 3 AS ep, user_id % 4 AS ch, CASE WHEN user_id % 5 <> 0 THEN user_id % 7 END AS grp, span * {MOMENT} AS secs, round(mean, 6) AS score FROM s WHERE rank = 1 AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 190)"""
 _DEDUPED = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ep, grp ORDER BY score DESC, user_id) AS best FROM k) WHERE grp IS NULL OR best = 1"
 
 
@@ -81,7 +82,7 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     ruled_out = table(spark, sf_dir, "events").where("event_type = 'error' and value > 190").select("user_id").distinct()
     best = _suggested(spark, sf_dir).where("rank = 1").join(ruled_out, "user_id", "left_anti")
     rows = best.select(
-        (u % 3).alias("ep"), u, (u % 4).alias("ch"), F.when(u % 5 != 0, u % 7).alias("grp"), (F.col("span") * MOMENT).cast("long").alias("secs"), F.round("value", 4).alias("score")
+        (u % 3).alias("ep"), u, (u % 4).alias("ch"), F.when(u % 5 != 0, u % 7).alias("grp"), (F.col("span") * MOMENT).cast("long").alias("secs"), F.col("value").alias("score")
     )
     return autoselect.one_a_group(rows, ["ep"], "grp", "user_id", "score")
 
@@ -98,9 +99,17 @@ def auto_select_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("ep", "used", "user_id", F.col("place").cast("long").alias("place"))
 
 
-@_register.query()
+@_register.query(f"""
+WITH RECURSIVE {_SUGGESTED}, k AS ({_CANDIDATES}), d AS ({_DEDUPED}), q AS (SELECT ep, ch, list(user_id ORDER BY score DESC, user_id) AS ids, list(secs ORDER BY score DESC, user_id) AS cs FROM d GROUP BY ep, ch),
+h AS (SELECT ep, list(ids ORDER BY ch) AS ids, list(cs ORDER BY ch) AS cs, list(1 ORDER BY ch) AS pos, count(*) AS n FROM q GROUP BY ep),
+turn AS (SELECT *, 1 AS c, FALSE AS going, CAST(0 AS BIGINT) AS used, CAST([] AS BIGINT[]) AS picked, 1 AS step FROM h UNION ALL
+ SELECT ep, ids, cs, CASE WHEN c <= n AND has THEN list_transform(pos, lambda p, i: CASE WHEN i = c THEN p + 1 ELSE p END) ELSE pos END, n, CASE WHEN c > n THEN 1 WHEN NOT has OR fits THEN c + 1 ELSE c END, c <= n AND (going OR fits),
+  CASE WHEN fits THEN used + cs[c][pos[c]] ELSE used END, CASE WHEN fits THEN list_append(picked, ids[c][pos[c]]) ELSE picked END, step + 1
+  FROM (SELECT *, coalesce(pos[c] <= len(ids[c]), FALSE) AS has, coalesce(pos[c] <= len(ids[c]) AND used + cs[c][pos[c]] <= {BUDGET}, FALSE) AS fits FROM turn) WHERE c <= n OR going),
+z AS (SELECT ep, arg_max(picked, step) AS picked FROM turn GROUP BY ep) SELECT ep, unnest(picked) AS user_id, CAST(unnest(range(1, len(picked) + 1)) AS BIGINT) AS place FROM z
+""")
 def auto_select_in_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DOM-07: the same candidates, chapters taking turns; tests hold it against a plain loop."""
+    """DOM-07: the same candidates, chapters taking turns."""
     rows = _candidates(spark, sf_dir).withColumn("rank", F.col("ch"))
     return autoselect.take_turns(rows, "ep", "ch", "rank", "user_id", "score", "secs", BUDGET)
 
@@ -151,7 +160,7 @@ def selection_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("user_id")
     chosen = _candidates(spark, sf_dir)
     ruled_out = table(spark, sf_dir, "events").where("event_type = 'error' and value > 190").select("user_id").distinct()
-    every = _suggested(spark, sf_dir).where("rank = 1").join(ruled_out, "user_id", "left_anti").select((u % 3).alias("_e"), u.alias("_u"), F.when(u % 5 != 0, u % 7).alias("_g"), F.round("value", 4).alias("now_score"))
+    every = _suggested(spark, sf_dir).where("rank = 1").join(ruled_out, "user_id", "left_anti").select((u % 3).alias("_e"), u.alias("_u"), F.when(u % 5 != 0, u % 7).alias("_g"), F.col("value").alias("now_score"))
     sizes = every.where("_g is not null").groupBy("_e", "_g").agg(F.count("*").alias("n"))
     joined = chosen.join(every.select("_u", "now_score"), F.col("_u") == u, "left").join(sizes, (F.col("_e") == F.col("ep")) & (F.col("_g") == F.col("grp")), "left")
     return joined.select("ep", "user_id", "score", "now_score", F.coalesce(F.col("n") - 1, F.lit(0)).alias("alternatives"))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cutroom.operators import intervals, pool
-from cutroom.plans.registry import Register
+from cutroom.operators import intervals, pool, windows
+from cutroom.plans.registry import Register, greedy_groups_sql
 from cutroom.plans.timelines import EVENTS, line, micros, seconds
 from cutroom.session import table
 
@@ -151,6 +151,33 @@ def photo_pair_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.photo_pairs(photos, close=8)
 
 
+#: Photos of an episode of 120: bursts every 700 ms, and three quarters of an hour from one burst to the next.
+_SHOTS = """SELECT vec_id AS id, vec_id // 120 AS ep, CASE WHEN vec_id % 5 = 0 THEN '' ELSE 'cam' || (vec_id % 3) END AS camera, CASE WHEN vec_id % 29 = 7 THEN NULL ELSE vec_id * 700 + vec_id // 30 * 2700000 END AS taken, vec_id * 7 % 40 AS number, label % 5 AS sharp,
+ CASE WHEN vec_id % 11 <> 0 THEN list_sum(list_transform(range(1, 25), lambda i: CASE WHEN embedding[i] > 0 THEN CAST(1 AS BIGINT) << CAST(i AS INTEGER) ELSE 0 END)) END AS hash, embedding::DOUBLE[] AS e FROM embeddings"""
+
+
+@_register.query(f"""
+WITH RECURSIVE s AS ({_SHOTS}), b AS (SELECT *, CASE WHEN taken - lag(taken) OVER (PARTITION BY ep, taken IS NULL ORDER BY taken, id) > 1800000 THEN 1 ELSE 0 END AS cut FROM s),
+p AS (SELECT *, ep * 1000 + CASE WHEN taken IS NULL THEN 999 ELSE sum(cut) OVER (PARTITION BY ep, taken IS NULL ORDER BY taken, id) END AS event FROM b),
+n AS (SELECT a.id, list(b.id) AS near FROM p a JOIN p b ON a.event = b.event AND a.id <> b.id AND coalesce(abs(a.taken - b.taken) <= 1800000, TRUE) AND a.hash IS NOT NULL AND b.hash IS NOT NULL
+ AND (a.camera <> '' AND a.camera = b.camera AND (coalesce(abs(a.taken - b.taken) <= 1200, FALSE) OR abs(a.number - b.number) <= 3) OR bit_count(xor(CAST(a.hash AS BIGINT), CAST(b.hash AS BIGINT))) <= 9 OR list_cosine_similarity(a.e, b.e) >= 0.3) GROUP BY a.id),
+o AS (SELECT CAST(p.event AS BIGINT) AS event, p.id, row_number() OVER (PARTITION BY p.event ORDER BY p.taken, p.id) AS pos, coalesce(near, CAST([] AS BIGINT[])) AS near FROM p LEFT JOIN n ON n.id = p.id), {greedy_groups_sql(200)},
+k AS (SELECT unnest(groups) AS members FROM g), x AS (SELECT unnest(members) AS id, list_min(members) AS "group" FROM k WHERE len(members) > 1)
+SELECT x.id, x."group", row_number() OVER (PARTITION BY x."group" ORDER BY sharp DESC, x.id) = 1 AS is_primary FROM x JOIN s ON s.id = x.id
+""")
+def photo_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DOM-12, WIN-05, JON-15: groups of photos in which every two belong together, inside events split at half-hour gaps."""
+    i = F.col("vec_id")
+    signs = F.aggregate(F.sequence(F.lit(1), F.lit(24)), F.lit(0).cast("long"), lambda a, k: a + F.when(F.element_at("embedding", k) > 0, F.pow(F.lit(2.0), k).cast("long")).otherwise(F.lit(0)))
+    shots = table(spark, sf_dir, "embeddings").select(
+        i.alias("id"), F.floor(i / 120).alias("ep"), F.when(i % 5 == 0, "").otherwise(F.concat(F.lit("cam"), (i % 3).cast("string"))).alias("camera"), F.when(i % 29 != 7, i * 700 + F.floor(i / 30) * 2_700_000).alias("taken_ms"),
+        (i * 7 % 40).alias("number"), F.when(i % 11 != 0, signs).alias("hash"), F.col("embedding").alias("vector"), (F.col("label") % 5).alias("sharpness"),
+    )
+    split = windows.chains(shots.where("taken_ms is not null").select("ep", "id", "taken_ms"), ["ep"], "taken_ms", 1_800_001).select("id", "chain")
+    events = shots.join(split, "id", "left").withColumn("event", F.concat_ws(":", "ep", F.coalesce(F.col("chain").cast("string"), F.lit("undated"))))
+    return pool.photo_clusters(events, close=9, similar=0.3)
+
+
 @_register.query("""
 WITH m AS (SELECT p_partkey, p_brand AS stack, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS member_place, p_size % 10 = 0 AS preferred FROM part WHERE p_size > 10),
 s AS (SELECT p_partkey, p_partkey * 7 % 10007 * 100000 + p_partkey AS place FROM part WHERE p_partkey % 3 <> 0), j AS (SELECT * FROM m JOIN s USING (p_partkey))

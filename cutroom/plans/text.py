@@ -91,9 +91,15 @@ def search_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("queries", F.round("hit_at_k", 6).alias("hit_at_k"), F.round("mrr", 6).alias("mrr"))
 
 
-@_register.query()
+@_register.query("""
+WITH RECURSIVE e AS (SELECT user_id, event_type, epoch_us(ts) // 1000000 AS s FROM events), h AS (SELECT user_id, coalesce(list(s ORDER BY s) FILTER (event_type = 'error'), CAST([] AS BIGINT[])) AS truth, coalesce(list(s ORDER BY s) FILTER (event_type = 'click'), CAST([] AS BIGINT[])) AS free FROM e GROUP BY user_id),
+m AS (SELECT user_id, truth, free, len(free) AS n, 1 AS pos, 0 AS tp FROM h UNION ALL
+ SELECT user_id, truth, CASE WHEN best IS NULL THEN free ELSE list_concat(free[1 : list_position(free, best.f) - 1], free[list_position(free, best.f) + 1 :]) END, n, pos + 1, tp + CASE WHEN best IS NULL THEN 0 ELSE 1 END
+ FROM (SELECT *, list_sort(list_transform(list_filter(free, lambda f: abs(f - truth[pos]) <= 1800), lambda f: struct_pack(d := abs(f - truth[pos]), f := f)))[1] AS best FROM m WHERE pos <= len(truth)))
+SELECT user_id, tp, CAST(n - tp AS INTEGER) AS fp, CAST(len(truth) - tp AS INTEGER) AS fn FROM m WHERE pos = len(truth) + 1
+""")
 def boundary_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """EVL-01: greedy one-to-one matches of boundaries within half an hour; tests hold it against a plain loop."""
+    """EVL-01: greedy one-to-one matches of boundaries within half an hour."""
     rows = table(spark, sf_dir, "events").select("user_id", "event_type", seconds("ts").alias("s"))
     sides = rows.groupBy("user_id").agg(
         F.sort_array(F.collect_list(F.when(F.col("event_type") == "error", F.col("s")))).alias("truth"), F.sort_array(F.collect_list(F.when(F.col("event_type") == "click", F.col("s")))).alias("found")

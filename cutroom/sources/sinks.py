@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutroom.functions.scalars import clock, guard_formula
+from cutroom.operators.windows import placed
+from cutroom.session import settle
+
+#: What may come after a draft's one video track (fixed values).
+TRAILING = ("", "audio", "text", "text,audio")
 
 
 def shot_list(df: DataFrame) -> DataFrame:
@@ -32,6 +38,79 @@ def drafts(df: DataFrame, keys: list[str], order: str, fields: list[str]) -> Dat
     return df.groupBy(*keys).agg(F.to_json(F.struct(F.lit(1).alias("version"), held.alias("segments"))).alias("draft"))
 
 
+def draft_faults(drafts: DataFrame, tracks: DataFrame, segments: DataFrame, materials: DataFrame, version: str) -> DataFrame:
+    """(draft, fault) of drafts that an editor would not open, each fault of a draft once.
+
+    drafts: draft, name, version, duration; tracks: draft, track (from 0), kind; segments: draft, track, place, start, duration,
+    source_start, source_duration, material; materials: draft, material, kind, path, duration. A sound draft has this version and a
+    name, a video track first and then at most text and audio; its video segments follow each other from 0 on without a gap and
+    last as long as the draft, each of a source range as long as itself and a video material of the draft, and
+    there are as many materials; paths are absolute. Its music is one segment from 0 on, no longer than draft and material.
+    Rows of drafts that are not in drafts are ignored.
+    """
+    known = drafts.select("draft", F.col("name").alias("_name"), F.col("version").alias("_version"), F.col("duration").alias("_whole"))
+    line = tracks.groupBy("draft").agg(F.sort_array(F.collect_list(F.struct("track", "kind"))).alias("t"))
+    kinds = F.transform("t", lambda t: t["kind"])
+    shape = known.join(line, "draft", "left").select(
+        "draft", "_name", "_version", "_whole", F.coalesce(F.get(kinds, F.lit(0)), F.lit("")).alias("first"), F.array_join(F.slice(kinds, 2, 99), ",").alias("rest"), (F.size(F.filter("t", lambda t: t["kind"] == "audio")) > 0).alias("music")
+    )
+    video = placed(segments.where("track = 0"), ["draft"], [F.col("place")], "duration", "_n", "_before")
+    own = materials.where("kind = 'video'").select("draft", "material", F.lit(True).alias("_met")).distinct()
+    bad = (F.col("start") != F.col("_before")) | (F.col("duration") <= 0) | (F.col("source_start") < 0) | (F.col("source_duration") != F.col("duration")) | F.col("_met").isNull()
+    told = video.join(own, ["draft", "material"], "left").groupBy("draft").agg(F.count("*").alias("segments"), F.sum("duration").alias("total"), F.max(F.coalesce(bad, F.lit(True))).alias("broken"))
+    held = materials.groupBy("draft").agg(
+        F.count_if(F.col("kind") == "video").alias("videos"), F.count_if(F.col("kind") == "audio").alias("audios"), F.max(~F.coalesce(F.startswith("path", F.lit("/")), F.lit(False))).alias("loose")
+    )
+    sound = tracks.where("kind = 'audio'").select("draft", "track").join(segments, ["draft", "track"])
+    piece = sound.join(materials.where("kind = 'audio'").select("draft", "material", F.col("duration").alias("_long")), ["draft", "material"], "left")
+    music = piece.groupBy("draft").agg(F.count("*").alias("pieces"), F.max("duration").alias("played"), F.max(F.coalesce((F.col("start") != 0) | (F.col("source_start") != 0) | (F.col("duration") <= 0) | (F.col("duration") != F.col("source_duration")) | (F.col("duration") > F.col("_long")), F.lit(True))).alias("off"))
+    rows = shape.join(told, "draft", "left").join(held, "draft", "left").join(music, "draft", "left").na.fill(0, ["segments", "total", "videos", "audios", "pieces", "played"]).na.fill(False, ["broken", "loose", "off", "music"])
+    tests: dict[str, Column] = {
+        "version": ~F.coalesce(F.col("_version") == version, F.lit(False)), "name": F.coalesce(F.col("_name"), F.lit("")) == "", "tracks": (F.col("first") != "video") | ~F.col("rest").isin(*TRAILING),
+        "counts": F.col("segments") != F.col("videos"), "timeline": F.col("broken"), "duration": ~F.coalesce(F.col("_whole") == F.col("total"), F.lit(False)), "path": F.col("loose"),
+        "music count": F.col("audios") != F.col("music").cast("long"), "music": F.col("music") & ((F.col("pieces") != 1) | F.col("off") | (F.col("played") > F.col("total"))),
+    }
+    faults = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(True)), name) for name, test in tests.items()]))
+    return rows.select("draft", F.explode(faults).alias("fault"))
+
+
+def publish(parts: dict[str, DataFrame], path: str) -> None:
+    """Write several tables that count only together: each part first, and then a marker with their numbers of rows.
+
+    What was published under the path is refused to be written over; what a failed attempt left there is not published and is.
+    """
+    spark = next(iter(parts.values())).sparkSession
+    if _marker(spark, path) is not None:
+        raise FileExistsError(f"{path} is published already")
+    counts = []
+    for name, df in parts.items():
+        held = settle(df)  # what is counted is what is written
+        held.write.mode("overwrite").parquet(f"{path}/{name}")
+        counts.append((name, held.count()))
+    spark.createDataFrame(counts, "part string, n long").coalesce(1).write.mode("overwrite").parquet(f"{path}/_published")
+
+
+def _marker(spark: SparkSession, path: str) -> dict[str, int] | None:
+    try:
+        return {r.part: r.n for r in spark.read.parquet(f"{path}/_published").collect()}
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" in str(missing) or "UNABLE_TO_INFER_SCHEMA" in str(missing):
+            return None
+        raise
+
+
+def published(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The parts of what publish() has finished, each with as many rows as its marker says."""
+    counts = _marker(spark, path)
+    if counts is None:
+        raise FileNotFoundError(f"{path} is not published")
+    found = {name: spark.read.parquet(f"{path}/{name}") for name in counts}
+    for name, df in found.items():
+        if (n := df.count()) != counts[name]:
+            raise ValueError(f"{path}/{name} has {n} rows, not {counts[name]}")
+    return found
+
+
 def dump(tables: dict[str, DataFrame], path: str) -> None:
     """Every table as JSON lines in a folder of its name."""
     for name, df in tables.items():
