@@ -167,3 +167,57 @@ def spoken_seconds(text: Column) -> Column:
     minutes, secs = as_number(F.nullif(value(1, r"\s*(?:分钟|分|min)"), F.lit(""))), as_number(F.nullif(value(1, r"\s*(?:秒|s\b|sec)"), F.lit("")))
     half = F.when(F.rlike(text, F.lit("(?:分钟?|分)半")), 30).otherwise(0)
     return F.when(minutes.isNotNull() | secs.isNotNull(), F.coalesce(minutes * 60, F.lit(0.0)) + half + F.coalesce(secs, F.lit(0.0)))
+
+
+#: Cents for a second of a model's pictures by resolution, for a picture handed in, and how many of those are free.
+CENTS = {("MiniMax-H3", "768P"): 8, ("MiniMax-H3", "2K"): 13, ("MiniMax-H3-Max", "480P"): 5, ("MiniMax-H3-Max", "768P"): 8}
+PICTURE_CENTS, FREE_PICTURES = 4, 5
+
+
+def cost_usd(model: Column, resolution: Column, seconds: Column, pictures: Column) -> Column:
+    """What a request costs, in dollars and whole cents; seconds of an unknown model or resolution cost nothing."""
+    cents = F.lit(0)
+    for (name, size), price in CENTS.items():
+        cents = F.when((model == name) & (resolution == size), price).otherwise(cents)
+    return (cents * seconds + F.greatest(pictures - FREE_PICTURES, F.lit(0)) * PICTURE_CENTS) / F.lit(100.0)
+
+
+#: Routines in the order in which they are tried, with the words that tell them.
+ROUTINES = (
+    ("起床", ("起床", "醒了", "早安", "wake up", "waking up")),
+    ("咖啡", ("咖啡", "coffee", "espresso", "手冲")),
+    ("收营", ("收营", "撤营", "拔营", "pack up camp", "break camp")),
+    ("发动", ("发动", "点火", "启动房车", "start the rv", "start engine")),
+    ("驾驶", ("驾驶", "开车", "上路", "drive", "driving")),
+    ("加油", ("加油", "油站", "gas station", "fuel", "refuel")),
+    ("采购", ("采购", "买菜", "超市", "grocery", "groceries", "shopping")),
+    ("倒车", ("倒车", "倒库", "reverse", "backing up")),
+    ("调平", ("调平", "支腿", "leveling", "levelling", "level the rv")),
+    ("接水", ("接水", "加水", "水管", "fill water", "water hookup")),
+    ("接电", ("接电", "岸电", "电桩", "shore power", "electric hookup")),
+    ("遮阳棚", ("遮阳棚", "雨棚", "awning")),
+    ("做饭", ("做饭", "烹饪", "下厨", "cook", "cooking")),
+    ("篝火", ("篝火", "营火", "campfire", "fire pit")),
+    ("睡觉", ("睡觉", "晚安", "上床", "go to bed", "sleep")),
+)
+#: What labels alone tell, in order: person_state, subject, time_stage, function (None: any) and the routine.
+LABELLED = (
+    (None, "交通", "路上", None, "驾驶"),
+    ("操作", "食物", None, None, "做饭"),
+    ("吃喝", "食物", "出发", None, "咖啡"),
+    ("操作", "交通", None, "Transition", "收营"),
+)
+
+
+def routine_of(text: Column, person_state: Column, subject: Column, time_stage: Column, function: Column) -> Column:
+    """The routine that a clip shows: the first whose words its text has, whatever the case, else what its labels tell; else null."""
+    folded, given = F.lower(F.coalesce(text, F.lit(""))), (person_state, subject, time_stage, function)
+    out = F.lit(None).cast("string")
+    for *wanted, name in reversed(LABELLED):
+        fits = F.lit(True)
+        for column, value in zip(given, wanted, strict=True):
+            fits = fits if value is None else fits & (column == value)
+        out = F.when(fits, name).otherwise(out)
+    for name, words in reversed(ROUTINES):
+        out = F.when(F.rlike(folded, F.lit("|".join(words))), name).otherwise(out)
+    return out

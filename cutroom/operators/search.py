@@ -11,15 +11,17 @@ from cutroom.operators.windows import ranked
 SHORTEST = 2
 
 
-def search_text(sources: list[tuple[str, DataFrame, str, str]], needle: str, most: int = 20, radius: int = 18) -> DataFrame:
+def search_text(sources: list[tuple], needle: str, most: int = 20, radius: int = 18, one_each: bool = False) -> DataFrame:
     """Rows of each source whose text contains the needle, whatever the case: the first most by id, in order of the sources.
 
-    sources: (name, table, id column, text column). A needle of fewer than two characters finds nothing.
+    sources: (name, table, id column, text column), and where the reader sees another text than the one that is searched, that column too. With
+    one_each, of several rows of one id the least text stands for it. A needle of fewer than two characters finds nothing.
     The limit is the feature: a report of hits for a reader.
     """
     out = None
-    for place, (name, df, ident, text) in enumerate(sources):
-        hits = df.where(contains_folded(F.col(text), needle) & F.lit(len(needle) >= SHORTEST)).select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"))
+    for place, (name, df, ident, text, *shown) in enumerate(sources):
+        hits = df.where(contains_folded(F.col(text), needle) & F.lit(len(needle) >= SHORTEST)).select(F.col(ident).cast("long").alias("id"), F.col(shown[0] if shown else text).alias("text"))
+        hits = hits.groupBy("id").agg(F.min("text").alias("text")) if one_each else hits
         hits = hits.orderBy("id", "text").limit(most)
         rows = hits.select(F.lit(place).alias("place"), F.lit(name).alias("source"), "id", excerpt(F.col("text"), needle, radius).alias("excerpt"))
         out = rows if out is None else out.unionByName(rows)
