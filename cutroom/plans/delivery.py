@@ -17,12 +17,12 @@ QUERIES, ORACLE_SQL = _register.queries, _register.sql
 
 
 @_register.query("""
-WITH p AS (SELECT l_orderkey, l_quantity / 10.0 AS pts, CASE WHEN l_linenumber % 2 = 0 THEN l_tax END AS d FROM lineitem WHERE l_returnflag <> 'A'), b AS (SELECT l_orderkey, min(pts) AS first_seconds, max(pts + greatest(coalesce(d, 0.04), 0)) AS end_seconds FROM p GROUP BY l_orderkey)
+WITH p AS (SELECT l_orderkey, l_quantity / 10.0 AS pts, CASE WHEN l_linenumber % 2 = 0 THEN l_tax END AS d FROM lineitem), b AS (SELECT l_orderkey, min(pts) AS first_seconds, max(pts + greatest(coalesce(d, 0.04), 0)) AS end_seconds FROM p GROUP BY l_orderkey)
 SELECT l_orderkey, round(first_seconds, 6) AS first_seconds, round(end_seconds, 6) AS end_seconds, abs(first_seconds) <= 0.5 + 0.05 + 2.220446049250313e-16 AND abs(end_seconds - first_seconds - 3) <= 0.5 + 2.220446049250313e-16 AS holds FROM b
 """)
 def packet_time_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DOM-61, DOM-38: first and last times of a file's packets, and whether they fit what was asked for."""
-    packets = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'A'").select("l_orderkey", (F.col("l_quantity") / 10.0).alias("pts"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_tax")).alias("d"))
+    packets = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_quantity") / 10.0).alias("pts"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_tax")).alias("d"))
     found = delivery.packet_bounds(packets, ["l_orderkey"], "pts", "d", F.lit(0.04))
     holds = delivery.bounds_hold(F.col("first_seconds"), F.col("end_seconds"), F.lit(3.0), F.lit(0.5))
     return found.select("l_orderkey", F.round("first_seconds", 6).alias("first_seconds"), F.round("end_seconds", 6).alias("end_seconds"), holds.alias("holds"))
@@ -214,7 +214,7 @@ def pipeline_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register.query("""
 WITH e AS (SELECT p_partkey AS clip, p_brand AS grp, p_retailprice AS stars FROM part), a AS (SELECT clip, grp, row_number() OVER (PARTITION BY grp ORDER BY stars DESC, clip) = 1 AS auto FROM e),
-m AS (SELECT l_partkey AS clip, arg_max(l_returnflag, (l_orderkey, l_linenumber)) AS act FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_partkey), s AS (SELECT grp, arg_max(clip, (p, -clip)) AS manual FROM (SELECT a.grp, m.clip, (SELECT max(l_orderkey) FROM lineitem l WHERE l.l_partkey = m.clip AND l_linenumber <= 2) AS p FROM m JOIN a ON a.clip = m.clip WHERE act = 'R') GROUP BY grp)
+m AS (SELECT l_partkey AS clip, arg_max(l_returnflag, (l_orderkey, l_linenumber, l_suppkey, l_returnflag)) AS act FROM lineitem GROUP BY l_partkey), s AS (SELECT grp, arg_max(clip, (p, -clip)) AS manual FROM (SELECT a.grp, m.clip, (SELECT max(l_orderkey) FROM lineitem l WHERE l.l_partkey = m.clip) AS p FROM m JOIN a ON a.clip = m.clip WHERE act = 'R') GROUP BY grp)
 SELECT a.grp, coalesce(s.manual, a.clip) AS primary_clip, s.manual IS NOT NULL AS by_hand FROM a LEFT JOIN s ON s.grp = a.grp WHERE auto
 """)
 def preferred_primaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +223,7 @@ def preferred_primaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     members = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("clip"), F.col("p_brand").alias("grp"), "p_retailprice")
     auto = first_per_key(members, ["grp"], [-F.col("p_retailprice"), F.col("clip")], ["clip"])
-    ledger = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(F.col("l_partkey").alias("clip"), "l_orderkey", "l_linenumber", "l_returnflag")
-    active = latest_per_key(ledger, ["clip"], ["l_orderkey", "l_linenumber"]).where("l_returnflag = 'R'").join(members.select("clip", "grp"), "clip")
+    ledger = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("clip"), "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
+    active = latest_per_key(ledger, ["clip"], ["l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag"]).where("l_returnflag = 'R'").join(members.select("clip", "grp"), "clip")
     manual = first_per_key(active, ["grp"], [-F.col("l_orderkey"), F.col("clip")], ["clip"]).withColumnRenamed("clip", "manual")
     return auto.join(manual, "grp", "left").select("grp", F.coalesce("manual", "clip").alias("primary_clip"), F.col("manual").isNotNull().alias("by_hand"))

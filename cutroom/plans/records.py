@@ -57,13 +57,13 @@ def missing_by_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_register.query("""
-WITH b AS (SELECT user_id AS ep, event_type AS chapter, event_id AS place, event_id % 20 AS item FROM events WHERE event_id % 3 = 0), s AS (SELECT DISTINCT user_id AS ep, event_id % 20 AS item FROM events WHERE event_id % 3 = 0 AND (user_id % 4 <> 0 OR event_id % 20 <> 6)),
+WITH b AS (SELECT user_id AS ep, event_type AS chapter, event_id AS place, event_id % 20 AS item FROM events), s AS (SELECT DISTINCT user_id AS ep, event_id % 20 AS item FROM events WHERE user_id % 4 <> 0 OR event_id % 20 <> 6),
 bad AS (SELECT ep FROM (SELECT DISTINCT ep, item FROM b) x FULL OUTER JOIN s USING (ep, item) WHERE x.item IS NULL OR s.item IS NULL), c AS (SELECT ep, chapter, list(item ORDER BY place) AS items FROM b GROUP BY ep, chapter)
 SELECT ep, list(chapter || ':' || array_to_string(items, ',') ORDER BY chapter) AS chapters FROM c WHERE ep NOT IN (SELECT DISTINCT ep FROM b EXCEPT SELECT ep FROM (SELECT ep, count(DISTINCT item) AS n FROM b GROUP BY ep) u JOIN (SELECT ep, count(*) AS m FROM s GROUP BY ep) v USING (ep) WHERE n = m) GROUP BY ep
 """)
 def narrative_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CRD-10: an episode's tree of chapters and items, where it has just the selected items."""
-    e = table(spark, sf_dir, "events").where("event_id % 3 = 0")
+    e = table(spark, sf_dir, "events")
     beats = e.select(F.col("user_id").alias("ep"), F.col("event_type").alias("chapter"), F.col("event_id").alias("place"), (F.col("event_id") % 20).alias("item"))
     chosen = e.where("user_id % 4 <> 0 or event_id % 20 <> 6").select(F.col("user_id").alias("ep"), (F.col("event_id") % 20).alias("item"))
     tree = records.overview(beats, chosen, "ep", "chapter", "place", "item")

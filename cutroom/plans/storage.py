@@ -84,3 +84,26 @@ def inserted_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-11: of new rows the least of each key goes in where the table has none of that key."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("first"))
     return merge.insert_absent(rows.where("first % 2 = 0").groupBy("k").agg(F.min("first").alias("first")), rows.where("first % 3 = 0"), ["k"])
+
+
+@_register.query("""
+WITH li AS (SELECT l_orderkey AS d, l_linenumber AS n, max(l_partkey) AS p, max(l_suppkey) AS s FROM lineitem GROUP BY ALL), x AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY n) AS place, (s % 500) * 250 AS a, (p % 40) * 125 AS len FROM li),
+k AS (SELECT d, place, [CAST(place AS VARCHAR), CASE WHEN p % 3 = 0 THEN '=' WHEN p % 3 = 1 THEN ' -' ELSE '' END || 'clip' || p, 'Selected/o' || n || '.mov', c1, c2, c3, CASE WHEN p % 5 > 0 THEN (p * 10) || '×1080' ELSE '' END, CASE WHEN p % 4 > 0 THEN 'h"' || p ELSE '' END,
+ CASE p % 3 WHEN 0 THEN '29.970' WHEN 1 THEN '25.000' ELSE '' END, CASE WHEN s % 2 = 0 THEN '是' ELSE '否' END, '', 'A, ' || s % 4, '', CAST(s % 6 AS VARCHAR), '', '', 'web', '1920x1080', CASE WHEN s % 3 = 0 THEN CAST(s % 4 AS VARCHAR) WHEN s % 3 = 1 THEN '0' ELSE '' END, CASE WHEN p % 7 = 0 THEN '@note' WHEN p % 2 = 0 THEN '已导出' ELSE '等待处理' END] AS cells
+ FROM (SELECT *, lpad(CAST(a // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(a // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(a // 1000 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(a % 1000 AS VARCHAR), 3, '0') AS c1, lpad(CAST((a + len) // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST((a + len) // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST((a + len) // 1000 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST((a + len) % 1000 AS VARCHAR), 3, '0') AS c2,
+  '00:00:' || lpad(CAST(len // 1000 AS VARCHAR), 2, '0') || '.' || lpad(CAST(len % 1000 AS VARCHAR), 3, '0') AS c3 FROM x))
+SELECT d AS delivery, place, array_to_string(list_transform(list_transform(cells, lambda c: CASE WHEN regexp_matches(ltrim(c), '^[=+@-]') THEN chr(39) || c ELSE c END), lambda c: CASE WHEN contains(c, ',') OR contains(c, '"') THEN '"' || replace(c, '"', '""') || '"' ELSE c END), ',') AS line FROM k
+""")
+def shot_list_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-01: the lines of shot lists, twenty columns each, numbered in their delivery and guarded."""
+    p, s, none = F.col("p"), F.col("s"), F.lit(None).cast("string")
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("delivery"), F.col("l_linenumber").alias("n")).agg(F.max("l_partkey").alias("p"), F.max("l_suppkey").alias("s"))
+    clips = items.select(
+        "delivery", "n", F.concat(F.when(p % 3 == 0, "=").when(p % 3 == 1, " -").otherwise(""), F.lit("clip"), p.cast("string")).alias("file"), F.concat(F.lit("o"), F.col("n").cast("string"), F.lit(".mov")).alias("output"),
+        (s % 500 * 0.25).alias("start"), (p % 40 * 0.125).alias("seconds"), F.when(p % 5 > 0, p * 10).alias("width"), F.lit(1080).alias("height"), F.when(p % 4 > 0, F.concat(F.lit('h"'), p.cast("string"))).alias("codec"),
+        F.when(p % 3 == 0, 30000).when(p % 3 == 1, 25).alias("fps_num"), F.when(p % 3 == 0, 1001).when(p % 3 == 1, 1).otherwise(0).alias("fps_den"), (s % 2 == 0).alias("vfr"), none.alias("taken"), F.concat(F.lit("A, "), (s % 4).cast("string")).alias("chapter"), none.alias("beat"),
+        (s % 6).alias("stars"), none.alias("badges"), none.alias("dialogue"), F.lit("web").alias("platform"), F.lit(1920).alias("canvas_width"), F.lit(1080).alias("canvas_height"), F.when(s % 3 == 0, s % 4).alias("track"), F.when(s % 3 == 1, 2).otherwise(0).alias("tracks"),
+        F.when(p % 2 == 0, "done").otherwise("open").alias("status"), F.when(p % 7 == 0, "@note").alias("note"),
+    )
+    rows = sinks.shot_rows(clips, "delivery", [F.col("n")])
+    return rows.select("delivery", F.col(sinks.SHOT_COLUMNS[0]).cast("long").alias("place"), sinks.csv_line([F.col(c) for c in sinks.SHOT_COLUMNS]).alias("line"))

@@ -23,6 +23,50 @@ def write_shot_list(df: DataFrame, path: str) -> None:
     shot_list(df).write.mode("overwrite").option("header", True).option("quoteAll", True).option("lineSep", "\r\n").option("escape", '"').csv(path)
 
 
+#: The columns of a shot list as an editor's spreadsheet shows them; a mark of byte order begins the file.
+SHOT_COLUMNS = ("顺序号", "文件名", "包内路径", "入点", "出点", "段时长", "分辨率", "编码", "FPS", "VFR", "拍摄时间", "Chapter", "Beat", "星级", "L1角标摘要", "对白摘要", "平台", "画布", "转录音轨", "备注")
+BYTE_ORDER, FOLDER, DONE, WAITING, YES, NO = "\ufeff", "Selected", "已导出", "等待处理", "是", "否"
+
+
+def shot_rows(clips: DataFrame, delivery: str, order: list[Column]) -> DataFrame:
+    """The delivery and the SHOT_COLUMNS of its clips, numbered from 1 in order, which must tell them apart; a delivery may be of any size.
+
+    clips: the delivery, file, output, start and seconds, width, height, codec, fps_num, fps_den, vfr, taken, chapter, beat, stars, badges, dialogue,
+    platform, canvas_width, canvas_height, track (the one transcribed), tracks (how many were found), status and note. What is
+    unknown is an empty cell; a track is named where one was chosen or found.
+    """
+    c = F.col
+    rows = placed(clips.withColumn("_one", F.lit(1)), [delivery], order, "_one", "_n", "_before")
+    ms = lambda seconds: F.floor(F.greatest(seconds, F.lit(0.0)) * 1000 + 0.5)
+    begin = F.coalesce("start", F.lit(0.0))
+    size = lambda w, h, x: F.concat(w.cast("string"), F.lit(x), h.cast("string"))
+    cells = [
+        c("_n"), c("file"), F.concat(F.lit(f"{FOLDER}/"), "output"), clock(ms(begin)), clock(ms(begin + c("seconds"))), clock(ms(c("seconds"))), size(c("width"), c("height"), "×"), c("codec"),
+        F.when(c("fps_den") > 0, F.format_string("%.3f", c("fps_num") / c("fps_den"))), F.when(c("vfr"), YES).otherwise(NO), c("taken"), c("chapter"), c("beat"), c("stars"), c("badges"), c("dialogue"), c("platform"),
+        size(c("canvas_width"), c("canvas_height"), "x"), F.when(c("track").isNotNull() | (c("tracks") > 0), F.coalesce("track", F.lit(0))), F.coalesce("note", F.when(c("status") == "done", DONE).otherwise(WAITING)),
+    ]
+    return rows.select(delivery, *[guard_formula(F.coalesce(cell.cast("string"), F.lit(""))).alias(name) for name, cell in zip(SHOT_COLUMNS, cells, strict=True)])
+
+
+def csv_line(columns: list[Column]) -> Column:
+    """A line of a CSV file; cells with a comma, a quote or a line's end are quoted."""
+    quoted = lambda x: F.when(F.rlike(x, F.lit('[,"\\r\\n]')), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x)
+    return F.concat_ws(",", *[quoted(x) for x in columns])
+
+
+def write_shot_rows(rows: DataFrame, delivery: str, path: str) -> None:
+    """A folder a delivery with its shot list in order: a mark of byte order, the names of the columns, lines ended by CR LF.
+
+    The files are text, sorted inside: a delivery's lines lie in as many files as it has ranges, the first of which has the head.
+    """
+    head = BYTE_ORDER + ",".join(SHOT_COLUMNS)
+    number = F.col(SHOT_COLUMNS[0]).cast("long")
+    lines = rows.select(delivery, number.alias("_n"), csv_line([F.col(c) for c in SHOT_COLUMNS]).alias("value"))
+    heads = rows.select(delivery).distinct().select(delivery, F.lit(0).cast("long").alias("_n"), F.lit(head).alias("value"))
+    whole = lines.unionByName(heads).repartitionByRange(delivery, "_n").sortWithinPartitions(delivery, "_n")
+    whole.select(delivery, "value").write.mode("overwrite").partitionBy(delivery).option("lineSep", "\r\n").text(path)
+
+
 def subtitles(df: DataFrame, keys: list[str], start: str, end: str, text: str) -> DataFrame:
     """One subtitle text a key: numbered cues in order of time, cut where the next one starts."""
     cue = F.struct(F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"), F.col(text).alias("t"))

@@ -199,3 +199,14 @@ def test_parts_are_published_together(spark, tmp_path):
     spark.range(9).write.mode("append").parquet(f"{path}/drafts")
     with pytest.raises(ValueError, match="not 3"):
         sinks.published(spark, path)
+
+
+def test_shot_lists_as_files(spark, tmp_path):
+    rows = [("d1", k, f"f{k}", "o", 1.5 * k, 2.0, 10, 20, "c", 25, 1, False, "t", "ch", "b", 3, "x", 'say "hi", you', "web", 1, 2, None, 0, "done", None) for k in range(1, 40)] + [("d2", 5, "=f", None, None, 0.0, None, 20, None, 1, 0, True, None, None, None, None, None, "a\nb", None, None, None, 2, 0, "open", "+n")]
+    names = "delivery string, n long, file string, output string, start double, seconds double, width int, height int, codec string, fps_num int, fps_den int, vfr boolean, taken string, chapter string, beat string, stars int, badges string, dialogue string, platform string, canvas_width int, canvas_height int, track int, tracks int, status string, note string"
+    sinks.write_shot_rows(sinks.shot_rows(spark.createDataFrame(rows, names).repartition(5), "delivery", [F.col("n")]), "delivery", str(tmp_path / "lists"))
+    text = {d: "".join(p.read_bytes().decode() for p in sorted((tmp_path / "lists" / f"delivery={d}").glob("part-*"))) for d in ("d1", "d2")}
+    lines = text["d1"].split("\r\n")
+    assert lines[0] == "\ufeff" + ",".join(sinks.SHOT_COLUMNS) and len(lines) == 41 and lines[-1] == ""
+    assert lines[3] == '3,f3,Selected/o,00:00:04.500,00:00:06.500,00:00:02.000,10×20,c,25.000,否,t,ch,b,3,x,"say ""hi"", you",web,1x2,,已导出'
+    assert text["d2"] == "\ufeff" + ",".join(sinks.SHOT_COLUMNS) + "\r\n1,'=f,,00:00:00.000,00:00:00.000,00:00:00.000,,,,是,,,,,,\"a\nb\",,,2,'+n\r\n"
