@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cutroom.llm import bpe, decontaminate, langid, minhash, pii
 from cutroom.llm.queries import tokenizer_file
-from cutroom.session import table
+from cutroom.session import settle, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +67,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order; each reads what the one before has written, so nothing is worked out twice and a lost executor costs one stage at most."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for place, (_, stage) in enumerate(STAGES, 1):
+        made = stage(spark, docs, sf_dir)
+        docs = settle(made) if place < len(STAGES) else made
     return docs

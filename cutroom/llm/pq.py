@@ -1,5 +1,5 @@
 """Near-duplicate vectors by product quantisation: coarse inverted lists, residual subspace codes,
-asymmetric distances to decoded codes over sufficient probes, exact cosine rerank."""
+asymmetric table-lookup distances over sufficient probes, exact cosine rerank."""
 
 from __future__ import annotations
 
@@ -66,8 +66,14 @@ class Index:
             codes[:, m] = np.argmax(part @ book.T - 0.5 * (book**2).sum(1), axis=1)
         return codes
 
+    def tables(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Products of queries with the centres of some lists, and with the entries of each book: a row a centre or entry, a column a query."""
+        single = x.astype(np.float32)
+        parts = [book.astype(np.float32) @ single[:, a:b].T for book, a, b in zip(self.books, self.cuts[:-1], self.cuts[1:], strict=True)]
+        return self.centres[lists].astype(np.float32) @ single.T, parts
+
     def decode(self, codes: np.ndarray, home: np.ndarray) -> np.ndarray:
-        """What home and codes stand for; products with it are the sums of the look-up tables."""
+        """What home and codes stand for; a query's product with it is the sum of its look-ups."""
         out = self.centres[home]
         for m, book in enumerate(self.books):
             out[:, self.cuts[m] : self.cuts[m + 1]] += book[codes[:, m]]
@@ -155,22 +161,26 @@ def _probe(index: Index, bins: np.ndarray, threshold: float):
 
 def _search(index: Index, threshold: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        members, queries = frame[frame.side == 0], frame[frame.side == 1]
+        members, queries = frame[frame.side == 0].sort_values("home", kind="stable"), frame[frame.side == 1]
         if not len(members) or not len(queries):
             return pd.DataFrame({"cid": [], "links": [], "label": []}).astype("int64")
         mid, mw = members.cid.to_numpy(), members.weight.to_numpy()
         mx = np.stack([np.frombuffer(v) for v in members.vec])
         codes = np.stack([np.frombuffer(c, np.uint8) for c in members.code])
-        decoded = index.decode(codes, members.home.to_numpy().astype(int)).astype(np.float32).T
-        bound = members.bound.to_numpy().astype(np.float32)
+        # members of a list lie together, so that their look-ups read the same rows
+        lists, home = np.unique(members.home.to_numpy().astype(int), return_inverse=True)
+        bound = members.bound.to_numpy().astype(np.float32)[:, None]
         qid = queries.cid.to_numpy()
         qx = np.stack([np.frombuffer(v) for v in queries.vec])
-        single = qx.astype(np.float32)
         links = np.zeros(len(qid), np.int64)
         ids = np.unique(np.concatenate([qid, mid]))
         label, q_at, m_at = np.arange(len(ids)), np.searchsorted(ids, qid), np.searchsorted(ids, mid)
         for at in range(0, len(qid), PIECE):
-            a, b = np.divmod(np.flatnonzero(single[at : at + PIECE] @ decoded >= bound), len(mid))
+            coarse, parts = index.tables(qx[at : at + PIECE], lists)
+            near = coarse[home]
+            for m, table in enumerate(parts):
+                near += table[codes[:, m]]
+            b, a = np.nonzero(near >= bound)
             a += at
             keep = np.zeros(len(a), bool)
             for s in range(0, len(a), 65536):
@@ -202,12 +212,16 @@ def near_duplicate_vectors(
     Equal vectors are one class before anything else. The index is fitted on at most fit_rows rows, those
     of least hash; every class is coded and searched, in each list that a neighbour may be in, so no link
     is missed. Lists share bins; bins and their queries are cut into blocks of bounded size, and a block's
-    task returns counts and labels, never pairs.
+    task returns counts and labels, never pairs. A task needs its members' vectors beside their codes, as the
+    rerank takes place where the candidates are found: to join them in later would make rows of all candidate pairs.
     """
     spark = vectors.sparkSession
     ship(spark)
     raw = vectors.select(integer_id(vectors, id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
+    # squares of these would not fit or be lost: they are told by their directions, and those by the greatest part
+    extreme = (norm > 1e140) | (norm < 1e-140)
+    raw = raw.withColumn("x", F.when(extreme, F.transform("x", lambda v: v / F.nullif(F.array_max(F.transform("x", lambda w: F.abs(w))), F.lit(0.0)))).otherwise(F.col("x")))
     sound = F.col("x").isNotNull() & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     good = raw.where("vec_id is not null").where(sound).withColumn("norm", norm).where("norm > 0 and norm < double('Infinity')")
     lengths = good.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()

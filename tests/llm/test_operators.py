@@ -55,6 +55,27 @@ def by_id(df, key="doc_id"):
     return {r[key]: r for r in df.collect()}
 
 
+def test_op1_look_ups_are_products_with_decoded_rows():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 20))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = pq.Index(x, 12)
+    home = np.argmax(x @ index.centres.T, axis=1)
+    codes = index.code(x, home)
+    lists, place = np.unique(home, return_inverse=True)
+    coarse, parts = index.tables(x[:40], lists)
+    near = coarse[place] + sum(table[codes[:, m]] for m, table in enumerate(parts))
+    assert near == pytest.approx(index.decode(codes, home) @ x[:40].T, abs=1e-5)
+
+
+def test_op1_vectors_of_extreme_length(spark):
+    base = [3.0, 4.0, 0.0]
+    rows = [(i, [v * size for v in base]) for i, size in enumerate([1.0, 1e200, 1e300, 1e-170, 1e-300, 4.9e-324 * 1e10])]
+    rows += [(10, [0.0, 0.0, 1e200]), (11, [0.0, 0.0, 1e-200]), (12, [0.0, 0.0, 0.0]), (13, [float("inf"), 0.0, 0.0]), (14, [float("nan"), 0.0, 1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pq.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {**{i: (5, 0) for i in range(6)}, 10: (1, 10), 11: (1, 10), 12: (0, 12), 13: (0, 13), 14: (0, 14)}
+
+
 def test_op1_against_all_pairs(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(60, 24))

@@ -101,3 +101,27 @@ def test_registered(spark):
 
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_stages_are_worked_out_once(spark, monkeypatch):
+    """run() writes a table between stages: what comes after the first one reads no document again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(text):
+        seen.add(1)
+        return text
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).withColumn("text", read.asNondeterministic()("text"))
+    monkeypatch.setattr(corpus_pipeline, "table", lambda spark, sf_dir, name: docs)
+    counts = []
+    for n in (1, 2, 4):
+        monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[:n] if n < 4 else [*FIRST[:2], ("same", lambda spark, docs, sf_dir: docs)])
+        before = seen.value
+        assert corpus_pipeline.run(spark, SF).count() > 0
+        counts.append(seen.value - before)
+        monkeypatch.setattr(corpus_pipeline, "STAGES", FIRST)
+    assert counts[1] == counts[2] <= counts[0] * 2
+
+
+FIRST = list(corpus_pipeline.STAGES)
