@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutroom.functions import pictures
+from cutroom.functions.kernels import laplacian_variance
 from cutroom.operators.windows import interpolated_percentiles, placed
 from cutroom.session import settle, ship
 
@@ -140,6 +141,18 @@ def clip_motion(pairs: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def sharpness(frames: DataFrame, frame: str, width: str, height: str) -> DataFrame:
+    """Rows with sharpness, the variance of the four-neighbour Laplacian of their gray picture: 0 without an inside, null where bytes are not width x height."""
+    ship(frames.sparkSession)
+
+    @F.pandas_udf("double")
+    def measure(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for held, wide, high in parts:
+            yield pd.Series([laplacian_variance(np.frombuffer(d, np.uint8).reshape(int(h), int(w))) if d and w == w and h == h and len(d) == int(w) * int(h) else None for d, w, h in zip(held, wide, high, strict=True)], dtype="float64")
+
+    return frames.withColumn("sharpness", measure(frame, width, height))
+
+
 def picture_quality(frames: DataFrame, frame: str, width: str, height: str) -> DataFrame:
     """Rows with worst_cell, exposure, severity (of the worst of nine cells), tilt and saliency_sharpness of their gray picture.
 

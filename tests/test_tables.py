@@ -210,3 +210,9 @@ def test_shot_lists_as_files(spark, tmp_path):
     assert lines[0] == "\ufeff" + ",".join(sinks.SHOT_COLUMNS) and len(lines) == 41 and lines[-1] == ""
     assert lines[3] == '3,f3,Selected/o,00:00:04.500,00:00:06.500,00:00:02.000,10×20,c,25.000,否,t,ch,b,3,x,"say ""hi"", you",web,1x2,,已导出'
     assert text["d2"] == "\ufeff" + ",".join(sinks.SHOT_COLUMNS) + "\r\n1,'=f,,00:00:00.000,00:00:00.000,00:00:00.000,,,,是,,,,,,\"a\nb\",,,2,'+n\r\n"
+
+
+def test_dump_of_tables(spark, tmp_path):
+    sinks.dump({"clips": spark.createDataFrame([(1, "a", None), (2, None, [1, 2])], "id long, name string, cuts array<int>"), "none": spark.createDataFrame([], "id long")}, str(tmp_path))
+    assert sorted(map(str, spark.read.json(str(tmp_path / "clips")).select("id", "name", "cuts").collect())) == ["Row(id=1, name='a', cuts=None)", "Row(id=2, name=None, cuts=[1, 2])"]
+    assert spark.read.schema("id long").json(str(tmp_path / "none")).count() == 0
