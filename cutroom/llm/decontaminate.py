@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutroom.llm.words import integer_id
-from cutroom.session import ship, table
+from cutroom.session import settle, ship, table
 
 #: Characters of an item for each edit allowed.
 CHARS_PER_EDIT = 20
@@ -154,7 +154,7 @@ def find_benchmark(
     count once for each different text. Other columns are ignored.
 
     The items travel to the tasks in machines of MACHINE_CHARS characters; a larger benchmark takes several
-    passes over the documents rather than a larger machine.
+    passes over the documents, one after the other, rather than a larger machine.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -188,6 +188,7 @@ def find_benchmark(
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k).collect()
         texts = sorted({(r["item"], t) for r in part if len(t := normalised(r["text"])) >= min_chars}, key=str)
         found = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(search(texts), schema)
+        found = settle(found) if passes > 1 else found  # a part is let go before the next one is fetched
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("id", id_col)
 

@@ -350,14 +350,14 @@ def fit(labelled: DataFrame, characters: Grams, text_col: str = "text", label_co
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < math.ceil(1e6 * fit_rows / there))
     rows = rows.dropDuplicates()
     rows = settle(rows)
-    known = {r.stretch: r["words"] for r in characters.restore(_stretches(rows, "text")).collect()}  # of FIT_ROWS texts
-    shared = spark.sparkContext.broadcast(known)
+    found = _stretches(rows, "text")
+    behind = found.join(characters.restore(found), "stretch").groupBy("text_key").agg(F.flatten(F.collect_list("words")).alias("hidden"))
+    rows = rows.withColumn("text_key", _text_key(F.col("text"))).join(behind, "text_key", "left").select("label", "text", "hidden")
 
     def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels = batch.column("label").to_pylist()
-            texts = [t.lower() for t in batch.column("text").to_pylist()]
-            words = [plain_words(t) + [w for s in disguised(t) for w in shared.value[s]] for t in texts]
+            words = [plain_words(t.lower()) + (h or []) for t, h in zip(batch.column("text").to_pylist(), batch.column("hidden").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pydict(
                 {"label": pa.array(labels, pa.int32()), "words": pa.array(words, pa.list_(pa.string())), "items": pa.array([sorted(items_of(w)) for w in words], pa.list_(pa.string()))}
             )

@@ -232,6 +232,10 @@ def test_op4_against_edit_distance(spark):
             elif item and (d := edit_distance_in(item, plain)) <= len(item) // 20:
                 want[i, k] = d
     assert got == want and len(want) > 10 and (103, 91) in want
+    with pytest.MonkeyPatch.context() as patch:  # several passes, each with a part of the items
+        patch.setattr(decontaminate, "MACHINE_CHARS", 120)
+        parts = [(r.doc_id, r.item_id, r.distance) for r in decontaminate.find_benchmark(docs(spark, rows), benchmark).collect()]
+    assert sorted(parts) == sorted((i, k, d) for (i, k), d in got.items())
     places = decontaminate.find_benchmark(docs(spark, [(1, "Oh, SHORT it is"), (2, None)]), benchmark).collect()
     assert [(r.doc_id, r.item_id, r.start, r.end) for r in places] == [(1, 91, 4, 9)]
     kept = {r.doc_id for r in decontaminate.without_benchmark(docs(spark, rows), benchmark).collect()}
