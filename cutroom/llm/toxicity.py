@@ -31,8 +31,8 @@ ORDER = 4
 BUCKET_CHARS = 30_000
 #: Labelled rows the classifier is fitted on, about; all of them where there are fewer.
 FIT_ROWS = 20_000
-#: Items (words and beginnings of words) that are candidates for the classifier.
-CANDIDATES = 4_000
+#: Least log likelihood ratio, and toxic texts, of an item (a word or a beginning of words) that the classifier uses.
+LEAST_GAIN, LEAST_TEXTS = 4.0, 3
 PREFIXES = (4, 5, 6, 7)
 CACHE_ENTRIES = 150_000
 
@@ -306,7 +306,7 @@ def _gain(t: np.ndarray, c: np.ndarray, nt: float, nc: float) -> np.ndarray:
     return np.where(t / nt > c / nc, gain, 0.0)
 
 
-def _cover(rows: list[tuple[int, set[int]]], size: int, needed: int = 2, least: float = 4.0) -> list[int]:
+def _cover(rows: list[tuple[int, set[int]]], size: int, needed: int = 2) -> list[int]:
     """Items that tell toxic texts apart, the best first; a text with needed of them asks for no more."""
     toxic = [items for label, items in rows if label]
     clean = [items for label, items in rows if not label]
@@ -321,7 +321,7 @@ def _cover(rows: list[tuple[int, set[int]]], size: int, needed: int = 2, least:
         gain = _gain(np.minimum(t, len(toxic)), c, max(1, len(toxic)), max(1, len(clean)))
         gain[blocked] = 0
         best = int(np.argmax(gain))
-        if gain[best] < least or t[best] < 3:
+        if gain[best] < LEAST_GAIN or t[best] < LEAST_TEXTS:
             break
         chosen.append(best)
         blocked[best] = True
@@ -371,7 +371,15 @@ def fit(labelled: DataFrame, characters: Grams, text_col: str = "text", label_co
         return RateModel({}, {}, 0.0, prior)
     item = texts.select("label", F.explode("items").alias("item")).groupBy("item").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
     share = (F.col("t") / nt) / (F.col("c") / nc + F.lit(1.0 / nc))
-    top = item.where("t >= 3").where(share > 1.3).orderBy(F.desc(F.col("t") / nt * F.ln(share)), "item").limit(CANDIDATES).collect()
+
+    def part(k: Column, n: float, p: Column) -> Column:
+        return k * F.ln(F.greatest(p, F.lit(1e-12))) + (n - k) * F.ln(F.greatest(1 - p, F.lit(1e-12)))
+
+    # as in _gain; texts that are covered only lower an item's gain, so the rest can never be chosen
+    t, c = F.col("t"), F.col("c")
+    both = (t + c) / (nt + nc)
+    gain = part(t, nt, t / nt) + part(c, nc, c / nc) - part(t, nt, both) - part(c, nc, both)
+    top = item.where((t >= LEAST_TEXTS) & (share > 1.3) & (gain >= LEAST_GAIN - 1e-6)).orderBy(F.desc(t / nt * F.ln(share)), "item").collect()  # of FIT_ROWS texts
     index = {r["item"]: k for k, r in enumerate(top)}
     named = spark.sparkContext.broadcast(index)
 
@@ -388,7 +396,7 @@ def fit(labelled: DataFrame, characters: Grams, text_col: str = "text", label_co
         begins = begins | F.concat(F.lit("^"), F.substring("word", 1, n)).isin(*[p for p in prefixes if len(p) == n + 1])
     counts = (
         texts.select("label", word).where(begins | F.col("word").isin(*whole)).groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
-        .orderBy(F.desc(F.col("t") + F.col("c")), "word").limit(CANDIDATES * 5).collect()
+        .orderBy(F.desc(F.col("t") + F.col("c")), "word").collect()  # words of FIT_ROWS texts that a chosen item covers
     )
     texts.unpersist()
     # a beginning's own ratio is that of its words; a word's leans on it by what three words would show
