@@ -1,12 +1,8 @@
-"""Numeric kernels over decoded frames and samples, one row's array at a time, as Arrow functions."""
+"""Numeric kernels over a decoded frame or stretch of samples; spectra.py and pictures.py have those of sound and motion."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import functions as F
 
 
 def laplacian_variance(gray: np.ndarray) -> float:
@@ -18,85 +14,7 @@ def laplacian_variance(gray: np.ndarray) -> float:
     return float(inner.var())
 
 
-def global_shift(before: np.ndarray, after: np.ndarray, reach: int = 8, block: int = 16) -> tuple[float, float, float]:
-    """(dx, dy, agreement): the median shift of blocks by least absolute difference, and the share of blocks within a pixel of it."""
-    height, width = before.shape
-    shifts = []
-    steps = sorted(((dy, dx) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)), key=lambda s: (abs(s[0]) + abs(s[1]), s))
-    for y in range(reach, height - block - reach + 1, block):
-        for x in range(reach, width - block - reach + 1, block):
-            own = before[y : y + block, x : x + block].astype(int)
-            if own.std() < 1:
-                continue
-            cost = [np.abs(after[y + dy : y + dy + block, x + dx : x + dx + block].astype(int) - own).sum() for dy, dx in steps]
-            shifts.append(steps[int(np.argmin(cost))])
-    if not shifts:
-        return 0.0, 0.0, 0.0
-    found = np.array(shifts, float)
-    dy, dx = np.median(found, axis=0)
-    near = (np.abs(found - [dy, dx]).max(axis=1) <= 1).mean()
-    return float(dx), float(dy), float(near)
-
-
-def motion_class(dx: float, dy: float, agreement: float, still: float = 0.5, trust: float = 0.6) -> str:
-    if agreement < trust:
-        return "handheld"
-    if max(abs(dx), abs(dy)) < still:
-        return "static"
-    return "pan" if abs(dx) >= abs(dy) else "tilt"
-
-
-def onset_strength(samples: np.ndarray, size: int = 2048, hop: int = 512) -> np.ndarray:
-    """Half-wave rectified spectral flux of Hann windows."""
-    if len(samples) < size:
-        return np.zeros(0)
-    frames = np.lib.stride_tricks.sliding_window_view(samples.astype(float), size)[::hop] * np.hanning(size)
-    power = np.log1p(np.abs(np.fft.rfft(frames, axis=1)))
-    return np.concatenate([[0.0], np.maximum(np.diff(power, axis=0), 0).sum(axis=1)])
-
-
-def tempo(samples: np.ndarray, rate: int = 22_050, hop: int = 512, low: float = 60.0, high: float = 200.0, usual: float = 120.0) -> float:
-    """Beats a minute by autocorrelation of onsets under a log-normal preference for the usual tempo; 0 without a beat."""
-    onsets = onset_strength(samples, hop=hop)
-    if len(onsets) < 16 or onsets.std() == 0:
-        return 0.0
-    flux = onsets - onsets.mean()
-    lags = np.arange(int(60 * rate / hop / high), min(len(flux) - 2, int(60 * rate / hop / low)) + 1)
-    if not len(lags):
-        return 0.0
-    strength = np.array([flux[lag:] @ flux[:-lag] / (len(flux) - lag) for lag in lags])
-    bpm = 60 * rate / hop / lags
-    best = int(np.argmax(strength * np.exp(-0.5 * (np.log2(bpm / usual)) ** 2)))
-    if strength[best] <= 0:
-        return 0.0
-    shift = 0.0
-    if 0 < best < len(lags) - 1:
-        a, b, c = strength[best - 1 : best + 2]
-        if a - 2 * b + c:
-            shift = 0.5 * (a - c) / (a - 2 * b + c)
-    return float(60 * rate / hop / (lags[best] + shift))
-
-
 def waveform_peaks(samples: np.ndarray, buckets: int) -> np.ndarray:
     """Least and greatest sample of equal stretches, two numbers a stretch."""
     edges = np.linspace(0, len(samples), buckets + 1).astype(int)
     return np.array([(samples[a:b].min(), samples[a:b].max()) if b > a else (0, 0) for a, b in zip(edges[:-1], edges[1:], strict=True)]).ravel()
-
-
-def tempo_of():  # noqa: ANN201
-    """Tempo of little-endian 16-bit mono samples; an odd last byte is dropped."""
-    @F.pandas_udf("double")
-    def beats(pcm: pd.Series) -> pd.Series:
-        return pcm.map(lambda b: tempo(np.frombuffer(b[: len(b) // 2 * 2], "<i2")) if b is not None else None)
-
-    return beats
-
-
-def sharpness_of(side: int):  # noqa: ANN201
-    """Laplacian variance of square gray frames of that side."""
-    @F.pandas_udf("double")
-    def sharp(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in frames:
-            yield part.map(lambda b: laplacian_variance(np.frombuffer(b, np.uint8).reshape(side, side)) if b is not None and len(b) == side * side else None)
-
-    return sharp

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cutroom.functions.vectors import sound
 from cutroom.operators import pictures
@@ -65,7 +66,7 @@ SELECT user_id, w AS win_index, max(CASE WHEN p = 0 THEN event_id / 4.0::DOUBLE
 def window_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-07: a log's blocks as rows: a header with the window's time, then lines of signals."""
     e = F.col("event_id")
-    number = F.row_number().over(pictures.Window.partitionBy("user_id").orderBy("event_id")) - 1
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
     lines = table(spark, sf_dir, "events").select("user_id", e, F.when(number % 3 == 0, F.concat(F.lit("window pts_time:"), (e / 4.0).cast("string"))).otherwise(
         F.concat(F.lit("x "), F.when(e % 4 > 0, F.concat(F.lit("YAVG="), (e % 50).cast("string"))).otherwise("y=1"), F.lit(" RMS="), (-(e % 9)).cast("string")))
     .alias("line"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cutroom.functions import pictures as kernels
 from cutroom.operators import pictures
@@ -18,7 +19,7 @@ SIDE = kernels.SIDE
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A clip a user and a frame an event: a texture that stands still, is panned, tilted or shaken, or noise, by the user."""
     user, k = F.col("user_id"), F.col("event_id")
-    number = F.row_number().over(pictures.Window.partitionBy("user_id").orderBy("event_id"))
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", number.alias("k"))
     kind, turn, jump = user % 5, F.col("k") % 20, F.pmod(F.xxhash64(k), F.lit(11)).cast("int")
     moved = rows.select("user_id", "event_id", F.when(kind == 1, turn * 3).when(kind == 3, jump).otherwise(0).alias("x"), F.when(kind == 2, turn * 2).when(kind == 3, 10 - jump).otherwise(0).alias("y"), F.when(kind == 4, k).otherwise(user).alias("seed"))
@@ -53,7 +54,7 @@ FROM m LEFT JOIN d ON d.user_id = m.user_id LEFT JOIN h hw ON hw.user_id = m.use
 def motion_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DOM-41: class, zoom and shake of clips from the motion of their pairs, runs of trusted pairs cut at a scope's ends."""
     u, e = F.col("user_id"), F.col("event_id")
-    number = (F.row_number().over(pictures.Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("long")
+    number = (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("long")
     pairs = table(spark, sf_dir, "events").select(
         "user_id", number.alias("pair"), ((e * 7 % 13 - 4).cast("double") / F.when(u % 3 == 0, 1).when(u % 3 == 1, 4).otherwise(100)).alias("dx"), ((e * 5 % 11 - 5).cast("double") / F.when(u % 2 == 0, 1).otherwise(8)).alias("dy"),
         ((e % 19 - 9) / F.lit(10.0) + u % 4 / F.lit(5.0)).alias("zoom"), ((e % 7) / F.lit(2.0)).alias("residual"), F.when(e % 6 > 0, 0.9).otherwise(0.1).alias("agreement"),

@@ -1,4 +1,4 @@
-"""Incremental work on Structured Streaming: file streams, deduplicated queues, sessions and merges by batch."""
+"""Incremental work on Structured Streaming: file streams, deduplicated queues, sessions and windows; tables.py has what batches change."""
 
 from __future__ import annotations
 
@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from cutroom.operators import merge
-from cutroom.operators.latest import latest_per_key
-
 
 def watch(spark: SparkSession, folder: str, schema: StructType, fmt: str = "parquet", per_trigger: int | None = None) -> DataFrame:
     """Files as they come in under a folder."""
@@ -42,41 +39,6 @@ def run_available(df: DataFrame, checkpoint: str, each: Callable[[DataFrame, int
     return query
 
 
-def merge_batches(path: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that upserts by key into a Parquet folder; of a batch's rows of one key, the greatest in order counts.
-
-    Two versions alternate, so the disk holds the table twice at most: batch n reads the version of batch
-    n - 1 and writes over that of n - 2, and only then names itself the current one. A batch that is run again
-    finds what it read before. Read the table with merged().
-    """
-    def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = latest_per_key(batch, keys, order).select(batch.columns)
-        if number > 0:
-            rows = merge.upsert(spark.read.parquet(f"{path}/v={(number - 1) % 2}"), rows, keys)
-        rows.write.mode("overwrite").parquet(f"{path}/v={number % 2}")
-        spark.range(number, number + 1).coalesce(1).write.mode("overwrite").parquet(f"{path}/current")
-
-    return each
-
-
-def merged(spark: SparkSession, path: str) -> DataFrame:
-    """The table after the last whole batch of merge_batches()."""
-    return spark.read.parquet(f"{path}/v={spark.read.parquet(f'{path}/current').first().id % 2}")
-
-
-def outbox(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that appends rows whose key the folder does not hold yet, so that a batch that is run again adds nothing."""
-    def each(batch: DataFrame, number: int) -> None:
-        spark, new = batch.sparkSession, batch.dropDuplicates(keys)
-        if number > 0:
-            held = spark.read.parquet(path).where(F.col("batch") != number)
-            new = new.join(held.select(*keys).distinct(), keys, "left_anti").select(batch.columns)
-        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return each
-
-
 def ready(needs: DataFrame, states: DataFrame, job: str, need: str, state: str) -> DataFrame:
     """Waiting jobs all of whose needs are done: what completion sets off. needs: (job, need), states: (job, state)."""
     done = states.where(F.col(state) == "done").select(F.col(job).alias(need), F.lit(True).alias("_done"))

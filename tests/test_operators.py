@@ -142,12 +142,5 @@ def test_intervals_at_their_edges(spark):
 def test_kernels():
     rng = np.random.default_rng(1)
     frame = rng.integers(0, 255, (160, 160)).astype(np.uint8)
-    dx, dy, near = kernels.global_shift(frame, np.roll(frame, (0, 3), axis=(0, 1)))
-    assert (dx, dy) == (3.0, 0.0) and kernels.motion_class(dx, dy, near) == "pan"
-    assert kernels.motion_class(*kernels.global_shift(frame, frame)) == "static"
     assert kernels.laplacian_variance(np.zeros((9, 9))) == 0.0 and kernels.laplacian_variance(frame) > 100
-    rate, clicks = 22_050, np.zeros(22_050 * 12, np.int16)
-    for beat in range(24):
-        clicks[beat * rate // 2 : beat * rate // 2 + 200] = 20_000
-    assert kernels.tempo(clicks) == pytest.approx(120, abs=2)
-    assert kernels.tempo(np.zeros(rate)) == 0.0 and list(kernels.waveform_peaks(np.array([1, 5, -2, 7]), 2)) == [1, 5, -2, 7]
+    assert list(kernels.waveform_peaks(np.array([1, 5, -2, 7]), 2)) == [1, 5, -2, 7]

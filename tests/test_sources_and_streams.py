@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cutroom.sources import media, sinks
 from cutroom.streaming import jobs
+from cutroom.streaming.tables import KeyedTable
 from tests.conftest import rows
 
 
@@ -49,17 +50,18 @@ def test_shot_list_is_guarded(spark, tmp_path):
 def test_stream_merges_batches_and_sessions(spark, tmp_path):
     schema = "k long, at timestamp, v long"
     day = dt.datetime(2024, 1, 1)
+    table = KeyedTable(str(tmp_path / "table"), ["k"], buckets=2)
     for n, part in enumerate([[(1, day, 1), (2, day, 2)], [(1, day + dt.timedelta(minutes=10), 5), (3, day + dt.timedelta(hours=5), 7)]]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = jobs.watch(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
-        jobs.run_available(stream, str(tmp_path / "check"), jobs.merge_batches(str(tmp_path / "table"), ["k"], ["at", "v"]))
-        assert jobs.merged(spark, str(tmp_path / "table")).count() == (2, 3)[n]
-    assert rows(jobs.merged(spark, str(tmp_path / "table")).select("k", "v")) == [(1, 5), (2, 2), (3, 7)]
-    again = jobs.merge_batches(str(tmp_path / "table"), ["k"], ["at", "v"])
+        jobs.run_available(stream, str(tmp_path / "check"), table.upserts(["at", "v"]))
+        assert table.rows(spark).count() == (2, 3)[n]
+    assert rows(table.rows(spark).select("k", "v")) == [(1, 5), (2, 2), (3, 7)]
+    again = table.upserts(["at", "v"])
     late = spark.createDataFrame([(1, day, 9), (1, day, 8), (4, day, 1)], schema)
     for _ in range(2):  # a batch that is run again gives the same table
         again(late, 2)
-        assert rows(jobs.merged(spark, str(tmp_path / "table")).select("k", "v")) == [(1, 9), (2, 2), (3, 7), (4, 1)]
+        assert rows(table.rows(spark).select("k", "v")) == [(1, 9), (2, 2), (3, 7), (4, 1)]
     seen = []
     stream = jobs.sessions(jobs.watch(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema), "k", "at", "30 minutes")
     jobs.run_available(stream, str(tmp_path / "check2"), lambda df, n: seen.extend(rows(df.select("k", "n"))))
@@ -78,10 +80,11 @@ def test_stream_dedups_windows_and_outbox(spark, tmp_path):
     fresh = jobs.tumbling(jobs.watch(spark, str(tmp_path / "in"), kind), "k", "at", "500 milliseconds", "v")
     jobs.run_available(fresh, str(tmp_path / "c2"), lambda df, n: windows.extend(rows(df.select("k", "mean", "n"))), mode="update")
     assert sorted(windows) == [(1, 2.0, 2), (1, 5.0, 1), (2, 7.0, 1)]
-    send = jobs.outbox(str(tmp_path / "out"), ["k"])
+    out = KeyedTable(str(tmp_path / "out"), ["k"], buckets=2)
+    send = out.firsts()
     for number in (0, 0, 1, 1):
         send(spark.createDataFrame([(1, day, 1.0), (2 + number, day, 2.0)], schema), number)
-    assert rows(spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "out")).select("k")) == [(1,), (2,), (3,)]
+    assert rows(out.rows(spark).select("k")) == [(1,), (2,), (3,)]
     batches = jobs.drained(spark.createDataFrame([(1, tick(0), 1.0), (1, tick(10), 1.0)], schema), "k", "at", "1 minute")
     assert rows(batches.select("k", "rows")) == [(1, 2)]
 
