@@ -445,10 +445,12 @@ def score_documents(docs: DataFrame, characters: Grams, rates: RateModel, text_c
     found = _stretches(docs, text_col)
     restored = characters.restore(found).select("stretch", pandas_udf(hidden, kind)("words").alias("h"))
     behind = settle(found.join(restored, "stretch").groupBy("text_key").agg(F.sum("h.weight").alias("_weight"), F.sum("h.words").alias("_words")).withColumnRenamed("text_key", "_key"))
-    row = F.struct(*[docs[c] for c in docs.columns if c not in ("score", "predicted")]).alias("row")  # no name of theirs can clash
-    marked = docs.select(row, _text_key(docs[text_col]).alias("text_key"), pandas_udf(plain, kind)(docs[text_col]).alias("plain"))
-    joined = marked.join(behind, F.col("text_key") == F.col("_key"), "left")
-    words = F.col("plain.words") + F.coalesce("_words", F.lit(0))
-    odds = rates.prior + F.col("plain.weight") + F.coalesce("_weight", F.lit(0.0)) - F.least(F.lit(LENGTH_COST), words * rates.per_word)
+    # names of their own, so that none can clash, and a column each, so that what the caller drops is not moved
+    columns = {f"_c{i}": c for i, c in enumerate(docs.columns) if c not in ("score", "predicted")}
+    marked = docs.select(*[docs[c].alias(own) for own, c in columns.items()], _text_key(docs[text_col]).alias("_own_key"), pandas_udf(plain, kind)(docs[text_col]).alias("_plain"))
+    joined = marked.join(behind, F.col("_own_key") == F.col("_key"), "left")
+    words = F.col("_plain.words") + F.coalesce("_words", F.lit(0))
+    odds = rates.prior + F.col("_plain.weight") + F.coalesce("_weight", F.lit(0.0)) - F.least(F.lit(LENGTH_COST), words * rates.per_word)
     score = 1.0 / (1.0 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds))))
-    return joined.select("row", score.alias("score")).select("row.*", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = joined.select(*columns, score.alias("_score"))
+    return scored.select(*[F.col(own).alias(c) for own, c in columns.items()], F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
