@@ -19,43 +19,54 @@ from cutroom.functions.kernels import laplacian_variance
 from cutroom.operators.windows import interpolated_percentiles, placed
 from cutroom.session import settle, ship
 
-#: Frames of a block, and pairs of one.
-FRAMES, PAIRS = 32, 1024
+#: Frames of a block, pairs of one, and frames that a task compares, about.
+FRAMES, PAIRS, TASK = 32, 1024, 2048
 #: Frames a second, pixels a frame of a clip that stands still, and what zoom, direction and agreement must reach (fixed values).
 FPS, STILL, ZOOM, DIRECTION, AGREEMENT = 2, 0.5, 0.6, 0.7, 0.6
 #: Pixels of high-frequency motion that can be a shake, and its share of all motion in a shaky clip.
 SHAKE_PIXELS, SHAKY = 2.0, 0.15
 
 
-def frame_pairs(frames: DataFrame, keys: list[str], order: str, frame: str) -> DataFrame:
+def frame_pairs(frames: DataFrame, keys: list[str], order: str, frame: str | Column) -> DataFrame:
     """(keys, pair, dx, dy, zoom, residual, agreement) of every two neighbouring frames of a clip, pairs counted from 0.
 
     Frames are SIDE x SIDE gray bytes; order tells those of a clip apart and need not be without gaps. A null frame is
-    none; one of another size is an error, as its neighbours would be paired wrongly without it.
+    none; one of another size is an error, as its neighbours would be paired wrongly without it. An expression in place of
+    a column's name makes the frames only where they are compared, so that no frame is shuffled, only what it is made of; it makes
+    one of every row.
     """
     ship(frames.sparkSession)
-    known = frames.where(F.col(frame).isNotNull())
-    at = placed(known.select(*keys, order).withColumn("_one", F.lit(1)), keys, [F.col(order)], "_one").select(*keys, order, (F.col("place") - 1).alias("_at"))
-    held = known.select(*keys, order, F.col(frame).alias("_frame")).join(at, [*keys, order])
+    if isinstance(frame, str):
+        known = frames.where(F.col(frame).isNotNull())
+        at = placed(known.select(*keys, order).withColumn("_one", F.lit(1)), keys, [F.col(order)], "_one").select(*keys, order, (F.col("place") - 1).alias("_at"))
+        held, seen, n = known.select(*keys, order, F.col(frame).alias("_frame")).join(at, [*keys, order]), F.col("_frame"), at.count()
+    else:
+        held = placed(frames.withColumn("_one", F.lit(1)), keys, [F.col(order)], "_one").withColumn("_at", F.col("place") - 1)
+        seen, n = frame, frames.count()
     own = F.floor(F.col("_at") / FRAMES)
     # the first frame of a block ends the pairs of the block before
     to = F.when(F.col("_at") % FRAMES == 0, F.array(own, own - 1)).otherwise(F.array(own))
-    blocks = held.select(*keys, F.explode(to).alias("_block"), F.struct("_at", "_frame").alias("f")).where("_block >= 0").groupBy(*keys, "_block").agg(F.collect_list("f").alias("fs"))
+    blocks = held.withColumn("_block", F.explode(to)).where("_block >= 0").repartition(n // TASK + 1, *keys, "_block").sortWithinPartitions(*keys, "_block", "_at")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema if f.name in keys)
+    kinds = [pa.int64()] + [pa.float64()] * 5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(whole.num_rows):
-                batch = whole.slice(i, 1)
-                line = sorted(batch.column("fs")[0].as_py(), key=lambda f: f["_at"])
-                if wrong := [len(f["_frame"]) for f in line if len(f["_frame"]) != pictures.SIDE**2]:
-                    raise ValueError(f"a frame has {pictures.SIDE**2} bytes, not {wrong[0]}")
-                out = [(a["_at"], *pictures.motion_vector(a["_frame"], b["_frame"])) for a, b in zip(line, line[1:], strict=False)]
-                held = [batch.column(k).take(pa.array(np.zeros(len(out), np.int64))) for k in keys]
-                kinds = [pa.int64()] + [pa.float64()] * 5
-                yield pa.RecordBatch.from_arrays([*held, *(pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds))], [*keys, "pair", "dx", "dy", "zoom", "residual", "agreement"])
-
-    return blocks.select(*keys, "fs").mapInArrow(run, f"{types}, pair bigint, dx double, dy double, zoom double, residual double, agreement double")
+        last, before = None, b""
+        for batch in batches:
+            places, out = [], []
+            clips = zip(*(batch.column(k).to_pylist() for k in [*keys, "_block"]), strict=True)
+            for i, (clip, at, data) in enumerate(zip(clips, batch.column("_at").to_pylist(), batch.column("_frame"), strict=True)):
+                after = data.as_py()
+                if after is None or len(after) != pictures.SIDE**2:
+                    raise ValueError(f"a frame has {pictures.SIDE**2} bytes, not {after and len(after)}")
+                if clip == last:
+                    places.append(i)
+                    out.append((at - 1, *pictures.motion_vector(before, after)))
+                last, before = clip, after
+            held = [batch.column(k).take(pa.array(places, pa.int64())) for k in keys]
+            yield pa.RecordBatch.from_arrays([*held, *(pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds))], [*keys, "pair", "dx", "dy", "zoom", "residual", "agreement"])
+
+    return blocks.select(*keys, "_block", "_at", seen.alias("_frame")).mapInArrow(run, f"{types}, pair bigint, dx double, dy double, zoom double, residual double, agreement double")
 
 
 def _with_neighbours(pairs: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,8 +16,8 @@ QUERIES, ORACLE_SQL = _register.queries, _register.sql
 SIDE = kernels.SIDE
 
 
-def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A clip a user and a frame an event: a texture that stands still, is panned, tilted or shaken, or noise, by the user."""
+def _frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
+    """A clip a user and a frame an event, and what makes the frame: a texture that stands still, is panned, tilted or shaken, or noise, by the user."""
     user, k = F.col("user_id"), F.col("event_id")
     number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", number.alias("k"))
@@ -25,13 +25,14 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = rows.select("user_id", "event_id", F.when(kind == 1, turn * 3).when(kind == 3, jump).otherwise(0).alias("x"), F.when(kind == 2, turn * 2).when(kind == 3, 10 - jump).otherwise(0).alias("y"), F.when(kind == 4, k).otherwise(user).alias("seed"))
     # a row of the texture is a digest of 64 bytes four times over; what is seen of it begins at x
     line = F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda r: F.substring(F.repeat(F.sha2(F.concat_ws(":", "seed", (r + F.col("y")).cast("string")), 512), 4), 2 * F.col("x") + 1, F.lit(2 * SIDE)))
-    return moved.select("user_id", "event_id", F.unhex(F.array_join(line, "")).alias("frame"))
+    return moved, F.unhex(F.array_join(line, ""))
 
 
 @_register.query()
 def clip_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DOM-41, SRC-12: motion of clips by blocks of neighbouring frames; tests hold it against a plain loop."""
-    found = pictures.clip_motion(pictures.frame_pairs(_frames(spark, sf_dir), ["user_id"], "event_id", "frame"), ["user_id"])
+    rows, frame = _frames(spark, sf_dir)
+    found = pictures.clip_motion(pictures.frame_pairs(rows, ["user_id"], "event_id", frame), ["user_id"])
     return found.select("user_id", "class", "sample_pairs", "trusted_pairs", *[F.round(c, 6).alias(c) for c in ("pan_ratio", "tilt_ratio", "zoom_corr", "shake_score", "mean_magnitude", "residual_rms", "direction_coherence")])
 
 

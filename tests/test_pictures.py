@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cutroom.functions import pictures as kernels
 from cutroom.operators import pictures
@@ -104,6 +105,20 @@ def test_motion_of_frames_against_a_plain_loop(spark, monkeypatch):
         pictures.frame_pairs(spark.createDataFrame([("a", 1, bytearray(5)), ("a", 2, bytearray(5))], "clip string, at long, frame binary"), ["clip"], "at", "frame").collect()
 
 
+def test_frames_are_made_where_they_are_compared(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    plane = rng.integers(0, 256, (200, 200)).astype(np.uint8)
+    rows = [("a", k, bytearray(plane[2 * k : 2 * k + SIDE, k : k + SIDE].tobytes())) for k in range(5)]
+    frames = spark.createDataFrame(rows, "clip string, at long, frame binary")
+    halves = frames.selectExpr("clip", "at", "substring(frame, 1, 12800) AS x", "substring(frame, 12801) AS y")
+    want = sorted(tuple(r) for r in pictures.frame_pairs(frames, ["clip"], "at", "frame").collect())
+    made = pictures.frame_pairs(halves, ["clip"], "at", F.concat("x", "y"))
+    assert sorted(tuple(r) for r in made.collect()) == want and [p[2:4] for p in want] == [(-1.0, -2.0)] * 4
+    # blocks that are found again need no search of all places
+    monkeypatch.setattr(kernels, "_costs", lambda own, new: pytest.fail("searched"))
+    assert kernels.motion_vector(bytes(rows[0][2]), bytes(rows[1][2]))[:2] == (-1.0, -2.0)
+
+
 def test_long_clips_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(pictures, "PAIRS", 5)
     rng = random.Random(3)
