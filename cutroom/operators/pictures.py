@@ -6,7 +6,7 @@ clip's pairs of frames say together is sums, medians by ranges, and neighbours w
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -164,23 +164,37 @@ def sharpness(frames: DataFrame, frame: str, width: str, height: str) -> DataFra
     return frames.withColumn("sharpness", measure(frame, width, height))
 
 
-def picture_quality(frames: DataFrame, frame: str, width: str, height: str) -> DataFrame:
-    """Rows with worst_cell, exposure, severity (of the worst of nine cells), tilt and saliency_sharpness of their gray picture.
+#: What exposure() tells of a picture.
+_EXPOSURE = "worst_cell:int,exposure:string,severity:double"
 
-    Null where a picture does not tell; all are null for a null picture or one whose bytes are not width x height.
-    """
+
+def _told(frames: DataFrame, frame: str, width: str, height: str, fields: str, tell: Callable[[np.ndarray], tuple]) -> DataFrame:
+    """Rows with what tell says of their gray picture; null for a null picture or one whose bytes are not width x height."""
     ship(frames.sparkSession)
+    names = [f.split(":")[0] for f in fields.split(",")]
 
-    @F.pandas_udf("struct<worst_cell:int,exposure:string,severity:double,tilt:double,saliency_sharpness:double>")
+    @F.pandas_udf(f"struct<{fields}>")
     def measure(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for held, wide, high in parts:
             out = []
             for data, w, h in zip(held, wide, high, strict=True):
                 if data is None or w is None or h is None or w != w or h != h or len(data) != int(w) * int(h) or not data:
-                    out.append((None,) * 5)
-                    continue
-                gray = np.frombuffer(data, np.uint8).reshape(int(h), int(w))
-                out.append((*pictures.exposure(gray), pictures.tilt(gray), pictures.salient_sharpness(gray)))
-            yield pd.DataFrame(out, columns=["worst_cell", "exposure", "severity", "tilt", "saliency_sharpness"]).astype({"worst_cell": "Int32"})
+                    out.append((None,) * len(names))
+                else:
+                    out.append(tell(np.frombuffer(data, np.uint8).reshape(int(h), int(w))))
+            yield pd.DataFrame(out, columns=names).astype({"worst_cell": "Int32"})
 
     return frames.withColumn("_q", measure(frame, width, height)).select(*frames.columns, "_q.*")
+
+
+def exposures(frames: DataFrame, frame: str, width: str, height: str) -> DataFrame:
+    """Rows with worst_cell, exposure and severity (of the worst of nine cells) of their gray picture, and nothing that costs more; null as in picture_quality()."""
+    return _told(frames, frame, width, height, _EXPOSURE, pictures.exposure)
+
+
+def picture_quality(frames: DataFrame, frame: str, width: str, height: str) -> DataFrame:
+    """Rows with worst_cell, exposure, severity (of the worst of nine cells), tilt and saliency_sharpness of their gray picture.
+
+    Null where a picture does not tell; all are null for a null picture or one whose bytes are not width x height.
+    """
+    return _told(frames, frame, width, height, f"{_EXPOSURE},tilt:double,saliency_sharpness:double", lambda gray: (*pictures.exposure(gray), pictures.tilt(gray), pictures.salient_sharpness(gray)))

@@ -75,10 +75,12 @@ w AS (SELECT doc_id, arg_min(c, struct_pack(a := -round(sev, 9), b := c)) AS c,
 def exposure_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DOM-43, FLT-16: the worst of nine cells of square pictures of text bytes, some of them black and some white."""
     side = F.floor(F.sqrt(F.octet_length("text").cast("double")))
-    docs = table(spark, sf_dir, "documents").where("octet_length(text) > 0").select("doc_id", side.alias("side"), F.hex(F.encode("text", "UTF-8")).alias("h"))
-    bytes_ = F.regexp_replace(F.regexp_replace(F.regexp_replace("h", "(..)", ",$1"), ",(?:[0-3].|4[0-5])", ",FF"), ",65", ",00")
-    gray = F.substring(F.unhex(F.replace(bytes_, F.lit(","), F.lit(""))), F.lit(1), (F.col("side") * F.col("side")).cast("int"))
-    found = pictures.picture_quality(docs.select("doc_id", "side", gray.alias("gray")), "gray", "side", "side")
+    # a character a byte, so that bytes are exchanged as characters are: those below 70 are white, one is black
+    pixels = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    pixels = F.replace(F.translate(pixels, "".join(map(chr, range(70))), "\u00ff" * 70), F.lit("e"), F.lit("\0"))
+    docs = table(spark, sf_dir, "documents").where("octet_length(text) > 0").select("doc_id", side.cast("int").alias("side"), pixels.alias("p"))
+    gray = F.encode(F.substring("p", F.lit(1), F.col("side") * F.col("side")), "ISO-8859-1")
+    found = pictures.exposures(docs.select("doc_id", F.col("side").cast("long").alias("side"), gray.alias("gray")), "gray", "side", "side")
     return found.select("doc_id", "side", "worst_cell", "exposure", F.round("severity", 6).alias("severity"))
 
 

@@ -207,3 +207,15 @@ def test_sharpness_looks_where_the_picture_stands_out():
 def test_resizing_keeps_flat_pictures_flat():
     for old, new in ((7, 64), (64, 7), (64, 64), (300, 64)):
         assert kernels.resized(np.full((old, old), 5.0), new, new) == pytest.approx(np.full((new, new), 5.0))
+
+
+def test_exposures_alone_do_not_look_for_lines(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(k, bytearray(rng.integers(0, 256, 400).astype(np.uint8).tobytes()), 20) for k in range(4)] + [(9, None, 20), (10, bytearray(3), 20)]
+    frames = spark.createDataFrame(rows, "id long, gray binary, side int")
+    names = ["id", "worst_cell", "exposure", "severity"]
+    want = sorted(tuple(r) for r in pictures.picture_quality(frames, "gray", "side", "side").select(*names).collect())
+    seen = []
+    monkeypatch.setattr(pictures, "_told", lambda *a, told=pictures._told: seen.append(a[-1]) or told(*a))
+    assert sorted(tuple(r) for r in pictures.exposures(frames, "gray", "side", "side").select(*names).collect()) == want
+    assert seen == [kernels.exposure]
