@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,71 +17,217 @@ from cutroom.session import settle, ship
 #: Pivots at most (the root of the vectors, where that is less); vectors of one block.
 PIVOTS = 2048
 BLOCK = 2048
+#: Vectors that a task holds to compare others with, about, others that come to it, and of those how many are multiplied at a time.
+HELD, ASKED, CHUNK = 8192, 32_768, 256
 #: Prompts that a configuration may hold.
 PROMPTS = 10_000
 
 
-def _units(df: DataFrame, ident: str, vector: str) -> DataFrame:
-    rows = df.select(F.col(ident).alias("i"), F.col(vector).cast("array<double>").alias("v")).where(sound("v")).withColumn("n", norm("v")).where("n > 0")
-    return rows.select("i", F.transform("v", lambda x: x / F.col("n")).alias("u"))
+def _sound(df: DataFrame, ident: str, vector: str, *more: str) -> DataFrame:
+    """(i, v, n, more): the vectors that have a direction, as wide as they came, and their lengths."""
+    double = F.col(vector).cast("array<double>")
+    kept = F.col(vector) if dict(df.dtypes)[vector] == "array<float>" else double
+    known = df.select(F.col(ident).alias("i"), double.alias("_v"), kept.alias("v"), *more)
+    return known.where(sound("_v")).withColumn("n", norm("_v")).where("n > 0").select("i", "v", "n", *more)
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+
+
+def _chain(near: np.ndarray) -> np.ndarray:
+    """Places in an order in which each is followed by the one nearest to it that is left."""
+    order, left = [0], np.ones(len(near), bool)
+    left[0] = False
+    while len(order) < len(near):
+        order.append(int(np.where(left, near[order[-1]], -np.inf).argmax()))
+        left[order[-1]] = False
+    return np.array(order)
+
+
+class _Bins:
+    """Cells in a row of bins: small neighbours share one, a large cell has several."""
+
+    def __init__(self, pivots: np.ndarray, reach: float, counts: dict[int, int]):
+        self.pivots, self.reach = pivots, reach
+        self.apart = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 1e-12))
+        self.order = _chain(pivots @ pivots.T)
+        self.first, self.many = np.zeros(len(pivots), np.int64), np.ones(len(pivots), np.int64)
+        starts, spans, bins, room = [], [], 0, -1
+        for at, cell in enumerate(self.order):
+            n = counts.get(int(cell), 0)
+            if n > room:
+                starts.append(at)
+                self.first[cell], self.many[cell] = bins, max(1, -(-n // HELD))
+                spans.append((bins, self.many[cell]))
+                bins += self.many[cell]
+                room = HELD - n if self.many[cell] == 1 else -1
+            else:
+                self.first[cell] = bins - 1
+                room -= n
+        self.starts = np.array(starts)
+        self.spread = np.repeat(np.arange(len(spans)), [k for _, k in spans])  # the group of cells that each bin is of
+
+    def homes(self, x: np.ndarray) -> np.ndarray:
+        return (x @ self.pivots.T).argmax(axis=1)
+
+    def place(self, x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's bin, and (rows x bins) whether it must look into a bin that comes after its own."""
+        near = x @ self.pivots.T
+        home = near.argmax(axis=1)
+        gap = (near[np.arange(len(x)), home][:, None] - near) / self.apart[home]
+        gap[np.arange(len(x)), home] = 0
+        own = self.first[home] + turn % self.many[home]
+        looks = np.logical_or.reduceat((gap <= self.reach + 1e-9)[:, self.order], self.starts, axis=1)[:, self.spread]
+        return own, looks & (np.arange(len(self.spread)) > own[:, None])
 
 
-def _met(df: DataFrame, ident: str, vector: str, threshold: float, labels: bool) -> DataFrame:
-    """Pairs (a, b, similarity) over the threshold; with labels, pairs (a, b) that join a block's linked rows to the least of them."""
+def _met(df: DataFrame, ident: str, vector: str, threshold: float, emit: Callable, shape: str, *more: str) -> DataFrame:
+    """What emit yields of every bin: emit(held, some, own, inside) for the rows it holds and up to CHUNK others, (ids, vectors, more) each, and with None for others at its end.
+
+    own is what emit may keep of a bin, {} at its beginning. A pair comes once: a row meets those of its own bin and of later bins.
+    """
     ship(df.sparkSession)
-    units = _units(df, ident, vector)
+    units = _sound(df, ident, vector, *more)
     many = int(min(PIVOTS, max(16, units.count() ** 0.5)))
-    sample = [r["u"] for r in units.orderBy(F.xxhash64("u"), "i").limit(many).collect()]
-    kind = dict(units.dtypes)["i"]
-    shape = f"a {kind}, b {kind}" + ("" if labels else ", similarity double")
+    sample = [np.array(r["v"], float) / r["n"] for r in units.orderBy(F.xxhash64("v"), "i").limit(many).collect()]
+    kind = dict(units.dtypes)
     if not sample:
         return df.sparkSession.createDataFrame([], shape)
     dim = len(sample[0])
-    units = units.where(F.size("u") == dim)
+    units = units.where(F.size("v") == dim)
     pivots = np.array([s for s in sample if len(s) == dim])
-    apart = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 1e-12))
-    r = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+    first = _Bins(pivots, 0.0, {})
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column("u").to_pylist(), float).reshape(-1, dim)
-            near = x @ pivots.T
-            home = near.argmax(axis=1)
-            gap = (near[np.arange(len(x)), home][:, None] - near) / apart[home]
-            gap[np.arange(len(x)), home] = 0
-            probes = [np.flatnonzero(g <= r + 1e-9).astype(np.int32) for g in gap]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("i"), batch.column("u"), pa.array(home.astype(np.int32)), pa.array(probes, pa.list_(pa.int32()))], ["i", "u", "home", "probes"]
-            )
+            found = np.bincount(first.homes(_matrix(batch.column("v"), dim) / batch.column("n").to_numpy()[:, None]), minlength=len(pivots)) if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(found), pa.int32()), pa.array(found[found > 0], pa.int64())], ["cell", "n"])
+
+    counts = {r.cell: r.n for r in units.select("v", "n").mapInArrow(home, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}  # PIVOTS rows at most
+    bins = _Bins(pivots, float(np.sqrt(max(0.0, 2 - 2 * threshold))), counts)
 
-    coded = settle(units.mapInArrow(assign, f"i {kind}, u array<double>, home int, probes array<int>"))
-    sizes = coded.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # PIVOTS rows at most
-    block = F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int")
-    members = coded.withColumn("cell", F.col("home")).join(F.broadcast(sizes), "cell").select("cell", block.alias("block"), F.lit(0).alias("side"), "i", "u")
-    queries = coded.select("i", "u", F.explode("probes").alias("cell")).join(F.broadcast(sizes), "cell")
-    queries = queries.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "i", "u")
-
-    def pairs(frame: pd.DataFrame) -> pd.DataFrame:
-        left, right = frame[frame.side == 0], frame[frame.side == 1]
-        out = []
-        if len(left) and len(right):
-            x, xi = np.stack(left.u.to_numpy()), left.i.to_numpy()
-            ids = np.unique(frame.i.to_numpy())
-            label, x_at = np.arange(len(ids)), np.searchsorted(ids, xi)
-            for at in range(0, len(right), 256):
-                y, yi = np.stack(right.u.to_numpy()[at : at + 256]), right.i.to_numpy()[at : at + 256]
-                near = x @ y.T
-                p, q = np.nonzero((near >= threshold) & (xi[:, None] < yi[None, :]))
-                if labels:
-                    fold(label, x_at[p], np.searchsorted(ids, yi)[q])
-                else:
-                    out.append(pd.DataFrame({"a": xi[p], "b": yi[q], "similarity": near[p, q]}))
-            if labels:
-                moved = np.flatnonzero(label != np.arange(len(ids)))
-                out.append(pd.DataFrame({"a": ids[moved], "b": ids[label[moved]]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []} if labels else {"a": [], "b": [], "similarity": []})
-
-    return members.unionByName(queries).groupBy("cell", "block").applyInPandas(pairs, shape)
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, looks = bins.place(_matrix(batch.column("v"), dim) / batch.column("n").to_numpy()[:, None], batch.column("turn").to_numpy())
+            ends = np.concatenate([[0], np.cumsum(looks.sum(axis=1))])
+            asks = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.nonzero(looks)[1], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int32()), asks], [*batch.schema.names, "own", "asks"])
+
+    held = ["i", "v", "n", *more]
+    turned = units.select(*held, F.pmod(F.xxhash64("i"), F.lit(1 << 30)).alias("turn"))
+    coded = settle(turned.mapInArrow(place, ", ".join(f"{c} {kind[c]}" for c in held) + ", turn long, own int, asks array<int>"))
+    asked = coded.select(F.explode("asks").alias("bin")).groupBy("bin").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("slices"))
+    asked = settle(asked)  # a row a bin
+    slices = F.coalesce("slices", F.lit(1))
+    members = coded.withColumn("bin", F.col("own")).join(F.broadcast(asked), "bin", "left").select("bin", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.lit(0).alias("side"), *held)
+    queries = coded.withColumn("bin", F.explode("asks")).join(F.broadcast(asked), "bin").select("bin", F.pmod("turn", "slices").cast("int").alias("slice"), F.lit(1).alias("side"), *held)
+    tasks = int(asked.agg(F.coalesce(F.sum("slices"), F.lit(0))).first()[0]) + len(bins.spread)
+    dealt = members.unionByName(queries).repartition(tasks, "bin", "slice").sortWithinPartitions("bin", "slice", "side")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read(batch: pa.RecordBatch) -> tuple:
+            x = _matrix(batch.column("v"), dim) / batch.column("n").to_numpy()[:, None]
+            return batch.column("i").to_numpy(zero_copy_only=False), x, [batch.column(c) for c in more]
+
+        def whole(parts: list[tuple]) -> tuple:
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), [pa.concat_arrays(list(c)) for c in zip(*(p[2] for p in parts), strict=True)]
+
+        def cut(rows: tuple) -> Iterator[tuple]:
+            for at in range(0, len(rows[0]), CHUNK):
+                yield rows[0][at : at + CHUNK], rows[1][at : at + CHUNK], [c.slice(at, CHUNK) for c in rows[2]]
+
+        def inner(kept: tuple, own: dict, slice_: int) -> Iterator[tuple]:
+            """The held rows among themselves, in the first slice, once all have come."""
+            if slice_ == 0:
+                for some in cut(kept):
+                    yield from emit(kept, some, own, True)
+
+        ident_type, now, parts, kept, own = None, None, [], None, {}
+        for batch in batches:
+            ident_type = batch.schema.field("i").type
+            tags = np.stack([batch.column(c).to_numpy() for c in ("bin", "slice", "side")], axis=1)
+            edges = [0, *(np.flatnonzero((tags[1:] != tags[:-1]).any(axis=1)) + 1), len(tags)] if len(tags) else [0]
+            for low, high in zip(edges, edges[1:], strict=False):
+                tag = (int(tags[low][0]), int(tags[low][1]))
+                if tag != now:
+                    if now is not None:
+                        if kept is None and parts:
+                            kept = whole(parts)
+                            yield from _arrows(inner(kept, own, now[1]), ident_type)
+                        if kept is not None:
+                            yield from _arrows(emit(kept, None, own, False), ident_type)
+                    now, parts, kept, own = tag, [], None, {}
+                rows = read(batch.slice(low, high - low))
+                if tags[low][2] == 0:
+                    parts.append(rows)
+                    continue
+                if kept is None and parts:
+                    kept = whole(parts)
+                    yield from _arrows(inner(kept, own, now[1]), ident_type)
+                if kept is not None:
+                    for some in cut(rows):
+                        yield from _arrows(emit(kept, some, own, False), ident_type)
+        if now is not None:
+            if kept is None and parts:
+                kept = whole(parts)
+                yield from _arrows(inner(kept, own, now[1]), ident_type)
+            if kept is not None:
+                yield from _arrows(emit(kept, None, own, False), ident_type)
+
+    return dealt.mapInArrow(compare, shape)
+
+
+def _arrows(found: Iterable[tuple], ident: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Batches of (a, b) or (a, b, similarity), as many as there are."""
+    for a, b, *more in found:
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a, ident), pa.array(b, ident), *(pa.array(m, pa.float64()) for m in more)], ["a", "b", "similarity"][: 2 + len(more)])
+
+
+def _close(held: tuple, some: tuple, threshold: float, inside: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in held and in some of the pairs at the threshold, and their cosines; inside a bin each pair once."""
+    near = held[1] @ some[1].T
+    p, q = np.nonzero(near >= threshold)
+    if inside:
+        once = held[0][p] < some[0][q]
+        p, q = p[once], q[once]
+    return p, q, near[p, q]
+
+
+def _pairs(threshold: float) -> Callable:
+    def emit(held: tuple, some: tuple | None, own: dict, inside: bool) -> Iterator[tuple]:
+        if some is not None:
+            p, q, near = _close(held, some, threshold, inside)
+            a, b = held[0][p], some[0][q]
+            yield np.where(a < b, a, b), np.where(a < b, b, a), near
+
+    return emit
+
+
+def _labels(threshold: float) -> Callable:
+    """An edge at most for each held row and each that came: all held rows that one row meets are joined."""
+
+    def emit(held: tuple, some: tuple | None, own: dict, inside: bool) -> Iterator[tuple]:
+        label = own.setdefault("label", np.arange(len(held[0])))
+        if some is None:
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            yield held[0][moved], held[0][label[moved]]
+            return
+        p, q, _ = _close(held, some, threshold, False)
+        if inside:
+            at = own["at"] = own.get("at", 0)
+            own["at"] += len(some[0])
+            fold(label, p, q + at)
+            return
+        turn = np.argsort(q, kind="stable")
+        p, q = p[turn], q[turn]
+        same = q[1:] == q[:-1]
+        fold(label, p[:-1][same], p[1:][same])
+        lead = np.concatenate([[True], ~same])[: len(q)]
+        yield some[0][q[lead]], held[0][p[lead]]
+
+    return emit
 
 
 def similar_pairs(df: DataFrame, ident: str, vector: str, threshold: float) -> DataFrame:
@@ -89,16 +235,21 @@ def similar_pairs(df: DataFrame, ident: str, vector: str, threshold: float) -> D
 
     Vectors gather around pivots, a bounded sample of them that grows with the table. A pair at the threshold
     lies within r = sqrt(2 - 2 threshold), so a vector has to look only into those pivots' cells whose bisecting
-    plane is within r; cells are cut into blocks that a task holds whole. Vectors that are null, zero, not finite
-    or of another length than the first pivot's pair with nothing.
+    plane is within r. Cells lie in a row of bins that a task holds whole, small neighbours together, and a vector is sent to
+    later bins alone, so that it has no more copies than there are bins however little the planes exclude; those that come to
+    a bin pass by in batches. Vectors that are null, zero, not finite or of another length than the first pivot's pair with nothing.
     """
-    return _met(df, ident, vector, threshold, labels=False)
+    return _met(df, ident, vector, threshold, _pairs(threshold), f"a {_kind(df, ident)}, b {_kind(df, ident)}, similarity double")
+
+
+def _kind(df: DataFrame, ident: str) -> str:
+    return dict(df.dtypes)[ident]
 
 
 def similar_clusters(df: DataFrame, ident: str, vector: str, threshold: float, least: int = 2) -> DataFrame:
     """Connected components (node, component, members) of the pairs of similar_pairs(), which are never made: a block
     returns at most an edge for each of its rows."""
-    return clusters(_met(df, ident, vector, threshold, labels=True), least)
+    return clusters(_met(df, ident, vector, threshold, _labels(threshold), f"a {_kind(df, ident)}, b {_kind(df, ident)}"), least)
 
 
 def clusters(pairs: DataFrame, least: int = 2) -> DataFrame:
