@@ -19,6 +19,8 @@ PIVOTS = 2048
 BLOCK = 2048
 #: Vectors that a task holds to compare others with, about, others that come to it, and of those how many are multiplied at a time.
 HELD, ASKED, CHUNK = 8192, 32_768, 256
+#: Frames of a clip that its mean brings along.
+FEW = 16
 #: Prompts that a configuration may hold.
 PROMPTS = 10_000
 
@@ -259,16 +261,61 @@ def clusters(pairs: DataFrame, least: int = 2) -> DataFrame:
     return nodes.join(big, "component")
 
 
+def _refined(sure: float, least: float, frame_sure: float) -> Callable:
+    """Pairs whose means reach sure (2), those that reach least and have two frames that reach frame_sure (1), and those that reach least whose frames are not at hand (0)."""
+
+    def stacked(rows: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, frames, components) of unit frames, NaN where there is none, and which rows hold theirs."""
+        dim, column = rows[1].shape[1], rows[2][0]
+        sizes = np.array([-1 if n is None else n for n in column.value_lengths().to_pylist()])
+        sizes = np.where(sizes < 0, -1, sizes // dim)
+        out = np.full((len(sizes), max(1, sizes.max(initial=0)), dim), np.nan)
+        flat = _matrix(column, dim)
+        out[np.arange(out.shape[1]) < sizes[:, None]] = flat / np.linalg.norm(flat, axis=1, keepdims=True)
+        return out, sizes >= 0
+
+    def emit(held: tuple, some: tuple | None, own: dict, inside: bool) -> Iterator[tuple]:
+        if some is None:
+            return
+        if "frames" not in own:
+            own["frames"] = stacked(held)
+        x, x_known = own["frames"]
+        y, y_known = stacked(some)
+        p, q, near = _close(held, some, least, inside)
+        told = np.where(near >= sure, 2.0, np.where(x_known[p] & y_known[q], 1.0, 0.0))
+        open_ = np.flatnonzero(told == 1)
+        open_ = open_[np.argsort(q[open_], kind="stable")]
+        for at in np.split(open_, np.flatnonzero(np.diff(q[open_])) + 1):
+            if not len(at):
+                continue
+            k = q[at[0]]
+            met = (x[p[at]].reshape(-1, x.shape[2]) @ y[k].T >= frame_sure).reshape(len(at), -1).any(axis=1)
+            told[at[~met]] = -1
+        keep = told >= 0
+        one, two = held[0][p[keep]], some[0][q[keep]]
+        yield np.where(one < two, one, two), np.where(one < two, two, one), told[keep]
+
+    return emit
+
+
 def refined_pairs(means: DataFrame, frames: DataFrame, ident: str, frame: str, vector: str, sure: float = 0.90, slack: float = 0.15, frame_sure: float = 0.95) -> DataFrame:
-    """Pairs whose means reach sure, or reach sure - slack while any two of their frames reach frame_sure."""
-    close = similar_pairs(means, ident, vector, sure - slack)
-    by_mean = close.where(F.col("similarity") >= sure).select("a", "b")
-    keyed = frames.select(F.struct(F.col(ident).alias("c"), F.col(frame).alias("f")).alias("cf"), F.col(ident).alias("c"), F.col(vector).alias("v"))
-    open_pairs = close.where(F.col("similarity") < sure).select("a", "b")
-    left = open_pairs.join(keyed.select(F.col("c").alias("a"), F.col("v").alias("va")), "a")
+    """Pairs whose means reach sure, or reach sure - slack while any two of their frames reach frame_sure.
+
+    A clip's mean brings its frames along where they are FEW, so that a near pair is told where it is found; only pairs with a clip
+    of more meet their frames in a join.
+    """
+    good = _sound(frames.withColumn("_f", F.struct(F.col(ident).alias("c"), F.col(frame).alias("f"))), "_f", vector).select(F.col("i.c").alias("_c"), "v")
+    size = F.size("v")
+    few = good.groupBy("_c").agg(F.count("*").alias("k"), F.min(size).alias("low"), F.max(size).alias("high")).where((F.col("k") <= FEW) & (F.col("low") == F.col("high"))).select("_c", F.col("low").alias("_size"))
+    packs = good.join(few, "_c").groupBy("_c", "_size").agg(F.flatten(F.collect_list("v")).alias("_frames"))
+    brought = means.join(packs, means[ident] == packs["_c"], "left").select(ident, vector, F.when(F.size(vector) == F.col("_size"), F.col("_frames")).alias("_frames"))
+    kind = _kind(means, ident)
+    found = settle(_met(brought, ident, vector, sure - slack, _refined(sure, sure - slack, frame_sure), f"a {kind}, b {kind}, similarity double", "_frames"))
+    keyed = frames.select(F.col(ident).alias("c"), F.col(vector).alias("v"))
+    left = found.where("similarity = 0").select("a", "b").join(keyed.select(F.col("c").alias("a"), F.col("v").alias("va")), "a")
     both = left.join(keyed.select(F.col("c").alias("b"), F.col("v").alias("vb")), "b")
     by_frame = both.where(cosine("va", "vb") >= frame_sure).select("a", "b").distinct()
-    return by_mean.unionByName(by_frame)
+    return found.where("similarity > 0").select("a", "b").unionByName(by_frame)
 
 
 def centroid(df: DataFrame, keys: list[str], vector: str, name: str = "centroid") -> DataFrame:

@@ -160,3 +160,26 @@ def test_moments_of_one_place_meet_once(spark, monkeypatch):
     found = story.gps_matches(moments, reference, "d", "i", "t", "la", "lo")
     assert rows(found) == sorted([(k % 3, k, 1000 * k, 500) for k in range(200)], key=repr)
     assert compared.value <= 8
+
+
+@pytest.mark.parametrize("few", [0, 2, 16])
+def test_vectors_meet_once_in_any_bins(spark, monkeypatch, few):
+    for name, value in {"HELD": 9, "ASKED": 7, "CHUNK": 4, "FEW": few}.items():
+        monkeypatch.setattr(similarity, name, value)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(90, 6))
+    x[60:85] = x[3]  # a cell of more than a bin
+    frames = [(i % 30, i, [float(v) for v in row]) for i, row in enumerate(x)] + [(2, 900, None), (31, 901, [1.0] * 6)]
+    df = spark.createDataFrame(frames, "c long, i long, v array<double>").repartition(3)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = {(i, j) for i in range(90) for j in range(i + 1, 90) if u[i] @ u[j] >= 0.7}
+    found = [(a, b) for a, b, _ in rows(similarity.similar_pairs(df.where("i < 90"), "i", "v", 0.7))]
+    assert len(found) == len(set(found)) and set(found) == near
+    groups = dict(rows(components.connected_components(spark.createDataFrame(sorted(near), "a long, b long"), "a", "b")))
+    assert {r.node: r.component for r in similarity.similar_clusters(df.where("i < 90"), "i", "v", 0.7).collect()} == groups
+    m = np.stack([x[i::30].mean(axis=0) for i in range(30)])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    means = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(m)], "c long, v array<double>")
+    alike = {(a, b) for a in range(30) for b in range(a + 1, 30) if m[a] @ m[b] >= 0.8 or (m[a] @ m[b] >= 0.3 and (u[a::30] @ u[b::30].T).max() >= 0.75)}
+    got = rows(similarity.refined_pairs(means, df, "c", "i", "v", sure=0.8, slack=0.5, frame_sure=0.75))
+    assert len(got) == len(set(got)) and set(got) == alike
