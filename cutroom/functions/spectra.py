@@ -10,6 +10,8 @@ FRAME, HOP = 2048, 512
 SLOWEST, FASTEST, STEP, USUAL, WIDTH = 60.0, 200.0, 0.1, 120.0, 0.7
 #: Surroundings of a beat in seconds, deviations that it stands out by, and the share of the track's greatest flux that it needs.
 AROUND, DEVIATIONS, FLOOR = 1.5, 1.0, 0.05
+#: Frames whose spectra are made at a time.
+FEW = 8
 _TAPER = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(FRAME) / FRAME)
 
 
@@ -18,14 +20,39 @@ def envelope(samples: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray, np
     if len(samples) < FRAME:
         return (np.zeros(0),) * 3
     frames = np.lib.stride_tricks.sliding_window_view(samples.astype(float) / 32768.0, FRAME)[::HOP]
-    loud = np.sqrt((frames**2).mean(axis=1))
-    size = np.abs(np.fft.rfft(frames * _TAPER, axis=1))
-    total = size.sum(axis=1)
-    centre = np.divide(size @ (np.arange(size.shape[1]) * rate / FRAME), total, out=np.zeros(len(total)), where=total > 0)
-    flux = np.concatenate([[0.0], np.maximum(np.diff(size, axis=0), 0).sum(axis=1)])
+    loud, centre, flux = (np.zeros(len(frames)) for _ in range(3))
+    pitch = np.arange(FRAME // 2 + 1) * rate / FRAME
+    # a few frames at a time in buffers that stay in the cache; row 0 of size is the frame before, and silence has no spectrum
+    work, spectrum, size = np.empty((FEW, FRAME)), np.empty((FEW, len(pitch)), complex), np.zeros((FEW + 1, len(pitch)))
+    sounds, silent = _sounding(samples, len(frames)), True
+    for at in range(0, len(frames), FEW):
+        n = min(FEW, len(frames) - at)
+        heard = sounds[at : at + n]
+        if heard.any():
+            few = frames[at : at + n]
+            loud[at : at + n] = np.sqrt(np.multiply(few, few, out=work[:n]).mean(axis=1))
+            np.fft.rfft(np.multiply(few, _TAPER, out=work[:n]), axis=1, out=spectrum[:n])
+            np.abs(spectrum[:n], out=size[1 : n + 1])
+            total = size[1 : n + 1].sum(axis=1)
+            np.divide(size[1 : n + 1] @ pitch, total, out=centre[at : at + n], where=total > 0)
+        elif not silent:
+            size[1:] = 0
+        if not silent or heard.any():
+            rise = np.subtract(size[1 : n + 1], size[:n], out=work[:n, : len(pitch)])
+            flux[at : at + n] = np.maximum(rise, 0, out=rise).sum(axis=1)
+        size[0] = size[n]
+        silent = not heard[-1]
+    flux[0] = 0.0
     return flux, loud, centre
 
 
+def _sounding(samples: np.ndarray, count: int) -> np.ndarray:
+    """Which of count frames hold a sample other than 0."""
+    steps = FRAME // HOP
+    loud = samples[: (count + steps - 1) * HOP].reshape(-1, HOP).any(axis=1)
+    return np.lib.stride_tricks.sliding_window_view(loud, steps).any(axis=1)
+
+
 def lags(frame_rate: float) -> tuple[int, int]:
     """Least and greatest whole lag, in frames, that a tempo in the range lies next to."""
     return int(60 * frame_rate / FASTEST), int(60 * frame_rate / SLOWEST)
@@ -54,10 +81,10 @@ def beats(flux: np.ndarray, first: int, here: slice, count: int, peak: float, fr
     """(position, strength) of frames in here that stand out, the position refined by a parabola; neighbours too close to each other included."""
     half = max(1, int(np.floor(AROUND * frame_rate / 2 + 0.5)))
     out = []
-    for i in range(max(here.start, 1 - first), min(here.stop, count - 1 - first)):
+    i = np.arange(max(here.start, 1 - first), min(here.stop, count - 1 - first))
+    tall = (flux[i] >= peak * FLOOR) & (flux[i] >= flux[i - 1]) & (flux[i] > flux[i + 1])
+    for i in i[tall].tolist():
         v = flux[i]
-        if v < peak * FLOOR or v < flux[i - 1] or v <= flux[i + 1]:
-            continue
         near = flux[max(0, i - half) : i + half + 1]
         if v < near.mean() + DEVIATIONS * near.std():
             continue
@@ -71,9 +98,9 @@ def novelty(level: np.ndarray, colour: np.ndarray, first: int, here: slice, coun
     """Difference of the means of span frames before and after each frame in here; 0 where there are not as many."""
     out = np.zeros(max(0, here.stop - here.start))
     sums = [np.concatenate([[0.0], np.cumsum(x)]) for x in (level, colour)]
-    for k, i in enumerate(range(here.start, here.stop)):
-        if span <= first + i < count - span:
-            out[k] = np.hypot(*[(2 * s[i] - s[i - span] - s[i + span]) / span for s in sums])
+    i = np.arange(max(here.start, span - first), min(here.stop, count - span - first))
+    if len(i):
+        out[i - here.start] = np.hypot(*[(2 * s[i] - s[i - span] - s[i + span]) / span for s in sums])
     return out
 
 

@@ -173,3 +173,30 @@ def test_chains_break_where_values_are_far(spark):
     for r in found:
         held.setdefault((r.k, r.chain), []).append(r.v)
     assert sorted(sorted(v) for k, v in held.items() if k[0] == 1) == [[1.0], [2.0, 2.5], [9.0, 9.4], [20.0]] and sum(k[0] == 7 for k in held) == 1
+
+
+def test_silent_frames_take_no_spectrum(monkeypatch):
+    samples = np.concatenate([clicks(2, 60), np.zeros(20 * spectra.FRAME, np.int16), clicks(1, 60)])
+    frames = [samples[i : i + spectra.FRAME] / 32768.0 for i in range(0, len(samples) - spectra.FRAME + 1, spectra.HOP)]
+    sizes = [np.abs(np.fft.rfft(f * spectra._TAPER)) for f in frames]
+    made, rfft = [], np.fft.rfft
+    monkeypatch.setattr(np.fft, "rfft", lambda x, **how: (made.append(len(x)), rfft(x, **how))[1])
+    flux, loud, _ = spectra.envelope(samples, RATE)
+    assert flux == pytest.approx([0.0] + [np.maximum(b - a, 0).sum() for a, b in zip(sizes, sizes[1:])])
+    assert loud == pytest.approx([np.sqrt((f**2).mean()) for f in frames])
+    assert sum(made) <= sum(f.any() for f in frames) + 4 * spectra.FEW < len(frames)
+
+
+def test_chunks_are_made_twice_at_most(spark):
+    from pyspark.sql import functions as F
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("binary")
+    def chunk(k):
+        made.add(1)
+        return bytes([k % 251, k % 7]) * 500
+
+    n = 300
+    sound.analyse(spark.range(n).select((F.col("id") % 2).alias("track"), F.col("id").alias("k"), chunk("id").alias("data")), ["track"], "k", "data").tracks.collect()
+    assert n <= made.value <= 2 * n
