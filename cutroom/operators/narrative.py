@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cutroom.operators.windows import placed, ranked
+from cutroom.session import settle
 
 #: Templates with the share of a chapter that becomes montage; the boundary that begins a chapter; a steady clip.
 MONTAGE = {"cinematic": 0.35, "fastcut": 0.75, "ambient": 0.60, "diary": 0.0}
@@ -36,42 +38,48 @@ def fallback_story(clips: DataFrame, templates: tuple[str, ...] = tuple(MONTAGE)
     """
     c = F.col
     rows = placed(clips.withColumn("_new", F.when(c("boundary") >= SPLIT, 1).otherwise(0)), ["episode"], [c("place")], "_new", "_n", "_before")
-    rows = rows.withColumn("chapter", c("_before") + c("_new")).drop("_n", "_before", "_new").withColumn("template", F.explode(F.array(*[F.lit(t) for t in templates])))
+    rows = settle(rows.withColumn("chapter", c("_before") + c("_new")).drop("_n", "_before", "_new"))
     empty, never = ~c("people"), F.lit(None).cast("double")
     number = lambda condition: condition.cast("int")
-    tier = _by_template(cinematic=number((c("wide") | empty | c("establishing")) & (c("stability") >= STEADY)), fastcut=number(c("energy") > 0), ambient=number(empty) + number(empty & c("wide")), diary=F.lit(0))
-    fit = _by_template(cinematic=c("technical"), fastcut=-c("seconds"), ambient=c("stability"), diary=F.when(c("taken").isNull(), float("inf")).otherwise(-c("taken")))
-    turn = F.when(c("template") == "diary", -c("place")).otherwise(c("place"))
-    opening = rows.groupBy("episode", "template").agg(F.max(F.struct(tier.alias("t"), fit.alias("f"), turn.alias("p"), c("clip").alias("clip")))["clip"].alias("_opening"))
-    rows = rows.join(opening, ["episode", "template"])
-    close = rows.where((c("template") == "cinematic") & (c("clip") != c("_opening")) & (c("sunset") | (c("stability") >= STEADY)))
-    closing = close.groupBy("episode", "template").agg(F.max(F.struct(c("sunset").alias("t"), c("seconds").alias("f"), c("place").alias("p"), c("clip").alias("clip")))["clip"].alias("_closing"))
-    rows = rows.join(closing, ["episode", "template"], "left")
-    part = F.when(c("clip") == c("_opening"), "opening").when(c("clip") == c("_closing"), "closing").otherwise("body")
-    rows = rows.withColumn("part", part)
-    whole = rows.groupBy("episode", "template").agg(F.max(F.when(c("part") == "opening", c("chapter"))).alias("_lead"))
-    rows = rows.join(whole, ["episode", "template"])
-    rows = rows.withColumn("chapter", F.when((c("template") != "diary") & (c("chapter") == c("_lead")), -1).otherwise(c("chapter")))
-    last = rows.where("part <> 'closing'").groupBy("episode", "template").agg(F.max("chapter").alias("_last"))
-    rows = rows.join(last, ["episode", "template"]).withColumn("chapter", F.when(c("part") == "closing", c("_last")).otherwise(c("chapter")))
+    tier = {"cinematic": number((c("wide") | empty | c("establishing")) & (c("stability") >= STEADY)), "fastcut": number(c("energy") > 0), "ambient": number(empty) + number(empty & c("wide")), "diary": F.lit(0)}
+    fit = {"cinematic": c("technical"), "fastcut": -c("seconds"), "ambient": c("stability"), "diary": F.when(c("taken").isNull(), float("inf")).otherwise(-c("taken"))}
+    # what an episode's templates open, lead, close and end with is told by a row an episode, before its clips are dealt to the templates
+    turn = lambda name: -c("place") if name == "diary" else c("place")
+    facts = rows.groupBy("episode").agg(*[F.max(F.struct(tier[t].alias("t"), fit[t].alias("f"), turn(t).alias("p"), c("clip").alias("clip"), c("chapter").alias("chapter"))).alias(f"_{t}") for t in templates])
+    if "cinematic" in templates:
+        opened = rows.join(facts.select("episode", "_cinematic"), "episode")
+        close = opened.where((c("clip") != c("_cinematic.clip")) & (c("sunset") | (c("stability") >= STEADY)))
+        closing = close.groupBy("episode").agg(F.max(F.struct(c("sunset").alias("t"), c("seconds").alias("f"), c("place").alias("p"), c("clip").alias("clip")))["clip"].alias("_closing"))
+        facts = settle(facts.join(closing, "episode", "left"))
+        others = rows.join(facts.select("episode", "_cinematic", "_closing"), "episode").where(~c("clip").eqNullSafe(c("_closing")))
+        last = others.groupBy("episode").agg(F.max(F.when(c("chapter") == c("_cinematic.chapter"), -1).otherwise(c("chapter"))).alias("_last"))
+        facts = facts.join(last, "episode", "left")
+    else:
+        facts = facts.withColumns({"_closing": F.lit(None), "_last": F.lit(None).cast("long")})
+    rows = rows.join(facts, "episode").withColumn("template", F.explode(F.array(*[F.lit(t) for t in templates])))
+    best = lambda field: _by_template(**{t: c(f"_{t}.{field}") for t in templates})
+    closes = (c("template") == "cinematic") & (c("clip") == c("_closing"))
+    part = F.when(c("clip") == best("clip"), "opening").when(closes, "closing").otherwise("body")
+    chapter = F.when(c("part") == "closing", c("_last")).when((c("template") != "diary") & (c("chapter") == best("chapter")), -1).otherwise(c("chapter"))
+    rows = rows.withColumn("part", part).withColumn("chapter", chapter)
     phase = F.when(c("reveal"), 1).when(c("experience"), 2).otherwise(3).cast("double")
     first = F.when(c("template") == "diary", 1).when(c("part") == "opening", 0).when(c("part") == "closing", 2).otherwise(1)
-    rows = rows.withColumns({
+    order = {
         "_o0": first,
         "_o1": _by_template(cinematic=phase, fastcut=c("seconds"), ambient=c("people").cast("double"), diary=F.coalesce(c("taken").cast("double"), F.lit(float("-inf")))),
         "_o2": _by_template(cinematic=never, fastcut=-c("energy"), ambient=-c("stability"), diary=never),
         "_o3": _by_template(cinematic=never, fastcut=never, ambient=-c("seconds"), diary=never),
-    })
+    }
     keys = ["episode", "template", "chapter"]
-    line = ranked(rows, keys, [c("_o0"), c("_o1"), c("_o2"), c("_o3"), c("place")], "position")
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_size"))
-    # chapters are numbered from 1 as they come; an episode's row holds them, one number a chapter
-    numbers = sizes.groupBy("episode", "template").agg(F.array_sort(F.collect_list("chapter")).alias("_all"))
+    rows = rows.select(*keys, "clip", "part", "place", *[o.alias(name) for name, o in order.items()])
+    line = settle(ranked(rows, keys, [c("_o0"), c("_o1"), c("_o2"), c("_o3"), c("place")], "position").select(*keys, "clip", "part", "position"))
+    # chapters are numbered from 1 as they come
+    sizes = line.groupBy(*keys).agg(F.max("position").alias("_size")).withColumn("_number", F.row_number().over(Window.partitionBy("episode", "template").orderBy("chapter")))
     density = _by_template(**{name: F.lit(share) for name, share in MONTAGE.items()})
     keep = F.greatest(F.lit(1), F.round(c("_size") * (1 - density)))
-    told = line.join(sizes, keys).join(numbers, ["episode", "template"])
+    told = line.join(sizes, keys)
     role = F.when((c("position") <= keep) | (c("part") != "body"), "beat").otherwise("montage")
-    return told.select("episode", "template", "clip", F.array_position("_all", c("chapter")).alias("chapter"), "position", "part", role.alias("role"))
+    return told.select("episode", "template", "clip", c("_number").cast("long").alias("chapter"), "position", "part", role.alias("role"))
 
 
 def story_faults(drafts: DataFrame, chapters: DataFrame, beats: DataFrame, selected: DataFrame, downgrades: DataFrame) -> DataFrame:

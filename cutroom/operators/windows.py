@@ -115,15 +115,17 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str = "ran
     The table is ranged by key and order; a range numbers its own rows, and the counts of the ranges before it,
     one row for each range and key in it, are added. order must tell the rows of a key apart.
     """
-    ranged = settle(df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()))
-    counts = ranged.groupBy(*keys, "_p").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_p").alias("_q"), before.alias("_before"))
-    numbered = ranged.withColumn("_own", F.row_number().over(Window.partitionBy("_p", *keys).orderBy(*order)))
-    met = F.col("_p") == F.col("_q")
-    for i, k in enumerate(keys):
-        met = met & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return numbered.join(starts, met).select(*df.columns, (F.col("_own") + F.col("_before")).alias(name))
+    ranged = settle(df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id())).withColumn("_key", _whole(keys))
+    counts = ranged.groupBy("_p", "_key").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_key").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_p", "_key", before.alias("_before"))
+    numbered = ranged.withColumn("_own", F.row_number().over(Window.partitionBy("_p", "_key").orderBy(*order)))
+    return numbered.join(starts, ["_p", "_key"]).select(*df.columns, (F.col("_own") + F.col("_before")).alias(name))
+
+
+def _whole(keys: list[str]) -> Column:
+    """A row's keys as one value, whose nulls are equal: what is grouped, numbered and joined by it is dealt out and sorted once."""
+    return F.struct(*keys) if keys else F.lit(0)
 
 
 def placed(df: DataFrame, keys: list[str], order: list[Column], size: str, place: str = "place", before: str = "before") -> DataFrame:
@@ -132,18 +134,13 @@ def placed(df: DataFrame, keys: list[str], order: list[Column], size: str, place
     Ranges number and sum their own rows; what lies in the ranges before, one row for each range and key in it,
     is added. order must tell the rows of a key apart.
     """
-    ranged = settle(df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()))
-    parts = ranged.groupBy(*keys, "_p").agg(F.count("*").alias("_n"), F.sum(size).alias("_s"))
-    ahead = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_c"), F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_o")
-    )
-    inside = Window.partitionBy("_p", *keys).orderBy(*order)
+    ranged = settle(df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id())).withColumn("_key", _whole(keys))
+    parts = ranged.groupBy("_p", "_key").agg(F.count("*").alias("_n"), F.sum(size).alias("_s"))
+    ahead = Window.partitionBy("_key").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("_p", "_key", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_c"), F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_o"))
+    inside = Window.partitionBy("_p", "_key").orderBy(*order)
     own = ranged.withColumn("_own", F.row_number().over(inside)).withColumn("_sum", F.coalesce(F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    met = F.col("_p") == F.col("_q")
-    for i, k in enumerate(keys):
-        met = met & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return own.join(starts, met).select(*df.columns, (F.col("_own") + F.col("_c")).alias(place), (F.col("_sum") + F.col("_o")).alias(before))
+    return own.join(starts, ["_p", "_key"]).select(*df.columns, (F.col("_own") + F.col("_c")).alias(place), (F.col("_sum") + F.col("_o")).alias(before))
 
 
 def beside(rows: DataFrame, keys: list[str], columns: dict[str, str], step: int, place: str = "place") -> DataFrame:

@@ -183,3 +183,18 @@ def test_vectors_meet_once_in_any_bins(spark, monkeypatch, few):
     alike = {(a, b) for a in range(30) for b in range(a + 1, 30) if m[a] @ m[b] >= 0.8 or (m[a] @ m[b] >= 0.3 and (u[a::30] @ u[b::30].T).max() >= 0.75)}
     got = rows(similarity.refined_pairs(means, df, "c", "i", "v", sure=0.8, slack=0.5, frame_sure=0.75))
     assert len(got) == len(set(got)) and set(got) == alike
+
+
+def test_ranks_deal_rows_out_once(spark):
+    rows = [(k, v) for k in (1, None, 2) for v in range(7)]
+    df = spark.createDataFrame(rows, "k int, v int").repartition(5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for found in (windows.ranked(df, ["k"], [F.col("v").desc()]), windows.placed(df, ["k"], [F.col("v").desc()], "v", "rank", "before")):
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") <= 4  # rows, counts, counts by key, starts
+            got = {(r.k, r.v): r for r in found.collect()}
+            assert len(got) == 21 and all(r["rank"] == 7 - v for (_, v), r in got.items())
+            assert "before" not in found.columns or all(r.before == sum(range(v + 1, 7)) for (_, v), r in got.items())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
