@@ -28,10 +28,7 @@ def carried_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     # chunks of 7, 8, 9, ... bytes: the k-th begins at 7k + k(k - 1) / 2
     last = F.ceil(F.sqrt(2.0 * F.octet_length("data") + 50)).cast("long")
     chunks = data.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), last))).selectExpr("doc_id", "k", "substring(data, CAST(7 * k + k * (k - 1) DIV 2 + 1 AS INT), CAST(7 + k AS INT)) AS chunk")
-    samples = sound.carried_samples(chunks, ["doc_id"], "k", "chunk")
-    value = F.expr("transform(sequence(0L, n - 1), i -> CAST(conv(hex(substring(pcm, CAST(2 * i + 2 AS INT), 1)) || hex(substring(pcm, CAST(2 * i + 1 AS INT), 1)), 16, 10) AS BIGINT))")
-    one = samples.select("doc_id", "first", F.posexplode(value).alias("i", "u")).select("doc_id", (F.col("first") + F.col("i")).alias("i"), F.when(F.col("u") > 32767, F.col("u") - 65536).otherwise(F.col("u")).alias("v"))
-    return one.groupBy("doc_id").agg(F.count("*").alias("n_samples"), F.sum("v").alias("total"), F.min("v").alias("low"), F.max("v").alias("high"), F.sum(F.col("v") * (F.col("i") % 1000)).alias("by_place"))
+    return sound.sample_totals(sound.carried_samples(chunks, ["doc_id"], "k", "chunk"), ["doc_id"])
 
 
 def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,3 +200,13 @@ def test_chunks_are_made_twice_at_most(spark):
     n = 300
     sound.analyse(spark.range(n).select((F.col("id") % 2).alias("track"), F.col("id").alias("k"), chunk("id").alias("data")), ["track"], "k", "data").tracks.collect()
     assert n <= made.value <= 2 * n
+
+
+def test_totals_of_samples_take_no_row_a_sample(spark):
+    rng = random.Random(4)
+    streams = {t: bytes(rng.randrange(256) for _ in range(n)) for t, n in enumerate((0, 1, 2, 2_600, 9_001))}
+    chunks = spark.createDataFrame([(t, k, c) for t, pcm in streams.items() for k, c in enumerate(cut(pcm, rng))], "t long, k long, data binary")
+    found = sound.sample_totals(sound.carried_samples(chunks, ["t"], "k", "data"), ["t"])
+    assert "posexplode" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {t: np.frombuffer(pcm[: len(pcm) // 2 * 2], "<i2").astype(int) for t, pcm in streams.items() if len(pcm) > 1}
+    assert {r.t: (r.n_samples, r.total, r.low, r.high, r.by_place) for r in found.collect()} == {t: (len(v), v.sum(), v.min(), v.max(), (v * (np.arange(len(v)) % 1000)).sum()) for t, v in want.items()}
