@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,9 +55,14 @@ def keywords(text: Column) -> Column:
     return F.array_union(words, pairs)
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once however often then names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def guard_formula(cell: Column) -> Column:
     """A cell that a spreadsheet would run gets an apostrophe."""
-    return F.when(F.rlike(F.ltrim(cell), F.lit(r"^[=+\-@]")), F.concat(F.lit("'"), cell)).otherwise(cell)
+    return once(cell, lambda x: F.when(F.substring(F.ltrim(x), 1, 1).isin("=", "+", "-", "@"), F.concat(F.lit("'"), x)).otherwise(x))
 
 
 def metric(pairs: Column, name: str) -> Column:
@@ -211,13 +220,18 @@ LABELLED = (
 
 def routine_of(text: Column, person_state: Column, subject: Column, time_stage: Column, function: Column) -> Column:
     """The routine that a clip shows: the first whose words its text has, whatever the case, else what its labels tell; else null."""
-    folded, given = F.lower(F.coalesce(text, F.lit(""))), (person_state, subject, time_stage, function)
+    given = (person_state, subject, time_stage, function)
     out = F.lit(None).cast("string")
     for *wanted, name in reversed(LABELLED):
         fits = F.lit(True)
         for column, value in zip(given, wanted, strict=True):
             fits = fits if value is None else fits & (column == value)
         out = F.when(fits, name).otherwise(out)
-    for name, words in reversed(ROUTINES):
-        out = F.when(F.rlike(folded, F.lit("|".join(words))), name).otherwise(out)
-    return out
+
+    def told(folded: Column) -> Column:
+        found = out
+        for name, words in reversed(ROUTINES):
+            found = F.when(reduce(or_, [F.contains(folded, F.lit(w)) for w in words]), name).otherwise(found)
+        return found
+
+    return once(F.lower(F.coalesce(text, F.lit(""))), told)

@@ -101,3 +101,29 @@ def test_dependents_and_stale_results(spark):
 def test_job_states(spark):
     log = spark.createDataFrame([(1, 1, False), (1, 2, True), (2, 1, False), (2, 2, False), (3, 1, False), (3, 2, False), (3, 3, False)], "job long, at long, ok boolean")
     assert rows(jobs.job_states(log, "job", "at", "ok").select("job", "state", "wait_seconds")) == [(1, "done", None), (2, "retry", 2), (3, "blocked", None)]
+
+
+def test_words_of_routines_are_sought_in_one_folded_text(spark):
+    from cutroom.functions import scalars
+
+    none = F.lit(None).cast("string")
+    assert str(scalars.routine_of(F.col("t"), none, none, none, none)).count("lower(") == 1
+    rows = [("We DRIVE after Coffee", "咖啡"), ("再去加油。站", "加油"), ("手 冲", None), (None, None), ("in reverse", "倒车"), ("İ sleep", "睡觉")]
+    found = spark.createDataFrame([r[0] for r in rows], "string").select(F.col("value").alias("t"), scalars.routine_of(F.col("value"), none, none, none, none).alias("r")).collect()
+    assert [(r.t, r.r) for r in found] == rows
+
+
+def test_cells_of_a_line_are_worked_out_once(spark):
+    from cutroom.functions import scalars
+
+    assert str(sinks.csv_line([scalars.guard_formula(F.upper("a")), F.upper("b")])).count("upper(") == 2
+    rows = [("=x", "a,b", "'=x,\"a,b\""), ("  -x", 'q"', "'  -x,\"q\"\"\""), ("é=", "a\nb", "é=,\"a\nb\""), ("", None, ""), (None, "\r", '"\r"'), ("\t@", "@", "\t@,'@")]
+    df = spark.createDataFrame([r[:2] for r in rows], "a string, b string")
+    assert [r[0] for r in df.select(sinks.csv_line([scalars.guard_formula(F.col(c)) for c in df.columns])).collect()] == [r[2] for r in rows]
+
+
+def test_probes_of_a_small_file_are_parsed_by_many_tasks(spark):
+    from cutroom import catalogue
+
+    found = catalogue.QUERIES["probe_rows"](spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
