@@ -50,8 +50,9 @@ def shot_rows(clips: DataFrame, delivery: str, order: list[Column]) -> DataFrame
 
 def csv_line(columns: list[Column]) -> Column:
     """A line of a CSV file; cells with a comma, a quote or a line's end are quoted."""
-    quoted = lambda x: F.when(F.rlike(x, F.lit('[,"\\r\\n]')), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x)
-    return F.concat_ws(",", *[quoted(x) for x in columns])
+    odd = lambda x: F.contains(x, F.lit(",")) | F.contains(x, F.lit('"')) | F.contains(x, F.lit("\r")) | F.contains(x, F.lit("\n"))
+    quoted = lambda x: F.when(odd(x), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x)
+    return F.concat_ws(",", F.transform(F.array(*columns), quoted))
 
 
 def write_shot_rows(rows: DataFrame, delivery: str, path: str) -> None:
