@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cutroom.functions import geo, scalars
 from cutroom.plans.registry import Register
-from cutroom.session import table
+from cutroom.session import spread, table
 from cutroom.sources import media
 
 _register = Register()
@@ -36,7 +36,7 @@ def probe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         _PROBE, rate=F.when(k % 5 == 0, "0").otherwise("48000"), w=F.col("p_size") * 40, den=F.lit(1000), fps=F.when(k % 4 == 0, "30/1").otherwise("30000/1001"),
         ticks=F.when(k % 3 == 0, F.concat(F.lit('"duration_ts":'), (k * 7).cast("string"), F.lit(","))).otherwise(""), rot=F.when(k % 2 == 0, "-90").otherwise("90"), sec=((k % 50) * 1.5), made=F.concat(F.lit("on "), k.cast("string")),
     )
-    row = table(spark, sf_dir, "part").select("p_partkey", media.parse_probe(made).alias("p"))
+    row = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", media.parse_probe(made).alias("p"))
     return row.select("p_partkey", *[f"p.{c}" for c in ("width", "tb_den", "fps_num", "is_vfr", "duration_ticks", "created", "audio_rate", "rotation")])
 
 

@@ -30,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to as many tasks as a shuffle has, for work that is large beside the bytes that are read: files are split by their size alone."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 #: Rows of an Arrow batch where the session leaves Spark's own 10,000: whole texts are long, and both sides hold a batch.
 RECORDS, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 

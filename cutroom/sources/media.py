@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cutroom.functions.scalars import file_name
+from cutroom.functions.scalars import file_name, once
 
 #: What a file is by its extension.
 VIDEO = ("3gp", "avi", "insv", "m2ts", "m4v", "mkv", "mov", "mp4", "mpeg", "mpg", "mts", "webm")
@@ -106,7 +106,10 @@ def parse_probe(text: Column) -> Column:
     The rate is the average one, else the nominal; a recording has a variable rate where both are known and
     differ or the codec's time base is none. The length in ticks is the stream's, else its seconds', else the file's.
     """
-    probe = F.from_json(text, _PROBE)
+    return once(F.from_json(text, _PROBE), _typed)
+
+
+def _typed(probe: Column) -> Column:
     first = lambda kind: F.get(F.filter(probe["streams"], lambda s: s["codec_type"] == kind), F.lit(0))
     v, a, whole = first("video"), first("audio"), probe["format"]
     base, nominal, average = fraction(v["time_base"]), fraction(v["r_frame_rate"]), fraction(v["avg_frame_rate"])
