@@ -24,7 +24,8 @@ from cutroom.session import ship
 
 CACHE_ENTRIES = 150_000
 CACHE_LENGTH = 48
-CHUNK_CHARS = 500_000
+#: Characters of texts that are encoded together: a queue costs a run over the ranks that it meets, so that a few large ones cost less.
+CHUNK_CHARS = 2_000_000
 #: What an encoder may return for each document, and its type.
 OUTPUTS = {"n_tokens": "long", "ids": "array<int>", "ids_sha256": "string", "decoded": "binary", "decoded_sha256": "string"}
 
@@ -77,6 +78,8 @@ class RankQueue:
                 break
             at = place
         bucket = self.buckets.pop(rank)
+        if len(bucket) == 1 and len(bucket[0]) == 1:
+            return rank, bucket[0]
         return rank, np.unique(bucket[0] if len(bucket) == 1 else np.concatenate(bucket))
 
     def push_all(self, ranks: np.ndarray, positions: np.ndarray) -> None:

@@ -642,3 +642,12 @@ def test_empty_tables(spark):
         tokencount.count_edited(none, F.array(), PATH, PATTERN), toxicity.score_documents(none, characters, rates), minhash.near_duplicates(none),
     ):
         assert df.count() == 0
+
+
+def test_a_queue_holds_the_new_pieces_of_many_texts(monkeypatch):
+    coder, runs, merge = bpe.Encoder(bpe.read_ranks(PATH), PATTERN), [], bpe.Encoder.merge
+    monkeypatch.setattr(bpe.Encoder, "merge", lambda self, new: (runs.append(len(new)), merge(self, new))[1])
+    texts = [f"unseen{i}word {i * 7919} " * 20 for i in range(3_000)]
+    ids = [found for some in bpe.pieces(texts) for found in coder.encode_all(some)]
+    assert 1_000_000 < sum(map(len, texts)) < 2_000_000 and len(runs) == 1
+    assert [coder.decode(found).decode() for found in ids] == texts
