@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from cutroom.functions import pictures as kernels
 from cutroom.operators import pictures
 from cutroom.plans.registry import Register
-from cutroom.session import table
+from cutroom.session import spread, table
 
 _register = Register()
 QUERIES, ORACLE_SQL = _register.queries, _register.sql
@@ -88,11 +88,13 @@ def exposure_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def picture_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DOM-43, DOM-42: exposure by cells, tilt of the longest line and sharpness of what stands out, of a picture a page; tests hold it against plain loops."""
     k = F.col("page_id")
-    slope, side = k % 7 - 3, 96
-    # a line at a slope by page between a texture of digests and darkness
+    slope, side, band = k % 7 - 3, 96, 8
+    # a line at a slope by page between a texture of digests, one a band of rows, and darkness
     at = lambda r: (40 + F.floor(slope * r / 8)).cast("int")
-    texture = lambda r: F.repeat(F.regexp_replace(F.sha2(F.concat_ws(":", "url", F.floor(r / 8).cast("string")), 256), "(.).", "4$1"), 3)
-    line = F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda r: F.concat(F.substring(texture(r), F.lit(1), at(r) * 2), F.lit("FF" * 6), F.repeat(F.lit("18"), side - 6 - at(r))))
-    frames = table(spark, sf_dir, "pages").select(k, F.unhex(F.array_join(line, "")).alias("gray"), F.lit(side).alias("side"))
+    textures = F.transform(F.sequence(F.lit(0), F.lit(side // band - 1)), lambda b: F.repeat(F.regexp_replace(F.sha2(F.concat_ws(":", "url", b.cast("string")), 256), "(.).", "4$1"), 3))
+    row = lambda texture, r: F.concat(F.substring(texture, F.lit(1), at(r) * 2), F.lit("FF" * 6), F.repeat(F.lit("18"), side - 6 - at(r)))
+    bands = F.transform(textures, lambda texture, b: F.concat(*[row(texture, b * band + r) for r in range(band)]))
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url"), "page_id")
+    frames = pages.select(k, F.unhex(F.array_join(bands, "")).alias("gray"), F.lit(side).alias("side"))
     found = pictures.picture_quality(frames, "gray", "side", "side")
     return found.select("page_id", "worst_cell", "exposure", F.round("severity", 4).alias("severity"), "tilt", F.round("saliency_sharpness", 2).alias("saliency_sharpness"))

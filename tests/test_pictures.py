@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cutroom.functions import pictures as kernels
 from cutroom.operators import pictures
+from cutroom.plans.pictures import QUERIES
 
 SIDE = kernels.SIDE
 
@@ -204,6 +205,14 @@ def test_sharpness_looks_where_the_picture_stands_out():
     assert kernels.salient_sharpness(spot) > 2 * edges.var()
 
 
+def test_pages_are_dealt_to_all_tasks_and_edges_vote_in_rounds(spark):
+    found = QUERIES["picture_quality"](spark, "/root/testdata/sf0.001")
+    assert found.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    noise = np.random.default_rng(4).integers(0, 256, (60, 57)).astype(np.uint8)
+    noise[np.tril_indices(60, -3, 57)] //= 9
+    assert kernels.tilt(noise) == plain_tilt(noise)
+
+
 def test_resizing_keeps_flat_pictures_flat():
     for old, new in ((7, 64), (64, 7), (64, 64), (300, 64)):
         assert kernels.resized(np.full((old, old), 5.0), new, new) == pytest.approx(np.full((new, new), 5.0))
