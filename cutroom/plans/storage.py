@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from cutroom.operators import merge
 from cutroom.plans.registry import Register
-from cutroom.session import table
+from cutroom.session import table, tasks
 from cutroom.sources import contracts, sinks
 
 _register = Register()
@@ -29,7 +29,10 @@ def draft_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-03: what an editor would refuse in drafts of tracks, segments and materials."""
     k, c, line = F.col("o_orderkey"), F.col("o_custkey"), F.col("l_linenumber")
     orders = table(spark, sf_dir, "orders")
-    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"), F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    # rows are dealt out by their order once, for the lines of a number and for the clock that runs over them
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey")
+    dealt = rows.repartition(tasks(rows), "l_orderkey")
+    items = dealt.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"), F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
     length = F.col("l_quantity").cast("long")
     clock = F.sum(length).over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - length
     lines = items.select(

@@ -35,6 +35,15 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
+#: Rows that a task sorts or groups, about, where more than a shuffle's own tasks are needed for it.
+ROWS = 500_000
+
+
+def tasks(df: DataFrame) -> int:
+    """As many tasks as a shuffle has, or more so that none holds many more than ROWS of these rows; counts them."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // ROWS + 1)
+
+
 #: Rows of an Arrow batch where the session leaves Spark's own 10,000: whole texts are long, and both sides hold a batch.
 RECORDS, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 

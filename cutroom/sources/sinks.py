@@ -83,6 +83,23 @@ def drafts(df: DataFrame, keys: list[str], order: str, fields: list[str]) -> Dat
     return df.groupBy(*keys).agg(F.to_json(F.struct(F.lit(1).alias("version"), held.alias("segments"))).alias("draft"))
 
 
+def _gaps(video: DataFrame) -> DataFrame:
+    """(draft, _gap) of drafts whose segments do not follow each other from 0 on in order of place; so are those with a segment that is off.
+
+    Segments that last follow each other if no two start at once and each starts at 0 or where one of an earlier place ends: each
+    then has one before it, back to the one at 0, and none has two after it. So moments tell, whatever a draft holds of them.
+    """
+    nowhere = F.lit(None).cast(video.schema["place"].dataType)
+    begin = F.struct(F.col("start").alias("t"), "_off", F.lit(1).alias("begins"), F.lit(0).alias("ends"), F.col("place").alias("first"), nowhere.alias("last"))
+    end = F.struct((F.col("start") + F.col("duration")).alias("t"), F.col("_off"), F.lit(0).alias("begins"), F.lit(1).alias("ends"), nowhere.alias("first"), F.col("place").alias("last"))
+    moments = video.select("draft", F.inline(F.array(begin, end))).groupBy("draft", "t").agg(
+        F.max("_off").alias("off"), F.sum("begins").alias("begins"), F.sum("ends").alias("ends"), F.min("first").alias("first"), F.min("last").alias("last")
+    )
+    earlier = (F.col("last") < F.col("first")) | F.col("last").isNull() & F.col("first").isNotNull()  # a place that is null comes first
+    sound = (F.col("begins") == 0) | (F.col("begins") == 1) & ~F.col("off") & ((F.col("t") == 0) | (F.col("ends") == 1) & earlier)
+    return moments.where(~F.coalesce(sound, F.lit(False))).select("draft", F.lit(True).alias("_gap")).distinct()
+
+
 def draft_faults(drafts: DataFrame, tracks: DataFrame, segments: DataFrame, materials: DataFrame, version: str) -> DataFrame:
     """(draft, fault) of drafts that an editor would not open, each fault of a draft once.
 
@@ -99,10 +116,11 @@ def draft_faults(drafts: DataFrame, tracks: DataFrame, segments: DataFrame, mate
     shape = known.join(line, "draft", "left").select(
         "draft", "_name", "_version", "_whole", F.coalesce(F.get(kinds, F.lit(0)), F.lit("")).alias("first"), F.array_join(F.slice(kinds, 2, 99), ",").alias("rest"), (F.size(F.filter("t", lambda t: t["kind"] == "audio")) > 0).alias("music")
     )
-    video = placed(segments.where("track = 0"), ["draft"], [F.col("place")], "duration", "_n", "_before")
+    off = (F.col("duration") <= 0) | (F.col("source_start") < 0) | (F.col("source_duration") != F.col("duration"))
+    video = segments.where("track = 0").withColumn("_off", F.coalesce(off, F.lit(True)))
     own = materials.where("kind = 'video'").select("draft", "material", F.lit(True).alias("_met")).distinct()
-    bad = (F.col("start") != F.col("_before")) | (F.col("duration") <= 0) | (F.col("source_start") < 0) | (F.col("source_duration") != F.col("duration")) | F.col("_met").isNull()
-    told = video.join(own, ["draft", "material"], "left").groupBy("draft").agg(F.count("*").alias("segments"), F.sum("duration").alias("total"), F.max(F.coalesce(bad, F.lit(True))).alias("broken"))
+    told = video.join(own, ["draft", "material"], "left").groupBy("draft").agg(F.count("*").alias("segments"), F.sum("duration").alias("total"), F.max(F.col("_off") | F.col("_met").isNull()).alias("broken"))
+    told = told.join(_gaps(video), "draft", "left").withColumn("broken", F.col("broken") | F.col("_gap").isNotNull())
     held = materials.groupBy("draft").agg(
         F.count_if(F.col("kind") == "video").alias("videos"), F.count_if(F.col("kind") == "audio").alias("audios"), F.max(~F.coalesce(F.startswith("path", F.lit("/")), F.lit(False))).alias("loose")
     )

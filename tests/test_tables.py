@@ -182,6 +182,33 @@ def test_faults_of_drafts(spark):
     assert draft(spark, drafts=[]) == []
 
 
+def test_timelines_are_told_without_numbering_their_segments(spark, monkeypatch):
+    rng, segments, want = random.Random(6), [], set()
+    for k in range(120):
+        at, rows = 0, []
+        for place in rng.sample(range(-9, 9), rng.randrange(1, 6)) if k % 2 else [None, *range(rng.randrange(1, 4))]:
+            rows.append([place, at, rng.randrange(1, 4)])
+            at += rows[-1][2]
+        if k % 2 and k % 3:
+            for row, place in zip(rows, sorted(r[0] for r in rows), strict=True):
+                row[0] = place
+        if rng.random() < 0.4:
+            rng.choice(rows)[rng.randrange(1, 3)] = rng.choice([None, 0, 1, 2, 3, -1])
+        before = 0
+        for place, start, size in sorted(rows, key=lambda r: -99 if r[0] is None else r[0]):
+            if start is None or size is None or size <= 0 or start != before:
+                want.add(k)
+                break
+            before += size
+        segments += [(k, 0, place, start, size, 0, size, "m") for place, start, size in rows]
+    assert 20 < len(want) < 100
+    monkeypatch.setattr(sinks, "placed", None)
+    frames = [(k, "x", "11", 1) for k in range(120)], [(k, 0, "video") for k in range(120)], segments, [(k, "m", "video", "/a", 99) for k in range(120)]
+    kinds = "draft int, name string, version string, duration long", "draft int, track int, kind string", "draft int, track int, place int, start long, duration long, source_start long, source_duration long, material string", "draft int, material string, kind string, path string, duration long"
+    found = sinks.draft_faults(*[spark.createDataFrame(*x) for x in zip(frames, kinds, strict=True)], "11")
+    assert {r.draft for r in found.where("fault = 'timeline'").collect()} == want
+
+
 def test_parts_are_published_together(spark, tmp_path):
     path = str(tmp_path / "out")
     parts = {"drafts": spark.range(3), "rows": spark.range(0)}
