@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cutroom.session import settle
+from cutroom.session import ROWS, settle
+
+#: Rows of a table, one for a key and a range that is asked for, that are sent to all tasks.
+FEW = 10_000
 
 
 def mean_ahead(keys: list[str], order: str, value: str, span: int, cut: str | None = None, blocked: str | None = None) -> Column:
@@ -164,17 +167,28 @@ def chains(df: DataFrame, keys: list[str], value: str, least: float) -> DataFram
 
 
 def interpolated_percentiles(df: DataFrame, keys: list[str], value: str, order: list[Column], shares: dict[str, float]) -> DataFrame:
-    """Percentiles of each key, interpolated between neighbours, out of ranks by range rather than of one task's sort."""
+    """Percentiles of each key, interpolated between neighbours; a key may hold any share of the rows.
+
+    The table is dealt to ranges of about ROWS rows by key and value; the ranges' counts tell which of them hold the places that
+    are asked for, and only those are sorted. order splits equal values between ranges.
+    """
     known = df.where(F.col(value).isNotNull())
-    sizes = known.groupBy(*keys).agg(F.count("*").alias("_n"))
-    placed = ranked(known, keys, [F.col(value), *order], "_r").join(sizes, keys)
+    ranges = known.repartitionByRange(known.count() // ROWS + 1, *keys, value, *order)
+    ranged = settle(ranges.select(*keys, value, F.spark_partition_id().alias("_p"))).withColumn("_key", _whole(keys))
+    line = Window.partitionBy("_key").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("_p", "_key").agg(F.count("*").alias("_n"))
+    starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(line), F.lit(0))).withColumn("_all", F.sum("_n").over(Window.partitionBy("_key")))
+    at = {name: (F.col("_all") - 1) * share for name, share in shares.items()}
+    edges = [edge(x) for x in at.values() for edge in (F.floor, F.ceil)]
+    asked = settle(starts.where(F.exists(F.array(*edges), lambda e: (e >= F.col("_before")) & (e < F.col("_before") + F.col("_n")))).select("_p", "_key", "_before", "_all"))
+    held = ranged.join(F.broadcast(asked) if asked.count() <= FEW else asked, ["_p", "_key"])
+    own = F.row_number().over(Window.partitionBy("_p", "_key").orderBy(value))
+    numbered = held.withColumn("_r", own + F.col("_before") - 1)
     out = []
-    for name, share in shares.items():
-        at = (F.col("_n") - 1) * share
-        low, high = (F.max(F.when(F.col("_r") == edge(at) + 1, F.col(value))) for edge in (F.floor, F.ceil))
-        part = F.max(at - F.floor(at))
-        out.append((low + (high - low) * part).alias(name))
-    return placed.groupBy(*keys).agg(*out)
+    for name, x in at.items():
+        low, high = (F.max(F.when(F.col("_r") == edge(x), F.col(value))) for edge in (F.floor, F.ceil))
+        out.append((low + (high - low) * F.max(x - F.floor(x))).alias(name))
+    return numbered.groupBy(*keys).agg(*out)
 
 
 def evicted(df: DataFrame, order: list[Column], size: str, limit: int) -> DataFrame:

@@ -63,6 +63,21 @@ def test_percentiles_interpolate(spark):
         assert (r.a, r.b) == pytest.approx(tuple(np.percentile(held, [50, 95])))
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_percentiles_sort_only_the_ranges_that_are_asked_for(spark, monkeypatch, few):
+    monkeypatch.setattr(windows, "ROWS", 20, raising=False)
+    monkeypatch.setattr(windows, "FEW", few, raising=False)
+    rng = random.Random(7)
+    data = [(k, i, float(rng.randrange(40)) if i % 3 else 5.0) for k, n in ((1, 1), (2, 300), (None, 150)) for i in range(n)]
+    numbered = []
+    monkeypatch.setattr(windows.F, "row_number", lambda row_number=windows.F.row_number: numbered.append(1) or row_number())
+    found = windows.interpolated_percentiles(spark.createDataFrame(data, "k int, i int, v double"), ["k"], "v", [F.col("i")], {"a": 0.5, "b": 0.95})
+    got = {r.k: (r.a, r.b) for r in found.collect()}
+    assert len(numbered) == 1 and set(got) == {1, 2, None}
+    for key, told in got.items():
+        assert told == pytest.approx(tuple(np.percentile([v for k, _, v in data if k == key], [50, 95])))
+
+
 def test_least_within_blocks(spark, monkeypatch):
     monkeypatch.setattr(similarity, "BLOCK", 7)
     rng = np.random.default_rng(4)
