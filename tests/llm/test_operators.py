@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -110,6 +111,25 @@ def test_op1_links_of_low_rank(spark, rank):
     assert {r.vec_id: r.n_links for r in found} == dict(enumerate(want.tolist())) and want.sum() > 1000
 
 
+def test_op1_moves_vectors_without_structure_a_few_times(spark):
+    rng = np.random.default_rng(8)
+    n = 12_000
+    x = rng.normal(size=(n, 64)).astype(np.float32)
+    x[500:520] = x[:20] + rng.normal(size=(20, 64)).astype(np.float32) * 0.2
+    x[600:620], x[620:640] = x[:20], 2 * x[:20]
+    data = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    data = data.checkpoint()
+    before = shuffled()
+    got = pq.near_duplicate_vectors(data).collect()
+    time.sleep(1)  # for the figures of the last tasks
+    assert shuffled() - before < 4 * x.nbytes
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = np.concatenate([(u[at : at + 1000] @ u.T >= 0.9).sum(1) - 1 for at in range(0, n, 1000)])
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(want.tolist())) and want.sum() >= 240
+    assert {r.vec_id: r.component_id for r in got if not r.kept} == {i: i % 20 for at in (500, 600, 620) for i in range(at, at + 20)}
+
+
 def test_op2_equals_tiktoken(spark):
     own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
     got = by_id(bpe.encode_documents(docs(spark), PATH, PATTERN, ("n_tokens", "ids", "ids_sha256", "decoded_sha256", "decoded")))
