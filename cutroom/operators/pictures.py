@@ -27,13 +27,14 @@ FPS, STILL, ZOOM, DIRECTION, AGREEMENT = 2, 0.5, 0.6, 0.7, 0.6
 SHAKE_PIXELS, SHAKY = 2.0, 0.15
 
 
-def frame_pairs(frames: DataFrame, keys: list[str], order: str, frame: str | Column) -> DataFrame:
+def frame_pairs(frames: DataFrame, keys: list[str], order: str, frame: str | Column | Callable[..., bytes]) -> DataFrame:
     """(keys, pair, dx, dy, zoom, residual, agreement) of every two neighbouring frames of a clip, pairs counted from 0.
 
     Frames are SIDE x SIDE gray bytes; order tells those of a clip apart and need not be without gaps. A null frame is
     none; one of another size is an error, as its neighbours would be paired wrongly without it. An expression in place of
     a column's name makes the frames only where they are compared, so that no frame is shuffled, only what it is made of; it makes
-    one of every row.
+    one of every row. So does a function, a decoder that is called in the tasks with a row's values, by the names of the columns other
+    than keys and order; rows come clip by clip and in order, so what it keeps of the last ones serves the next.
     """
     ship(frames.sparkSession)
     if isinstance(frame, str):
@@ -42,7 +43,9 @@ def frame_pairs(frames: DataFrame, keys: list[str], order: str, frame: str | Col
         held, seen, n = known.select(*keys, order, F.col(frame).alias("_frame")).join(at, [*keys, order]), F.col("_frame"), at.count()
     else:
         held = placed(frames.withColumn("_one", F.lit(1)), keys, [F.col(order)], "_one").withColumn("_at", F.col("place") - 1)
-        seen, n = frame, frames.count()
+        seen = F.struct(*[c for c in frames.columns if c not in (*keys, order)]) if callable(frame) and not isinstance(frame, Column) else frame
+        n = held.count()
+    decode = None if isinstance(frame, str | Column) else frame
     own = F.floor(F.col("_at") / FRAMES)
     # the first frame of a block ends the pairs of the block before
     to = F.when(F.col("_at") % FRAMES == 0, F.array(own, own - 1)).otherwise(F.array(own))
@@ -56,7 +59,7 @@ def frame_pairs(frames: DataFrame, keys: list[str], order: str, frame: str | Col
             places, out = [], []
             clips = zip(*(batch.column(k).to_pylist() for k in [*keys, "_block"]), strict=True)
             for i, (clip, at, data) in enumerate(zip(clips, batch.column("_at").to_pylist(), batch.column("_frame"), strict=True)):
-                after = data.as_py()
+                after = decode(**data.as_py()) if decode else data.as_py()
                 if after is None or len(after) != pictures.SIDE**2:
                     raise ValueError(f"a frame has {pictures.SIDE**2} bytes, not {after and len(after)}")
                 if clip == last:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import lru_cache
+from hashlib import sha512
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,23 +20,35 @@ QUERIES, ORACLE_SQL = _register.queries, _register.sql
 SIDE = kernels.SIDE
 
 
-def _frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
-    """A clip a user and a frame an event, and what makes the frame: a texture that stands still, is panned, tilted or shaken, or noise, by the user."""
+@lru_cache(maxsize=4)
+def _texture(seed: int | None, height: int) -> np.ndarray:
+    """Rows of a texture, each a digest of 64 bytes four times over."""
+    named = "" if seed is None else f"{seed}:"
+    lines = b"".join(sha512(f"{named}{r}".encode()).digest() for r in range(height))
+    return np.tile(np.frombuffer(lines, np.uint8).reshape(height, 64), 4)
+
+
+def _seen(seed: int | None, x: int, y: int, height: int) -> bytes:
+    """What is seen of a texture from (x, y) on."""
+    return np.ascontiguousarray(_texture(seed, height)[y : y + SIDE, x : x + SIDE]).tobytes()
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A clip a user and a frame an event, told by what _seen() makes it of: a texture that stands still, is panned, tilted or shaken, or noise, by the user."""
     user, k = F.col("user_id"), F.col("event_id")
     number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", number.alias("k"))
     kind, turn, jump = user % 5, F.col("k") % 20, F.pmod(F.xxhash64(k), F.lit(11)).cast("int")
-    moved = rows.select("user_id", "event_id", F.when(kind == 1, turn * 3).when(kind == 3, jump).otherwise(0).alias("x"), F.when(kind == 2, turn * 2).when(kind == 3, 10 - jump).otherwise(0).alias("y"), F.when(kind == 4, k).otherwise(user).alias("seed"))
-    # a row of the texture is a digest of 64 bytes four times over; what is seen of it begins at x
-    line = F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda r: F.substring(F.repeat(F.sha2(F.concat_ws(":", "seed", (r + F.col("y")).cast("string")), 512), 4), 2 * F.col("x") + 1, F.lit(2 * SIDE)))
-    return moved, F.unhex(F.array_join(line, ""))
+    x, y = F.when(kind == 1, turn * 3).when(kind == 3, jump).otherwise(0), F.when(kind == 2, turn * 2).when(kind == 3, 10 - jump).otherwise(0)
+    # a user's texture has the rows that all its frames see
+    height = SIDE + F.when(kind == 2, 38).when(kind == 3, 10).otherwise(0)
+    return rows.select("user_id", "event_id", F.when(kind == 4, k).otherwise(user).alias("seed"), x.alias("x"), y.alias("y"), height.alias("height"))
 
 
 @_register.query()
 def clip_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DOM-41, SRC-12: motion of clips by blocks of neighbouring frames; tests hold it against a plain loop."""
-    rows, frame = _frames(spark, sf_dir)
-    found = pictures.clip_motion(pictures.frame_pairs(rows, ["user_id"], "event_id", frame), ["user_id"])
+    found = pictures.clip_motion(pictures.frame_pairs(_frames(spark, sf_dir), ["user_id"], "event_id", _seen), ["user_id"])
     return found.select("user_id", "class", "sample_pairs", "trusted_pairs", *[F.round(c, 6).alias(c) for c in ("pan_ratio", "tilt_ratio", "zoom_corr", "shake_score", "mean_magnitude", "residual_rms", "direction_coherence")])
 
 

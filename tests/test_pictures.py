@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cutroom.functions import pictures as kernels
 from cutroom.operators import pictures
+from cutroom.plans import pictures as plans
 from cutroom.plans.pictures import QUERIES
 
 SIDE = kernels.SIDE
@@ -120,6 +121,39 @@ def test_frames_are_made_where_they_are_compared(spark, monkeypatch):
     assert kernels.motion_vector(bytes(rows[0][2]), bytes(rows[1][2]))[:2] == (-1.0, -2.0)
 
 
+def test_frames_are_made_by_a_function(spark, monkeypatch):
+    monkeypatch.setattr(pictures, "FRAMES", 3)
+    line = lambda r: F.sha2(F.concat_ws(":", "seed", (r + F.col("y")).cast("string")), 512)
+    rows = [("pan", k, 7, 3 * k, 0, SIDE) for k in range(5)] + [("tilt", k, 8, 0, 2 * k, SIDE + 8) for k in range(5)] + [("noise", k, k, 0, 0, SIDE) for k in range(3)] + [("none", k, None, 0, k, SIDE + 1) for k in range(2)]
+    told = spark.createDataFrame(rows, "clip string, at long, seed long, x int, y int, height int").repartition(3)
+    # a row of the texture is a digest of 64 bytes four times over; what is seen of it begins at x
+    texture = F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda r: F.substring(F.repeat(line(r), 4), 2 * F.col("x") + 1, F.lit(2 * SIDE)))
+    want = pictures.frame_pairs(told, ["clip"], "at", F.unhex(F.array_join(texture, "")))
+    got = pictures.frame_pairs(told, ["clip"], "at", plans._seen)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert {tuple(r)[2:] for r in got.collect() if r.clip == "pan"} == {(-3.0, 0.0, 0.0, 0.0, 1.0)}
+    # what the frames of a clip are cut from is made once
+    plans._texture.cache_clear()
+    for _, _, seed, x, y, height in rows[:10]:
+        plans._seen(seed, x, y, height)
+    assert plans._texture.cache_info().misses == 2
+
+
+def test_blocks_differ_as_a_plain_loop_says():
+    rng = np.random.default_rng(9)
+    for low, high in ((0, 256), (254, 256), (0, 2)):
+        before, after = rng.integers(low, high, (2, SIDE, SIDE)).astype(np.uint8)
+        before[40:60], after[50:75] = 255, 0
+        own = before[16:144, 16:144]
+        costs = kernels._costs(own, after)
+        for k, (dx, dy) in enumerate(kernels._shifts()):
+            apart = np.abs(own.astype(int) - after[16 + dy : 144 + dy, 16 + dx : 144 + dx])
+            assert (costs[k] == apart.reshape(8, 16, 8, 16).sum(axis=(1, 3))).all()
+        blocks = own.astype(float).reshape(8, 16, 8, 16)
+        assert (kernels._textured(own) == (blocks.std(axis=(1, 3)) >= 6)).all()
+    assert kernels.motion_vector(before.tobytes(), before.tobytes())[:4] == (0, 0, 0, 0)
+
+
 def test_long_clips_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(pictures, "PAIRS", 5)
     rng = random.Random(3)
