@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from cutroom.functions import pictures
 from cutroom.functions.kernels import laplacian_variance
 from cutroom.operators.windows import interpolated_percentiles, placed
-from cutroom.session import settle, ship
+from cutroom.session import settle, ship, tasks
 
 #: Frames of a block, pairs of one, and frames that a task compares, about.
 FRAMES, PAIRS, TASK = 32, 1024, 2048
@@ -126,6 +126,7 @@ def clip_motion(pairs: DataFrame, keys: list[str]) -> DataFrame:
     (an array by second). A clip without pairs has no row.
     """
     pairs = settle(pairs)
+    pairs = pairs.coalesce(tasks(pairs))  # those that compare frames hold a few rows each
     dx, dy, size = F.col("dx"), F.col("dy"), F.hypot("dx", "dy")
     told = lambda a, b: (F.abs(a) > F.abs(b)) & (F.abs(a) >= STILL)
     count = lambda c: F.sum(c.cast("long"))
